@@ -7,6 +7,7 @@ import importlib
 _WHERE = {
     "op7_sharding": "sharding",
     "op8_mixing": "mixing",
+    "op9_toxicity": "toxicity",
     "op10_decontamination": "decontamination",
 }
 
