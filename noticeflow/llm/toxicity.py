@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import mix64, table
 
@@ -224,7 +225,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
             got = pa.array(shared.value.scores(batch.column(text_col)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, score_col])
 
-    schema = docs.schema.add(score_col, "double")
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
