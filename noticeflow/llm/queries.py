@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _WHERE = {
+    "op1_secret_scan": "secret_scan",
     "op2_lm_score": "lm_score",
     "op4_near_dup": "near_dup",
     "op7_sharding": "sharding",
