@@ -7,6 +7,7 @@ import importlib
 _WHERE = {
     "op1_secret_scan": "secret_scan",
     "op2_lm_score": "lm_score",
+    "op3_html_extract": "html_extract",
     "op4_near_dup": "near_dup",
     "op7_sharding": "sharding",
     "op8_mixing": "mixing",
