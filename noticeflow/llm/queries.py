@@ -9,6 +9,7 @@ _WHERE = {
     "op2_lm_score": "lm_score",
     "op3_html_extract": "html_extract",
     "op4_near_dup": "near_dup",
+    "op5_warc": "warc",
     "op6_ann": "ann",
     "op7_sharding": "sharding",
     "op8_mixing": "mixing",
