@@ -1,4 +1,15 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Toxic documents go, one document of each near-duplicate group stays, benchmark
+passages are removed, sources are mixed to target weights, and each row gets
+its shard.  Every stage is written as Parquet to the cluster's shared folder
+and read again as the next one's input; all but the last keep the columns of
+documents.
+
+Defined cases are those of the operators.  A document of the mix that is taken
+twice stands twice; one of which more than half is benchmark text goes; an empty
+table passes through all stages; documents without labels are only scored.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +18,40 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import mixing, sharding
-from noticeflow.llm.common import shared_dir
+from noticeflow.llm import decontamination, mixing, near_dup, sharding, toxicity
+from noticeflow.llm.common import shared_dir, table
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose toxicity score is under the threshold; labels are learnt as in op9."""
+    scored = toxicity.score(docs, toxicity.fitted(spark, sf_dir), score_col="__toxicity")
+    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component, and documents linked with nothing."""
+    return near_dup.kept_documents(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that they share with benchmark items."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them; a row that it doesn't take goes."""
-    times = mixing.mix(docs).groupBy("doc_id").agg(F.max("times").alias("__times"))
-    return docs.join(times, "doc_id").filter("__times > 0").withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns and the shard of each row."""
+    """The documents' columns, the lookup slot and the shard of each row."""
     return sharding.assign_shards(docs)
 
 
 STAGES = [
+    ("toxicity", not_toxic),
+    ("near_duplicates", without_near_copies),
+    ("decontamination", without_benchmark),
     ("mixing", mixed),
     ("sharding", sharded),
 ]

@@ -23,6 +23,8 @@ from .common import staged, table
 HASH_HEX, LEVEL_BITS = 15, 12
 HASH_BITS = HASH_HEX * 4
 WEIGHTS, CAP = (1, 2, 3), 3
+#: Parts over which a source's rows are spread when they meet its plan.
+SALTS = 32
 
 
 def text_size(text: Column) -> Column:
@@ -64,8 +66,9 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     cut = Window.partitionBy("key").orderBy("bucket")
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
-        inside = sized.select("key", "size", F.shiftright("h", shift + LEVEL_BITS).alias("prefix"), F.shiftright("h", shift).alias("bucket"))
-        sums = inside.join(plan.select("key", "prefix", "budget"), ["key", "prefix"]).groupBy("key", "bucket", "budget").agg(F.sum("size").alias("n"))
+        inside = sized.select("key", "size", "h", F.shiftright("h", shift + LEVEL_BITS).alias("own"), F.shiftright("h", shift).alias("bucket"))
+        inside = with_plan(inside, plan.select("key", "prefix", "budget"), "key", "h").filter("own = prefix")
+        sums = inside.groupBy("key", "bucket", "budget").agg(F.sum("size").alias("n"))
         upto = F.sum("n").over(cut)
         sums = sums.select("key", "bucket", "n", (F.col("budget") - (upto - F.col("n"))).alias("rest"))
         edge = sums.filter((F.col("rest") >= 0) & (F.col("rest") < F.col("n")))
@@ -80,17 +83,42 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.select("key", "source_size", "target", "passes", (F.col("prefix") + nearer.cast("long")).alias("under"))
 
 
+def _key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+
+
+def with_plan(rows: DataFrame, plan: DataFrame, key: str, h: str) -> DataFrame:
+    """``rows`` joined with their source's row of the plan; each source is spread over ``SALTS`` parts."""
+    salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.col(h), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, times, taken for every row."""
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("key"),
-        F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("h"),
+        _key(source_col).alias("key"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("h"),
     )
     sized = staged(sized, "mix-sizes")
     plan = staged(thresholds(sized, source_targets(sized, weights, cap)), "mix-plan")
     times = F.col("passes") + (F.col("h") < F.col("under")).cast("long")
-    return sized.join(plan, "key").select("doc_id", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+    return with_plan(sized, plan, "key", "h").select("doc_id", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it.
+
+    The plan has one row for a source and meets the documents under their own
+    hash, so texts go through one join at most, spread over salts.
+    """
+    sized = docs.select(_key(source_col).alias("key"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("h"))
+    sized = staged(sized, "mix-sizes")
+    plan = staged(thresholds(sized, source_targets(sized, **limits)), "mix-plan")
+    rows = docs.withColumn("__key", _key(source_col)).withColumn("__h", place(F.col(id_col)))
+    rows = with_plan(rows, plan.select(F.col("key").alias("__key"), F.col("passes").alias("__passes"), F.col("under").alias("__under")), "__key", "__h")
+    times = F.col("__passes") + (F.col("__h") < F.col("__under")).cast("long")
+    rows = rows.withColumn("__times", times.cast("int")).filter("__times > 0")
+    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ sets form a class, and one document stands for each class.  Representatives
 with an equal band of MinHash values meet in a bucket.  A bucket's members are
 compared with one leader, so the pairs grow with the members and not with
 their square; a few rounds with other leaders follow, in which only members
-of other components than the leader's are compared.  Whatever then still
-shares a bucket across components is compared in full, members outside a
-bucket's largest component against all.
+of other components than the leader's are compared.  Of the documents that
+then still share a bucket across components, those go on to an exact join on
+the rarest shingles of their sets (``_rest_pairs``) whose sketches leave a link
+possible.
 
 Each comparison first meets the odd sketches: the MinHash samples folded into
 a parity bitmap.  The population count of two bitmaps' XOR is at most twice
@@ -153,6 +154,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_linked, f"a {kind}, b {kind}")
 
 
+def _with_set(kind: str):
+    def run(batches):
+        for batch in batches:
+            sets = [x.view(np.int64) for x in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
+
+    return run, f"node {kind}, own array<bigint>"
+
+
+def _rest_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that may be linked, of rows (node, bucket, comp, n, odd).
+
+    Only nodes go on that share a bucket with a node of another component whose
+    sketch leaves a link possible; a semi-join finds them without making pairs.
+    A linked pair shares one of the rarest shingles of both sets, as many as
+    either may lack: so these prefixes meet, and nothing else is compared.
+    """
+    other = rest.select(F.col("bucket").alias("bucket_b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    near = (F.col("bucket") == F.col("bucket_b")) & (F.col("comp") != F.col("comp_b")) & _alike("n", "odd", "n_b", "odd_b")
+    nodes = staged(rest.join(other, near, "left_semi").select("node", "comp", "n", "odd").distinct(), "rest-nodes")
+    sets = texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(*_with_set(rest.schema["node"].dataType.simpleString()))
+    sets = staged(sets, "rest-sets").select("node", F.monotonically_increasing_id().alias("row"), F.size("own").alias("size"), F.explode("own").alias("s"))
+    rare = sets.join(sets.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("node", "row", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
+    most = F.col("size") - F.ceil(F.col("size") * LINK_PERCENT / 100) + 1
+    prefix = rare.select("node", "size", F.explode(F.slice("own", F.lit(1), most.cast("int"))["s"]).alias("s")).distinct()
+    prefix = staged(prefix.join(nodes.select("node", "comp").distinct(), "node"), "rest-prefixes")
+    side = lambda x: prefix.select("s", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("size").alias(f"size_{x}"))
+    meet = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * LINK_PERCENT)
+    a, b = side("a"), side("b").withColumnRenamed("s", "s_b")
+    return a.join(b, (F.col("s") == F.col("s_b")) & meet).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = LEADER_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
@@ -184,13 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = now.withColumnRenamed("node", "a").join(mixed, "bucket").filter("comp != lead_comp").select("a", "b").distinct()
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("n_a", "odd_a", "n_b", "odd_b"))
         else:
-            sizes = now.join(mixed.select("bucket"), "bucket").groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("top"))
-            rest = staged(now.join(largest, "bucket").join(sketches.select("node", "n", "odd"), "node"), "rest")
-            a = rest.filter("comp != top").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
-            b = rest.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "top", F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
-            on = (a["bucket"] == b["bucket"]) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b"))) & _alike("n_a", "odd_a", "n_b", "odd_b")
-            pairs = a.join(b, on)
+            pairs = _rest_pairs(staged(now.join(mixed.select("bucket"), "bucket").join(sketches.select("node", "n", "odd"), "node"), "rest"), texts)
         links = staged(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links")
         if links.isEmpty():  # on to the full comparison, after which nothing is left
             turn = rounds if turn < rounds else rounds + 1
