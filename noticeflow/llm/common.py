@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Batches of at most ``rows`` rows for the Python functions of the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def byte_class(inside) -> np.ndarray:
     """A 256-entry mask of the bytes for which ``inside`` holds."""
     return np.array([bool(inside(b)) for b in range(256)])
@@ -78,7 +91,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, alike for equal bytes wherever they stand."""
+    """64-bit hashes of the byte spans, alike for equal bytes wherever they stand; spans in order, none within another."""
+    if len(data) > 2 * STEP_BYTES and len(starts) > 1:  # a very long text by parts of its spans
+        cut = np.unique(np.searchsorted(starts, np.arange(0, len(data), STEP_BYTES)))
+        parts = [(b, e) for b, e in zip(cut, [*cut[1:], len(starts)], strict=True) if b < e]
+        return np.concatenate([_hash_spans(data[starts[b] : ends[e - 1]], starts[b:e] - starts[b], ends[b:e] - starts[b]) for b, e in parts])
+    return _hash_spans(data, starts, ends)
+
+
+def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power_table(_P, n), out=sums[1:])

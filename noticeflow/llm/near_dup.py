@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, hash_spans, mix64, staged, table, text_steps, words
+from .common import PLAIN_WORD, arrow_rows, hash_spans, mix64, staged, table, text_steps, words
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -44,6 +44,8 @@ SKETCH_WORDS = 8
 MOST_APART = 37
 LINK_PERCENT = 85
 LEADER_ROUNDS = 4
+#: Rows in an Arrow batch: whole texts, and pairs of them, are in Python at once.
+BATCH_ROWS = 1000
 
 _rng = np.random.Generator(np.random.PCG64(41))
 _PLACE = _rng.integers(0, 2**64, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -188,6 +190,11 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = LEADER_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, id_col, text_col, rounds)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFrame:
     spark = docs.sparkSession
     sig = staged(signatures(docs, id_col, text_col), "signatures")
     classes = sig.filter("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"))
@@ -195,10 +202,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a document of several rows may stand for several classes; they are one node
     reps = sig.join(classes.withColumn("doc_id", F.col("node")), ["set1", "set2", "doc_id"]).select("node", F.col("n_shingles").alias("n"), "odd", "bands", "set1", "set2")
     reps = staged(reps.dropDuplicates(["node", "set1", "set2"]), "representatives")
+    twice = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set1", "set2")).alias("lo"), F.max(F.struct("set1", "set2")).alias("hi")).filter("lo != hi").select("doc_id")
+    own = sig.join(twice, "doc_id").join(classes, ["set1", "set2"]).select("doc_id", "node")
+    same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a != b").distinct()
+    same = staged(same, "same-document")
     keyed = reps.select("node", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("bucket")
     inside = staged(keyed.join(shared, "bucket").distinct(), "buckets")
-    members = inside.select("node").distinct()
+    members = inside.select("node").union(same.select("a")).union(same.select("b")).distinct()
     sketches = staged(reps.join(members, "node", "left_semi").select("node", "n", "odd", "set1", "set2"), "sketches")
 
     name, parts = f"near_dup_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -218,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("n_a", "odd_a", "n_b", "odd_b"))
         else:
             pairs = _rest_pairs(staged(now.join(mixed.select("bucket"), "bucket").join(sketches.select("node", "n", "odd"), "node"), "rest"), texts)
-        links = staged(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links")
+        links = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
+        links = staged(links if turn else links.union(same), "links")
         if links.isEmpty():  # on to the full comparison, after which nothing is left
             turn = rounds if turn < rounds else rounds + 1
             continue
