@@ -2,13 +2,13 @@
 
 A document is the set of its distinct five-word shingles.  Documents with equal
 sets form a class, and one document stands for each class.  Representatives
-with an equal band of MinHash values meet in a bucket.  A bucket's members are
-compared with one leader, so the pairs grow with the members and not with
-their square; a few rounds with other leaders follow, in which only members
-of other components than the leader's are compared.  Of the documents that
-then still share a bucket across components, those go on to an exact join on
-the rarest shingles of their sets (``_rest_pairs``) whose sketches leave a link
-possible.
+with an equal band of MinHash values meet in a bucket.  In a few rounds a
+bucket's members are compared with a few leaders (``LEADERS``), members of the
+leader's own component left out, so the pairs grow with the members and not
+with their square.  A leader has then met its whole bucket and leaves it, and
+small buckets are done.  The documents that still share a large bucket across
+components meet in blocks by bitmaps of their whole sets (``_rest_pairs``), which
+leave no link out and hardly another pair in.
 
 Each comparison first meets the odd sketches: the MinHash samples folded into
 a parity bitmap.  The population count of two bitmaps' XOR is at most twice
@@ -43,7 +43,10 @@ SKETCH_WORDS = 8
 #: Samples of BANDS * ROWS in which a linked pair may differ; 6.5 standard deviations over the mean at 0.85.
 MOST_APART = 37
 LINK_PERCENT = 85
-LEADER_ROUNDS = 4
+#: Leaders of a bucket in each round.
+LEADERS = (1, 2, 4)
+#: Bits of a whole set's bitmap are 64 times this; the rows of a large bucket that meet at once.
+PARITY_WORDS, BLOCK_ROWS = 16, 1000
 #: Rows in an Arrow batch: whole texts, and pairs of them, are in Python at once.
 BATCH_ROWS = 1000
 
@@ -156,39 +159,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_linked, f"a {kind}, b {kind}")
 
 
-def _with_set(kind: str):
+def _with_parity(kind: str):
+    """node, size, p0, p1, ...: whole sets folded into bitmaps; sets that differ in d shingles differ in d bits at most."""
+    names = [f"p{k}" for k in range(PARITY_WORDS)]
+
     def run(batches):
         for batch in batches:
-            sets = [x.view(np.int64) for x in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
+            sets = list(shingle_sets(batch.column("text")))
+            bits = np.zeros((len(sets), 64 * PARITY_WORDS), np.uint8)
+            for k, own in enumerate(sets):
+                bits[k] = np.bincount((mix64(own) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+            parity = np.packbits(bits, axis=1).view(np.int64)
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, *(pa.array(parity[:, k].copy()) for k in range(PARITY_WORDS))], ["node", "size", *names])
 
-    return run, f"node {kind}, own array<bigint>"
+    return run, f"node {kind}, size bigint, {', '.join(f'{x} bigint' for x in names)}"
 
 
 def _rest_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components that may be linked, of rows (node, bucket, comp, n, odd).
+    """Pairs (a, b) across components that may be linked, of rows (bucket, node, comp).
 
-    Only nodes go on that share a bucket with a node of another component whose
-    sketch leaves a link possible; a semi-join finds them without making pairs.
-    A linked pair shares one of the rarest shingles of both sets, as many as
-    either may lack: so these prefixes meet, and nothing else is compared.
+    A linked pair's whole sets differ in a known number of shingles at most, and
+    so do their bitmaps: no link is lost here, and hardly another pair is left.
+    A large bucket is met in blocks of ``BLOCK_ROWS``.
     """
-    other = rest.select(F.col("bucket").alias("bucket_b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
-    near = (F.col("bucket") == F.col("bucket_b")) & (F.col("comp") != F.col("comp_b")) & _alike("n", "odd", "n_b", "odd_b")
-    nodes = staged(rest.join(other, near, "left_semi").select("node", "comp", "n", "odd").distinct(), "rest-nodes")
-    sets = texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(*_with_set(rest.schema["node"].dataType.simpleString()))
-    sets = staged(sets, "rest-sets").select("node", F.monotonically_increasing_id().alias("row"), F.size("own").alias("size"), F.explode("own").alias("s"))
-    rare = sets.join(sets.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("node", "row", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
-    most = F.col("size") - F.ceil(F.col("size") * LINK_PERCENT / 100) + 1
-    prefix = rare.select("node", "size", F.explode(F.slice("own", F.lit(1), most.cast("int"))["s"]).alias("s")).distinct()
-    prefix = staged(prefix.join(nodes.select("node", "comp").distinct(), "node"), "rest-prefixes")
-    side = lambda x: prefix.select("s", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("size").alias(f"size_{x}"))
-    meet = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * LINK_PERCENT)
-    a, b = side("a"), side("b").withColumnRenamed("s", "s_b")
-    return a.join(b, (F.col("s") == F.col("s_b")) & meet).select("a", "b").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = LEADER_ROUNDS) -> DataFrame:
+    sized = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(*_with_parity(rest.schema["node"].dataType.simpleString()))
+    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = staged(rest.join(staged(sized, "rest-parities"), "node").join(blocks, "bucket"), "rest-rows")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("comp", "size", *(f"p{k}" for k in range(PARITY_WORDS)))]
+    left = rows.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), *side("a"))
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), *side("b"))
+    apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PARITY_WORDS)), F.lit(0))
+    ratio = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * LINK_PERCENT
+    near = apart * (100 + LINK_PERCENT) <= (F.col("size_a") + F.col("size_b")) * (100 - LINK_PERCENT)
+    met = left.join(right.withColumnRenamed("bucket", "bucket_b").withColumnRenamed("block", "block_b"), (F.col("bucket") == F.col("bucket_b")) & (F.col("block") == F.col("block_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & ratio & near)
+    return met.select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = len(LEADERS)) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         return _near_duplicates(docs, id_col, text_col, rounds)
@@ -206,11 +214,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int) -
     own = sig.join(twice, "doc_id").join(classes, ["set1", "set2"]).select("doc_id", "node")
     same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a != b").distinct()
     same = staged(same, "same-document")
-    keyed = reps.select("node", F.explode("bands").alias("bucket"))
+    keyed = reps.select("node", "n", "odd", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("bucket")
-    inside = staged(keyed.join(shared, "bucket").distinct(), "buckets")
+    inside = staged(keyed.join(shared, "bucket"), "buckets")
     members = inside.select("node").union(same.select("a")).union(same.select("b")).distinct()
-    sketches = staged(reps.join(members, "node", "left_semi").select("node", "n", "odd", "set1", "set2"), "sketches")
 
     name, parts = f"near_dup_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(members, "node", "left_semi")
@@ -218,28 +225,34 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int) -
     texts = spark.table(name)
 
     labels = members.withColumn("comp", F.col("node"))
-    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
-    turn = 0
-    while turn <= rounds:
+    compared = None
+    for turn, leaders in enumerate((*LEADERS[:rounds], 0)):
         now = inside.join(labels, "node")
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.lit(0), F.col("node"), F.col("comp"))).alias("lead"))
-        mixed = mixed.filter("lo != hi").select("bucket", F.col("lead.node").alias("b"), F.col("lead.comp").alias("lead_comp"))
-        if turn < rounds:
-            pairs = now.withColumnRenamed("node", "a").join(mixed, "bucket").filter("comp != lead_comp").select("a", "b").distinct()
-            pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("n_a", "odd_a", "n_b", "odd_b"))
+        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
+        now = staged(now.join(mixed, "bucket").select("bucket", "node", "comp", "n", "odd"), "round")
+        if leaders:
+            lead = now.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders)).alias("part")).agg(F.min(F.struct("node", "comp", "n", "odd")).alias("lead"))
+            lead = staged(lead.select("bucket", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "comp", "n", "odd")]), "leaders")
+            pairs = now.join(lead, "bucket").filter((F.col("comp") != F.col("lead_comp")) & _alike("n", "odd", "lead_n", "lead_odd"))
+            pairs = pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
+            if compared is not None:
+                pairs = pairs.join(compared, ["a", "b"], "left_anti")
+            pairs = staged(pairs, "pairs")
+            compared = pairs if compared is None else compared.union(pairs)
+            # a leader has met its whole bucket
+            inside = now.drop("comp").join(lead.select("bucket", F.col("lead_node").alias("node")), ["bucket", "node"], "left_anti")
         else:
-            pairs = _rest_pairs(staged(now.join(mixed.select("bucket"), "bucket").join(sketches.select("node", "n", "odd"), "node"), "rest"), texts)
-        links = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
+            pairs = _rest_pairs(now.select("bucket", "node", "comp").distinct(), texts)
+            pairs = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
+        links = confirmed(pairs, texts)
         links = staged(links if turn else links.union(same), "links")
-        if links.isEmpty():  # on to the full comparison, after which nothing is left
-            turn = rounds if turn < rounds else rounds + 1
+        if links.isEmpty():
             continue
-        of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))  # noqa: B023, E731
         merged = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
         moved = components(merged)
         labels = labels.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
         labels = staged(labels, "labels")
-        turn += 1
     spark.sql(f"DROP TABLE {name}")
     found = classes.join(labels, "node", "left").select("set1", "set2", F.coalesce("comp", "node").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set1", "set2").join(found, ["set1", "set2"], "left")
