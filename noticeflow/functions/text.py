@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from .. import settings as S
 
@@ -129,21 +130,21 @@ def spelling_only(removed, added) -> bool:
     return all(any(difflib.SequenceMatcher(None, r, a).ratio() >= S.SPELLING_RATIO for a in added) for r in removed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(page: pd.Series) -> pd.Series:
     return page.map(plain_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     return text.map(folded)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def body_similarity(current: pd.Series, prior: pd.Series) -> pd.Series:
     return pd.Series([similarity(a or "", b or "") for a, b in zip(current, prior, strict=True)], dtype=float)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_spelling_only(removed: pd.Series, added: pd.Series) -> pd.Series:
     return pd.Series([spelling_only(r, a) for r, a in zip(removed, added, strict=True)], dtype=bool)

@@ -31,6 +31,31 @@ def resolve(mentions: DataFrame, aliases: DataFrame, hint: str = "campus_hint")
     return out.select("mention_id", F.when(F.col("n") == 1, F.col("place_id")).alias("place_id"), F.when(F.col("n").isNull(), "unknown").when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("reason"))
 
 
+def first_known(rows: DataFrame, key: str, sources: dict[str, DataFrame], answer: str = "place") -> DataFrame:
+    """``rows`` with the answer of the first source that has the key, and that source's name.
+
+    Each source has one row for a key and joins once; reference tables of a
+    checked size are broadcast by the optimizer.
+    """
+    out = rows
+    for name, source in sources.items():
+        out = out.join(source.select(key, F.col(answer).alias(f"__{name}")), key, "left")
+    via = F.coalesce(*[F.when(F.col(f"__{n}").isNotNull(), n) for n in sources], F.lit("unresolved"))
+    return out.select(*rows.columns, F.coalesce(*[F.col(f"__{n}") for n in sources]).alias(answer), via.alias("via"))
+
+
+def upserted(existing: DataFrame, new: DataFrame, pinned: str = "override_fields") -> DataFrame:
+    """Places after a refresh: pinned fields keep their value; ``outcome`` says what happened to each new row."""
+    fields = [c for c in new.columns if c != "place_id"]
+    old = existing.select("place_id", F.col(pinned).alias("__pinned"), *[F.col(c).alias(f"__{c}") for c in fields])
+    both = new.withColumn("__new", F.lit(True)).join(old.withColumn("__old", F.lit(True)), "place_id", "full_outer")
+    held = lambda c: F.coalesce(F.array_contains("__pinned", F.lit(c)), F.lit(False))
+    pick = lambda c: F.when(F.col("__new").isNull() | held(c), F.col(f"__{c}")).otherwise(F.col(c))
+    changed = F.exists(F.array(*[~F.col(f"__{c}").eqNullSafe(pick(c)) for c in fields]), lambda x: x)
+    outcome = F.when(F.col("__old").isNull(), "inserted").when(F.col("__new").isNull(), "absent").when(changed, "updated").otherwise("unchanged")
+    return both.select("place_id", *[pick(c).alias(c) for c in fields], F.coalesce("__pinned", F.array().cast("array<string>")).alias(pinned), outcome.alias("outcome"))
+
+
 def nearest(places: DataFrame, landmarks: DataFrame, most: int = S.NEAREST_LANDMARKS, within: float = S.NEAREST_METRES) -> DataFrame:
     """place, landmark, rank, metres, direction: the nearest landmarks of the same campus.
 

@@ -253,14 +253,14 @@ def or_lookup_distinct(spark, d):
 
 
 @query("""
-WITH e AS (SELECT user_id, ts, ts + to_minutes((value % 90)::INT) AS done FROM events),
+WITH e AS (SELECT user_id, ts, ts + to_minutes(floor(value % 90)::INT) AS done FROM events),
 f AS (SELECT *, CASE WHEN max(done) OVER w IS NULL OR ts > max(done) OVER w + INTERVAL 60 MINUTES THEN 1 ELSE 0 END AS fresh FROM e
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, done ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, done ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
 SELECT user_id, island::BIGINT AS island, min(ts) AS phase_start, max(done) AS phase_end, count(*)::BIGINT AS n FROM g GROUP BY 1, 2
 """)
 def merge_phases(spark, d):
-    rows = table(spark, d, "events").select("user_id", "ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, cast(floor(round(value % 90)) as int), 0)").alias("done"))
+    rows = table(spark, d, "events").select("user_id", "ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, cast(floor(value % 90) as int), 0)").alias("done"))
     return timeline.merged_phases(rows, ["user_id"], "ts", "done")
 
 

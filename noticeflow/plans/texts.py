@@ -32,7 +32,7 @@ _COMMON = ", ".join(f"'{w}'" for w in S.COMMON_WORDS)
 
 @query(rf"""
 SELECT doc_id, list_aggregate(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')),
-  w -> length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains([{_COMMON}], w))), 'string_agg', ' ') AS own_words FROM documents WHERE lang = 'en'
+  lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains([{_COMMON}], w))), 'string_agg', ' ') AS own_words FROM documents WHERE lang = 'en'
 """)
 def distinctive_tokens(spark, d):
     return _english(spark, d).select("doc_id", F.nullif(F.array_join(T.distinctive_words(F.col("text")), " "), F.lit("")).alias("own_words"))
