@@ -23,7 +23,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .decontamination import OP10_SQL
     from .mixing import OP8_SQL
     from .sharding import op7_sql
+    from .warc import OP5_SQL
 
-    return {"op7_sharding": op7_sql(), "op8_mixing": OP8_SQL}
+    return {"op5_warc": OP5_SQL, "op7_sharding": op7_sql(), "op8_mixing": OP8_SQL, "op10_decontamination": OP10_SQL}

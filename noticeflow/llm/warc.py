@@ -286,3 +286,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read(spark, path, payload=False).filter(F.col("record_type").isin("response", "revisit"))
     kind = pages.schema["page_id"].dataType
     return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+#: Base32 by groups of 20 bits of the hexadecimal digest.
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id,
+  array_to_string(list_transform(range(8), lambda k: list_reduce(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * k + 1)::INT, 5))::BIGINT >> (15 - 5 * j)::INT) & 31)::INT + 1, 1)), lambda a, b: a || b)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
