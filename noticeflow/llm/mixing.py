@@ -63,6 +63,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
     plan = plan.withColumn("prefix", F.lit(0).cast("long")).withColumn("last", F.lit(0).cast("long"))
+    plan = staged(plan, "mix-targets")
     cut = Window.partitionBy("key").orderBy("bucket")
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
@@ -79,6 +80,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
             F.coalesce("b", F.shiftleft(F.col("prefix"), LEVEL_BITS)).alias("prefix"),
             F.coalesce("m", F.lit(0)).cast("long").alias("last"),
         )
+        plan = staged(plan, "mix-level")  # a row for each source; each level is a small job of its own
     nearer = (F.col("last") > 0) & (F.col("budget") * 2 >= F.col("last"))
     return plan.select("key", "source_size", "target", "passes", (F.col("prefix") + nearer.cast("long")).alias("under"))
 
