@@ -24,14 +24,14 @@ def day_windows(spark, d):
     return feeds.day_windows(table(spark, d, "events"), "ts", "event_type")
 
 
-_NOTICES = """VALUES (1, 'Park in Lot A-1 or the Rowan Hall Parking Garage.', 'north'), (2, 'Lots B, C2 and D are closed; use Lot 7.', 'north'), (3, 'Enter from the Parking Garage.', 'south'),
+_NOTICES = """VALUES (1, 'Park in Lot A-1 or the Maple Hall Parking Garage.', 'north'), (2, 'Lots B, C2 and D are closed; use Lot 7.', 'north'), (3, 'Enter from the Parking Garage.', 'south'),
   (4, 'A lot of students came.', 'north'), (5, 'Meet at chestnut hall lot, Lot C2', 'south'), (6, NULL, 'south')"""
 _PLACES = """VALUES ('lot a 1', 'north', 'north:lot:a-1'), ('lot b', 'north', 'north:lot:b'), ('lot b', 'south', 'south:lot:b'), ('lot c 2', 'south', 'south:lot:c-2'), ('lot 7', 'east', 'east:lot:7'),
-  ('rowan hall garage', 'north', 'north:garage:rowan-hall'), ('chestnut hall lot', 'south', 'south:lot:chestnut-hall')"""
+  ('maple hall garage', 'north', 'north:garage:maple-hall'), ('chestnut hall lot', 'south', 'south:lot:chestnut-hall')"""
 
 
 @query("""
-SELECT * FROM (VALUES (1, 'Lot A-1', 'north:lot:a-1', 'resolved'), (1, 'Rowan Hall Parking Garage', 'north:garage:rowan-hall', 'resolved'), (2, 'Lot B', 'north:lot:b', 'resolved'), (2, 'Lot C2', 'south:lot:c-2', 'resolved'),
+SELECT * FROM (VALUES (1, 'Lot A-1', 'north:lot:a-1', 'resolved'), (1, 'Maple Hall Parking Garage', 'north:garage:maple-hall', 'resolved'), (2, 'Lot B', 'north:lot:b', 'resolved'), (2, 'Lot C2', 'south:lot:c-2', 'resolved'),
   (2, 'Lot D', NULL, 'unknown'), (2, 'Lot 7', 'east:lot:7', 'resolved'), (3, 'the Parking Garage', NULL, 'unknown'), (5, 'Chestnut Hall Lot', 'south:lot:chestnut-hall', 'resolved'), (5, 'Lot C2', 'south:lot:c-2', 'resolved')
 ) AS t(id, matched_text, place_id, reason)
 """)
