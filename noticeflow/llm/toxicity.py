@@ -113,23 +113,26 @@ class Model:
         return out
 
 
+def _copy_keys(texts: list[str | None]) -> np.ndarray:
+    """A key for each text that its copies share."""
+    keys = []
+    for _, a, offs in _char_steps(pa.array(texts, pa.string())):
+        least = np.full(len(offs) - 1, 2**64 - 1, np.uint64)
+        begin = np.flatnonzero((a[:-1] == _SPACE) & (a[1:] != _SPACE))
+        of = _row_of(begin, offs)
+        np.minimum.at(least, of, _span_hash(a, begin, np.minimum(begin + COPY_CHARS, offs[of + 1])))
+        keys.append(least)
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
 def _bags(texts: list[str | None], bits: int):
-    """Rows, buckets and shares of each text's bag, and a key that copies of a text share."""
-    rows, cols, vals, keys = [], [], [], []
+    """Yield rows, buckets and shares of the texts' bags, a step of texts at a time."""
     for row, a, offs in _char_steps(pa.array(texts, pa.string())):
         pos, bucket = _features(a, bits)
         at, n = _row_of(pos, offs), len(offs) - 1
         key, count = np.unique(at.astype(np.int64) << 32 | bucket, return_counts=True)
         at, bucket = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
-        rows.append(at + row)
-        cols.append(bucket)
-        vals.append((count / np.bincount(at, count, n)[at]).astype(np.float32))
-        least = np.full(n, 2**64 - 1, np.uint64)
-        begin = np.flatnonzero((a[:-1] == _SPACE) & (a[1:] != _SPACE))
-        of = _row_of(begin, offs)
-        np.minimum.at(least, of, _span_hash(a, begin, np.minimum(begin + COPY_CHARS, offs[of + 1])))
-        keys.append(least)
-    return rows, cols, vals, np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        yield at + row, bucket, (count / np.bincount(at, count, n)[at]).astype(np.float32)
 
 
 def train(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -142,11 +145,11 @@ def train(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, bits:
     set aside, and the epoch with the least loss on it is kept.
     """
     n, size = len(texts), 2**bits
-    rows, cols, vals, keys = _bags(texts, bits)
+    keys = _copy_keys(texts)
     _, group, copies = np.unique(keys, return_inverse=True, return_counts=True)
     once = 1 / copies[group]
     seen = np.zeros((2, size))
-    for r, c in zip(rows, cols, strict=True):
+    for r, c, _ in _bags(texts, bits):
         for label in (0, 1):
             own = toxic[r] == label
             seen[label] += np.bincount(c[own], once[r[own]], size)
@@ -155,6 +158,13 @@ def train(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, bits:
     both = seen.sum(0) / sum(of)
     sure = np.abs(seen[1] / of[1] - seen[0] / of[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / of[0] + 1 / of[1]))
     used = (seen.sum(0) >= LEAST_TEXTS) & (sure >= SURE)
+    # only the entries of used buckets are kept for the epochs
+    rows, cols, vals = [], [], []
+    for r, c, v in _bags(texts, bits):
+        keep = used[c]
+        rows.append(r[keep])
+        cols.append(c[keep])
+        vals.append(v[keep])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.01, (size, dim))
     emb[:, 0] += ratio
@@ -210,7 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         weight += [shares[label] / max(1, len(got))] * len(got)
     if len(set(toxic)) < 2:
         return None
-    return train(texts, np.array(toxic, float), np.array(weight))
+    model = train(texts, np.array(toxic, float), np.array(weight))
+    del texts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
