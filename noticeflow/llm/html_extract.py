@@ -1,24 +1,26 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path over range partitions, so that a host of
-any size is spread over many tasks, and each page is paired with the neighbour
-in its partition whose path is nearest.  The text lines of both are aligned by
-their longest common subsequence, and shared lines are deleted: they belong to
-the site, not to the page.
+Pages with the same lines on one host are one content.  Contents are numbered
+in the order of host and URL path over range partitions, and met in blocks of
+this order that overlap, so that a host of any size is spread over many tasks
+and no border between tasks decides anything.  Each content is paired with the
+nearest ones of its host before and after it that are no near copies of it.
+The text lines of both are aligned by their longest common subsequence, and
+shared lines are deleted: they belong to the site, not to the page.
 
 Markup comes first, as differencing can't tell text that a page shares with
 another article from the site's own, nor a menu or advert that is unique to a
 page: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments go by their elements, roles, classes and ids; lines
-inside an article or main element are the article's and stay; where a page
-has such an element, only they do.  Differencing decides the lines that the
-markup leaves open.
+styles and reader comments go by their elements, roles, classes and ids; where a
+page has an article or main element, only lines inside one stay.  On other pages
+a line goes if the partner with the nearest path shares it.
 
 Defined cases: null and empty pages have empty text; a null or odd URL has the
-empty host; a page without a neighbour of its host in its partition keeps its
-open lines; unclosed and stray tags are tolerated; repeated rows each give a
-row (identical neighbours don't delete each other's lines); very long pages
-are read whole; other columns are ignored.
+empty host; a page without another content of its host keeps its lines;
+unclosed and stray tags are tolerated; repeated rows each give a row, and copies
+have the same text; near copies share nine tenths of their paragraphs' and
+headings' characters, or of all where neither has any; very long pages are read
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|$)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -44,8 +47,12 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose lines differencing leaves alone inside an article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
+#: Contents that meet at once, and how far a block reaches over its borders at first.
+BLOCK_ROWS, REACH = 2000, 50
 #: Elements whose start ends an open one of the same group.
 PEERS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -78,7 +85,12 @@ def _is_chrome(name: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 def blocks(page: str) -> list[tuple[str, bool]]:
     """(text, inside an article) of the page's blocks that aren't chrome, in page order."""
-    out: list[tuple[str, bool]] = []
+    return [(line, inside) for line, inside, _ in _lines(page)]
+
+
+def _lines(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, inside an article, inside an element of PROSE) of the page's blocks that aren't chrome, in page order."""
+    out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, chrome, inside an article
     chrome = article = False
@@ -86,7 +98,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     def flush() -> None:
         if text:
             if line := " ".join(html.unescape("".join(text)).split()):
-                out.append((line, article))
+                out.append((line, article, any(x[0] in PROSE for x in stack)))
             text.clear()
 
     def pop_to(k: int) -> None:
@@ -183,41 +195,119 @@ def _common_prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _main_text(page: dict, partner: dict | None) -> str:
-    own = page["blocks"]
-    if any(inside for _, inside in own):
-        return "\n\n".join(t for t, inside in own if inside)
-    lines = [t for t, _ in own]
-    if partner is not None and (other := [t for t, _ in partner["blocks"]]) != lines:
-        gone = shared_lines(lines, other)
-        lines = [t for i, t in enumerate(lines) if i not in gone]
-    return "\n\n".join(lines)
+def _near_copy(a: dict, b: dict) -> bool:
+    kind = "prose" if a["prose"] or b["prose"] else "all"
+    x, y = a[kind], b[kind]
+    shared = sum(n for line, n in x.items() if line in y)
+    return 10 * shared >= 9 * max(sum(x.values()), sum(y.values()))
+
 
+def _gone(page: dict, partners: list[dict]) -> list[int]:
+    """Positions of the page's deleted lines among those that its markup keeps."""
+    kept = [i for i, x in enumerate(page["inside"]) if x] or list(range(len(page["lines"])))
+    if not partners or any(page["inside"]):
+        return []
+    near = max(partners, key=lambda x: _common_prefix(x["path"], page["path"]))
+    drop = shared_lines(page["lines"], near["lines"])
+    return [k for k, i in enumerate(kept) if i in drop]
 
-def _extract(batches):
-    before = page = None
 
-    def done(page, before, after):
-        near = [x for x in (after, before) if x is not None and x["host"] == page["host"]]
-        return _main_text(page, max(near, key=lambda x: _common_prefix(x["path"], page["path"]), default=None))
+def _skips(host: list[dict], step: int) -> list[int]:
+    """For each content the next one in the direction ``step`` that is no near copy; -1: none."""
+    out = [-1] * len(host)
+    for i in range(len(host)) if step < 0 else range(len(host) - 1, -1, -1):
+        j = i + step if 0 <= i + step < len(host) else -1
+        while j >= 0 and _near_copy(host[i], host[j]):
+            j = out[j]
+        out[i] = j
+    return out
 
-    def batch_of(rows, like):
-        ids, urls, texts = zip(*rows, strict=True) if rows else ((), (), ())
-        arrays = [pa.array(ids, like.field("page_id").type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
-    schema = None
+def _paired(host: list[dict], whole_left: bool, whole_right: bool):
+    """(content, partners, open) of one host's contents in order; open: what a further look over the block's borders may change."""
+    left, right = _skips(host, -1), _skips(host, 1)
+    for i, page in enumerate(host):
+        if not page["mine"]:
+            continue
+        after, before = right[i], left[i]
+        partners, ends = [j for j in (after, before) if j >= 0], after < 0 and not whole_right or before < 0 and not whole_left
+        if len(partners) == 1 and not ends:  # the other side has none: a second one of this side
+            skip = left if before >= 0 else right
+            j = skip[partners[0]]
+            while j >= 0 and _near_copy(page, host[j]):
+                j = skip[j]
+            if j >= 0:
+                partners.append(j)
+            else:
+                ends = not (whole_left if before >= 0 else whole_right)
+        yield page, [host[j] for j in partners], ends
+
+
+def _difference(total: int):
+    def run(block: pa.Table) -> pa.Table:
+        rows = sorted(block.to_pylist(), key=lambda x: x["idx"])
+        out, at = [], 0
+        for x in rows:
+            x["all"] = dict(zip(x["lines"], x["sizes"], strict=True))
+            x["prose"] = {line: n for line, n, is_prose in zip(x["lines"], x["sizes"], x["in_prose"], strict=True) if is_prose}
+        while at < len(rows):
+            end = at
+            while end < len(rows) and rows[end]["host"] == rows[at]["host"]:
+                end += 1
+            for page, partners, ends in _paired(rows[at:end], at > 0 or rows[0]["idx"] == 0, end < len(rows) or rows[-1]["idx"] == total - 1):
+                out.append((page["idx"], page["host"], page["digest"], [] if ends else _gone(page, partners), ends))
+            at = end
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.bool_()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["idx", "host", "digest", "gone", "open"])
+
+    return run
+
+
+def _deleted(contents: DataFrame) -> DataFrame:
+    """host, digest, gone of the contents of which lines are deleted."""
+    spark = contents.sparkSession
+    order = ["host", "path", "page_id", "digest"]
+    placed = contents.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    placed = staged(placed.drop("page_id"), "html-contents")
+    total, offsets = 0, []
+    for part, n in sorted(tuple(x) for x in placed.groupBy("part").count().collect()):
+        offsets.append((part, total))
+        total += n
+    first = F.broadcast(spark.createDataFrame(offsets, "part int, first bigint"))
+    rows = placed.join(first, "part").withColumn("idx", F.col("first") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "row", "first")
+    done, todo, reach = None, None, REACH
+    while True:
+        size = max(BLOCK_ROWS, 4 * reach)
+        block = lambda x: F.floor(x / F.lit(size)).cast("bigint")  # noqa: B023, E731
+        met = rows.withColumn("mine", F.lit(True)) if todo is None else rows.join(todo.select("idx", F.lit(True).alias("asked")), "idx", "left").withColumn("mine", F.coalesce("asked", F.lit(False))).drop("asked")
+        met = met.withColumn("block", F.explode(F.sequence(block(F.greatest(F.col("idx") - reach, F.lit(0))), block(F.col("idx") + reach))))
+        if todo is not None:
+            met = met.join(todo.select(block(F.col("idx")).alias("block")).distinct(), "block", "left_semi")
+        met = met.withColumn("mine", F.col("mine") & (F.col("block") == block(F.col("idx"))))
+        out = met.groupBy("block").applyInArrow(_difference(total), "idx bigint, host string, digest string, gone array<int>, open boolean")
+        out = staged(out.filter("open OR size(gone) > 0"), "html-deleted")
+        now = out.filter("NOT open").select("host", "digest", "gone")
+        done = now if done is None else done.union(now)
+        todo = out.filter("open")
+        if todo.isEmpty():
+            return done
+        reach *= 8
+
+
+def _parsed(batches):
     for batch in batches:
-        schema, rows = batch.schema, []
-        for i in range(len(batch)):
-            after = {c: batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "path")}
-            after["blocks"] = blocks(batch.column("html")[i].as_py() or "")
-            if page is not None:
-                rows.append((page["page_id"], page["url"], done(page, before, after)))
-            before, page = page, after
-        yield batch_of(rows, schema)
-    if page is not None:
-        yield batch_of([(page["page_id"], page["url"], done(page, before, None))], schema)
+        rows = []
+        for page in batch.column("html").to_pylist():
+            own = _lines(page or "")
+            texts = [t for t, inside, _ in own if inside] or [t for t, _, _ in own]
+            lines = [int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t, _, _ in own]
+            digest = blake2b(repr([(line, *x[1:]) for line, x in zip(lines, own, strict=True)]).encode(), digest_size=16).hexdigest()
+            rows.append((digest, texts, lines, [len(t) for t, _, _ in own], [x[1] for x in own], [x[2] for x in own]))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
+        arrays = [*(batch.column(c) for c in ("page_id", "url", "host", "path")), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+        yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "path", "digest", "texts", "lines", "sizes", "inside", "in_prose"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -227,8 +317,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*)?([^?#]*)", 1)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    near = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return near.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars bigint")
+    parsed = rows.mapInArrow(_parsed, f"page_id {kind}, url string, host string, path string, digest string, texts array<string>, lines array<bigint>, sizes array<int>, inside array<boolean>, in_prose array<boolean>")
+    one = parsed.filter("size(lines) > 0").groupBy("host", "digest").agg(F.min(F.struct("path", "page_id")).alias("at"), *[F.first(c).alias(c) for c in ("lines", "sizes", "inside", "in_prose")])
+    gone = _deleted(one.select("host", "digest", "at.path", "at.page_id", "lines", "sizes", "inside", "in_prose"))
+    out = parsed.select("page_id", "url", "host", "digest", "texts").join(gone, ["host", "digest"], "left")
+    left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda _, i: ~F.array_contains("gone", i)))
+    return out.select("page_id", "url", F.array_join(left, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,27 @@ def test_differencing_decides_unmarked_pages(spark, tmp_path):
     assert all(by[i][2] == f"Story {i}\n\nText of {i}" and by[i][3] == len(by[i][2]) for i in range(1, 6))
     assert by[10][2] == "alone" and by[11][2:] == ("", 0) and by[12][2] == "" and by[13][2].startswith("Head")
     assert hx.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def texts(spark, rows, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        return {x.page_id: x.text for x in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_no_border_and_no_copy_keeps_site_lines(spark, monkeypatch):
+    site = "<div>Site name</div><div>Home | News</div>{}<div>All rights reserved</div>"
+    story = lambda i: f"<p>Story {i} of a day</p><p>Text of {i}</p>"
+    rows = [(i, f"http://h{i % 2}.example/a/{i}", site.format(story(i))) for i in range(1, 9)]
+    rows += [(20 + i, "http://h1.example/a/3", site.format(story(3))) for i in range(4)]  # exact copies
+    rows += [(30 + i, f"http://h0.example/a/4/{i}", f"<div>Print {i}</div>" + site.format(story(4))) for i in range(5)]  # near copies
+    plain = lambda i: f"Story {i} of a day\n\nText of {i}"
+    for block, reach, parts in ((2000, 50, 1), (2000, 50, 40), (2, 1, 7)):
+        monkeypatch.setattr(hx, "BLOCK_ROWS", block)
+        monkeypatch.setattr(hx, "REACH", reach)
+        got = texts(spark, rows, parts)
+        assert [got[i] for i in range(1, 9)] == [plain(i) for i in range(1, 9)]
+        assert {got[20 + i] for i in range(4)} == {plain(3)}
+        assert [got[30 + i] for i in range(5)] == [f"Print {i}\n\n{plain(4)}" for i in range(5)]
