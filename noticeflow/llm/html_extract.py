@@ -12,8 +12,10 @@ Markup comes first, as differencing can't tell text that a page shares with
 another article from the site's own, nor a menu or advert that is unique to a
 page: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments go by their elements, roles, classes and ids; where a
-page has an article or main element, only lines inside one stay.  On other pages
-a line goes if the partner with the nearest path shares it.
+page has an article or main element, only lines inside one stay.  Of these, the
+ones outside paragraphs, headings and the like go if both of the page's partners
+share them.  On other pages a line goes if the partner with the nearest path
+shares it.
 
 Defined cases: null and empty pages have empty text; a null or odd URL has the
 empty host; a page without another content of its host keeps its lines;
@@ -205,10 +207,14 @@ def _near_copy(a: dict, b: dict) -> bool:
 def _gone(page: dict, partners: list[dict]) -> list[int]:
     """Positions of the page's deleted lines among those that its markup keeps."""
     kept = [i for i, x in enumerate(page["inside"]) if x] or list(range(len(page["lines"])))
-    if not partners or any(page["inside"]):
+    if not partners:
         return []
-    near = max(partners, key=lambda x: _common_prefix(x["path"], page["path"]))
-    drop = shared_lines(page["lines"], near["lines"])
+    if any(page["inside"]):
+        shared = [shared_lines(page["lines"], x["lines"]) for x in partners]
+        drop = {i for i in set.intersection(*shared) if not page["in_prose"][i]} if len(shared) > 1 else set()
+    else:
+        near = max(partners, key=lambda x: _common_prefix(x["path"], page["path"]))
+        drop = shared_lines(page["lines"], near["lines"])
     return [k for k, i in enumerate(kept) if i in drop]
 
 

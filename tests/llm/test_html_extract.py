@@ -70,3 +70,11 @@ def test_no_border_and_no_copy_keeps_site_lines(spark, monkeypatch):
         assert [got[i] for i in range(1, 9)] == [plain(i) for i in range(1, 9)]
         assert {got[20 + i] for i in range(4)} == {plain(3)}
         assert [got[30 + i] for i in range(5)] == [f"Print {i}\n\n{plain(4)}" for i in range(5)]
+
+
+def test_site_lines_inside_main_go_and_prose_stays(spark):
+    page = "<main><div><div>Home</div><div>News</div></div><h2>Report</h2><p>Common opening.</p><p>Story {0} of a day</p><div>Only on {0}</div><div>Site of the day</div></main>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(5)] + [(9, "http://alone.example/", page.format(9)), (10, "http://two.example/a", page.format(10)), (11, "http://two.example/b", page.format(11))]
+    got = texts(spark, rows, 4)
+    assert all(got[i] == f"Report\n\nCommon opening.\n\nStory {i} of a day\n\nOnly on {i}" for i in range(5))
+    assert all(got[i].startswith("Home") and got[i].endswith("Site of the day") for i in (9, 10, 11))  # fewer than two others to tell by
