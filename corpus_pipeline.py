@@ -22,6 +22,10 @@ from noticeflow.llm import decontamination, mixing, near_dup, sharding, toxicity
 from noticeflow.llm.common import shared_dir, table
 
 
+#: Similarity in percent from which the stage links documents; op4 has its own.
+NEAR_PERCENT = 80
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under the threshold; labels are learnt as in op9."""
     scored = toxicity.score(docs, toxicity.fitted(spark, sf_dir), score_col="__toxicity")
@@ -30,7 +34,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component, and documents linked with nothing."""
-    return near_dup.kept_documents(docs)
+    return near_dup.kept_documents(docs, percent=NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

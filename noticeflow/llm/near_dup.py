@@ -13,11 +13,13 @@ leave no link out and hardly another pair in.
 Each comparison first meets the odd sketches: the MinHash samples folded into
 a parity bitmap.  The population count of two bitmaps' XOR is at most twice
 the number of samples that differ, so a bound on it keeps every pair whose
-samples differ no more often than a linked pair's do (``MOST_APART``).  The
+samples differ no more often than a linked pair's do (``most_apart``).  The
 pairs that remain are confirmed on their full sets, and links make components.
 
-A linked pair misses all buckets with a chance of 2e-8 at the threshold, and
-fails the bound on the sketch with a chance below 1e-8; both fall steeply above it.
+Documents are linked from a similarity of ``percent`` on; the bands and the
+bounds follow from it.  A linked pair misses all buckets with a chance of 2e-8
+at the threshold, and fails the bound on the sketch with a chance below 1e-8;
+both fall steeply above it.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; texts of one to four words are one shingle; rows of one doc_id are one
@@ -29,6 +31,8 @@ are read whole.
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,9 @@ from pyspark.sql import functions as F
 from .common import PLAIN_WORD, arrow_rows, hash_spans, mix64, staged, table, text_steps, words
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
-SKETCH_WORDS = 8
-#: Samples of BANDS * ROWS in which a linked pair may differ; 6.5 standard deviations over the mean at 0.85.
-MOST_APART = 37
+ROWS = 4
+#: MinHash samples in an odd sketch, and its words.
+SKETCH_SAMPLES, SKETCH_WORDS = 96, 8
 LINK_PERCENT = 85
 #: Leaders of a bucket in each round.
 LEADERS = (1, 2, 4)
@@ -50,6 +53,24 @@ PARITY_WORDS, BLOCK_ROWS = 16, 1000
 #: Rows in an Arrow batch: whole texts, and pairs of them, are in Python at once.
 BATCH_ROWS = 1000
 
+
+def bands_for(percent: int) -> int:
+    """Bands that a pair at the threshold misses with a chance of 2.1e-8 at most; they hold a sketch's samples at least."""
+    met = (percent / 100) ** ROWS
+    return max(SKETCH_SAMPLES // ROWS, ceil(log(2.1e-8) / log(1 - met)) if met < 1 else 1)
+
+
+@lru_cache
+def most_apart(percent: int) -> int:
+    """Samples of a sketch in which a linked pair may differ: more do at the threshold with a chance below 1e-8."""
+    n, apart = SKETCH_SAMPLES, 1 - percent / 100
+    chance = [comb(n, i) * apart**i * (1 - apart) ** (n - i) for i in range(n + 1)]
+    return next(k for k in range(n + 1) if sum(chance[k + 1 :]) < 1e-8)
+
+
+#: Of the threshold of op4.
+BANDS, MOST_APART = bands_for(LINK_PERCENT), most_apart(LINK_PERCENT)
+
 _rng = np.random.Generator(np.random.PCG64(41))
 _PLACE = _rng.integers(0, 2**64, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _MULT = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -57,6 +78,15 @@ _ADD = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 _BAND = _rng.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
+@lru_cache
+def _constants(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors, offsets and band factors; the first ``BANDS`` bands are the same for any number."""
+    more = max(0, bands - BANDS)
+    new = lambda k, shape: np.random.Generator(np.random.PCG64(41 + k)).integers(0, 2**64, shape, dtype=np.uint64)
+    mult = np.concatenate([_MULT, new(1, more * ROWS) | np.uint64(1)])
+    return mult[: bands * ROWS], np.concatenate([_ADD, new(2, more * ROWS)])[: bands * ROWS], np.concatenate([_BAND, new(3, (more, ROWS)) | np.uint64(1)])[:bands]
+
+
 def shingle_sets(texts: pa.Array):
     """Each row's sorted distinct shingle hashes, in order."""
     for _, data, offs in text_steps(texts):
@@ -76,21 +106,22 @@ def shingle_sets(texts: pa.Array):
                 yield np.zeros(0, np.uint64)
 
 
-def _signature_batch(sets: list[np.ndarray]):
+def _signature_batch(sets: list[np.ndarray], bands: int = BANDS):
     """Fingerprints, band keys and odd sketches of non-empty sets."""
+    mult, add, band = _constants(bands)
     flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    low = np.empty((len(sets), BANDS * ROWS), np.uint64)
-    for i in range(BANDS * ROWS):
-        low[:, i] = np.minimum.reduceat(flat * _MULT[i] + _ADD[i], at)
-    keys = mix64((low.reshape(-1, BANDS, ROWS) * _BAND).sum(2) + np.arange(BANDS, dtype=np.uint64))
-    bit = mix64(low + np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * SKETCH_WORDS)
+    low = np.empty((len(sets), bands * ROWS), np.uint64)
+    for i in range(bands * ROWS):
+        low[:, i] = np.minimum.reduceat(flat * mult[i] + add[i], at)
+    keys = mix64((low.reshape(-1, bands, ROWS) * band).sum(2) + np.arange(bands, dtype=np.uint64))
+    bit = mix64(low[:, :SKETCH_SAMPLES] + np.arange(SKETCH_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * SKETCH_WORDS)
     odd = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
-    for i in range(BANDS * ROWS):
+    for i in range(SKETCH_SAMPLES):
         odd[np.arange(len(sets)), bit[:, i] >> np.uint64(6)] ^= np.uint64(1) << (bit[:, i] & np.uint64(63))
     return np.add.reduceat(flat, at), np.add.reduceat(mix64(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at), keys, odd
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, set1, set2 (a fingerprint of the set), bands, odd; the last four null for empty sets."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -102,7 +133,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             cols: list = [[None] * len(sets) for _ in range(4)]
             for begin in range(0, len(some), 128):
                 part = some[begin : begin + 128]
-                one, two, keys, odd = (x.view(np.int64) for x in _signature_batch([sets[i] for i in part]))
+                one, two, keys, odd = (x.view(np.int64) for x in _signature_batch([sets[i] for i in part], bands))
                 for k, i in enumerate(part):
                     cols[0][i], cols[1][i], cols[2][i], cols[3][i] = one[k], two[k], keys[k], odd[k]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -134,29 +165,32 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _alike(n1: str, odd1: str, n2: str, odd2: str) -> Column:
+def _alike(n1: str, odd1: str, n2: str, odd2: str, percent: int) -> Column:
     """Sizes and sketches leave a link possible."""
     apart = sum((F.bit_count(F.col(odd1)[k].bitwiseXOR(F.col(odd2)[k])) for k in range(SKETCH_WORDS)), F.lit(0))
-    ratio = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * LINK_PERCENT
-    return ratio & (apart <= 2 * MOST_APART)
+    ratio = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    return ratio & (apart <= 2 * most_apart(percent))
+
 
+def _linked(percent: int):
+    def run(batches):
+        for batch in batches:
+            a, b = shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b"))
+            keep = []
+            for x, y in zip(a, b, strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _linked(batches):
-    for batch in batches:
-        a, b = shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b"))
-        keep = []
-        for x, y in zip(a, b, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= LINK_PERCENT * (len(x) + len(y) - both) and both > 0)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """The pairs (a, b) that are linked on their full sets; texts: node, text, bucketed by node."""
     kind = pairs.schema["a"].dataType.simpleString()
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_linked, f"a {kind}, b {kind}")
+    return both.mapInArrow(_linked(percent), f"a {kind}, b {kind}")
 
 
 def _with_parity(kind: str):
@@ -176,7 +210,7 @@ def _with_parity(kind: str):
     return run, f"node {kind}, size bigint, {', '.join(f'{x} bigint' for x in names)}"
 
 
-def _rest_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components that may be linked, of rows (bucket, node, comp).
 
     A linked pair's whole sets differ in a known number of shingles at most, and
@@ -190,21 +224,21 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     left = rows.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), *side("a"))
     right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), *side("b"))
     apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PARITY_WORDS)), F.lit(0))
-    ratio = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * LINK_PERCENT
-    near = apart * (100 + LINK_PERCENT) <= (F.col("size_a") + F.col("size_b")) * (100 - LINK_PERCENT)
+    ratio = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    near = apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
     met = left.join(right.withColumnRenamed("bucket", "bucket_b").withColumnRenamed("block", "block_b"), (F.col("bucket") == F.col("bucket_b")) & (F.col("block") == F.col("block_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & ratio & near)
     return met.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = len(LEADERS)) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = len(LEADERS), percent: int = LINK_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row; documents are linked from a similarity of ``percent`` (1 to 100) on."""
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return _near_duplicates(docs, id_col, text_col, rounds)
+        return _near_duplicates(docs, id_col, text_col, rounds, percent)
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    sig = staged(signatures(docs, id_col, text_col), "signatures")
+    sig = staged(signatures(docs, id_col, text_col, bands_for(percent)), "signatures")
     classes = sig.filter("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"))
     classes = staged(classes, "classes")
     # a document of several rows may stand for several classes; they are one node
@@ -233,7 +267,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int) -
         if leaders:
             lead = now.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders)).alias("part")).agg(F.min(F.struct("node", "comp", "n", "odd")).alias("lead"))
             lead = staged(lead.select("bucket", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "comp", "n", "odd")]), "leaders")
-            pairs = now.join(lead, "bucket").filter((F.col("comp") != F.col("lead_comp")) & _alike("n", "odd", "lead_n", "lead_odd"))
+            pairs = now.join(lead, "bucket").filter((F.col("comp") != F.col("lead_comp")) & _alike("n", "odd", "lead_n", "lead_odd", percent))
             pairs = pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
             if compared is not None:
                 pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -242,9 +276,9 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int) -
             # a leader has met its whole bucket
             inside = now.drop("comp").join(lead.select("bucket", F.col("lead_node").alias("node")), ["bucket", "node"], "left_anti")
         else:
-            pairs = _rest_pairs(now.select("bucket", "node", "comp").distinct(), texts)
+            pairs = _rest_pairs(now.select("bucket", "node", "comp").distinct(), texts, percent)
             pairs = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
-        links = confirmed(pairs, texts)
+        links = confirmed(pairs, texts, percent)
         links = staged(links if turn else links.union(same), "links")
         if links.isEmpty():
             continue
@@ -259,13 +293,13 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int) -
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """``docs`` with one document of each component: all but those whose component has a smaller id."""
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, percent=percent)
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"), percent=LINK_PERCENT)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -107,3 +107,23 @@ def test_one_document_of_each_group_stays(spark):
     kept = nd.kept_documents(df)
     want = brute(rows)
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i in want if want[i] == i)
+
+
+def test_a_stage_links_from_80_percent(spark):
+    import corpus_pipeline as cp
+
+    assert (nd.BANDS, nd.MOST_APART, nd.bands_for(80), nd.most_apart(80)) == (24, 37, 34, 44)
+    rows = []
+    for k in range(60):  # 86 of 106 shingles: linked at 80, not at 85
+        base = [f"x{k}_{i}" for i in range(100)]
+        copy = list(base)
+        copy[30], copy[60] = "u", "v"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    rows += [(1000, " ".join(f"y{i}" for i in range(100))), (1001, " ".join("z" if i in (20, 45, 70) else f"y{i}" for i in range(100)))]  # 81 of 111
+    sets = [shingles(t) for _, t in rows]
+    assert 80 <= 100 * len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 85
+    want = {i: i - i % 2 if i < 1000 else i for i, _ in rows}
+    assert {x.doc_id: x.component_id for x in found(spark, rows, percent=80)} == want
+    assert {x.doc_id: x.component_id for x in found(spark, rows)} == {i: i for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in cp.without_near_copies(spark, docs, "").collect()) == sorted(i for i, c in want.items() if i == c)
