@@ -60,16 +60,18 @@ def nearest(places: DataFrame, landmarks: DataFrame, most: int = S.NEAREST_LANDM
     """place, landmark, rank, metres, direction: the nearest landmarks of the same campus.
 
     Points meet by grid cells as wide as the radius, so a place is compared
-    with its surroundings only, however large a campus is.
+    with its surroundings only, however large a campus is.  A row of cells has
+    one column scale, by which both sides are placed in it.
     """
     size = within / S.METRES_PER_DEGREE
-    cell = lambda lat, lon: (F.floor(lat / size), F.floor(lon * F.cos(F.radians(F.round(lat, 1))) / size))
-    py, px = cell(F.col("lat"), F.col("lon"))
-    p = places.select("campus", F.col("name").alias("place"), "lat", "lon", py.alias("cy"), px.alias("cx"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 2) for j in range(-2, 3)]))
-    p = p.withColumn("d", around).withColumn("cy", F.col("cy") + F.col("d.i")).withColumn("cx", F.col("cx") + F.col("d.j")).drop("d")
-    ly, lx = cell(F.col("lat"), F.col("lon"))
-    m = landmarks.select("campus", F.col("name").alias("landmark"), ly.alias("cy"), lx.alias("cx"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    wide = size * (1 + 1e-9)
+    column = lambda row, lon: F.floor(lon * F.cos(F.radians(row * size)) / size)
+    p = places.select("campus", F.col("name").alias("place"), "lat", "lon")
+    p = p.withColumn("cy", F.explode(F.sequence(F.floor((F.col("lat") - wide) / size), F.floor((F.col("lat") + wide) / size))))
+    east = F.least(F.lit(360.0), wide / F.cos(F.radians("lat")))
+    p = p.withColumn("cx", F.explode(F.sequence(column(F.col("cy"), F.col("lon") - east), column(F.col("cy"), F.col("lon") + east))))
+    m = landmarks.select("campus", F.col("name").alias("landmark"), F.floor(F.col("lat") / size).alias("cy"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    m = m.withColumn("cx", column(F.col("cy"), F.col("lon2")))
     both = p.join(m, ["campus", "cy", "cx"]).filter("place != landmark")
     both = both.withColumn("metres", geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("metres") <= within)
     w = Window.partitionBy("campus", "place").orderBy("metres", "landmark")

@@ -61,3 +61,17 @@ def test_severity_and_staleness(spark):
     assert [r.x for r in rows.select(timeline.severity(F.col("s")).alias("x")).collect()] == ["failed", "ok", "unknown", "unknown"]
     r = spark.range(1).select(timeline.stale(F.lit(dt.date(2025, 1, 1)), F.lit(dt.date(2026, 1, 1))).alias("a"), timeline.stale(F.lit(None).cast("date"), F.lit(dt.date(2026, 1, 1))).alias("b")).first()
     assert r.a is True and r.b is None
+
+
+def test_nearest_finds_all_within_the_radius(spark):
+    import math
+    import random
+
+    r = random.Random(5)
+    at = [("n0", 39.7499, -75.12), ("n1", 39.7501, -75.12)] + [(f"p{i}", 39.75 + r.uniform(-0.01, 0.01), -75.12 + r.uniform(-0.01, 0.01)) for i in range(120)]
+    at += [(f"q{i}", -60.05 + r.uniform(-0.01, 0.01), 179.9 + r.uniform(-0.02, 0.02)) for i in range(60)]
+    rows = spark.createDataFrame([("a", *x) for x in at], "campus string, name string, lat double, lon double")
+    got = {(x.place, x.landmark) for x in places.nearest(rows, rows, most=1000, within=400.0).collect()}
+    metres = lambda a, b: 111320.0 * math.hypot((b[2] - a[2]) * math.cos(math.radians(a[1])), b[1] - a[1])
+    want = {(a[0], b[0]) for a in at for b in at if a != b and metres(a, b) <= 400}
+    assert got == want and ("n0", "n1") in got and len(want) > 500
