@@ -231,51 +231,96 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     return found.drop("text")
 
 
-def _cut(automaton: Automaton, text: str) -> str:
-    """The text without its hits; what closes up is scanned again until nothing is met."""
-    while True:
-        ((_, _, _, spans),) = _scan(automaton, pa.array([text]))
-        if not spans:
-            return text
-        raw, kept, at = text.encode(), [], 0
-        for x, y in spans:
-            kept.append(raw[at:x])
-            at = y
-        text = b" ".join(p.strip() for p in [*kept, raw[at:]] if p.strip()).decode()
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans of word offsets, which are merged and in order."""
+    ((_, data, offs),) = text_steps(pa.array([text]))
+    _, starts, ends, _ = words(data, offs, ALNUM_WORD)
+    raw, kept, at = text.encode(), [], 0
+    for x, y in spans:
+        kept.append(raw[at : starts[x]])
+        at = ends[y - 1]
+    return b" ".join(p.strip() for p in [*kept, raw[at:]] if p.strip()).decode()
+
+
+def _replaced(batch: pa.RecordBatch, changed: dict[int, str], text_col: str, n_chars_col: str | None) -> pa.RecordBatch:
+    """The batch with the new texts of some rows, and their lengths."""
+    if not changed:
+        return batch
+    cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+    cols[text_col] = pa.array([changed.get(i, t) for i, t in enumerate(cols[text_col].to_pylist())], cols[text_col].type)
+    if n_chars_col in cols:
+        old = cols[n_chars_col]
+        cols[n_chars_col] = pa.array([len(changed[i]) if i in changed else v for i, v in enumerate(old.to_pylist())], old.type)
+    return pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema)
 
 
 def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", most: float = 0.5, **limits) -> DataFrame:
     """``docs`` without hit spans; rows of which more than the share ``most`` of words is hit go.
 
-    Rows without a hit stay as they are.  ``n_chars_col`` follows the new text.
+    The share is that of the original text, over all items.  What closes up by
+    a cut is scanned again for all items until none is met, so the number of
+    automata decides nothing.  Rows without a hit stay as they are.
+    ``n_chars_col`` follows the new text.
     """
-    spark, schema = docs.sparkSession, docs.schema
-    for k, automaton in enumerate(automata(bench, **limits)):
-        shared = spark.sparkContext.broadcast(automaton)
-        docs = staged(docs, "decontamination") if k else docs
-
-        def scan(batches, shared=shared):
+    spark = docs.sparkSession
+    shards = [spark.sparkContext.broadcast(automaton) for automaton in automata(bench, **limits)]
+    if len(shards) > 1:
+        return _clean_by_shards(docs, shards, text_col, n_chars_col, most)
+
+    def scan(batches, shared=shards[0]):
+        for batch in batches:
+            texts = batch.column(text_col)
+            changed, keep = {}, np.ones(len(texts), bool)
+            for i, (n, spans, _, _) in enumerate(_scan(shared.value, texts)):
+                if not spans:
+                    continue
+                keep[i] = sum(y - x for x, y in spans) <= most * n
+                text = texts[i].as_py()
+                while keep[i] and spans:
+                    text = _cut(text, spans)
+                    found = list(_scan(shared.value, pa.array([text])))
+                    spans = found[0][1]
+                changed[i] = text
+            yield _replaced(batch, changed, text_col, n_chars_col).filter(pa.array(keep))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _clean_by_shards(docs: DataFrame, shards: list, text_col: str, n_chars_col: str | None, most: float) -> DataFrame:
+    """Rounds of all shards: their spans are merged, the share is decided in the first round, and cut rows are met again."""
+    columns = docs.columns
+
+    def mark(shared):
+        def run(batches):
             for batch in batches:
-                texts = batch.column(text_col)
-                changed, keep = {}, np.ones(len(texts), bool)
-                for i, (n, spans, _, _) in enumerate(_scan(shared.value, texts)):
-                    if spans:
-                        keep[i] = sum(y - x for x, y in spans) <= most * n
-                        changed[i] = _cut(shared.value, texts[i].as_py()) if keep[i] else None
-                if changed:
-                    new = texts.to_pylist()
-                    for i, t in changed.items():
-                        new[i] = t
-                    cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-                    cols[text_col] = pa.array(new, texts.type)
-                    if n_chars_col in cols:
-                        old = cols[n_chars_col]
-                        cols[n_chars_col] = pa.array([len(new[i] or "") if i in changed else v for i, v in enumerate(old.to_pylist())], old.type)
-                    batch = pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema).filter(pa.array(keep))
-                yield batch
-
-        docs = docs.mapInArrow(scan, schema)
-    return docs
+                old, res = batch.column("__spans"), list(_scan(shared.value, batch.column(text_col)))
+                spans = [_merged([*r[1], *((x["start"], x["end"]) for x in own)]) for r, own in zip(res, old.to_pylist(), strict=True)]
+                cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+                cols["__spans"] = pa.array([[{"start": x, "end": y} for x, y in own] for own in spans], old.type)
+                cols["__words"] = pa.array([r[0] for r in res], pa.int64())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema)
+
+        return run
+
+    def cut(batches):
+        for batch in batches:
+            texts, spans = batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist()
+            changed = {i: _cut(t, [(x["start"], x["end"]) for x in own]) for i, (t, own) in enumerate(zip(texts, spans, strict=True))}
+            yield _replaced(batch, changed, text_col, n_chars_col).select(columns)
+
+    done, todo = None, docs
+    while True:
+        met = todo.withColumn("__spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn("__words", F.lit(0).cast("bigint"))
+        for shared in shards:
+            met = staged(met.mapInArrow(mark(shared), met.schema), "decontamination")
+        hit = met.filter(F.size("__spans") > 0)
+        if done is None:
+            hit = hit.filter(F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]) <= F.col("__words") * most)
+        clear = met.filter(F.size("__spans") == 0).select(*columns)
+        done = clear if done is None else done.union(clear)
+        if hit.isEmpty():
+            return done
+        todo = hit.mapInArrow(cut, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,17 @@ def test_clean_removes_spans_and_keeps_the_rest(spark):
     got = {r.doc_id: r for r in dec.clean(docs, bench).collect()}
     assert sorted(got) == [1, 2, 4] and got[2].text == "all clean" and got[4].text is None
     assert got[1].text == "Start here. . The end of a long enough text that stays." and got[1].n_chars == len(got[1].text)
+
+
+def test_clean_is_the_same_for_any_number_of_shards(spark):
+    item = lambda k: [f"i{k}w{j}" for j in range(12)]
+    bench = spark.createDataFrame([(k, " ".join(item(k))) for k in range(5)], "item_id long, text string")
+    rest, rows = [f"r{j}" for j in range(60)], [(0, "all clean"), (1, None)]
+    for a in range(5):
+        for b in range(5):
+            rows.append((100 + 10 * a + b, " ".join([*rest[:8], *item(a), *rest[8:16], *item(b)])))  # 24 of 40 words
+            rows.append((200 + 10 * a + b, " ".join([*rest[:30], *item(a)[:6], *item(b), *item(a)[6:], *rest[30:]])))  # closes up
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    whole, parts = ({x.doc_id: (x.text, x.n_chars) for x in dec.clean(docs, bench, **kw).collect()} for kw in ({}, {"shard_words": 11}))
+    assert whole == parts and set(parts) == {i for i, _ in rows if not 100 <= i < 200}
+    assert all(t == " ".join(rest) and n == len(t) for i, (t, n) in parts.items() if i >= 200)
