@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; longer texts are a step of their own.
 STEP_BYTES = 1 << 20
@@ -19,26 +21,96 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; in local mode a temporary one where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="noticeflow-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage; one that isn't there is no error."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Open blocks of ``scratch``, innermost last: what they delete, and whether kept tables are among it.
+_blocks: list[tuple[list[str], bool]] = []
+_kept: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, everything: bool = False):
+    """Delete the tables that were staged inside when the block ends, kept ones only if ``everything``."""
+    _blocks.append(([], everything))
+    try:
+        yield
+    finally:
+        for path in _blocks.pop()[0]:
+            delete(spark, path)
+
+
+def forget_later(path: str, keep: bool = True) -> None:
+    """Delete ``path`` with the innermost block; kept ones with the innermost that deletes everything, or when Python ends."""
+    for paths, everything in reversed(_blocks):
+        if everything or not keep:
+            paths.append(path)
+            return
+    _kept.append(path)
+
+
+@atexit.register
+def _forget_kept() -> None:
+    spark = SparkSession.getActiveSession() if _kept else None
+    if spark is not None:
+        for path in _kept:
+            try:
+                delete(spark, path)
+            except Exception:  # the JVM may be gone by now; its files stay
+                return
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts lineage and lets several later jobs read one result; the files
-    survive lost executors.
+    survive lost executors.  ``keep``: the caller's result reads them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    forget_later(path, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are joined by salts: at most so many, as each holds more than this share of the rows.
+HOT_KEYS, HOT_LEAST = 10_000, 500
+
+
+def hot_keys(counts: DataFrame, key: list[str], n: str = "n", most: int = HOT_KEYS, least: int = HOT_LEAST) -> DataFrame:
+    """key, salts: the keys that hold so many rows that a join should spread them, small enough to broadcast.
+
+    counts: one row for each key.  A hot key holds more than ``least`` rows and
+    more than one in ``most`` of all, so there are fewer than ``most`` of them,
+    and no other key brings a task more than this share.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    size = max(least, -(-total // most))
+    return counts.filter(F.col(n) > size).select(*key, F.ceil(F.col(n) / size).cast("int").alias("salts"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``; rows of hot keys of ``many`` are dealt by the hash ``spread`` over copies of ``one``'s rows."""
+    salt = lambda x: x.join(F.broadcast(hot), key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salt(many).withColumn("salt", F.pmod(spread, F.col("salts")).cast("int")).drop("salts")
+    right = salt(one).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return left.join(right, [*key, "salt"], how).drop("salt")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Batches of at most ``rows`` rows for the Python functions of the jobs that run inside."""

@@ -5,24 +5,25 @@ in the order of host and URL path over range partitions, and met in blocks of
 this order that overlap, so that a host of any size is spread over many tasks
 and no border between tasks decides anything.  Each content is paired with the
 nearest ones of its host before and after it that are no near copies of it.
-The text lines of both are aligned by their longest common subsequence, and
-shared lines are deleted: they belong to the site, not to the page.
-
-Markup comes first, as differencing can't tell text that a page shares with
-another article from the site's own, nor a menu or advert that is unique to a
-page: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments go by their elements, roles, classes and ids; where a
-page has an article or main element, only lines inside one stay.  Of these, the
-ones outside paragraphs, headings and the like go if both of the page's partners
-share them.  On other pages a line goes if the partner with the nearest path
-shares it.
+All text lines of both pages, menus and notices included, are aligned by their
+longest common subsequence, and the lines that the page shares with the partner
+of the nearest path are deleted: they belong to the site, not to the page.
+
+Differencing has two blind spots, which markup fills.  Text that two articles
+share is no site line: a shared paragraph, heading or the like inside an article
+or main element stays, and other lines in there go only if both partners share
+them.  And a menu, advert or reader comment that only one page has isn't shared:
+lines inside menus, page headers, footers, sidebars, notices, adverts, forms and
+comments, told by elements, roles, classes and ids, go as well.  Scripts, styles
+and the like are no text.
 
 Defined cases: null and empty pages have empty text; a null or odd URL has the
-empty host; a page without another content of its host keeps its lines;
-unclosed and stray tags are tolerated; repeated rows each give a row, and copies
-have the same text; near copies share nine tenths of their paragraphs' and
-headings' characters, or of all where neither has any; very long pages are read
-whole; other columns are ignored.
+empty host; a page without another content of its host keeps its lines but for
+those that the markup names; unclosed and stray tags are tolerated; repeated
+rows each give a row, and copies have the same text; near copies share nine
+tenths of their paragraphs' and headings' characters, or of all where neither
+has any; very long pages are read whole; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import scratch, staged, table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|$)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video title".split())
 CHROME = frozenset("nav footer aside form dialog menu button select fieldset head".split())
@@ -65,11 +67,27 @@ CHROME_NAMES = frozenset(
     "share sharing social related recommended comment comments commentlist disqus respond reply replies discussion widget widgets pagination pager toolbar skip alert banner copyright".split()
 )
 
+ARTICLE_NAMES = frozenset("article main content post entry".split())
+HEADER_NAMES = frozenset(["header"])
+BOX_WORDS = frozenset(
+    "area articles article bar block bottom box btn col column container content desktop entry field footer global group head header icon inner item items label left link links list "
+    "main mobile module outer page panel post posts primary right row secondary section site slot sticky text title top unit wrap wrapper zone".split()
+)
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
+def _named(attrs: dict[str, str], names: frozenset[str]) -> bool:
+    """A class or id consists of these names and of words for boxes and places only: 'ad-slot-2', not 'related-work'."""
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        parts = {p for p in _SPLIT.split(_CAMEL.sub(r"\1-\2", token).lower()) if p and not p.isdigit()}
+        if parts & names and parts <= names | BOX_WORDS:
+            return True
+    return False
+
+
 def _is_chrome(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if name in ("html", "body") or name in CONTAINERS and not attrs:
         return False
@@ -81,18 +99,19 @@ def _is_chrome(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if name not in CONTAINERS and attrs.get("role", "").lower() in CHROME_ROLES:
         return True
-    parts = {p for a in ("class", "id") for p in _SPLIT.split(attrs.get(a, "").lower())}
-    return bool(parts & CHROME_NAMES) and not (name in CONTAINERS and parts & {"article", "main", "content", "post", "entry"}) or "header" in parts and not in_article
+    if name in CONTAINERS and _named(attrs, ARTICLE_NAMES):
+        return False
+    return _named(attrs, CHROME_NAMES) or not in_article and _named(attrs, HEADER_NAMES)
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
     """(text, inside an article) of the page's blocks that aren't chrome, in page order."""
-    return [(line, inside) for line, inside, _ in _lines(page)]
+    return [(line, inside) for line, hidden, inside, _ in _lines(page) if not hidden]
 
 
-def _lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article, inside an element of PROSE) of the page's blocks that aren't chrome, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def _lines(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, chrome, inside an article, inside an element of PROSE) of the page's blocks, in page order."""
+    out: list[tuple[str, bool, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, chrome, inside an article
     chrome = article = False
@@ -100,19 +119,21 @@ def _lines(page: str) -> list[tuple[str, bool, bool]]:
     def flush() -> None:
         if text:
             if line := " ".join(html.unescape("".join(text)).split()):
-                out.append((line, article, any(x[0] in PROSE for x in stack)))
+                out.append((line, chrome, article, any(x[0] in PROSE for x in stack)))
             text.clear()
 
     def pop_to(k: int) -> None:
         nonlocal chrome, article
+        now = (stack[k - 1][1], stack[k - 1][2]) if k else (False, False)
+        if now[0] != chrome:
+            flush()
         del stack[k:]
-        chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        chrome, article = now
 
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
-        if not chrome:
-            text.append(page[at : m.start() if m else n])
+        text.append(page[at : m.start() if m else n])
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
@@ -205,17 +226,15 @@ def _near_copy(a: dict, b: dict) -> bool:
 
 
 def _gone(page: dict, partners: list[dict]) -> list[int]:
-    """Positions of the page's deleted lines among those that its markup keeps."""
-    kept = [i for i, x in enumerate(page["inside"]) if x] or list(range(len(page["lines"])))
+    """Positions of the lines that differencing deletes, among those that aren't chrome."""
     if not partners:
         return []
-    if any(page["inside"]):
-        shared = [shared_lines(page["lines"], x["lines"]) for x in partners]
-        drop = {i for i in set.intersection(*shared) if not page["in_prose"][i]} if len(shared) > 1 else set()
-    else:
-        near = max(partners, key=lambda x: _common_prefix(x["path"], page["path"]))
-        drop = shared_lines(page["lines"], near["lines"])
-    return [k for k, i in enumerate(kept) if i in drop]
+    shared = [shared_lines(page["lines"], x["lines"]) for x in partners]
+    near = shared[max(range(len(partners)), key=lambda k: _common_prefix(partners[k]["path"], page["path"]))]
+    every = set.intersection(*shared) if len(shared) > 1 else set()
+    own = [i for i, hidden in enumerate(page["chrome"]) if not hidden]
+    # inside an article prose stays, and the rest goes only if both partners have it
+    return [k for k, i in enumerate(own) if (i in every and not page["in_prose"][i] if page["inside"][i] else i in near)]
 
 
 def _skips(host: list[dict], step: int) -> list[int]:
@@ -254,8 +273,9 @@ def _difference(total: int):
         rows = sorted(block.to_pylist(), key=lambda x: x["idx"])
         out, at = [], 0
         for x in rows:
-            x["all"] = dict(zip(x["lines"], x["sizes"], strict=True))
-            x["prose"] = {line: n for line, n, is_prose in zip(x["lines"], x["sizes"], x["in_prose"], strict=True) if is_prose}
+            own = [(line, n, is_prose) for line, n, hidden, is_prose in zip(x["lines"], x["sizes"], x["chrome"], x["in_prose"], strict=True) if not hidden]
+            x["all"] = {line: n for line, n, _ in own}
+            x["prose"] = {line: n for line, n, is_prose in own if is_prose}
         while at < len(rows):
             end = at
             while end < len(rows) and rows[end]["host"] == rows[at]["host"]:
@@ -292,7 +312,7 @@ def _deleted(contents: DataFrame) -> DataFrame:
             met = met.join(todo.select(block(F.col("idx")).alias("block")).distinct(), "block", "left_semi")
         met = met.withColumn("mine", F.col("mine") & (F.col("block") == block(F.col("idx"))))
         out = met.groupBy("block").applyInArrow(_difference(total), "idx bigint, host string, digest string, gone array<int>, open boolean")
-        out = staged(out.filter("open OR size(gone) > 0"), "html-deleted")
+        out = staged(out.filter("open OR size(gone) > 0"), "html-deleted", keep=True)
         now = out.filter("NOT open").select("host", "digest", "gone")
         done = now if done is None else done.union(now)
         todo = out.filter("open")
@@ -306,14 +326,13 @@ def _parsed(batches):
         rows = []
         for page in batch.column("html").to_pylist():
             own = _lines(page or "")
-            texts = [t for t, inside, _ in own if inside] or [t for t, _, _ in own]
-            lines = [int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t, _, _ in own]
+            lines = [int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for t, *_ in own]
             digest = blake2b(repr([(line, *x[1:]) for line, x in zip(lines, own, strict=True)]).encode(), digest_size=16).hexdigest()
-            rows.append((digest, texts, lines, [len(t) for t, _, _ in own], [x[1] for x in own], [x[2] for x in own]))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
+            rows.append((digest, [t for t, hidden, *_ in own if not hidden], lines, [len(x[0]) for x in own], *([x[k] for x in own] for k in (1, 2, 3))))
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.list_(pa.bool_())] * 3]
         arrays = [*(batch.column(c) for c in ("page_id", "url", "host", "path")), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "path", "digest", "texts", "lines", "sizes", "inside", "in_prose"])
+        yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "path", "digest", "texts", "lines", "sizes", "chrome", "inside", "in_prose"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -323,9 +342,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*)?([^?#]*)", 1)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    parsed = rows.mapInArrow(_parsed, f"page_id {kind}, url string, host string, path string, digest string, texts array<string>, lines array<bigint>, sizes array<int>, inside array<boolean>, in_prose array<boolean>")
-    one = parsed.filter("size(lines) > 0").groupBy("host", "digest").agg(F.min(F.struct("path", "page_id")).alias("at"), *[F.first(c).alias(c) for c in ("lines", "sizes", "inside", "in_prose")])
-    gone = _deleted(one.select("host", "digest", "at.path", "at.page_id", "lines", "sizes", "inside", "in_prose"))
+    parsed = rows.mapInArrow(_parsed, f"page_id {kind}, url string, host string, path string, digest string, texts array<string>, lines array<bigint>, sizes array<int>, chrome array<boolean>, inside array<boolean>, in_prose array<boolean>")
+    one = parsed.filter("size(lines) > 0").groupBy("host", "digest").agg(F.min(F.struct("path", "page_id")).alias("at"), *[F.first(c).alias(c) for c in ("lines", "sizes", "chrome", "inside", "in_prose")])
+    with scratch(pages.sparkSession):
+        gone = _deleted(one.select("host", "digest", "at.path", "at.page_id", "lines", "sizes", "chrome", "inside", "in_prose"))
     out = parsed.select("page_id", "url", "host", "digest", "texts").join(gone, ["host", "digest"], "left")
     left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda _, i: ~F.array_contains("gone", i)))
     return out.select("page_id", "url", F.array_join(left, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -78,3 +78,47 @@ def test_site_lines_inside_main_go_and_prose_stays(spark):
     got = texts(spark, rows, 4)
     assert all(got[i] == f"Report\n\nCommon opening.\n\nStory {i} of a day\n\nOnly on {i}" for i in range(5))
     assert all(got[i].startswith("Home") and got[i].endswith("Site of the day") for i in (9, 10, 11))  # fewer than two others to tell by
+
+
+def nearest(host, i):
+    """The partners of a host's i-th content in path order, none a near copy: after and before, or two of one side."""
+    near = lambda j: sum(len(x) for x in host[i][2] & host[j][2]) * 10 >= 9 * max(sum(map(len, host[i][2])), sum(map(len, host[j][2])))
+    after, before = [j for j in range(i + 1, len(host)) if not near(j)], [j for j in range(i - 1, -1, -1) if not near(j)]
+    found = [x[0] for x in (after, before) if x]
+    if len(found) == 1:
+        found += (after or before)[1:2]
+    return found
+
+
+def test_pairing_and_alignment_equal_brute_force_on_any_partitions(spark, monkeypatch):
+    r = random.Random(5)
+    site = [f"site line {i}" for i in range(12)]
+    rows, contents = [], {}
+    for k in range(60):
+        own = [f"story {k} part {j} with some words of its own" for j in range(r.randrange(1, 4))]
+        top, foot = [x for x in site[:6] if r.random() < 0.7], [x for x in site[6:] if r.random() < 0.7]
+        lines, host, path = top + own + foot, f"h{k % 3}.example", f"/{r.choice('abc')}/{r.randrange(40):02d}"
+        rows.append((k, f"https://{host}{path}?q={k}", "".join(f"<div>{x}</div>" for x in lines)))
+        contents.setdefault(host, []).append((path, k, set(lines), lines))
+    want = {}
+    for host in contents.values():
+        host.sort(key=lambda x: x[:2])
+        for i, (path, k, _, lines) in enumerate(host):
+            found = nearest(host, i)
+            same = lambda j: next((n for n, (x, y) in enumerate(zip(path, host[j][0], strict=False)) if x != y), min(len(path), len(host[j][0])))  # noqa: B023, E731
+            gone = host[max(found, key=same)][2] if found else set()
+            want[k] = "\n\n".join(x for x in lines if x not in gone)
+    for block, parts in ((2000, 1), (2000, 4), (3, 211)):
+        monkeypatch.setattr(hx, "BLOCK_ROWS", block)
+        assert texts(spark, rows, parts) == want
+
+
+def test_names_of_boxes_and_prose_that_only_looks_like_them(spark):
+    page = "<article><p>Teaser {0}</p><div class='related-work'><p>Earlier work {0}</p></div><div id='modal-logic'><p>Logic {0}</p></div><div class='commentList'><p>Reader {0}</p></div></article><div><p>Story {0} outside</p></div><div class='ad-slot-2'>Buy {0}</div>"
+    got = texts(spark, [(i, f"http://h.example/{i}", page.format(i)) for i in range(3)], 2)
+    assert all(got[i] == f"Teaser {i}\n\nEarlier work {i}\n\nLogic {i}\n\nStory {i} outside" for i in range(3))
+
+
+def test_clashing_columns_and_ties(spark):
+    df = spark.createDataFrame([(1, "http://h/a", "<p>x</p>", "a", "b", "c", "d")] * 2, "page_id long, url string, html string, host string, path string, digest string, lines string")
+    assert [tuple(x) for x in hx.extract(df).collect()] == [(1, "http://h/a", "x", 1)] * 2
