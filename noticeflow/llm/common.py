@@ -91,15 +91,15 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 HOT_KEYS, HOT_LEAST = 10_000, 500
 
 
-def hot_keys(counts: DataFrame, key: list[str], n: str = "n", most: int = HOT_KEYS, least: int = HOT_LEAST) -> DataFrame:
+def hot_keys(counts: DataFrame, key: list[str], n: str = "n") -> DataFrame:
     """key, salts: the keys that hold so many rows that a join should spread them, small enough to broadcast.
 
-    counts: one row for each key.  A hot key holds more than ``least`` rows and
-    more than one in ``most`` of all, so there are fewer than ``most`` of them,
+    counts: one row for each key.  A hot key holds more than ``HOT_LEAST`` rows
+    and more than one in ``HOT_KEYS`` of all, so there are fewer than ``HOT_KEYS``,
     and no other key brings a task more than this share.
     """
     total = counts.agg(F.sum(n)).first()[0] or 0
-    size = max(least, -(-total // most))
+    size = max(HOT_LEAST, -(-total // HOT_KEYS))
     return counts.filter(F.col(n) > size).select(*key, F.ceil(F.col(n) / size).cast("int").alias("salts"))
 
 

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from noticeflow.llm import common
 from noticeflow.llm import mixing as mx
 
 
@@ -70,3 +71,33 @@ def test_empty_table_and_sql(spark, tmp_path):
     want = sorted(con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mx.OP8_SQL})").fetchall())
     assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want]
     assert [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_equal_rows_are_taken_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    rows = [(None, "a b c d e f g h i j", "x")] * 500 + [(10_007, "k l", "x")] * 40 + [(i, "w " * 30, "y") for i in range(300)]
+    df = docs(spark, rows)
+    got = mx.mix(df).collect()
+    own = [x for x in got if x.doc_id is None]
+    target = next(x.target for x in own)
+    assert len(got) == len(rows) and 0 < target < 5080 and abs(sum(x.taken for x in got if x.doc_id in (None, 10_007)) - target) <= 10
+    assert sorted((x.size, x.taken) for x in got) == sorted((x.size, x.taken) for x in mx.mix(df.repartition(7)).collect())
+    other = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id long, text string, source string, row int")
+    kept = mx.repeated(other)
+    words = sum(len(x.text.split()) for x in kept.filter("source = 'x'").collect())
+    assert kept.columns == other.columns and abs(words - target) <= 10
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, mx.repeated(other.repartition(5)).collect()), key=repr)
+
+
+def test_many_sources_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    rows = rows_of({f"host{i:03d}": (1 + i % 7, 2 + i % 5) for i in range(150)} | {"zz": (200, 9)})
+    total: dict = {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + len(t.split())
+    want, source = levelled(total), {i: s for i, _, s in rows}
+    assert all(x.target == pytest.approx(want[source[x.doc_id]]) for x in mx.mix(docs(spark, rows)).collect())
+    names = "key source_size h0 h row salt salts pid other times passes under __key __h __times __n".split()
+    df = docs(spark, rows[:40]).selectExpr("doc_id", "text", "source", *[f"'keep {n}' AS {n}" for n in names])
+    got = mx.repeated(df)
+    assert got.columns == df.columns and all(x[n] == f"keep {n}" for x in got.collect() for n in names)
