@@ -56,12 +56,37 @@ def test_blocks_agree(spark, monkeypatch):
     x = np.random.default_rng(2).integers(0, 3, size=(900, 6)) + 0.5
     df = spark.createDataFrame(rows_of(x), "vec_id long, embedding array<float>, label int")
     q = df.filter("vec_id % 10 = 0")
-    one = sorted(map(tuple, ann.search(df, q, share=1.0).collect()))
+    one = sorted(map(tuple, ann.search(df, q, recall=1.0).collect()))
     monkeypatch.setattr(ann, "ENTRY_CHUNK", 7)
     monkeypatch.setattr(ann, "QUERY_CHUNK", 9)
-    assert sorted(map(tuple, ann.search(df, q, share=1.0).collect())) == one
+    assert sorted(map(tuple, ann.search(df, q, recall=1.0).collect())) == one
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, df).count() == 0
+
+
+def test_rows_of_one_id_lengths_and_clashing_names(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [1.0, 3.0]), (4, [1.0, 2.5]), (200, [1.0, 2.0, 3.0]), (300, [5.0, 6.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", *[f"'x' AS {c}" for c in "v c1 c2 query cells chunk part rank".split()])
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, df.filter("vec_id % 100 = 0")).collect())
+    twice = [(0, 1, 0, 0.0), (0, 2, 4, 0.5), (0, 3, 0, 1.0)]  # each of the two equal rows finds the other
+    assert got == sorted([*twice, *twice, (0, 1, 4, 0.5), (0, 2, 0, 1.0), (0, 3, 0, 1.0)])
+    assert ann.search(df.filter("size(embedding) = 2"), df.filter("vec_id >= 200")).count() == 0
+
+
+def test_clustered_vectors_need_few_entries(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 16))[r.integers(0, 60, 6000)] * 4 + r.normal(size=(6000, 16)) * 0.4
+    df = spark.createDataFrame(rows_of(x.astype(np.float32)), "vec_id long, embedding array<float>, label int")
+    asked: list[float] = []
+    visit = ann.entry_budget
+    ann.entry_budget = lambda *a: asked.append(visit(*a)) or asked[-1]
+    try:
+        got = ann.search(df, df.filter("vec_id % 100 = 0")).collect()
+    finally:
+        ann.entry_budget = visit
+    want = brute([(i, v, 0) for i, v, _ in rows_of(x.astype(np.float32))])
+    hit = sum(any(g.query_id == q and g.vec_id == i for g in got) for q, found in want.items() for _, i in found)
+    assert hit / sum(map(len, want.values())) >= 0.9 and asked[0] < 0.2 * len(x)
