@@ -7,28 +7,35 @@ shares most n-grams with the words it comes from, and so their vectors.
 
 Training is on a bounded sample of labelled rows (``most_toxic`` and
 ``most_clean``, the first in hash order of their ids), weighted back to the
-classes' shares among all labelled rows.  Scoring reads every whole text and
-needs no shuffle: for two classes the averaged embedding enters as one number
-a bucket, so tasks carry a table of ``2**bits`` numbers.
+classes' shares among all labelled rows.  Whole texts of any length become bags
+on the executors; the driver gets sums by bucket, picks at most ``most_buckets``
+that tell the classes apart, and trains on the bags' entries in these.  Scoring
+reads every whole text and needs no shuffle: for two classes the averaged
+embedding enters as one number a bucket, so tasks carry a table of ``2**bits``
+numbers.
 
 Defined cases: null, empty and blank texts get the score of an empty bag (the
-bias); repeated rows get equal scores; labels that are null are not used; with
-no labelled rows, or those of one class only, the score is 0; other columns
-are ignored.
+bias); repeated rows get equal scores; of rows with one labelled id one text is
+learnt, and the id is toxic if any of its labels is; labels that are null are not
+used; with no labelled rows, or those of one class only, the score is 0; other
+columns are ignored, and kept by ``score``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix64, table
+from .common import arrow_rows, mix64, scratch, staged, table
 
 GRAMS, BITS, DIM = (4, 5), 18, 8
-MOST_TOXIC, MOST_CLEAN, LONGEST_SAMPLE = 1500, 3000, 200_000
+MOST_TOXIC, MOST_CLEAN, MOST_BUCKETS = 1500, 3000, 16_384
+#: Whole texts in an Arrow batch while bags are built.
+BATCH_ROWS = 200
 EPOCHS, SCALE, SMOOTH, LEAST_TEXTS, SURE = 20, 100.0, 0.5, 4, 3.5
 #: Adam's steps for embeddings, softmax and bias.
 RATES = (0.02, 0.1, 0.2)
@@ -126,7 +133,7 @@ def _copy_keys(texts: list[str | None]) -> np.ndarray:
 
 
 def _bags(texts: list[str | None], bits: int):
-    """Yield rows, buckets and shares of the texts' bags, a step of texts at a time."""
+    """Yield rows, buckets and shares of the texts' bags, by row, a step of texts at a time."""
     for row, a, offs in _char_steps(pa.array(texts, pa.string())):
         pos, bucket = _features(a, bits)
         at, n = _row_of(pos, offs), len(offs) - 1
@@ -135,36 +142,33 @@ def _bags(texts: list[str | None], bits: int):
         yield at + row, bucket, (count / np.bincount(at, count, n)[at]).astype(np.float32)
 
 
-def train(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Embeddings (``2**bits`` x ``dim``) and a softmax of two classes by Adam on the weighted cross entropy.
+def telling_buckets(seen: np.ndarray, of: np.ndarray, most: int = MOST_BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets' smoothed log ratios, and a mask of those to learn; seen: texts of each class with the bucket, of: all texts.
 
-    Copies of one text share its weight.  Embeddings start along one direction
-    at the smoothed log ratio of a bucket's document shares in the classes;
-    buckets of fewer than ``LEAST_TEXTS`` texts, or whose shares are less than
-    ``SURE`` standard errors apart, stay at zero.  A fifth of the texts is
-    set aside, and the epoch with the least loss on it is kept.
+    Buckets of fewer than ``LEAST_TEXTS`` texts, or whose shares are less than
+    ``SURE`` standard errors apart, aren't learnt; of the others the ``most`` surest are.
     """
-    n, size = len(texts), 2**bits
-    keys = _copy_keys(texts)
-    _, group, copies = np.unique(keys, return_inverse=True, return_counts=True)
-    once = 1 / copies[group]
-    seen = np.zeros((2, size))
-    for r, c, _ in _bags(texts, bits):
-        for label in (0, 1):
-            own = toxic[r] == label
-            seen[label] += np.bincount(c[own], once[r[own]], size)
-    of = [once[toxic == label].sum() for label in (0, 1)]
     ratio = np.log((seen[1] + SMOOTH) / (of[1] + 2 * SMOOTH)) - np.log((seen[0] + SMOOTH * of[0] / of[1]) / (of[0] + 2 * SMOOTH * of[0] / of[1]))
-    both = seen.sum(0) / sum(of)
+    both = seen.sum(0) / of.sum()
     sure = np.abs(seen[1] / of[1] - seen[0] / of[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / of[0] + 1 / of[1]))
     used = (seen.sum(0) >= LEAST_TEXTS) & (sure >= SURE)
-    # only the entries of used buckets are kept for the epochs
-    rows, cols, vals = [], [], []
-    for r, c, v in _bags(texts, bits):
-        keep = used[c]
-        rows.append(r[keep])
-        cols.append(c[keep])
-        vals.append(v[keep])
+    if used.sum() > most:
+        rest = np.flatnonzero(used)
+        used[rest[np.argsort(-sure[rest], kind="stable")[most:]]] = False
+    return ratio, used
+
+
+def train(r: np.ndarray, c: np.ndarray, v: np.ndarray, keys: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ratio: np.ndarray, used: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Embeddings (buckets x ``dim``) and a softmax of two classes by Adam on the weighted cross entropy.
+
+    r, c, v: row, bucket and share of the bags' entries in used buckets.  Rows of
+    one key are copies and share their weight.  Embeddings start along one
+    direction at the buckets' log ratios; unused buckets stay at zero.  A fifth of
+    the texts is set aside, and the epoch with the least loss on it is kept.
+    """
+    n, size = len(toxic), len(used)
+    _, group, copies = np.unique(keys, return_inverse=True, return_counts=True)
+    once = 1 / copies[group]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.01, (size, dim))
     emb[:, 0] += ratio
@@ -180,9 +184,7 @@ def train(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, bits:
     for step in range(1, epochs + 1):
         diff = soft[1] - soft[0]
         flat = (emb @ diff).astype(np.float32)
-        margin = np.zeros(n)
-        for r, c, v in zip(rows, cols, vals, strict=True):
-            margin += SCALE * np.bincount(r, flat[c] * v, n)
+        margin = SCALE * np.bincount(r, flat[c] * v, n)
         if step == 1:  # the bias starts between the classes
             bias[1] = -(np.average(margin[toxic == 1]) + np.average(margin[toxic == 0])) / 2
         margin += bias[1] - bias[0]
@@ -190,10 +192,7 @@ def train(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, bits:
         if (now := float((loss * dev_w).sum()) if dev.any() else float((loss * fit_w).sum())) < least:
             best, least = (flat.copy(), bias[1] - bias[0]), now
         delta = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - toxic) * fit_w
-        pull = np.zeros(size)
-        for r, c, v in zip(rows, cols, vals, strict=True):
-            pull += np.bincount(c, delta[r] * v, size)
-        pull *= SCALE * used
+        pull = np.bincount(c, delta[r] * v, size) * SCALE * used
         towards = pull @ emb
         grads = [np.outer(pull, diff), np.stack([-towards, towards]), np.array([-delta.sum(), delta.sum()])]
         for param, grad, (m, s), rate in zip(params, grads, state, RATES, strict=True):
@@ -203,25 +202,89 @@ def train(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, bits:
     return Model(best[0], best[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model | None:
+_BAG = "place bigint, toxic int, key bigint, buckets array<int>, shares array<float>"
+
+
+def _to_bags(bits: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            bags: list[tuple] = [((), ())] * len(texts)
+            for r, c, v in _bags(texts, bits):
+                cut = np.flatnonzero(np.diff(r, prepend=-1))
+                for b, e in zip(cut, [*cut[1:], len(r)], strict=True):
+                    bags[r[b]] = c[b:e], v[b:e]
+            cols = [*batch.select(["place", "toxic"]).columns, pa.array(_copy_keys(texts).view(np.int64)), pa.array([x[0] for x in bags], pa.list_(pa.int32())), pa.array([x[1] for x in bags], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["place", "toxic", "key", "buckets", "shares"])
+
+    return run
+
+
+def _sums(once: dict[int, float], size: int):
+    """By class and bucket the texts that have it, copies once."""
+
+    def run(batches):
+        seen = np.zeros((2, size))
+        for batch in batches:
+            for label, key, own in zip(*(batch.column(c) for c in ("toxic", "key", "buckets")), strict=True):
+                seen[label.as_py(), own.values.to_numpy()] += once[key.as_py()]
+        label, bucket = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[label, bucket])], ["toxic", "bucket", "n"])
+
+    return run
+
+
+def _only(used: np.ndarray):
+    """The bags' entries in used buckets."""
+
+    def run(batches):
+        for batch in batches:
+            kept: list[list] = [[], []]
+            for own, shares in zip(batch.column("buckets"), batch.column("shares"), strict=True):
+                at = used[own.values.to_numpy()]
+                kept[0].append(own.values.to_numpy()[at])
+                kept[1].append(shares.values.to_numpy()[at])
+            cols = [*batch.select(["place", "toxic", "key"]).columns, pa.array(kept[0], pa.list_(pa.int32())), pa.array(kept[1], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["place", "toxic", "key", "buckets", "shares"])
+
+    return run
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_buckets: int = MOST_BUCKETS, bits: int = BITS,
+) -> Model | None:
     """A model from a bounded sample of the labelled rows; None without rows of both classes."""
+    spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     shares = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return None
-    texts, toxic, weight = [], [], []
-    for label, most in ((1, most_toxic), (0, most_clean)):
-        # ids first, by hash order with room for ids without a fitting text; then only their texts
-        ids = known.filter(F.col("toxic") == label).select("id").orderBy(F.xxhash64("id"), "id").limit(2 * most)
-        got = [r.text for r in rows.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(most).collect()]
-        texts += got
-        toxic += [label] * len(got)
-        weight += [shares[label] / max(1, len(got))] * len(got)
-    if len(set(toxic)) < 2:
-        return None
-    model = train(texts, np.array(toxic, float), np.array(weight))
-    del texts
+    with scratch(spark), arrow_rows(spark, BATCH_ROWS):
+        order = [F.xxhash64("id"), F.col("id")]
+        with_text = known.join(rows.select("id"), "id", "left_semi")
+        first = [with_text.filter(F.col("toxic") == label).orderBy(*order).limit(most) for label, most in ((1, most_toxic), (0, most_clean))]
+        chosen = rows.join(F.broadcast(first[0].union(first[1])), "id")  # at most most_toxic + most_clean ids
+        chosen = chosen.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        bags = staged(chosen.select(F.xxhash64("id").alias("place"), "toxic", "text").mapInArrow(_to_bags(bits), _BAG), "toxicity-bags")
+        held = bags.select("toxic", "key").toArrow()
+        toxic, keys = held.column("toxic").to_numpy(), held.column("key").to_numpy()
+        if len(np.unique(toxic)) < 2:
+            return None
+        values, group, copies = np.unique(keys, return_inverse=True, return_counts=True)
+        once = 1 / copies[group]
+        sums = bags.mapInArrow(_sums(dict(zip(values.tolist(), (1 / copies).tolist(), strict=True)), 2**bits), "toxic int, bucket int, n double").groupBy("toxic", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        seen = np.zeros((2, 2**bits))
+        seen[sums.column("toxic").to_numpy(), sums.column("bucket").to_numpy()] = np.round(sums.column("n").to_numpy(), 9)  # alike for any order of the sum
+        ratio, used = telling_buckets(seen, np.array([once[toxic == label].sum() for label in (0, 1)]), most_buckets)
+        kept = bags.mapInArrow(_only(used), _BAG).toArrow().sort_by([("place", "ascending"), ("key", "ascending")]).combine_chunks()
+    toxic, keys = kept.column("toxic").to_numpy().astype(float), kept.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    sizes = pa.compute.list_value_length(kept.column("buckets")).to_numpy()
+    flat = lambda c: pa.compute.list_flatten(kept.column(c)).to_numpy()
+    weight = np.where(toxic == 1, shares[1] / max(1, (toxic == 1).sum()), shares[0] / max(1, (toxic == 0).sum()))
+    model = train(np.repeat(np.arange(len(toxic)), sizes), flat("buckets"), flat("shares"), keys, toxic, weight, ratio, used)
+    del kept
     pa.default_memory_pool().release_unused()
     return model
 

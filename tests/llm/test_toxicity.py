@@ -19,9 +19,10 @@ def text(bad, n=120):
 
 
 @pytest.fixture(scope="module")
-def model():
-    y = np.array([i % 4 == 0 for i in range(600)], float)
-    return tox.train([text(v) for v in y], y, np.ones(len(y)))
+def model(spark):
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return tox.fit(df, df)
 
 
 def test_unseen_forms_are_found_and_clean_texts_left_alone(model):
@@ -52,3 +53,44 @@ def test_query_and_its_edges(spark, tmp_path):
     assert tox.score(docs, None).filter("score = 0").count() == len(rows)
     assert tox.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")) is None
     assert tox.score(docs.limit(0), tox.fitted(spark, str(tmp_path))).count() == 0
+
+
+M = 2**64 - 1
+
+
+def mixed(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def gram_bucket(chars, bits=18):
+    """Of an n-gram, by the definition of the hash."""
+    return mixed((sum(mixed(ord(c) + 0x9E3779B97F4A7C15 & M) * pow(0xD1342543DE82EF95, i, 2**64) for i, c in enumerate(chars)) + len(chars)) & M) >> 64 - bits
+
+
+def word_bucket(chars, bits=18):
+    return mixed(sum(mixed(ord(c) + 1) * pow(0xAF251AF3B0F025B5, i, 2**64) for i, c in enumerate(chars)) & M) >> 64 - bits
+
+
+def test_scores_equal_a_direct_loop_over_words_and_grams(model):
+    texts = [text(i % 3 == 0, 1 + i) for i in range(25)] + ["Ab\tÇd  eF\x0b\U0001F600ghij", "", None, "x"]
+    for t, got in zip(texts, model.scores(pa.array(texts)), strict=True):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        found = []
+        for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in low).split(" "):
+            if w:
+                marked = f" {w} "
+                found += [word_bucket(w)] + [gram_bucket(marked[i : i + n]) for n in (4, 5) for i in range(len(marked) - n + 1)]
+        margin = model.scale * sum(float(model.table[b]) for b in found) / max(1, len(found)) + model.bias
+        assert got == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-5)
+
+
+def test_long_texts_are_learnt_from_whole(spark):
+    long = lambda bad: ("plain words here " * 15_000 + text(bad, 60))  # noqa: E731  what tells the classes apart stands at the end
+    rows = [(i, long(i % 2 == 0), i % 2 ^ 1, "x", "y") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, id string, key string")
+    found = tox.fit(df.union(df), df)
+    assert found is not None and np.abs(found.table).max() > 0
+    few = tox.fit(df, df, most_buckets=5)
+    assert (few.table != 0).sum() <= 5
