@@ -1,8 +1,10 @@
 """WARC archives as a Spark data source.
 
-Reading plans file partitions of balanced size, takes predicates on the record
-type and on header fields, parses a record's headers first and decodes payloads
-only of the records that pass, and only if payloads are wanted
+Reading plans partitions of balanced size: small files together, and large gzip
+files in byte ranges, as each record is a gzip member of its own (a file that is
+one single member is read whole by the first range).  It takes predicates on the
+record type and on header fields, parses a record's headers first and decodes
+payloads only of the records that pass, and only if payloads are wanted
 (``option("payload", "false")``).  Writing makes gzip files of one member per
 record; tasks write under names of their own and the commit moves the finished
 files into place, so a lost task leaves nothing behind.
@@ -23,6 +25,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .common import shared_dir, table
+from .common import forget_later, hot_keys, salted_join, scratch, shared_dir, staged, table
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes bigint, page_id string, refers_to string, payload binary"
 #: Columns that come from a record's own headers, before its content.
@@ -135,7 +138,73 @@ def _skip(stream, n: int) -> None:
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """(path, begin, end): the records of gzip members that begin in the range; end 0: the whole file."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+class _Members(io.RawIOBase):
+    """The text of the gzip members that begin at ``begin`` or later and before ``end``."""
+
+    MAGIC = b"\x1f\x8b\x08"
+
+    def __init__(self, raw, begin: int, end: int):
+        self.raw, self.end, self.at = raw, end, begin
+        self.held, self.inflate, self.out = b"", None, b""
+        raw.seek(begin)
+        if begin:
+            self._find()
+
+    def readable(self):
+        return True
+
+    def _more(self) -> bool:
+        got = self.raw.read(1 << 16)
+        self.held += got
+        return bool(got)
+
+    def _drop(self, n: int) -> None:
+        self.held, self.at = self.held[n:], self.at + n
+
+    def _find(self) -> None:
+        """Go to the first place that inflates to the beginning of a record."""
+        while True:
+            k = self.held.find(self.MAGIC)
+            if k < 0:
+                self._drop(max(0, len(self.held) - 2))
+                if self.at >= self.end or not self._more():
+                    self._drop(len(self.held))
+                    return
+                continue
+            self._drop(k)
+            if self.at >= self.end:
+                return
+            while len(self.held) < 1 << 12 and self._more():
+                pass
+            try:
+                if zlib.decompressobj(31).decompress(self.held[: 1 << 12], 5) == b"WARC/":
+                    return
+            except zlib.error:
+                pass
+            self._drop(1)
+
+    def readinto(self, into) -> int:
+        while not self.out:
+            if self.inflate is None:
+                if self.at >= self.end or not self.held and not self._more():
+                    return 0
+                self.inflate = zlib.decompressobj(31)
+            if not self.held and not self._more():
+                raise EOFError("the archive ends inside a gzip member")
+            given = self.held
+            self.out = self.inflate.decompress(given, 1 << 20)
+            self.held = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.at += len(given) - len(self.held)
+            if self.inflate.eof:
+                self.inflate = None
+        n = min(len(into), len(self.out))
+        into[:n], self.out = self.out[:n], self.out[n:]
+        return n
 
 
 @dataclass
@@ -164,13 +233,20 @@ class WarcReader(DataSourceReader):
 
         system, base = _filesystem(self.path)
         files = [(x.size, x.path) for x in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
+        pieces: list[tuple[int, tuple[str, int, int]]] = []
+        for x in sorted(files, reverse=True):
+            if x[1].endswith(".gz") and x[0] > self.size:
+                step = -(-x[0] // -(-x[0] // self.size))
+                pieces += [(min(step, x[0] - at), (x[1], at, min(at + step, x[0]))) for at in range(0, x[0], step)]
+            else:
+                pieces.append((x[0], (x[1], 0, 0)))
         parts: list[list] = []
-        for size, path in sorted(files, reverse=True):  # largest first, into the first partition with room
+        for size, piece in pieces:  # largest first, into the first partition with room
             near = next((p for p in parts[-64:] if p[0] + size <= self.size), None)
             if near is None:
                 parts.append(near := [0, []])
             near[0] += size
-            near[1].append(path)
+            near[1].append(piece)
         return [Files(p) for _, p in parts] or [Files([])]
 
     def _wanted(self, row) -> bool:
@@ -189,9 +265,9 @@ class WarcReader(DataSourceReader):
         def batch():
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names], names)
 
-        for path in partition.paths:
-            with system.open_input_stream(path, compression=None) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)
+        for path, begin, end in partition.ranges:
+            with system.open_input_file(path) as raw:
+                stream = io.BufferedReader(_Members(raw, begin, end or raw.size()), 1 << 16) if path.endswith(".gz") else io.BufferedReader(raw)
                 for row in records(stream, self._wanted, self.payload):
                     rows.append(row)
                     size += len(row["payload"] or b"")
@@ -273,7 +349,9 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("same"))
     first = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("same").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    linked = rows.join(first.select("same", "first_id"), "same", "left")
+    first = staged(first, "warc-first", keep=True)  # digests and ids only
+    # a page without an equal one meets nothing; rows of a frequent payload are dealt over salts
+    linked = salted_join(rows, first.select("same", "first_id"), ["same"], hot_keys(first, ["same"]), F.xxhash64("page_id", "url"), "left")
     first_id = F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).cast("string")
     out = linked.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", first_id.alias("first_id"))
     out.write.format("warc").mode("append").save(path)
@@ -282,7 +360,9 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    archive(pages, path)
+    forget_later(path)  # the result reads it
+    with scratch(spark, everything=True):
+        archive(pages, path)
     back = read(spark, path, payload=False).filter(F.col("record_type").isin("response", "revisit"))
     kind = pages.schema["page_id"].dataType
     return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

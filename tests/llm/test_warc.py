@@ -60,7 +60,7 @@ def test_partitions_are_balanced_and_plain_files_read(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"{i}.warc").write_bytes(warc.record(str(i), "u", b"x" * 1000, None, "2024-01-01T00:00:00Z"))
     (tmp_path / "note.txt").write_text("no archive")
-    assert sorted(len(p.paths) for p in warc.WarcReader({"path": str(tmp_path), "partitionbytes": "3000"}).partitions()) == [1, 2, 2]
+    assert sorted(len(p.ranges) for p in warc.WarcReader({"path": str(tmp_path), "partitionbytes": "3000"}).partitions()) == [1, 2, 2]
     assert sorted(r.page_id for r in warc.read(spark, str(tmp_path)).collect()) == list("01234")
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(b"HTTP/1.1 200\r\n"), lambda r: True, True))
@@ -75,3 +75,32 @@ def test_empty_table(spark, tmp_path):
 def test_small_payloads_stay_responses(spark, tmp_path):
     warc.archive(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string"), str(tmp_path / "s"), least_bytes=3)
     assert {r.page_id: r.record_type for r in warc.read(spark, str(tmp_path / "s")).collect()} == {"1": "response", "2": "response", "3": "response", "4": "revisit"}
+
+
+def test_large_archives_are_read_in_ranges(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    pages = [(str(i), bytes(r.randrange(256) for _ in range(r.randrange(3000)))) for i in range(60)] + [("magic", warc._Members.MAGIC * 500)]
+    raw = [warc.record(i, "u", b, None, "2024-01-01T00:00:00Z") for i, b in pages]
+    members, single = tmp_path / "members", tmp_path / "single"
+    members.mkdir(), single.mkdir()
+    (members / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in raw))
+    (single / "a.warc.gz").write_bytes(gzip.compress(b"".join(raw)))
+    for folder, least in ((members, 10), (single, 10)):
+        for size in (701, 5000, 1 << 30):
+            reader = warc.WarcReader({"path": str(folder), "partitionbytes": str(size)})
+            parts = reader.partitions()
+            assert len(parts) > least or size > 5000 or size == 5000 and len(parts) > 5
+            got = [(i, p) for part in parts for b in reader.read(part) for i, p in zip(b.column("page_id").to_pylist(), b.column("payload").to_pylist(), strict=True)]
+            assert sorted(got) == sorted(pages)
+
+
+def test_frequent_payloads_and_clashing_names(spark, tmp_path, monkeypatch):
+    from noticeflow.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    df = spark.createDataFrame([(i, "u", "same" if i % 2 else f"own {i}") for i in range(60)], "page_id long, url string, html string").selectExpr("*", *[f"'x' AS {c}" for c in "same first_id n payload salt salts".split()])
+    warc.archive(df, str(tmp_path / "f"))
+    got = {int(r.page_id): (r.record_type, r.refers_to) for r in warc.read(spark, str(tmp_path / "f"), payload=False).collect()}
+    assert got == {i: ("revisit", "1") if i % 2 and i > 1 else ("response", None) for i in range(60)}
