@@ -174,23 +174,75 @@ def _scan(automaton: Automaton, texts: pa.Array):
 def _pieces(bench: DataFrame, item_col: str, text_col: str, window: int, coverage: float, shard_words: int) -> DataFrame:
     """item, need, words: items in pieces of bounded length."""
     found = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER), F.lit(WORD_RE), 0)
-    items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), found.alias("words")).filter(F.size("words") > 0)
+    items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), found.alias("words")).filter(F.size("words") > 0).distinct()
     items = items.withColumn("need", F.least(F.lit(window), F.greatest(F.lit(1), F.ceil(F.size("words") * F.lit(coverage)))).cast("int"))
     cut = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(shard_words)), lambda i: F.slice("words", i, F.lit(shard_words - 1) + F.col("need")))
-    return items.select("item", "need", F.explode(cut).alias("words")).filter(F.size("words") >= F.col("need"))
+    return items.select("item", "need", F.explode(cut).alias("words")).filter(F.size("words") >= F.col("need")).distinct()
 
 
-def automata(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, shard_words: int = SHARD_WORDS):
-    """Yield automata of at most about ``2 * shard_words`` words, which together hold all items."""
+def _parts(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """Pieces of all items with the automaton that each goes into, and the number of automata."""
     pieces = _pieces(bench, item_col, text_col, window, coverage, shard_words)
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(1, -(-total // shard_words))
     if parts > 1:
-        pieces = pieces.withColumn("n", F.size("words"))
-        pieces = staged(pieces.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(2 * parts))), "benchmark-parts")
-    for part in range(1 if parts == 1 else 2 * parts):
-        rows = (pieces if parts == 1 else pieces.filter(F.col("part") == part)).select("item", "need", "words").collect()
-        yield Automaton([tuple(r) for r in rows])
+        parts *= 2
+        pieces = staged(pieces.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(parts)).cast("int")), "benchmark-parts", keep=True)
+    return pieces, parts
+
+
+def _automaton(pieces: DataFrame) -> Automaton:
+    return Automaton([tuple(r) for r in pieces.select("item", "need", "words").collect()])
+
+
+def _automata(pieces: DataFrame, parts: int):
+    """Yield automata of at most about ``2 * shard_words`` words, which together hold all items."""
+    for part in range(parts):
+        yield _automaton(pieces.filter(F.col("part") == part))
+
+
+def automata(bench: DataFrame, **limits):
+    """Yield the bounded automata of all items."""
+    pieces, parts = _parts(bench, **limits)
+    return iter([_automaton(pieces)]) if parts == 1 else _automata(pieces, parts)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_HITS = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+
+
+def _hits(shared, only_hit: bool):
+    """id, n_words, spans, items of each row of (id, text), or of those that are hit."""
+
+    def scan(batches):
+        for batch in batches:
+            res = list(_scan(shared.value, batch.column("text")))
+            at = np.array([i for i, r in enumerate(res) if r[1] or not only_hit], np.int64)
+            spans = pa.array([[{"start": x, "end": y} for x, y in res[i][1]] for i in at], _SPANS)
+            cols = [batch.column("id").take(pa.array(at)), pa.array([res[i][0] for i in at], pa.int64()), spans, pa.array([res[i][2] for i in at], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "spans", "items"])
+
+    return scan
+
+
+def _all_hits(rows: DataFrame, found_by) -> DataFrame:
+    """id, n_words, spans, items over all automata of the hit rows of (id, text), ids being unique; each automaton reads the rows once."""
+    sc, parts = rows.sparkSession.sparkContext, []
+    for automaton in found_by:
+        shared = sc.broadcast(automaton)
+        parts.append(staged(rows.mapInArrow(_hits(shared, True), f"id bigint, {_HITS}"), "decontamination-hits", keep=True))
+        shared.destroy()
+    one = parts[0]
+    for more in parts[1:]:
+        one = one.union(more)
+    one = one.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def merge(batches):
+        for batch in batches:
+            spans = [[{"start": x, "end": y} for x, y in _merged([(s["start"], s["end"]) for s in own])] for own in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(spans, _SPANS), batch.column("items")], ["id", "n_words", "spans", "items"])
+
+    return one.mapInArrow(merge, f"id bigint, {_HITS}")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -206,29 +258,18 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """doc_id, n_words, spans (word offsets, end exclusive), items for every row."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {id_type.simpleString()}, text string, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
-    found = None
-    for automaton in automata(bench, **limits):
-        shared = spark.sparkContext.broadcast(automaton)
-        out = staged(out, "decontamination") if found is not None else out
-
-        def scan(batches, shared=shared, more=found is not None):
-            for batch in batches:
-                res = list(_scan(shared.value, batch.column("text")))
-                spans, items = [r[1] for r in res], [r[2] for r in res]
-                if more:
-                    spans = [_merged([*s, *((x["start"], x["end"]) for x in old)]) for s, old in zip(spans, batch.column("spans").to_pylist(), strict=True)]
-                    items = [sorted({*i, *old}) for i, old in zip(items, batch.column("items").to_pylist(), strict=True)]
-                spans = pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array([r[0] for r in res], pa.int64()), spans, pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "text", "n_words", "spans", "items"],
-                )
-
-        found = out = out.mapInArrow(scan, schema)
-    return found.drop("text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    pieces, parts = _parts(bench, **limits)
+    if parts == 1:
+        shared = spark.sparkContext.broadcast(_automaton(pieces))
+        return out.mapInArrow(_hits(shared, False), f"id {kind}, {_HITS}").withColumnRenamed("id", "doc_id")
+    rows = staged(out.select(F.monotonically_increasing_id().alias("row"), "id", "text", F.regexp_count(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), F.lit(WORD_RE)).cast("bigint").alias("n")), "decontamination-rows", keep=True)
+    hits = _all_hits(rows.select(F.col("row").alias("id"), "text"), _automata(pieces, parts)).select(F.col("id").alias("row"), "spans", F.array_sort("items").alias("items"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    return rows.select("row", "id", "n").join(hits, "row", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_words"), none("spans", "array<struct<start:int,end:int>>").alias("spans"), none("items", "array<string>").alias("items")
+    )
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -262,12 +303,12 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col
     automata decides nothing.  Rows without a hit stay as they are.
     ``n_chars_col`` follows the new text.
     """
-    spark = docs.sparkSession
-    shards = [spark.sparkContext.broadcast(automaton) for automaton in automata(bench, **limits)]
-    if len(shards) > 1:
-        return _clean_by_shards(docs, shards, text_col, n_chars_col, most)
+    pieces, parts = _parts(bench, **limits)
+    if parts > 1:
+        return _clean_by_parts(docs, pieces, parts, text_col, n_chars_col, most)
+    shared = docs.sparkSession.sparkContext.broadcast(_automaton(pieces))
 
-    def scan(batches, shared=shards[0]):
+    def scan(batches):
         for batch in batches:
             texts = batch.column(text_col)
             changed, keep = {}, np.ones(len(texts), bool)
@@ -286,41 +327,33 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", n_chars_col
     return docs.mapInArrow(scan, docs.schema)
 
 
-def _clean_by_shards(docs: DataFrame, shards: list, text_col: str, n_chars_col: str | None, most: float) -> DataFrame:
-    """Rounds of all shards: their spans are merged, the share is decided in the first round, and cut rows are met again."""
-    columns = docs.columns
-
-    def mark(shared):
-        def run(batches):
-            for batch in batches:
-                old, res = batch.column("__spans"), list(_scan(shared.value, batch.column(text_col)))
-                spans = [_merged([*r[1], *((x["start"], x["end"]) for x in own)]) for r, own in zip(res, old.to_pylist(), strict=True)]
-                cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-                cols["__spans"] = pa.array([[{"start": x, "end": y} for x, y in own] for own in spans], old.type)
-                cols["__words"] = pa.array([r[0] for r in res], pa.int64())
-                yield pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema)
+def _clean_by_parts(docs: DataFrame, pieces: DataFrame, parts: int, text_col: str, n_chars_col: str | None, most: float) -> DataFrame:
+    """Rounds over all automata: their hits of a row are merged, the share is decided in the first round, and cut rows are met again.
 
-        return run
+    Rows are written once, and the hit ones once more in each round.
+    """
+    columns = docs.columns
+    row = F.struct(*columns)
+    todo = staged(docs.select(F.monotonically_increasing_id().alias("id"), F.col(text_col).alias("text"), row.alias("row")), "decontamination-rows", keep=True)
+    done, first = None, True
 
     def cut(batches):
         for batch in batches:
-            texts, spans = batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist()
-            changed = {i: _cut(t, [(x["start"], x["end"]) for x in own]) for i, (t, own) in enumerate(zip(texts, spans, strict=True))}
-            yield _replaced(batch, changed, text_col, n_chars_col).select(columns)
+            spans = [[(x["start"], x["end"]) for x in own] for own in batch.column("spans").to_pylist()]
+            own = pa.RecordBatch.from_struct_array(batch.column("row"))
+            changed = {i: _cut(t, s) for i, (t, s) in enumerate(zip(own.column(text_col).to_pylist(), spans, strict=True))}
+            yield _replaced(own, changed, text_col, n_chars_col)
 
-    done, todo = None, docs
     while True:
-        met = todo.withColumn("__spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn("__words", F.lit(0).cast("bigint"))
-        for shared in shards:
-            met = staged(met.mapInArrow(mark(shared), met.schema), "decontamination")
-        hit = met.filter(F.size("__spans") > 0)
-        if done is None:
-            hit = hit.filter(F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]) <= F.col("__words") * most)
-        clear = met.filter(F.size("__spans") == 0).select(*columns)
+        hits = staged(_all_hits(todo.select("id", "text"), _automata(pieces, parts)), "decontamination-hits", keep=True)
+        clear = todo.join(hits.select("id"), "id", "left_anti").select("row.*")
         done = clear if done is None else done.union(clear)
-        if hit.isEmpty():
+        if first:
+            hits = hits.filter(F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]) <= F.col("n_words") * most)
+        if hits.isEmpty():
             return done
-        todo = hit.mapInArrow(cut, docs.schema)
+        now = todo.join(hits.select("id", "spans"), "id").select("row", "spans").mapInArrow(cut, docs.schema)
+        todo, first = staged(now.select(F.monotonically_increasing_id().alias("id"), F.col(text_col).alias("text"), row.alias("row")), "decontamination-rows", keep=True), False
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,13 @@ def test_clean_is_the_same_for_any_number_of_shards(spark):
     whole, parts = ({x.doc_id: (x.text, x.n_chars) for x in dec.clean(docs, bench, **kw).collect()} for kw in ({}, {"shard_words": 11}))
     assert whole == parts and set(parts) == {i for i, _ in rows if not 100 <= i < 200}
     assert all(t == " ".join(rest) and n == len(t) for i, (t, n) in parts.items() if i >= 200)
+
+
+def test_repeated_items_and_clashing_names(spark):
+    bench = spark.createDataFrame(BENCH * 40, "item_id long, text string")
+    assert sum(len(a.length) for a in dec.automata(bench)) == sum(len(a.length) for a in dec.automata(spark.createDataFrame(BENCH, "item_id long, text string")))
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars", *[f"'keep' AS {c}" for c in "id row spans n_words items __spans __words".split()])
+    whole = dec.clean(docs, bench)
+    for got in (whole, dec.clean(docs, bench, shard_words=11)):
+        assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect()))
+        assert all(r.id == r.row == r.spans == r.items == "keep" for r in got.collect())
