@@ -7,8 +7,8 @@ bucket's members are compared with a few leaders (``LEADERS``), members of the
 leader's own component left out, so the pairs grow with the members and not
 with their square.  A leader has then met its whole bucket and leaves it, and
 small buckets are done.  The documents that still share a large bucket across
-components meet in blocks by bitmaps of their whole sets (``_rest_pairs``), which
-leave no link out and hardly another pair in.
+components meet by their rarest shingles instead (``_rest_pairs``): an exact
+prefix filter, in which documents that only share common passages don't meet.
 
 Each comparison first meets the odd sketches: the MinHash samples folded into
 a parity bitmap.  The population count of two bitmaps' XOR is at most twice
@@ -16,6 +16,9 @@ the number of samples that differ, so a bound on it keeps every pair whose
 samples differ no more often than a linked pair's do (``most_apart``).  The
 pairs that remain are confirmed on their full sets, and links make components.
 
+Buckets, classes, leaders and components may hold most documents: every join on
+them deals the rows of a large key over salts (``common.salted_join``).
+
 Documents are linked from a similarity of ``percent`` on; the bands and the
 bounds follow from it.  A linked pair misses all buckets with a chance of 2e-8
 at the threshold, and fails the bound on the sketch with a chance below 1e-8;
@@ -23,14 +26,14 @@ both fall steeply above it.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; texts of one to four words are one shingle; rows of one doc_id are one
-document, linked with whatever any of them is linked with; a null doc_id takes
-part but is not a component's id; other columns are ignored; very long texts
-are read whole.
+document, linked with whatever any of them is linked with, and stay or go
+together; a row without an id is linked with the documents whose set it has, but
+stands for none: it goes if there is one; other columns are ignored, and kept by
+``kept_documents``, whatever their names; very long texts are read whole.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache
 from math import ceil, comb, log
 
@@ -38,8 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import PLAIN_WORD, arrow_rows, hash_spans, mix64, staged, table, text_steps, words
+from .common import PLAIN_WORD, arrow_rows, hash_spans, hot_keys, mix64, salted_join, scratch, staged, table, text_steps, words
 
 SHINGLE = 5
 ROWS = 4
@@ -50,6 +54,8 @@ LINK_PERCENT = 85
 LEADERS = (1, 2, 4)
 #: Bits of a whole set's bitmap are 64 times this; the rows of a large bucket that meet at once.
 PARITY_WORDS, BLOCK_ROWS = 16, 1000
+#: Leading bits of a shingle by which its frequency is counted.
+COUNT_BITS = 20
 #: Rows in an Arrow batch: whole texts, and pairs of them, are in Python at once.
 BATCH_ROWS = 1000
 
@@ -145,7 +151,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of every node of edges (a, b).
+    """node, component (the smallest node reachable) of every node of edges (a, b) that isn't its component's smallest.
 
     Alternating star contraction; the edges of each step go to the shared folder.
     """
@@ -154,8 +160,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(e)
     while seen[0]:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "stars")
+        met = salted_join(both, least.select("u", "m"), ["u"], hot_keys(least, ["u"]), F.xxhash64("v"))  # a star may hold most nodes
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = staged(small.select("x.u", "x.v").filter("u != v").distinct(), "edges")
@@ -165,19 +172,23 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _alike(n1: str, odd1: str, n2: str, odd2: str, percent: int) -> Column:
+def _alike(n1: Column, odd1: Column, n2: Column, odd2: Column, percent: int) -> Column:
     """Sizes and sketches leave a link possible."""
-    apart = sum((F.bit_count(F.col(odd1)[k].bitwiseXOR(F.col(odd2)[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+    apart = sum((F.bit_count(odd1[k].bitwiseXOR(odd2[k])) for k in range(SKETCH_WORDS)), F.lit(0))
     ratio = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
     return ratio & (apart <= 2 * most_apart(percent))
 
 
 def _linked(percent: int):
+    def sides(column):
+        texts = column.dictionary_encode()  # a leader's text is cut once for a batch
+        sets = list(shingle_sets(texts.dictionary))
+        return [sets[i] for i in texts.indices.to_numpy()]
+
     def run(batches):
         for batch in batches:
-            a, b = shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b"))
             keep = []
-            for x, y in zip(a, b, strict=True):
+            for x, y in zip(sides(batch.column("text_a")), sides(batch.column("text_b")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -186,11 +197,13 @@ def _linked(percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """The pairs (a, b) that are linked on their full sets; texts: node, text, bucketed by node."""
+    """The pairs (a, b) that are linked on their full sets; texts: node, text.  A node may be in most pairs."""
     kind = pairs.schema["a"].dataType.simpleString()
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_linked(percent), f"a {kind}, b {kind}")
+    both = pairs
+    for x, other in (("b", "a"), ("a", "b")):
+        hot = hot_keys(pairs.groupBy(x).agg(F.count("*").alias("n")), [x])
+        both = salted_join(both, texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), [x], hot, F.xxhash64(other))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(percent), f"a {kind}, b {kind}")
 
 
 def _with_parity(kind: str):
@@ -210,94 +223,185 @@ def _with_parity(kind: str):
     return run, f"node {kind}, size bigint, {', '.join(f'{x} bigint' for x in names)}"
 
 
-def _rest_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components that may be linked, of rows (bucket, node, comp).
+def _slot_counts(batches):
+    """How many of the sets have a shingle, by the leading bits of its hash."""
+    seen = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        for own in shingle_sets(batch.column("text")):
+            np.add.at(seen, (own >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+    slot = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(seen[slot])], ["slot", "n"])
+
+
+def _rare_first(counts: np.ndarray, percent: int, kind: str):
+    """token, node: of each set its rarest shingles, as many as leave no room for a link without one of them."""
+
+    def run(batches):
+        for batch in batches:
+            tokens, rows = [], []
+            for i, own in enumerate(shingle_sets(batch.column("text"))):
+                need = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
+                order = np.lexsort((own, counts[(own >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[:need]
+                tokens.append(own[order].view(np.int64))
+                rows.append(np.full(len(order), i))
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else rows), batch.column("node").take(pa.array(rows))], ["token", "node"])
+
+    return run, f"token bigint, node {kind}"
 
-    A linked pair's whole sets differ in a known number of shingles at most, and
-    so do their bitmaps: no link is lost here, and hardly another pair is left.
-    A large bucket is met in blocks of ``BLOCK_ROWS``.
+
+def _rest_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that may be linked, of rows (node, comp).
+
+    Two sets of this similarity share one of the first ``size - need + 1``
+    shingles of each, in any order of all shingles; the order is by how rare
+    they are.  Sets that meet by one are compared by bitmaps of whole sets: they
+    differ in a known number of shingles at most, and so do their bitmaps.  A
+    shingle that is rare in none is met in blocks of ``BLOCK_ROWS``.  No link is
+    lost in any of this.
     """
-    sized = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(*_with_parity(rest.schema["node"].dataType.simpleString()))
-    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = staged(rest.join(staged(sized, "rest-parities"), "node").join(blocks, "bucket"), "rest-rows")
+    kind = rest.schema["node"].dataType.simpleString()
+    own = staged(texts.join(rest.select("node").distinct(), "node", "left_semi"), "rest-texts")
+    seen, counts = own.mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << COUNT_BITS, np.int64)
+    counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
+    rows = staged(own.mapInArrow(*_rare_first(counts, percent, kind)).join(rest, "node"), "rest-tokens")
+    shared = staged(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("token", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "rest-shared")
+    rows = salted_join(rows, shared.select("token", "blocks"), ["token"], hot_keys(shared, ["token"]), F.xxhash64("node"))
+    rows = staged(rows.join(staged(own.mapInArrow(*_with_parity(kind)), "rest-parities"), "node"), "rest-rows")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("comp", "size", *(f"p{k}" for k in range(PARITY_WORDS)))]
-    left = rows.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), *side("a"))
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), *side("b"))
+    left = rows.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), *side("a"))
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), *side("b"))
     apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PARITY_WORDS)), F.lit(0))
     ratio = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
     near = apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
-    met = left.join(right.withColumnRenamed("bucket", "bucket_b").withColumnRenamed("block", "block_b"), (F.col("bucket") == F.col("bucket_b")) & (F.col("block") == F.col("block_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & ratio & near)
+    met = left.join(right.withColumnRenamed("token", "token_b").withColumnRenamed("block", "block_b"), (F.col("token") == F.col("token_b")) & (F.col("block") == F.col("block_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & ratio & near)
     return met.select("a", "b").distinct()
 
 
+def _round(now: DataFrame, reps: DataFrame, leaders: int, turn: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The pairs (a, b) of members with their buckets' leaders, the buckets' rows without the leaders, and whether there are any.
+
+    now: bucket, node, comp, n, odd.  Buckets of one component are done.
+    """
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
+    heads = now.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("node"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    heads = staged(heads, "leaders")
+    mixed = staged(heads.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("lo != hi"), "mixed-buckets")
+    lead = heads.select("bucket", "node").join(mixed.select("bucket"), "bucket").join(reps, "node")
+    lead = lead.groupBy("bucket").agg(F.collect_list(F.struct("node", "comp", "n", "odd")).alias("leads"))
+    met = salted_join(now, lead, ["bucket"], hot_keys(mixed, ["bucket"]), F.xxhash64("node"))
+    may = F.filter("leads", lambda x: (x["comp"] != F.col("comp")) & _alike(F.col("n"), F.col("odd"), x["n"], x["odd"], percent))
+    met = staged(met.select("bucket", "node", "n", "odd", F.transform(may, lambda x: x["node"]).alias("asked"), F.exists("leads", lambda x: x["node"] == F.col("node")).alias("leads")), "round")
+    pairs = met.select("node", F.explode("asked").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), met.filter("NOT leads").select("bucket", "node", "n", "odd"), not mixed.isEmpty()
+
+
+def _representatives(sig: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Classes of equal sets, their representatives, ids of several rows, and links between the classes of one id."""
+    classes = sig.filter("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.min_by(F.struct("n_shingles", "odd", "bands"), "doc_id").alias("rep"))
+    classes = staged(classes, "classes")
+    reps = classes.filter("node IS NOT NULL").select("node", F.col("rep.n_shingles").alias("n"), "rep.odd", "rep.bands")
+    again = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set1", "set2")).alias("lo"), F.max(F.struct("set1", "set2")).alias("hi"), F.count("*").alias("n")).filter("n > 1")
+    again = staged(again, "repeated-ids")
+    if again.isEmpty():
+        return classes, reps, None, None
+    several, hot = again.filter("lo != hi"), hot_keys(again, ["doc_id"])
+    own = salted_join(sig.select("doc_id", "set1", "set2"), several.select("doc_id"), ["doc_id"], hot, F.xxhash64("set1"))
+    own = salted_join(own, classes.select("set1", "set2", "node"), ["set1", "set2"], hot_keys(classes, ["set1", "set2"]), F.xxhash64("doc_id")).select("doc_id", "node").distinct()
+    own = staged(own, "classes-of-ids")
+    same = salted_join(own, own.groupBy("doc_id").agg(F.min("node").alias("a")), ["doc_id"], hot, F.xxhash64("node"))
+    return classes, reps, again.select("doc_id"), staged(same.select("a", F.col("node").alias("b")).filter("a != b").distinct(), "same-document")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = len(LEADERS), percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; documents are linked from a similarity of ``percent`` (1 to 100) on."""
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return _near_duplicates(docs, id_col, text_col, rounds, percent)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS), scratch(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, rounds, percent).drop("set1", "set2")
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, rounds: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
-    sig = staged(signatures(docs, id_col, text_col, bands_for(percent)), "signatures")
-    classes = sig.filter("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"))
-    classes = staged(classes, "classes")
-    # a document of several rows may stand for several classes; they are one node
-    reps = sig.join(classes.withColumn("doc_id", F.col("node")), ["set1", "set2", "doc_id"]).select("node", F.col("n_shingles").alias("n"), "odd", "bands", "set1", "set2")
-    reps = staged(reps.dropDuplicates(["node", "set1", "set2"]), "representatives")
-    twice = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set1", "set2")).alias("lo"), F.max(F.struct("set1", "set2")).alias("hi")).filter("lo != hi").select("doc_id")
-    own = sig.join(twice, "doc_id").join(classes, ["set1", "set2"]).select("doc_id", "node")
-    same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a != b").distinct()
-    same = staged(same, "same-document")
-    keyed = reps.select("node", "n", "odd", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("bucket")
-    inside = staged(keyed.join(shared, "bucket"), "buckets")
-    members = inside.select("node").union(same.select("a")).union(same.select("b")).distinct()
-
-    name, parts = f"near_dup_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(members, "node", "left_semi")
-    texts.repartition(parts, "node").write.bucketBy(parts, "node").sortBy("node").saveAsTable(name)
-    texts = spark.table(name)
-
-    labels = members.withColumn("comp", F.col("node"))
-    compared = None
+    sig = staged(signatures(docs, id_col, text_col, bands_for(percent)), "signatures", keep=True)
+    classes, reps, again, same = _representatives(sig)
+    inside = reps.select("node", "n", "odd", F.explode("bands").alias("bucket"))
+    labels = compared = texts = None
     for turn, leaders in enumerate((*LEADERS[:rounds], 0)):
-        now = inside.join(labels, "node")
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-        now = staged(now.join(mixed, "bucket").select("bucket", "node", "comp", "n", "odd"), "round")
+        with_comp = lambda x: x.withColumn("comp", F.col("node")) if labels is None else x.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")  # noqa: B023, E731
+        now = with_comp(inside)
         if leaders:
-            lead = now.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders)).alias("part")).agg(F.min(F.struct("node", "comp", "n", "odd")).alias("lead"))
-            lead = staged(lead.select("bucket", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "comp", "n", "odd")]), "leaders")
-            pairs = now.join(lead, "bucket").filter((F.col("comp") != F.col("lead_comp")) & _alike("n", "odd", "lead_n", "lead_odd", percent))
-            pairs = pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
-            if compared is not None:
-                pairs = pairs.join(compared, ["a", "b"], "left_anti")
-            pairs = staged(pairs, "pairs")
-            compared = pairs if compared is None else compared.union(pairs)
-            # a leader has met its whole bucket
-            inside = now.drop("comp").join(lead.select("bucket", F.col("lead_node").alias("node")), ["bucket", "node"], "left_anti")
+            pairs, inside, more = _round(now, with_comp(reps.select("node", "n", "odd")), leaders, turn, percent)
+            if turn and not more:
+                break
+            nodes = inside.select("node").union(pairs.select("a")).union(pairs.select("b"))
         else:
-            pairs = _rest_pairs(now.select("bucket", "node", "comp").distinct(), texts, percent)
-            pairs = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
+            now = staged(now.select("bucket", "node", "comp"), "rest-buckets")
+            mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
+            mixed = staged(mixed, "rest-mixed")
+            if turn and mixed.isEmpty():
+                break
+            rest = salted_join(now, mixed.select("bucket"), ["bucket"], hot_keys(mixed, ["bucket"]), F.xxhash64("node")).select("node", "comp").distinct()
+            nodes = rest = staged(rest, "rest")
+        if texts is None:
+            texts = _texts(docs, id_col, text_col, nodes, again)
+        if not leaders:
+            pairs = _rest_pairs(rest, texts, percent)
+        pairs = staged(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = pairs if compared is None else compared.union(pairs)
         links = confirmed(pairs, texts, percent)
-        links = staged(links if turn else links.union(same), "links")
-        if links.isEmpty():
-            continue
-        of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))  # noqa: B023, E731
-        merged = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-        moved = components(merged)
-        labels = labels.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
-        labels = staged(labels, "labels")
-    spark.sql(f"DROP TABLE {name}")
-    found = classes.join(labels, "node", "left").select("set1", "set2", F.coalesce("comp", "node").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "set1", "set2").join(found, ["set1", "set2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        if not turn and same is not None:
+            links = links.union(same)
+        if labels is not None:
+            links = links.union(labels)
+        links = staged(links, "links")
+        if not links.isEmpty():
+            labels = staged(components(links), "labels")
+    found = classes.select("set1", "set2", "n", "node")
+    found = found.withColumnRenamed("node", "component_id") if labels is None else found.join(labels, "node", "left").select("set1", "set2", "n", F.coalesce("component", "node").alias("component_id"))
+    found = staged(found, "components", keep=True)
+    out = salted_join(sig.select("doc_id", "n_shingles", "set1", "set2"), found.drop("n"), ["set1", "set2"], hot_keys(found, ["set1", "set2"]), F.xxhash64("doc_id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set1", "set2")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, again: DataFrame | None) -> DataFrame:
+    """node, text of the documents that may be compared; each text of an id of several rows once."""
+    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(nodes.select("node").distinct(), "node", "left_semi")
+    if again is not None:
+        again = again.withColumnRenamed("doc_id", "node")
+        once = rows.join(again, "node", "left_semi").groupBy("node", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("node", "text")
+        rows = rows.join(again, "node", "left_anti").union(once)
+    return staged(rows, "texts")
+
+
+def _fingerprints(columns: list[str], text_col: str):
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(columns.index(text_col)).cast(pa.string())))
+            some = [i for i, x in enumerate(sets) if len(x)]
+            prints = np.zeros((2, len(sets)), np.int64)
+            for i in some:
+                one, two, _, _ = _signature_batch([sets[i]])
+                prints[:, i] = one.view(np.int64)[0], two.view(np.int64)[0]
+            none = np.array([not len(x) for x in sets])
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(p, mask=none) for p in prints)], ["row", "set1", "set2"])
+
+    return run
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: all but those whose component has a smaller id."""
-    found = near_duplicates(docs, id_col, text_col, percent=percent)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component: the rows whose id is their component's, null-safe."""
+    spark = docs.sparkSession
+    with arrow_rows(spark, BATCH_ROWS), scratch(spark):
+        found = _near_duplicates(docs, id_col, text_col, len(LEADERS), percent)
+        gone = staged(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "gone", keep=True)
+    named = gone.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(named, id_col, "left_anti").select(*docs.columns)
+    nameless = gone.filter("doc_id IS NULL").select("set1", "set2").distinct()
+    if nameless.isEmpty():
+        return kept
+    # rows without an id are told by their sets
+    schema = StructType([StructField("row", docs.schema), StructField("set1", LongType()), StructField("set2", LongType())])
+    rows = docs.filter(F.col(id_col).isNull()).mapInArrow(_fingerprints(docs.columns, text_col), schema)
+    return kept.filter(F.col(id_col).isNotNull()).union(rows.join(nameless, ["set1", "set2"], "left_anti").select("row.*"))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from noticeflow.llm import common
 from noticeflow.llm import near_dup as nd
 
 r = random.Random(11)
@@ -69,7 +70,9 @@ def test_matches_all_pairs(spark):
     assert {x.doc_id: x.n_shingles for x in got} == {i: len(shingles(t)) for i, t in rows}
 
 
-def test_a_large_group_and_a_bucket_of_many_components(spark):
+def test_a_large_group_and_a_bucket_of_many_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 10)  # large keys are dealt over salts
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 7)
     base = prose(200)
     rows = [(i, " ".join(edited(base, i % 4))) for i in range(1, 120)]
     shared = " ".join(prose(150))  # a passage in texts that are no copies of each other
@@ -127,3 +130,22 @@ def test_a_stage_links_from_80_percent(spark):
     assert {x.doc_id: x.component_id for x in found(spark, rows)} == {i: i for i, _ in rows}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x.doc_id for x in cp.without_near_copies(spark, docs, "").collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_rows_stay_as_kept_says(spark):
+    a, b = " ".join(prose(80)), " ".join(prose(80))
+    rows = [(5, a, "x"), (5, b, "y"), (7, b, "z"), (3, a, "w"), (3, a, "v"), (None, a, "n1"), (None, "own words of a row", "n2"), (None, None, "n3"), (8, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("set1", F.lit("clash")).withColumn("component_id", F.lit(0))
+    kept = nd.kept_documents(df)
+    assert kept.columns == df.columns and sorted(x.row for x in kept.collect()) == ["e", "n2", "n3", "v", "w"]
+    said = {(x.doc_id, x.component_id) for x in nd.near_duplicates(df).collect()}
+    assert {i for i, c in said if i == c} == {3, 8, None}
+
+
+def test_passages_in_texts_that_are_no_copies_hardly_meet(spark):
+    """A band of a common passage brings all texts into a bucket; their rarest shingles don't bring them together."""
+    passage = " ".join(prose(300))
+    rows = [(i, f"{passage} {' '.join(prose(200))}") for i in range(60)] + [(100 + i, f"{passage} {' '.join(['copied', *prose(3)])}") for i in range(6)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    pairs = nd._rest_pairs(texts.select("node", F.col("node").alias("comp")), texts, 85).collect()
+    assert {(x.a, x.b) for x in pairs} >= {(100 + i, 100 + j) for j in range(6) for i in range(j)} and len(pairs) < 40
