@@ -3,12 +3,14 @@
 Toxic documents go, one document of each near-duplicate group stays, benchmark
 passages are removed, sources are mixed to target weights, and each row gets
 its shard.  Every stage is written as Parquet to the cluster's shared folder
-and read again as the next one's input; all but the last keep the columns of
+and read again as the next one's input, after which it is deleted; all but the last keep the columns of
 documents.
 
 Defined cases are those of the operators.  A document of the mix that is taken
 twice stands twice; one of which more than half is benchmark text goes; an empty
-table passes through all stages; documents without labels are only scored.
+table passes through all stages; documents without labels are only scored;
+columns beside those of documents pass through all stages, whatever their names,
+but slot and shard, which the last one sets.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.llm import decontamination, mixing, near_dup, sharding, toxicity
-from noticeflow.llm.common import shared_dir, table
+from noticeflow.llm.common import delete, forget_later, scratch, shared_dir, table
 
 
 #: Similarity in percent from which the stage links documents; op4 has its own.
@@ -28,8 +30,9 @@ NEAR_PERCENT = 80
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under the threshold; labels are learnt as in op9."""
-    scored = toxicity.score(docs, toxicity.fitted(spark, sf_dir), score_col="__toxicity")
-    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    name = "toxicity" + "_" * max(map(len, docs.columns))  # no column of docs
+    scored = toxicity.score(docs, toxicity.fitted(spark, sf_dir), score_col=name)
+    return scored.filter(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +71,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}-{name}")
+        with scratch(spark, everything=True):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{k}-{name}")
+            docs = spark.read.schema(out.schema).parquet(f"{base}/{k}-{name}")
+        if k:
+            delete(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
+    forget_later(base)  # the result reads the last stage
     return docs
