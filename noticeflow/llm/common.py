@@ -52,6 +52,7 @@ def scratch(spark: SparkSession, everything: bool = False):
     finally:
         for path in _blocks.pop()[0]:
             delete(spark, path)
+        spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are gone
 
 
 def forget_later(path: str, keep: bool = True) -> None:
