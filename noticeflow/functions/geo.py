@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -60,3 +60,47 @@ def ring_centroid(ring: Column) -> Column:
     )
     flat = (F.size(ring) < 3) | (F.abs(sums["area"]) < 1e-15)
     return F.when(flat, F.try_element_at(ring, F.lit(1))).otherwise(F.struct((sums["lat"] / (sums["area"] * 3)).alias("lat"), (sums["lon"] / (sums["area"] * 3)).alias("lon")))
+
+
+def _edges(ring: Column) -> Column:
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def crossings(ring: Column, lat: Column) -> Column:
+    """Longitudes, in order, at which an open ring's edges cross a latitude."""
+    cross = F.filter(_edges(ring), lambda e: (e["a"]["lat"] > lat) != (e["b"]["lat"] > lat))
+    return F.array_sort(F.transform(cross, lambda e: e["a"]["lon"] + (lat - e["a"]["lat"]) * (e["b"]["lon"] - e["a"]["lon"]) / (e["b"]["lat"] - e["a"]["lat"])))
+
+
+def in_ring(ring: Column, lat: Column, lon: Column) -> Column:
+    """An odd number of edges lies to the west."""
+    return F.size(F.filter(crossings(ring, lat), lambda x: x < lon)) % 2 == 1
+
+
+def worked_out(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is worked out once for each row, however often later ones use it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_interior_point(rows: DataFrame, ring: str, name: str) -> DataFrame:
+    """``rows`` with struct(lat, lon): the centroid of an open ring where it lies inside, else the middle of the widest stretch of its latitude inside the ring."""
+    own = rows.columns
+    rows = worked_out(worked_out(rows, ring_centroid(F.col(ring)), "__at"), F.size(ring), "__n")
+    rows = worked_out(rows, crossings(F.col(ring), F.col("__at.lat")), "__xs")
+    xs, odd = F.col("__xs"), F.sequence(F.lit(1), F.greatest(F.size("__xs") - 1, F.lit(1)), F.lit(2))
+    spans = F.transform(odd, lambda i: F.struct((F.try_element_at(xs, i + 1) - F.try_element_at(xs, i)).alias("width"), ((F.try_element_at(xs, i + 1) + F.try_element_at(xs, i)) / 2).alias("lon")))
+    inside = (F.size(xs) < 2) | (F.size(F.filter(xs, lambda x: x < F.col("__at.lon"))) % 2 == 1)
+    rows = worked_out(rows, F.array_max(spans)["lon"], "__lon")
+    return worked_out(rows, F.when(inside, F.col("__at")).otherwise(F.struct(F.col("__at.lat").alias("lat"), F.col("__lon").alias("lon"))), name).select(*own, name)
+
+
+def band(metres: Column) -> Column:
+    """How near a landmark is."""
+    return F.when(metres <= 60.0, "adjacent").when(metres <= 150.0, "near").otherwise("in the area")
+
+
+def usable_point(lat: Column, lon: Column, bounds: tuple[float, float, float, float] = (-90.0, 90.0, -180.0, 180.0)) -> Column:
+    """Finite and inside (south, north, west, east)."""
+    ok = lambda c, lo, hi: c.isNotNull() & ~F.isnan(c) & c.between(lo, hi)
+    return F.coalesce(ok(lat.cast("double"), *bounds[:2]) & ok(lon.cast("double"), *bounds[2:]), F.lit(False))

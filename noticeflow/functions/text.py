@@ -36,27 +36,46 @@ def minutes_or_null(text: Column) -> Column:
 
 def phrase_text(text: Column) -> Column:
     """ASCII letters and digits in lower case, one space between and around."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), " "), lambda w: w != "")
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def distinctive_words(text: Column) -> Column:
     """Distinct words of four letters or more that are neither numbers nor common, sorted."""
-    keep = F.filter(F.array_distinct(words(text)), lambda w: (F.length(w) >= 4) & ~w.rlike("^[0-9]+$"))
-    return F.array_sort(F.array_except(keep, F.array(*map(F.lit, S.COMMON_WORDS))))
+    found = F.array_distinct(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{4,}"), 0))
+    return F.array_sort(F.filter(F.array_except(found, F.array(*map(F.lit, S.COMMON_WORDS))), lambda w: ~w.rlike("^[0-9]+$")))
 
 
-def redact(text: Column) -> Column:
-    """Without user information in addresses, bearer tokens, secret assignments and e-mail addresses; the order matters."""
+def redact(text: Column, limit: int = S.SAFE_TEXT_CHARS) -> Column:
+    """Without user information in addresses, bearer tokens, secret assignments and e-mail addresses, at most ``limit`` characters; the order matters."""
     out = F.trim(F.regexp_replace(text, r"[ \t\r\n\f\x0B]+", " "))
-    out = F.regexp_replace(out, r"(?i)\b([a-z][a-z0-9+.-]*://)[^\s/@:]+:[^\s/@]+@", "$1[redacted]@")
+    out = F.regexp_replace(out, S.USER_INFO, "$1[redacted]@")
     out = F.regexp_replace(out, r"(?i)\bauthorization\s*[:=]\s*bearer\s+[^\s,;]+", "Authorization: Bearer [redacted]")
-    out = F.regexp_replace(out, r"(?i)\b(access[_-]?token|api[_-]?key|credential|password|secret|token)\b\s*[=:]\s*[^\s,;]+", "[redacted]")
-    out = F.regexp_replace(out, r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[redacted-email]")
-    return F.nullif(out, F.lit(""))
+    out = F.regexp_replace(out, r"(?i)\bbearer\s+(?!\[redacted\])[^\s,;]+", "Bearer [redacted]")
+    out = F.regexp_replace(F.regexp_replace(out, S.ASSIGNMENT, "[redacted]"), S.EMAIL, "[redacted-email]")
+    return F.nullif(F.substring(out, 1, limit), F.lit(""))
+
+
+def without_emails(text: Column, shown: str = "[email removed]") -> Column:
+    return F.regexp_replace(text, S.EMAIL, shown)
+
+
+#: Letters with an accent and the letters without, from the characters' decompositions.
+_ACCENTED = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and all(map(unicodedata.combining, d[1:]))}
+
+
+def plain_letters(text: Column) -> Column:
+    """In lower case without accents: of Latin letters, and marks of their own of any script."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{M}+", "")
+    return F.lower(F.translate(out, "".join(_ACCENTED), "".join(_ACCENTED.values())))
+
+
+def fold(text: Column) -> Column:
+    """Without accents and punctuation, in lower case, one space between words."""
+    return F.trim(F.regexp_replace(plain_letters(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def clipped(text: Column, limit: int) -> Column:
@@ -109,20 +128,18 @@ def plain_text(page: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-def folded(text: str | None) -> str:
-    """Without accents and punctuation, in lower case, one space between words."""
-    out = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).lower()
-    return " ".join(re.sub(r"[^\w\s]", " ", out).split())
-
-
-def similarity(current: str, prior: str) -> float:
-    """Of two folded texts, from 0 to 1; lengths that differ much give their ratio."""
+def similarity(current: str, prior: str, least: float = 0.0) -> float:
+    """Of two folded texts, from 0 to 1; lengths that differ much give their ratio, and bounds below ``least`` stand for the ratio."""
     if not current or not prior:
         return 0.0
     if current == prior:
         return 1.0
     ratio = min(len(current), len(prior)) / max(len(current), len(prior))
-    return ratio if ratio < S.LENGTH_RATIO else difflib.SequenceMatcher(None, current, prior).ratio()
+    if ratio < S.LENGTH_RATIO:
+        return ratio
+    matcher = difflib.SequenceMatcher(None, current, prior)
+    bound = matcher.quick_ratio()  # never below the ratio
+    return bound if bound < least else matcher.ratio()
 
 
 def spelling_only(removed, added) -> bool:
@@ -135,16 +152,102 @@ def html_to_text(page: pd.Series) -> pd.Series:
     return page.map(plain_text)
 
 
-@F.pandas_udf(StringType())
-def fold(text: pd.Series) -> pd.Series:
-    return text.map(folded)
-
-
 @F.pandas_udf(DoubleType())
 def body_similarity(current: pd.Series, prior: pd.Series) -> pd.Series:
-    return pd.Series([similarity(a or "", b or "") for a, b in zip(current, prior, strict=True)], dtype=float)
+    return pd.Series([similarity(a or "", b or "", S.CHANGED) for a, b in zip(current, prior, strict=True)], dtype=float)
 
 
 @F.pandas_udf(BooleanType())
 def is_spelling_only(removed: pd.Series, added: pd.Series) -> pd.Series:
     return pd.Series([spelling_only(r, a) for r, a in zip(removed, added, strict=True)], dtype=bool)
+
+
+# ---- small text rules of a digest ----
+
+
+def squeezed(text: Column) -> Column:
+    """White space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def repaired_link(raw: Column, host: str = "https://example.org") -> Column:
+    """A usable absolute address, or null: white space and trailing punctuation go, hosts without a scheme get one, and other schemes and anchors are refused."""
+    out = F.regexp_replace(F.regexp_replace(raw, " ", " "), r"(?i)^(?:\s|&nbsp;)+|\s+$", "")
+    out = F.regexp_replace(out, "[.,;]+$", "")
+    return (
+        F.when(F.coalesce(out, F.lit("")).rlike("^(?:#.*)?$"), F.lit(None))
+        .when(out.rlike("(?i)^(?:https?://|mailto:|tel:)"), out)
+        .when(out.rlike(r"(?i)^[a-z][a-z0-9+.-]*:(?!\d)"), F.lit(None))
+        .when(out.startswith("//"), F.concat(F.lit("https:"), out))
+        .when(out.startswith("/"), F.concat(F.lit(host), out))
+        .when(out.rlike(r"(?i)^[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:[/?#]|$)"), F.concat(F.lit("https://"), out))
+    )
+
+
+def kept_style(style: Column, allowed: tuple[str, ...]) -> Column:
+    """The allowed declarations of a style attribute without active content, as name:value."""
+    parts = F.split(F.coalesce(style, F.lit("")), ";")
+    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("name"), F.trim(F.regexp_extract(p, "^[^:]*:(.*)$", 1)).alias("value")))
+    good = F.filter(pairs, lambda p: p["name"].isin(*allowed) & (p["value"] != "") & ~p["value"].rlike(r"(?i)expression\s*\(|url\s*\(|javascript:|@import|behavior|-moz-binding"))
+    return F.array_join(F.transform(good, lambda p: F.concat(p["name"], F.lit(":"), p["value"])), ";")
+
+
+def title_case(label: Column) -> Column:
+    """First letters in upper case but for small words after the first."""
+    word = lambda w, i: F.when(w.isin("q&a", "q&as"), F.upper(w)).when((i > 0) & w.isin(*S.SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1)))
+    return F.array_join(F.transform(F.filter(F.split(squeezed(label), " "), lambda w: w != ""), word), " ")
+
+
+def without_brackets(value: Column) -> Column:
+    return F.regexp_replace(squeezed(F.regexp_replace(value, r"\([^)]*\)", " ")), r"^[ ,;:-]+|[ ,;:-]+$", "")
+
+
+def person_line(name: Column, department: Column, job_title: Column, email: Column, phone: Column) -> Column:
+    """A published contact in one line; null if nothing is known."""
+    some = lambda sep, *cols: F.nullif(F.concat_ws(sep, *[F.nullif(c, F.lit("")) for c in cols]), F.lit(""))
+    return some(" — ", F.nullif(name, F.lit("")), some(", ", job_title, department), some(" · ", email, phone))
+
+
+def fingerprint(text: Column, length: int = 12) -> Column:
+    return F.substring(F.sha2(text, 256), 1, length)
+
+
+def clock(minutes: Column) -> Column:
+    """Minutes after midnight as a time of twelve hours."""
+    hour = F.floor(minutes / 60).cast("int")
+    return F.format_string("%d:%02d %s", (hour + 11) % 12 + 1, (minutes % 60).cast("int"), F.when(hour < 12, "a.m.").otherwise("p.m."))
+
+
+def clamped(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
+    """Null stays null."""
+    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
+
+
+def at_least(confidence: Column, minimum: Column) -> Column:
+    """low, medium and high in this order; other words are below all."""
+    order = F.array(*map(F.lit, ("low", "medium", "high")))
+    return F.array_position(order, F.coalesce(confidence, F.lit(""))) >= F.array_position(order, minimum)
+
+
+def accepted_title(raw: Column, source: Column) -> Column:
+    """A suggested title of which every word stands in the source; null if it has a new one, a date, an address or is too long."""
+    title = squeezed(raw)
+    words_of = lambda t: F.filter(F.array_distinct(F.regexp_extract_all(lower_ascii(F.coalesce(t, F.lit(""))), F.lit("[a-z0-9]+"), 0)), lambda w: ~w.isin(*S.SMALL_WORDS, "in", "on", "at", "from", "by") & ~w.rlike("^[0-9]+$"))
+    bad = (title == "") | (F.length(title) > 120) | lower_ascii(title).rlike(r"http|://|@|\b\d{1,2}[/-]\d{1,2}\b|\b(19|20)\d{2}\b") | (F.size(F.array_except(words_of(title), words_of(source))) > 0)
+    return F.when(~bad, title)
+
+
+def record_hash(record: Column, fields: list[str], dates: Column) -> Column:
+    """One digest of a record's fields and its sorted dates; null and empty differ."""
+    return content_hash([*[record[f] for f in fields], F.array_join(F.transform(F.array_sort(dates), lambda d: d.cast("string")), ",")])
+
+
+def instant(text: Column) -> Column:
+    """A stored timestamp; one without a zone is UTC."""
+    zoned = F.when(text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return zoned.try_cast("timestamp")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds, never below zero; null if either is."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.greatest(F.lit(0), F.unix_timestamp(end) - F.unix_timestamp(start)))

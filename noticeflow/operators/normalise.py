@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import ranking
 
+PEOPLE = {"SubmittedBy": "submitted_by", "ApprovedBy": "approved_by", "Contact": "contact"}
+PERSON = {"Name": "name", "Department": "department", "JobTitle": "job_title", "Email": "email", "Phone": "phone"}
 LABELS = {"Both": "Everyone", "Employees": "Employees only", "Students": "Students only"}
 
 
@@ -38,13 +40,13 @@ def normalised(raw: DataFrame, target: Column) -> DataFrame:
     event = F.coalesce(s("Event"), F.lit(False))
     return rows.select(
         s("Id").try_cast("bigint").alias("submission_id"), blank("Title").alias("title"), blank("Audience").alias("source_audience"), s("Category").alias("category_id"), blank("SubmittedStatus").alias("submitted_status"),
-        blank("SubmittedByEmail").alias("submitted_by_email"), blank("ContactName").alias("contact_name"), blank("ContactPhone").alias("contact_phone"),
+        *[blank(f"{who}{'RowanEmail' if who == 'Contact' and what == 'Email' else what}").alias(f"{name}_{field}") for who, name in PEOPLE.items() for what, field in PERSON.items()], blank("UpdatedByName").alias("updated_by_name"),
         s("SubmittedDate").try_cast("timestamp").alias("submitted_date"), s("ApprovedDate").try_cast("timestamp").alias("approved_date"), s("UpdatedDate").try_cast("timestamp").alias("updated_date"),
         event.alias("is_event"), F.when(event, blank("EventName")).alias("event_name"), T.date_or_null(s("EventDate")).alias("event_date"), T.minutes_or_null(s("EventStartTime")).alias("event_start_min"),
         T.minutes_or_null(s("EventEndTime")).alias("event_end_min"), blank("EventLocation").alias("event_location"), F.coalesce(s("EventNoEnd"), F.lit(False)).alias("event_no_end"),
         F.coalesce(s("ExtraEdition"), F.lit(False)).alias("extra_edition"), F.col("FullBody").alias("full_body"), F.col("ShortBody").alias("short_body"), T.html_to_text("FullBody").alias("body_text"),
         "distribution_dates", F.array_min("distribution_dates").alias("first_distribution_date"), ranking.status(F.col("distribution_dates"), target).alias("status"), label(blank("Audience")).alias("audience_label"),
-        F.struct(F.col("Category.Id").alias("id"), F.col("Category.Title").alias("title"), F.col("Category.Rank").alias("rank"), F.col("Category.Is_Active").alias("is_active"), F.col("Category.Color").alias("color")).alias("category"),
+        F.struct(F.col("Category.Id").alias("id"), F.col("Category.Title").alias("title"), F.col("Category.Rank").alias("rank"), F.col("Category.Is_Active").alias("is_active"), F.col("Category.RestrictSubmitting").alias("restrict_submitting"), F.col("Category.Color").alias("color"), F.col("Category.ApprovalProcess").alias("approval_process")).alias("category"),
         body_metrics(F.col("FullBody")).alias("body_diagnostics"), "source_view",
     )
 

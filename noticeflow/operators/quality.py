@@ -68,17 +68,47 @@ def forbidden_fields(schema: StructType, names: tuple[str, ...] = S.FORBIDDEN_KE
     return found
 
 
-def announcement_gates(records: DataFrame, categories: DataFrame, total: int, target_date: str, audience: str) -> DataFrame:
-    """The gates of one audience's normalised records in one pass for row rules, plus the aggregate ones."""
+def announcement_gates(records: DataFrame, categories: DataFrame, total: int, target_date: str, audience: str, page_size: int | None = None) -> DataFrame:
+    """The gates of one audience's normalised records; what is null where a value is needed is bad."""
     known = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("known")).distinct()
     rows = records.join(known, "category_id", "left")
-    count = records.agg(F.countDistinct("submission_id").alias("n"))
-    return gates(
-        count.select(F.lit("V2 complete").alias("rule"), F.lit(audience).alias("scope"), (F.col("n") == total).alias("ok"), F.abs(F.col("n") - total).alias("detail")),
-        gate(rows, "V4 audience", ~F.col("source_audience").isin(audience, "Both"), audience),
-        gate(rows, "V5 date", ~F.array_contains("distribution_dates", F.lit(target_date).cast("date")), audience),
+    count = records.agg(F.countDistinct("submission_id").alias("n"), F.count("*").alias("rows"))
+    bad = lambda good: ~F.coalesce(good, F.lit(False))
+    day = F.lit(target_date).cast("date")
+    one = lambda rule, ok, detail: count.select(F.lit(rule).alias("rule"), F.lit(audience).alias("scope"), ok.alias("ok"), detail.cast("bigint").alias("detail"))
+    parts = [
+        one("V2 complete", F.col("n") == total, F.abs(F.col("n") - total)),
+        gate(rows, "V4 audience", bad(F.col("source_audience").isin(audience, "Both")), audience),
+        gate(rows, "V5 date", bad(F.array_contains("distribution_dates", day)), audience),
         gate(duplicates(records, "submission_id"), "V6 unique", F.lit(True), audience),
-        gate(rows, "V6 positive", F.coalesce(F.col("submission_id") <= 0, F.lit(True)), audience),
-        gate(rows, "V7 required", F.col("title").isNull() | F.col("full_body").isNull(), audience),
-        gate(rows, "V7 category", F.col("category_id").isNotNull() & F.col("known").isNull(), audience),
-    )
+        gate(rows, "V6 positive", bad(F.col("submission_id") > 0), audience),
+        gate(rows, "V7 required", bad((F.trim("title") != "") & (F.trim("full_body") != "") & (F.size("distribution_dates") > 0)), audience),
+        gate(rows, "V7 approved", bad(F.col("submitted_status") == "Approved"), audience),
+        gate(rows, "V7 category", F.col("known").isNull(), audience),
+    ]
+    if page_size is not None:  # one full page of a larger total is a cut list
+        cut = (F.col("rows") == page_size) & F.lit(total > page_size)
+        parts.insert(1, one("V3 whole", ~cut, F.when(cut, total - page_size).otherwise(0)))
+    return gates(*parts)
+
+
+def soft_warnings(records: DataFrame) -> DataFrame:
+    """(submission_id, warning) of records that pass but lack something a reader would look for."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    event = F.coalesce("is_event", F.lit(False))
+    found = F.array_compact(F.array(
+        F.when(empty("contact_email"), "no contact email"), F.when(event & empty("event_name"), "event without a name"), F.when(event & F.col("event_date").isNull(), "event without a date"),
+    ))
+    return records.select("submission_id", F.explode(found).alias("warning"))
+
+
+def rejected_records(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break a rule, with the rules' names in order; a rule that is null is broken."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
+    return rows.withColumn("broken", broken).filter(F.size("broken") > 0)
+
+
+def clean_payload(text: Column, names: tuple[str, ...] = S.FORBIDDEN_KEYS) -> Column:
+    """No forbidden key, e-mail address or data URI in a JSON text."""
+    keys = "|".join(names)
+    return ~F.coalesce(text.rlike(rf'"(?:{keys})"\s*:') | text.rlike(S.EMAIL) | text.rlike("(?i)data:[a-z]+/"), F.lit(False))

@@ -50,8 +50,9 @@ def rank_standing(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def best_candidate(pairs: DataFrame, key: str, score: str, match: str) -> DataFrame:
     """Each key's candidate of the highest score, the smallest id among equals."""
-    w = Window.partitionBy(key).orderBy(F.desc(score), F.asc(match))
-    return pairs.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    rest = [c for c in pairs.columns if c != key]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(score), -F.col(match)))
+    return pairs.groupBy(key).agg(best.alias("r")).select(key, "r.*").select(*pairs.columns)
 
 
 def _sum(text: Column, signals: dict[str, float], scale: float = 1.0) -> Column:
@@ -63,20 +64,26 @@ def _graded(identity: Column, purpose: Column, signals: dict[str, float]) -> Col
     return sum((F.when(F.instr(identity, f" {p} ") > 0, w).when(F.instr(purpose, f" {p} ") > 0, w * S.PURPOSE_WEIGHT).otherwise(0.0) for p, w in signals.items()), F.lit(0.0))
 
 
-def relevance(title: Column, body: Column, audience: Column, category_weight: Column) -> Column:
-    """A score from 0 to 1 with capped parts; phrases below the opening can move it a little only."""
+def with_relevance(rows: DataFrame, title: Column, body: Column, audience: Column, category: Column, name: str = "score") -> DataFrame:
+    """``rows`` with a score from 0 to 1 of capped parts; phrases below the opening can move it a little only.
+
+    The three texts are folded once, in columns of their own.
+    """
     body = F.coalesce(body, F.lit(""))
-    identity, purpose, rest = T.phrase_text(title), T.phrase_text(F.substring(body, 1, S.PURPOSE_CHARS)), T.phrase_text(F.substring(body, S.PURPOSE_CHARS + 1, 2**31 - 1))
+    texts = {"__identity": T.phrase_text(title), "__purpose": T.phrase_text(F.substring(body, 1, S.PURPOSE_CHARS)), "__rest": T.phrase_text(F.substring(body, S.PURPOSE_CHARS + 1, 2**31 - 1))}
+    identity, purpose, rest = map(F.col, texts)
+    lookup = lambda table, key: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(0.0))
     topic = _sum(identity, S.IDENTITY_SIGNALS) + _graded(identity, purpose, S.TOPIC_SIGNALS)
-    routine = _graded(identity, purpose, S.ROUTINE_SIGNALS)
-    by_audience = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in S.AUDIENCE_WEIGHTS.items() for x in kv]), audience), F.lit(0.0))
-    breadth = by_audience + F.when((audience == "Both") & (routine == 0), S.BROAD_BONUS).otherwise(0.0) + _graded(identity, purpose, S.BREADTH_SIGNALS)
-    detail = _sum(rest, S.TOPIC_SIGNALS, S.BODY_WEIGHT) - _sum(rest, S.ROUTINE_SIGNALS, S.BODY_WEIGHT)
+    rows = rows.withColumns({**texts, "__audience": audience, "__category": lookup(S.CATEGORY_WEIGHTS, category)})
+    rows = rows.withColumns({"__topic": topic, "__routine": _graded(identity, purpose, S.ROUTINE_SIGNALS), "__detail": _sum(rest, S.TOPIC_SIGNALS, S.BODY_WEIGHT) - _sum(rest, S.ROUTINE_SIGNALS, S.BODY_WEIGHT)})
+    both = (F.col("__audience") == "Both") & (F.col("__routine") == 0)
+    breadth = lookup(S.AUDIENCE_WEIGHTS, F.col("__audience")) + F.when(both, S.BROAD_BONUS).otherwise(0.0) + _graded(identity, purpose, S.BREADTH_SIGNALS)
     score = (
-        S.RELEVANCE_BASE + F.least(topic, F.lit(S.TOPIC_CAP)) + F.greatest(-routine, F.lit(S.ROUTINE_CAP)) + F.least(breadth, F.lit(S.BREADTH_CAP))
-        + F.coalesce(category_weight, F.lit(0.0)) + F.greatest(F.lit(-S.BODY_CAP), F.least(F.lit(S.BODY_CAP), detail))
+        S.RELEVANCE_BASE + F.least("__topic", F.lit(S.TOPIC_CAP)) + F.greatest(-F.col("__routine"), F.lit(S.ROUTINE_CAP)) + F.least(breadth, F.lit(S.BREADTH_CAP))
+        + F.col("__category") + F.greatest(F.lit(-S.BODY_CAP), F.least(F.lit(S.BODY_CAP), F.col("__detail")))
     )
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+    out = rows.withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+    return out.drop(*texts, "__audience", "__category", "__topic", "__routine", "__detail")
 
 
 def offered(rows: DataFrame, group: list[str], order: list[str], threshold: float = S.RELEVANCE_THRESHOLD, most: int = S.MAX_ACTIONS) -> DataFrame:

@@ -2,54 +2,116 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..functions import sessions
 from ..functions import text as T
-from .ranking import best_candidate
 
 _SAME = ("title_key", "category_id", "source_audience", "is_event")
+_FIELDS = (*_SAME, "event_date", "event_start_min", "urls", "own_words", "days", "contact_email", "submitted_by_email", "body_hash", "body_chars")
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """Folded title and body, distinctive words and links, once for each row."""
-    out = rows.withColumn("title_key", T.fold("title")).withColumn("body_key", T.fold("body_text"))
+    """Folded title and body, distinctive words, links and named days, once for each row."""
+    out = rows.withColumn("title_key", T.fold(F.col("title"))).withColumn("body_key", T.fold(F.col("body_text")))
     urls = F.transform(T.links(F.col("full_body")), lambda u: F.regexp_replace(u, "/+$", ""))
-    return out.withColumn("urls", F.array_sort(F.array_distinct(F.filter(urls, lambda u: F.lower(u).rlike("^https?://"))))).withColumn("own_words", T.distinctive_words(F.col("body_key")))
+    return out.withColumns({
+        "urls": F.array_sort(F.array_distinct(F.filter(urls, lambda u: F.lower(u).rlike("^https?://")))), "own_words": T.distinctive_words(F.col("body_key")),
+        "days": sessions.date_tokens(F.col("body_text")), "body_hash": F.md5("body_key"), "body_chars": F.length("body_key"), "is_event": F.coalesce("is_event", F.lit(False)),
+    })
 
 
-def find_repeats(current: DataFrame, prior: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class of equal compared fields; the classes with their two smallest ids; the classes' bodies."""
+    rows = prepared(rows).filter("title_key != '' AND body_key != ''").withColumn("class", F.md5(F.to_json(F.struct(*_FIELDS), {"ignoreNullFields": "false"})))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("submission_id"))).filter("n <= 2")
+    classes = first.groupBy("class").agg(F.array_sort(F.collect_list("submission_id")).alias("ids"), *[F.min_by(c, "n").alias(c) for c in _FIELDS])
+    return rows.select("submission_id", "class"), classes, first.filter("n = 1").select("class", "body_key")
+
+
+def _length_band(chars: Column) -> Column:
+    """Texts of a ratio of lengths that a match can have lie in one band or in neighbours."""
+    return F.floor(F.log(chars.cast("double")) / -F.log(F.lit(S.LENGTH_RATIO)))
+
+
+def find_repeats(current: DataFrame, prior: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
     """Each current id's best prior id with method, confidence and similarity.
 
-    Pairs meet on title, category, audience and event status, null-safe; all
-    further requirements are vetoes.  Long texts travel once, the pairs carry
-    what the comparison needs.
+    Only rows whose ``source_status`` (where there is such a column) is New are
+    looked at, and only priors with a delivered day: ``delivered`` holds their
+    submission_id.  Rows that agree in all compared fields are one class, so copies
+    are compared once.  Classes meet on title, category, audience, event status
+    and a band of lengths, without their bodies; vetoes come first: the event's
+    time, and the days that both bodies name.  Bodies join for the pairs that
+    are left, and a bound on their similarity comes before the similarity itself.
     """
-    keep = ["submission_id", *_SAME, "event_date", "event_start_min", "body_key", "urls", "own_words", "contact_email", "submitted_by_email"]
-    c, p = (prepared(x).select(*keep) for x in (current, prior))
-    p = p.select(*[F.col(x).alias(f"p_{x}") for x in keep])
-    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in _SAME] + [F.col("submission_id") != F.col("p_submission_id"), F.col("title_key") != ""]
-    once = ~F.coalesce("is_event", F.lit(False)) | (F.col("event_date").eqNullSafe(F.col("p_event_date")) & F.col("event_start_min").eqNullSafe(F.col("p_event_start_min")))
-    near = F.least(F.length("body_key"), F.length("p_body_key")) >= F.greatest(F.length("body_key"), F.length("p_body_key")) * S.LENGTH_RATIO
-    pairs = c.join(p, on).filter(once & near).withColumn("similarity", T.body_similarity("body_key", "p_body_key")).filter(F.col("similarity") >= S.CHANGED)
-    removed, gained = F.array_except("p_own_words", "own_words"), F.array_except("own_words", "p_own_words")
+    if "source_status" in current.columns:
+        current = current.filter("source_status = 'New'")
+    if delivered is not None:
+        prior = prior.join(delivered.select("submission_id").distinct(), "submission_id", "left_semi")
+    rows, c, c_bodies = _classes(current)
+    _, p, p_bodies = _classes(prior)
+    p = p.select(*[F.col(x).alias(f"p_{x}") for x in p.columns])
+    c = c.withColumn("band", _length_band(F.col("body_chars")))
+    p = p.withColumn("p_band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: _length_band(F.col("p_body_chars")) + i)))
+    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in _SAME] + [F.col("band") == F.col("p_band")]
+    once = ~F.col("is_event") | (F.col("event_date").eqNullSafe(F.col("p_event_date")) & F.col("event_start_min").eqNullSafe(F.col("p_event_start_min")))
+    equal = F.col("body_hash") == F.col("p_body_hash")
+    days = equal | (F.size("days") == 0) | (F.size("p_days") == 0) | (F.col("days") == F.col("p_days"))
+    near = F.least("body_chars", "p_body_chars") >= F.greatest("body_chars", "p_body_chars") * S.LENGTH_RATIO
     urls, submitter, contact = F.col("urls") == F.col("p_urls"), F.col("submitted_by_email").eqNullSafe(F.col("p_submitted_by_email")), F.col("contact_email").eqNullSafe(F.col("p_contact_email"))
+    removed, gained = F.array_except("p_own_words", "own_words"), F.array_except("own_words", "p_own_words")
+    revised = submitter & contact & (F.size(removed) <= S.MAX_REMOVED_WORDS)
+    other = F.size(F.filter("p_ids", lambda i: ~F.array_contains("ids", i) | (F.size("ids") > 1))) > 0
+    pairs = c.join(p, on).filter(once & days & near & other & (urls | revised))
+    pairs = pairs.select("class", "p_class", "p_ids", equal.alias("equal"), urls.alias("same_urls"), submitter.alias("same_submitter"), revised.alias("revised"), removed.alias("removed"), gained.alias("gained"))
+    alike = pairs.filter("equal").withColumn("similarity", F.lit(1.0))
+    unlike = pairs.filter("NOT equal").join(c_bodies, "class").join(p_bodies.select(F.col("class").alias("p_class"), F.col("body_key").alias("p_body_key")), "p_class")
+    # comparing is the dear part: pairs are dealt over all tasks, however few classes they come from
+    unlike = unlike.repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class", "p_class")
+    unlike = unlike.withColumn("similarity", T.body_similarity("body_key", "p_body_key")).select(*alike.columns)
+    found = alike.unionByName(unlike).filter(F.col("similarity") >= S.CHANGED)
     method = (
-        F.when((F.col("similarity") >= S.IDENTICAL) & urls, "identical")
-        .when((F.col("similarity") >= S.NEAR_IDENTICAL) & urls & submitter, "near_identical")
-        .when(submitter & contact & (F.size(removed) <= S.MAX_REMOVED_WORDS), "changed")
+        F.when((F.col("similarity") >= S.IDENTICAL) & F.col("same_urls"), "identical")
+        .when((F.col("similarity") >= S.NEAR_IDENTICAL) & F.col("same_urls") & F.col("same_submitter"), "near_identical")
+        .when(F.col("revised"), "changed")
     )
-    pairs = pairs.withColumn("method", method).filter(F.col("method").isNotNull()).withColumn("spelling", T.is_spelling_only(removed, gained))
+    found = found.withColumn("method", method).filter(F.col("method").isNotNull())
+    spelling = F.when((F.size("removed") == 0), F.lit(True)).otherwise(T.is_spelling_only("removed", "gained"))
+    found = found.withColumn("materially_changed", (F.col("method") == "changed") | ((F.col("method") == "near_identical") & ~spelling))
+    # a row's own id is no match: the two best of a class leave one for each of its rows
+    found = found.select("class", "method", "similarity", "materially_changed", F.explode("p_ids").alias("match"))
+    best = Window.partitionBy("class").orderBy(F.desc("similarity"), "match")
+    found = found.withColumn("n", F.row_number().over(best)).filter("n <= 2")
+    out = rows.join(found, "class").filter("submission_id != match").groupBy("submission_id", "class").agg(F.min_by(F.struct("match", "method", "similarity", "materially_changed"), "n").alias("r"))
     table = F.create_map(*[F.lit(x) for kv in S.CONFIDENCE.items() for x in kv])
-    out = pairs.select(
-        "submission_id", F.col("p_submission_id").alias("matched_submission_id"), F.concat_ws("|", "title_key", F.coalesce(F.col("category_id").cast("string"), F.lit("")), F.coalesce("source_audience", F.lit(""))).alias("family_key"),
-        "method", F.element_at(table, F.col("method")).alias("confidence"), "similarity",
-        ((F.col("method") == "changed") | ((F.col("method") == "near_identical") & ~F.col("spelling"))).alias("materially_changed"),
+    key = F.concat_ws("|", "title_key", F.coalesce(F.col("category_id").cast("string"), F.lit("")), F.coalesce("source_audience", F.lit("")))
+    out = out.join(c.select("class", key.alias("family_key")), "class")
+    return out.select(
+        "submission_id", F.col("r.match").alias("matched_submission_id"), "family_key", F.col("r.method").alias("method"), F.element_at(table, F.col("r.method")).alias("confidence"),
+        F.col("r.similarity").alias("similarity"), F.col("r.materially_changed").alias("materially_changed"),
     )
-    return best_candidate(out, "submission_id", "similarity", "matched_submission_id")
 
 
 def families(members: DataFrame, key: str, member: str) -> DataFrame:
     """Each family's canonical (smallest) member and size."""
     return members.groupBy(key).agg(F.min(member).alias("canonical"), F.countDistinct(member).alias("member_count"))
+
+
+def member_index(members: DataFrame, daily: DataFrame, deliveries: DataFrame, key: str = "family_key", member: str = "submission_id") -> DataFrame:
+    """Every member of every family with its first and last delivered day (null: never sent) and whether it is the canonical one."""
+    sent = deliveries.filter("state = 'sent'").select("target_date").distinct()
+    seen = daily.join(sent, "target_date", "left_semi").groupBy(member).agg(F.min("target_date").alias("first_delivered_date"), F.max("target_date").alias("last_delivered_date"))
+    own = members.select(key, member).distinct()
+    canon = own.groupBy(key).agg(F.min(member).alias("__canonical"))
+    return own.join(canon, key).join(seen, member, "left").select(key, member, "first_delivered_date", "last_delivered_date", (F.col(member) == F.col("__canonical")).alias("is_canonical"))
+
+
+def applied(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """The day's rows with the status shown: a New one that was sent before is Standing, and changed if materially."""
+    m = matches.select("submission_id", F.lit(True).alias("__again"), F.col("materially_changed").alias("__changed"))
+    again = F.coalesce("__again", F.lit(False))
+    shown = F.when(again & (F.col("status") == "New"), "Standing").otherwise(F.col("status"))
+    return rows.join(m, "submission_id", "left").select(*[c for c in rows.columns if c != "changed"], shown.alias("display_status"), (F.coalesce("changed", F.lit(False)) | F.coalesce("__changed", F.lit(False))).alias("changed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import calendar, mentions
+from ..functions import calendar
 from ..operators import places
 from ..streaming import feeds
 from .registry import query, table
@@ -24,26 +24,6 @@ def day_windows(spark, d):
     return feeds.day_windows(table(spark, d, "events"), "ts", "event_type")
 
 
-_NOTICES = """VALUES (1, 'Park in Lot A-1 or the Maple Hall Parking Garage.', 'north'), (2, 'Lots B, C2 and D are closed; use Lot 7.', 'north'), (3, 'Enter from the Parking Garage.', 'south'),
-  (4, 'A lot of students came.', 'north'), (5, 'Meet at chestnut hall lot, Lot C2', 'south'), (6, NULL, 'south')"""
-_PLACES = """VALUES ('lot a 1', 'north', 'north:lot:a-1'), ('lot b', 'north', 'north:lot:b'), ('lot b', 'south', 'south:lot:b'), ('lot c 2', 'south', 'south:lot:c-2'), ('lot 7', 'east', 'east:lot:7'),
-  ('maple hall garage', 'north', 'north:garage:maple-hall'), ('chestnut hall lot', 'south', 'south:lot:chestnut-hall')"""
-
-
-@query("""
-SELECT * FROM (VALUES (1, 'Lot A-1', 'north:lot:a-1', 'resolved'), (1, 'Maple Hall Parking Garage', 'north:garage:maple-hall', 'resolved'), (2, 'Lot B', 'north:lot:b', 'resolved'), (2, 'Lot C2', 'south:lot:c-2', 'resolved'),
-  (2, 'Lot D', NULL, 'unknown'), (2, 'Lot 7', 'east:lot:7', 'resolved'), (3, 'the Parking Garage', NULL, 'unknown'), (5, 'Chestnut Hall Lot', 'south:lot:chestnut-hall', 'resolved'), (5, 'Lot C2', 'south:lot:c-2', 'resolved')
-) AS t(id, matched_text, place_id, reason)
-""")
-def mention_links(spark, d):
-    """Crafted notices: mentions, their first key that is known, and the campus that decides between places."""
-    notices = spark.sql(f"SELECT * FROM {_NOTICES} AS t(id, body, campus_hint)")
-    aliases = spark.sql(f"SELECT * FROM {_PLACES} AS t(alias, campus, place_id)")
-    found = notices.select("id", "campus_hint", F.posexplode(mentions.detector({"chestnut hall lot": "Chestnut Hall Lot"})("body")).alias("n", "m"))
-    found = found.select(F.concat_ws("-", "id", "n").alias("mention_id"), "id", "campus_hint", "m.matched_text", "m.lookup_keys")
-    return found.join(places.resolve(found, aliases), "mention_id").select("id", "matched_text", "place_id", "reason")
-
-
 @query("""
 WITH v AS (SELECT c_custkey AS id, lower(c_mktsegment) AS venue FROM customer),
 c AS (SELECT lower(c_mktsegment) AS venue, min(c_custkey) AS place FROM customer WHERE c_nationkey = 1 AND c_mktsegment < 'C' GROUP BY 1), l AS (SELECT lower(c_mktsegment) AS venue, min(c_custkey) AS place FROM customer WHERE c_nationkey = 2 AND c_mktsegment < 'H' GROUP BY 1)

@@ -10,14 +10,14 @@ from ..operators import places
 from .registry import query, table
 
 _LANDMARKS = """(VALUES ('a', 'Hall', 39.7100, -75.1200), ('a', 'Library', 39.7105, -75.1190), ('a', 'Gym', 39.7130, -75.1210), ('a', 'Far', 39.7300, -75.1200),
-  ('b', 'Hall', 39.9400, -75.1000), ('a', 'Arts', 39.7095, -75.1215), ('a', 'Union', 39.7102, -75.1199)) AS t(campus, name, lat, lon)"""
+  ('b', 'Hall', 39.9400, -75.1000), ('a', 'Arts', 39.7095, -75.1215), ('a', 'Union', 39.7102, -75.1199), ('a', 'North Gate', 39.7499, -75.12), ('a', 'South Gate', 39.7501, -75.12)) AS t(campus, name, lat, lon)"""
 
 
 @query("""
-SELECT p_name, min(p_brand) AS p_brand FROM part WHERE length(p_name) >= 6 GROUP BY 1 HAVING count(DISTINCT p_brand) = 1
+SELECT p_name || ' ' || p_size AS name, min(p_brand) AS p_brand FROM part WHERE length(p_name || ' ' || p_size) >= 6 GROUP BY 1 HAVING count(DISTINCT p_brand) = 1
 """)
 def unique_name_index(spark, d):
-    return places.unique_names(table(spark, d, "part").select("p_name", "p_brand"), "p_name", "p_brand", 6)
+    return places.unique_names(table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("name"), "p_brand"), "name", "p_brand", 6)
 
 
 @query("""

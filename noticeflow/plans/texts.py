@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions import sessions as sess
 from ..functions import text as T
 from ..operators import ranking, repeats, timeline
 from .registry import query, table
 
-_ASCII = r"trim(regexp_replace(lower(translate(text, 'ÉÈÊÇÀÂÎÔÛÄÖÜÑÍÓÁÚ', '                 ')), '[^a-z0-9]+', ' ', 'g'))"
-
-
-def _english(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'")
-
-
 @query(r"""
 SELECT digest, count(*)::BIGINT AS member_count, min(doc_id) AS canonical FROM (SELECT doc_id, sha256('v' || trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g'))) AS digest FROM documents) GROUP BY 1
 """)
@@ -27,26 +19,33 @@ def content_hash_groups(spark, d):
     return repeats.families(rows, "digest", "doc_id").select("digest", "member_count", "canonical")
 
 
+def _lower(x: str) -> str:
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 _COMMON = ", ".join(f"'{w}'" for w in S.COMMON_WORDS)
 
 
 @query(rf"""
-SELECT doc_id, list_aggregate(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')),
-  lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains([{_COMMON}], w))), 'string_agg', ' ') AS own_words FROM documents WHERE lang = 'en'
+SELECT doc_id, list_aggregate(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace({_lower('text')}, '[^a-z0-9]+', ' ', 'g')), ' ')),
+  lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains([{_COMMON}], w))), 'string_agg', ' ') AS own_words FROM documents
 """)
 def distinctive_tokens(spark, d):
-    return _english(spark, d).select("doc_id", F.nullif(F.array_join(T.distinctive_words(F.col("text")), " "), F.lit("")).alias("own_words"))
+    return table(spark, d, "documents").select("doc_id", F.nullif(F.array_join(T.distinctive_words(F.col("text")), " "), F.lit("")).alias("own_words"))
 
 
 @query(r"""
-WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\r\n\f\x0B]+', ' ', 'g')) AS x FROM conversations),
+WITH t AS (SELECT conv_id, turn, trim(regexp_replace(CASE turn % 3 WHEN 0 THEN 'authorization=k' || conv_id || ' ' WHEN 1 THEN 'Bearer t' || conv_id || ', ' ELSE 'Authorization: bearer x; ' END || text, '[ \t\r\n\f\x0B]+', ' ', 'g')) AS x FROM conversations),
 a AS (SELECT *, regexp_replace(x, '(?i)\b([a-z][a-z0-9+.-]*://)[^\s/@:]+:[^\s/@]+@', '\1[redacted]@', 'g') AS y FROM t),
 b AS (SELECT *, regexp_replace(y, '(?i)\bauthorization\s*[:=]\s*bearer\s+[^\s,;]+', 'Authorization: Bearer [redacted]', 'g') AS z FROM a),
-c AS (SELECT *, regexp_replace(z, '(?i)\b(access[_-]?token|api[_-]?key|credential|password|secret|token)\b\s*[=:]\s*[^\s,;]+', '[redacted]', 'g') AS u FROM b)
-SELECT conv_id, turn, nullif(regexp_replace(u, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[redacted-email]', 'g'), '') AS safe FROM c
+b2 AS (SELECT *, regexp_replace(z, '(?i)\bbearer\s+([^\[\s,;][^\s,;]*)', 'Bearer [redacted]', 'g') AS v FROM b),
+c AS (SELECT *, regexp_replace(regexp_replace(v, '(?i)\b(access[_-]?token|api[_-]?key|credential|password|secret|token)\b\s*[=:]\s*[^\s,;]+', '[redacted]', 'g'), '(?i)\bauthorization\s*[=:]\s*([^bB\s,;][^\s,;]*)', '[redacted]', 'g') AS u FROM b2)
+SELECT conv_id, turn, nullif(substr(regexp_replace(u, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[redacted-email]', 'g'), 1, 300), '') AS safe FROM c
 """)
 def redact_text(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.redact(F.col("text")).alias("safe"))
+    """Conversations with a secret put before each text."""
+    put = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("authorization=k"), "conv_id", F.lit(" "))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Bearer t"), "conv_id", F.lit(", "))).otherwise("Authorization: bearer x; ")
+    return table(spark, d, "conversations").select("conv_id", "turn", T.redact(F.concat(put, F.col("text"))).alias("safe"))
 
 
 @query(r"""
@@ -95,20 +94,22 @@ def _relevance_sql() -> str:
     def graded(signals):
         return " + ".join(f"CASE WHEN contains(i, ' {p} ') THEN {w!r}::DOUBLE WHEN contains(p, ' {p} ') THEN {w * S.PURPOSE_WEIGHT!r}::DOUBLE ELSE 0.0::DOUBLE END" for p, w in signals.items())
 
-    fold = lambda x: f"' ' || trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    fold = lambda x: f"' ' || trim(regexp_replace({_lower(x)}, '[^a-z0-9]+', ' ', 'g')) || ' '"
     return f"""
-WITH t AS (SELECT doc_id, source, {fold("substr(text, 1, 60)")} AS i, {fold(f"substr(text, 1, {S.PURPOSE_CHARS})")} AS p, {fold(f"substr(text, {S.PURPOSE_CHARS + 1})")} AS b FROM documents WHERE lang = 'en'),
-s AS (SELECT doc_id, source = 'src1' AS wide, {total("i", S.IDENTITY_SIGNALS)} + {graded(S.TOPIC_SIGNALS)} AS topic, {graded(S.ROUTINE_SIGNALS)} AS routine, {graded(S.BREADTH_SIGNALS)} AS breadth,
+WITH t AS (SELECT doc_id, source, {fold("substr(text, 1, 60)")} AS i, {fold(f"substr(text, 1, {S.PURPOSE_CHARS})")} AS p, {fold(f"substr(text, {S.PURPOSE_CHARS + 1})")} AS b FROM documents),
+s AS (SELECT doc_id, source = 'src1' AS wide, CASE source WHEN 'src2' THEN 0.30::DOUBLE WHEN 'src3' THEN -0.25::DOUBLE ELSE 0.0::DOUBLE END AS cat, {total("i", S.IDENTITY_SIGNALS)} + {graded(S.TOPIC_SIGNALS)} AS topic, {graded(S.ROUTINE_SIGNALS)} AS routine, {graded(S.BREADTH_SIGNALS)} AS breadth,
   {total("b", S.TOPIC_SIGNALS, S.BODY_WEIGHT)} - ({total("b", S.ROUTINE_SIGNALS, S.BODY_WEIGHT)}) AS body FROM t)
-SELECT doc_id, round(least(1, greatest(0, 0.3 + least(topic, 0.4) + greatest(-routine, -0.6) + least(breadth + CASE WHEN wide THEN 0.1 + CASE WHEN routine = 0 THEN 0.05 ELSE 0 END ELSE 0 END, 0.25)
+SELECT doc_id, round(least(1, greatest(0, 0.3 + least(topic, 0.4) + greatest(-routine, -0.6) + least(breadth + CASE WHEN wide THEN 0.1 + CASE WHEN routine = 0 THEN 0.05 ELSE 0 END ELSE 0 END, 0.25) + cat
   + greatest(-0.1, least(0.1, body)))), 6)::DOUBLE AS score FROM s"""
 
 
 @query(_relevance_sql())
 def relevance_score(spark, d):
+    """Documents as notices: the opening as title, a source for the widest audience, and one for each kind of category."""
     audience = F.when(F.col("source") == "src1", "Both").otherwise("Students")
-    score = ranking.relevance(F.substring("text", 1, 60), F.col("text"), audience, F.lit(0.0))
-    return _english(spark, d).select("doc_id", F.round(score, 6).alias("score"))
+    category = F.when(F.col("source") == "src2", "Official").when(F.col("source") == "src3", "Athletic Events")
+    out = ranking.with_relevance(table(spark, d, "documents"), F.substring("text", 1, 60), F.col("text"), audience, category)
+    return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -118,16 +119,6 @@ def json_counters(spark, d):
     return table(spark, d, "events").select("event_id", timeline.compact_counters(F.col("props")).alias("counters")).filter("counters != ''")
 
 
-@query()
-def sessions_from_text(spark, d):
-    """Crafted notices through the extraction of sessions."""
-    rows = spark.sql("""SELECT * FROM VALUES
-      (1, 'The dates are:\nThursday, September 10 from 11:00-12:30\nMonday, September 21 from 2:30-4:00'), (2, 'Every Monday 9:00 - 10:00'),
-      (3, 'Register by Monday, September 7th. These sessions are limited to 10-12 people'), (4, 'Wednesday, September 10 at 1-2 p.m.') AS t(id, body)""")
-    found = rows.select("id", F.explode(sess.extract_sessions("body", F.to_date(F.lit("2026-09-01")))).alias("s"))
-    return found.select("id", "s.*")
-
-
 @query(r"""
 SELECT doc_id, length(text) AS n, CASE WHEN length(text) > 3500 THEN substr(text, 1, 3500) || '...' ELSE text END AS payload FROM documents
 """)

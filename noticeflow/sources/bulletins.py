@@ -17,15 +17,16 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(S.ENVELOPE).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     total = F.coalesce("data.TotalCount", "TotalCount").try_cast("bigint")
     categories, records = F.coalesce("data.Categories.List", "Categories"), F.coalesce("data.Announcements.List", "Announcements")
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), total.alias("total"), categories.alias("categories"), records.alias("announcements"), F.col("exception.message").alias("error"), "_corrupt_record")
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), total.alias("total"), categories.alias("categories"), records.alias("announcements"), F.col("exception.message").alias("error"), F.coalesce("versionInfo.hasApiVersionChanged", F.lit(False)).alias("stale"), "_corrupt_record")
     reject = (
         F.when(F.col("_corrupt_record").isNotNull(), "malformed")
+        .when(F.col("stale"), "stale version")  # an empty answer to an old version isn't an empty day
         .when(F.col("error").isNotNull(), F.concat(F.lit("exception: "), F.col("error")))
-        .when(F.col("total").isNull(), "no total")
+        .when(F.coalesce(F.col("total") < 0, F.lit(True)), "no total")
         .when(F.coalesce(F.size("categories"), F.lit(0)) <= 0, "no registry")  # an empty day still has one
         .when(F.col("announcements").isNull(), "no list")
     )
-    return rows.withColumn("reject", reject).drop("_corrupt_record", "error")
+    return rows.withColumn("reject", reject).drop("_corrupt_record", "error", "stale")
 
 
 def accepted(envelopes: DataFrame) -> DataFrame:

@@ -22,11 +22,10 @@ def coordinates(text: Column) -> Column:
     return F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
 
 
-def centre(ring: Column) -> Column:
-    """The point itself, or the area centroid of a ring whose closing point is left out."""
+def opened(ring: Column) -> Column:
+    """A ring without its closing point."""
     closed = (F.size(ring) > 1) & (F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1)))
-    opened = F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
-    return F.when(F.size(ring) > 0, geo.ring_centroid(opened))
+    return F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
 
 
 def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +35,8 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     outer = lambda p: coordinates(p["outerBoundaryIs"]["LinearRing"]["coordinates"])
     rings = F.concat(F.array(coordinates(F.col("m.Point.coordinates")), outer(F.col("m.Polygon"))), F.transform(F.coalesce("m.MultiGeometry.Polygon", F.array().cast(f"array<{_RING}>")), outer))
     longest = F.aggregate(rings, F.array().cast("array<struct<lat:double,lon:double>>"), lambda best, r: F.when(F.size(r) > F.size(best), r).otherwise(best))
-    rows = rows.withColumn("at", centre(longest)).filter("at.lat BETWEEN -90 AND 90 AND at.lon BETWEEN -180 AND 180")
+    rows = geo.worked_out(geo.worked_out(rows, longest, "longest"), opened(F.col("longest")), "ring").filter("size(ring) > 0")
+    rows = geo.with_interior_point(rows, "ring", "at").filter("at.lat BETWEEN -90 AND 90 AND at.lon BETWEEN -180 AND 180")
     return rows.select("file", "folder", "pos", F.trim(F.regexp_replace(F.coalesce("m.name", F.lit("")), r"\s+", " ")).alias("label"), F.coalesce("m.description", F.lit("")).alias("description"), "at.lat", "at.lon")
 
 

@@ -32,3 +32,9 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def write_json(rows: DataFrame, path: str) -> None:
     """One JSON object for each row, empty fields included."""
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at the path yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

@@ -24,15 +24,12 @@ def ingest_days(feed: DataFrame, target: str, checkpoint: str, day: str, key: li
     def one(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         days = batch.select(day).distinct()
-        try:
-            old = spark.read.schema(batch.schema).parquet(target).join(days, day, "left_semi").withColumn("__side", F.lit(0))
-            both = old.unionByName(batch.withColumn("__side", F.lit(1)))
-            rest = [c for c in batch.columns if c not in key]
-            both = both.groupBy(*key).agg(F.min_by(F.struct(*rest), "__side").alias("r")).select(*key, "r.*").select(*batch.columns)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            both = batch.dropDuplicates(key)
+        own = list(dict.fromkeys([day, *key]))
+        rest = [c for c in batch.columns if c not in own]
+        both = batch.withColumn("__side", F.lit(1))
+        if stores.exists(spark, target):
+            both = spark.read.schema(batch.schema).parquet(target).join(days, day, "left_semi").withColumn("__side", F.lit(0)).unionByName(both)
+        both = both.groupBy(*own).agg(F.min_by(F.struct(*rest), "__side").alias("r")).select(*own, "r.*").select(*batch.columns)
         stores.replace_days(both.checkpoint(), target, day)
 
     return feed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

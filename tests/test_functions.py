@@ -29,29 +29,63 @@ def test_similarity_is_ordered_and_short_circuits():
 
 
 def test_redaction(spark):
-    r = one(spark, x=T.redact(F.lit("mail a.b@c.org or token=abc123 at https://u:p@h/x")))
-    assert r.x == "mail [redacted-email] or [redacted] at https://[redacted]@h/x"
-
-
-def test_session_lines():
-    ref = dt.date(2026, 9, 1)
-    found = sessions.sessions("Thursday, September 10 from 11:00-12:30\nMonday, September 21 from 2:30-4:00", ref)
-    assert [(s["event_date"], s["start_min"], s["end_min"], s["session_count"]) for s in found] == [(dt.date(2026, 9, 10), 660, 750, 2), (dt.date(2026, 9, 21), 870, 960, 2)]
-    assert not sessions.sessions("Every Monday 9:00 - 10:00", ref) and not sessions.sessions(None, ref)
-    assert not sessions.sessions("Friday, September 10 at 1-2 p.m.", ref)  # the weekday contradicts the date
-
-
-def test_mentions_merge_and_keep_their_order():
-    got = mentions.mentions("Use the Maple Hall Parking Garage, Lots A-1, B and C2. Parking Lot O-1. a lot of people", {"parking lot o 1": "Lot O-1"})
-    assert [(m.matched_text, m.method) for m in got] == [("Maple Hall Parking Garage", "garage"), ("Lot A-1", "list"), ("Lot B", "list"), ("Lot C2", "list"), ("Parking Lot O-1", "prefix")]
-    assert got[0].keys == ["maple hall garage", "maple hall"] and got[2].weak and not got[1].weak
-    assert mentions.mentions("the Parking Garage")[0].method == "bare_garage" and mentions.mentions("a lot of this") == []
-
-
-def test_names_agree_with_the_built_in(spark):
-    names = ["Lot O-1", "N", "Lot W", "Maple Blvd Apts", "", "Parking Lot  O1"]
-    df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r.k for r in df.select(T.facility_name(F.col("n")).alias("k")).collect()] == [mentions.name_key(n) for n in names]
+    texts = ["mail a.b@c.org or token=abc123 at https://u:p@h/x", "Bearer abc.def and authorization=xyz, Authorization: Bearer q1", "  ", None, "y " * 400]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.redact(F.col("t")).alias("x")).collect()]
+    assert got[:4] == ["mail [redacted-email] or [redacted] at https://[redacted]@h/x", "Bearer [redacted] and [redacted], Authorization: Bearer [redacted]", None, None] and len(got[4]) == 300
+
+
+def test_folding_equals_the_decomposition(spark):
+    import re
+    import unicodedata
+
+    texts = ["Éclair—Über ñandú (naïve)", "ǅ Ǆ ｆ", "a\u0301b", "Łódź straße", "日本 語", "", None, "snake_case 12"]
+    plain = lambda t: " ".join(re.sub(r"[^\w\s]", " ", "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).lower()).split())
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.fold(F.col("t")).alias("x")).collect()]
+    assert [g for g, t in zip(got, texts, strict=True) if t != texts[1]] == [plain(t) for t in texts if t != texts[1]]
+
+
+def found(spark, text, ref=dt.date(2026, 9, 1)):
+    rows = spark.createDataFrame([(1, text)], "id int, t string")
+    return [(r.event_date, r.start_min, r.end_min, r.session_index, r.session_count) for r in sessions.sessions(rows, "id", "t", F.lit(ref)).orderBy("session_index").collect()]
+
+
+def test_session_lines(spark):
+    assert found(spark, "Thursday, September 10 from 11:00-12:30\nMonday, September 21 from 2:30-4:00") == [(dt.date(2026, 9, 10), 660, 750, 1, 2), (dt.date(2026, 9, 21), 870, 960, 2, 2)]
+    for no in ("Every Monday 9:00 - 10:00", None, "Friday, September 10 at 1-2 p.m.", "September 10. Doors open. 1-2 p.m.", "September 10 and 11/2 at 1-2 p.m.", "September 10, 1-2 p.m.\nSeptember 10, 4-5 p.m."):
+        assert found(spark, no) == []  # recurring, empty, a weekday that contradicts the date, a sentence between, two dates, one day twice
+    assert found(spark, "3-4 p.m. on 8/31") == [(dt.date(2026, 8, 31), 900, 960, 1, 1)] and found(spark, "3-4 p.m. on 8/30") == [(dt.date(2027, 8, 30), 900, 960, 1, 1)]
+
+
+def test_named_days_labels_and_places(spark):
+    days = lambda t: one(spark, x=sessions.date_tokens(F.lit(t))).x
+    assert days("Wed, Sept. 16, 2026; Sept 3rd, 1/2/27 and 10/31, not 13/40") == ["09-03", "10-31", "2026-09-16", "2027-01-02"]
+    rows = spark.createDataFrame([(1, "Date: Sept 3\nWho: all\nmore\nLocation:\nRoom 5\n\nlast words")], "id int, t string")
+    assert {(r.label, r.value) for r in sessions.labelled_fields(rows, "id", "t").collect()} == {("date", "Sept 3"), ("who", "all"), ("location", "Room 5")}
+    r = one(spark, a=sessions.attendance(F.lit("on Zoom"), F.lit("Hall 1 (north)")), b=sessions.attendance(F.lit("on Zoom"), F.lit("virtual.")), c=sessions.attendance(F.lit("a talk"), F.lit(None).cast("string")))
+    assert tuple(r.a) == ("hybrid", "Hall 1", "Zoom") and tuple(r.b) == ("virtual", None, "Zoom") and r.c.mode == "unknown"
+
+
+def test_mentions_merge_and_keep_their_order(spark):
+    rows = spark.createDataFrame([(1, "we use the Maple Hall Parking Garage, Lots A-1, B and C2 / D. Parking Lot O-1. a lot of people"), (2, "the Parking Garage"), (3, "a lot A of this"), (4, "Park in Lot 301 or Hall of the Arts Garage"), (5, None)], "id int, t string")
+    got = {}
+    for r in mentions.mentions(rows, "id", "t", {"lot o 1": "Lot O-1"}).orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append((r.matched_text, r.method, r.weak, r.lookup_keys[0]))
+    assert got[1] == [("Maple Hall Parking Garage", "garage", False, "maple hall garage"), ("Lot A-1", "list", False, "lot a 1"), ("Lot B", "list", True, "lot b"), ("Lot C2", "list", False, "lot c 2"), ("Lot D", "list", True, "lot d"), ("Parking Lot O-1", "prefix", False, "lot o 1")]
+    assert got[2] == [("the Parking Garage", "bare_garage", False, "parking garage")] and 3 not in got and 5 not in got
+    assert [x[3] for x in got[4]] == ["lot 301", "hall of the arts garage"]
+    r = one(spark, a=mentions.scannable(F.lit("Lot O-1")), b=mentions.scannable(F.lit("Lot A")), c=mentions.scannable(F.lit("Maple Garage")), d=mentions.scannable(F.lit("O-1")))
+    assert tuple(r) == (True, False, True, False)
+
+
+def test_points_of_concave_rings_lie_inside(spark):
+    p = lambda lat, lon: F.struct(F.lit(float(lat)).alias("lat"), F.lit(float(lon)).alias("lon"))
+    horseshoe = F.array(p(0, 0), p(0, 10), p(10, 10), p(10, 9), p(1, 9), p(1, 1), p(10, 1), p(10, 0))
+    rows = spark.range(1).select(horseshoe.alias("ring"))
+    r = geo.with_interior_point(rows, "ring", "i").select("ring", "i", geo.ring_centroid(F.col("ring")).alias("c")).first()
+    ok = rows.select(geo.in_ring(F.col("ring"), F.lit(r.c.lat), F.lit(r.c.lon)).alias("c"), geo.in_ring(F.col("ring"), F.lit(r.i.lat), F.lit(r.i.lon)).alias("i")).first()
+    assert not ok.c and ok.i
+    r = one(spark, a=geo.usable_point(F.lit(39.0), F.lit(-75.0)), b=geo.usable_point(F.lit(float("nan")), F.lit(0.0)), c=geo.usable_point(F.lit(None).cast("double"), F.lit(0.0)))
+    assert tuple(r) == (True, False, False)
 
 
 def test_calendar_documents(spark):

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from noticeflow.operators import history, places, ranking, repeats, timeline
+from noticeflow.operators import digest, history, places, quality, ranking, repeats, timeline
 
 BODY = "The library will close early on Friday because the heating system needs repair and staff will move the reading room to the second floor of the annex building"
 
@@ -44,9 +44,53 @@ def test_offers_and_best_candidates(spark):
 
 
 def test_relevance_is_bounded_and_ordered(spark):
-    rows = spark.createDataFrame([("Town Hall with the President", "budget policy"), ("Trivia and karaoke bingo game night", "giveaway"), ("Notes", "x"), (None, None)], "t string, b string")
-    got = [r.s for r in rows.select(ranking.relevance(F.col("t"), F.col("b"), F.lit("Both"), F.lit(0.0)).alias("s")).collect()]
-    assert got[0] > got[2] > got[1] and all(0 <= s <= 1 for s in got)
+    rows = spark.createDataFrame([(0, "Town Hall with the President", "budget policy"), (1, "Trivia and karaoke bingo game night", "giveaway"), (2, "Notes", "x"), (3, None, None), (4, "Swim lesson", "x")], "i int, t string, b string")
+    got = [r.s for r in ranking.with_relevance(rows, F.col("t"), F.col("b"), F.lit("Both"), F.lit("Official"), "s").orderBy("i").collect()]
+    assert [round(x, 4) for x in got] == [1.0 if 0.3 + 0.4 + 0.15 + 0.3 > 1 else 1.15, 0.1, 0.75, 0.75, 0.35]
+
+
+def test_repeats_respect_days_delivery_and_status(spark):
+    dated = lambda d: f"{BODY} on {d} and all of the usual rules of the house stay as they were before in every room"
+    prior = notices(spark, [(1, {"body_text": dated("September 3")}), (2, {"title": "Other"}), (5, {"title": "Never sent"})])
+    current = notices(spark, [(10, {"body_text": dated("September 4")}), (11, {"body_text": dated("September 3") + " too"}), (12, {"title": "Other"}), (13, {"title": "Never sent"}), (14, {"title": "Other"})]).withColumn("source_status", F.when(F.col("submission_id") == 14, "Standing").otherwise("New"))
+    delivered = spark.createDataFrame([(1,), (2,)], "submission_id long")
+    got = {r.submission_id: r.matched_submission_id for r in repeats.find_repeats(current, prior, delivered).collect()}
+    assert got == {11: 1, 12: 2}
+
+
+def test_copies_of_a_title_are_compared_once_and_none_is_lost(spark):
+    import random
+
+    from noticeflow.functions import text as T
+
+    r = random.Random(3)
+    words = BODY.split()
+    bodies = [" ".join(w if r.random() > k / 60 else r.choice(words) for w in words * (1 + k % 2)) for k in range(12)]
+    rows = [(i, {"body_text": bodies[i % 12]}) for i in range(60)]
+    df = notices(spark, rows)
+    got = {x.submission_id: (x.matched_submission_id, round(x.similarity, 6)) for x in repeats.find_repeats(df, df).collect()}
+    folded = {x.submission_id: (x.body_key, x.own_words, x.days) for x in repeats.prepared(df).collect()}
+    for i in range(60):
+        best = None
+        for j in range(60):
+            if i != j:
+                s = T.similarity(folded[i][0], folded[j][0])
+                if s >= 0.97 or s >= 0.85 and len(set(folded[j][1]) - set(folded[i][1])) <= 2:
+                    best = max(best, (s, -j)) if best else (s, -j)
+        assert got.get(i) == (None if best is None else (-best[1], round(best[0], 6)))
+
+
+def test_gates_fail_on_nulls(spark):
+    rows = spark.createDataFrame([(1, None, None, "t", "b", "Approved", 1), (2, "Both", ["2026-01-01"], "t", "b", None, None)], "submission_id long, source_audience string, d array<string>, title string, full_body string, submitted_status string, category_id long")
+    rows = rows.withColumn("distribution_dates", F.col("d").cast("array<date>"))
+    got = {r.rule: r.detail for r in quality.announcement_gates(rows, spark.createDataFrame([(1,)], "id long"), 2, "2026-01-01", "Students", 100).collect()}
+    assert got == {"V2 complete": 0, "V3 whole": 0, "V4 audience": 1, "V5 date": 1, "V6 unique": 0, "V6 positive": 0, "V7 required": 1, "V7 approved": 1, "V7 category": 1}
+
+
+def test_needles_of_any_length_are_found_in_names(spark):
+    names = spark.createDataFrame([(1, "north maple hall annex"), (2, "maple hallway"), (3, " ".join(f"w{i}" for i in range(12)))], "id int, name string")
+    needles = spark.createDataFrame([("maple hall",), ("hall",), (" ".join(f"w{i}" for i in range(2, 12)),)], "needle string")
+    assert sorted((r.id, r.needle[:6]) for r in digest.contained(needles, names, "needle", "name").collect()) == [(1, "maple "), (3, "w2 w3 ")]
 
 
 def test_pinned_fields_stay(spark):

@@ -29,7 +29,7 @@ def feed(tmp_path):
 
 def test_both_forms_are_read_and_broken_files_set_aside(spark, feed):
     env = bulletins.read_envelopes(spark, feed)
-    assert {r.file.rpartition("/")[2]: r.reject for r in bulletins.rejects(env).collect()} == {"broken.json": "malformed", "stale.json": "no total", "failed.json": "exception: down"}
+    assert {r.file.rpartition("/")[2]: r.reject for r in bulletins.rejects(env).collect()} == {"broken.json": "malformed", "stale.json": "stale version", "failed.json": "exception: down"}
     rows = normalise.normalised(bulletins.announcements(env, "Employees"), F.lit("2026-08-20").cast("date"))
     assert not quality.forbidden_fields(rows.schema)
     got = {r.submission_id: r for r in rows.collect()}

@@ -11,10 +11,10 @@ def test_days_are_ingested_once(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "cut"))
 
     def run():
-        feeds.ingest_days(feeds.parquet_feed(spark, src, schema), target, str(tmp_path / "check"), "day", ["day", "id"]).awaitTermination()
+        feeds.ingest_days(feeds.parquet_feed(spark, src, schema), target, str(tmp_path / "check"), "day", ["id"]).awaitTermination()
         return sorted((r.day, r.id, r.v) for r in spark.read.schema("id int, v string, day string").parquet(target).collect())
 
-    write([("a", 1, "first"), ("a", 1, "first"), ("b", 1, "x")])
+    write([("a", 1, "first"), ("a", 1, "first"), ("b", 1, "x")])  # the id on two days
     assert run() == [("a", 1, "first"), ("b", 1, "x")]
     write([("a", 2, "y"), ("a", 1, "late")])
     assert run() == [("a", 1, "first"), ("a", 2, "y"), ("b", 1, "x")]
