@@ -49,8 +49,6 @@ EM_STEPS = 60
 #: Steps of the tuning histogram in a factor of two of a probability.
 FINE = 8
 LEAST_WEIGHT = 1e-6
-#: Groups in which the nodes' totals are added up before their sum.
-TOTAL_PARTS = 1000
 #: Rows in an Arrow batch of whole texts, and of blocks.
 BATCH_ROWS, BATCH_BLOCKS = 1000, 8
 KEPT, TUNE, HELD = 0, 1, 2
@@ -218,8 +216,7 @@ def _answer(rows: pa.Table) -> pa.Table:
             _, places, every, tune = _sorted_keys(own)
             out += [_reply(a, every[at], tune[at]) for a, at in zip(own, places, strict=True)]
             if kind == 1:
-                part = int(mix64(np.array([rows.column("prefix")[0].as_py()], np.uint64))[0] % np.uint64(TOTAL_PARTS))
-                out.append((-1 - part, 0, 0, 0, 0, None, None, int((every > 0).sum()), int(every.sum()), int(tune.sum())))
+                out.append((None, None, None, None, 0, None, None, int((every > 0).sum()), int(every.sum()), int(tune.sum())))
     return _table(out, _ANSWER)
 
 
@@ -252,10 +249,8 @@ def _join_back(width: tuple[int, int, int], id_type: pa.DataType):
                 if row["part"] == TUNE:
                     tune = np.concatenate([_unsqueeze(a["tune"], a["n"]) for a in got if a["kind"] == kind])
                     cells[name + "_less"] = _squeeze((every - tune)[at])
-            out.append((row["part"], row["ids"], sizes, *(cells.get(c) for c in _COUNTS), 0, 0, 0))
-        if not out:  # a part of the totals
-            out.append((None, [], [], *[None] * len(_COUNTS), *(sum(a[c] for a in got) for c in ("types", "tokens", "tuned"))))
-        return _table(out, {"part": pa.int32(), "ids": pa.list_(id_type), "sizes": pa.list_(pa.int64()), **dict.fromkeys(_COUNTS, pa.binary()), "types": pa.int64(), "tokens": pa.int64(), "tuned": pa.int64()})
+            out.append((row["part"], row["ids"], sizes, *(cells.get(c) for c in _COUNTS)))
+        return _table(out, {"part": pa.int32(), "ids": pa.list_(id_type), "sizes": pa.list_(pa.int64()), **dict.fromkeys(_COUNTS, pa.binary())})
 
     return run
 
@@ -275,19 +270,18 @@ def counted(blocks: DataFrame, n_blocks: int, total: int, id_type, fan_bits: int
         asks[-1] = staged(asks[-1], "lm-asks")
         asks.append(asks[-1].groupBy("grp", "prefix").applyInArrow(_merged(width, used, bits, groups), ask))
         used += bits
-    answers = asks[-1].groupBy("grp", "prefix").applyInArrow(_answer, answer)
+    answers = staged(asks[-1].groupBy("grp", "prefix").applyInArrow(_answer, answer), "lm-answers")
+    totals = tuple(int(x or 0) for x in answers.agg(F.sum("types"), F.sum("tokens"), F.sum("tuned")).first())
+    answers = answers.filter("src IS NOT NULL")
     for own in asks[-2::-1]:
-        answers = staged(answers, "lm-answers")
-        totals = answers.filter("src < 0")
-        passed = own.groupBy("grp", "prefix").cogroup(answers.filter("src >= 0").groupBy("src", "src_prefix")).applyInArrow(_pass_on, answer)
-        answers = passed.union(totals)
+        answers = own.groupBy("grp", "prefix").cogroup(answers.groupBy("src", "src_prefix")).applyInArrow(_pass_on, answer)
+    del asks
+    blocks.sparkSession.sparkContext._jvm.System.gc()  # the questions' shuffle files go before the answers meet the blocks
     kind = id_type.simpleString()
     stats = blocks.groupBy("block").cogroup(answers.groupBy("src")).applyInArrow(
-        _join_back(width, to_arrow_type(id_type)), f"part int, ids array<{kind}>, sizes array<bigint>, {', '.join(f'{c} binary' for c in _COUNTS)}, types bigint, tokens bigint, tuned bigint"
+        _join_back(width, to_arrow_type(id_type)), f"part int, ids array<{kind}>, sizes array<bigint>, {', '.join(f'{c} binary' for c in _COUNTS)}"
     )
-    stats = staged(stats, "lm-counts", keep=True)
-    totals = tuple(int(x or 0) for x in stats.agg(F.sum("types"), F.sum("tokens"), F.sum("tuned")).first())
-    return stats.filter("part IS NOT NULL").drop("types", "tokens", "tuned"), totals
+    return staged(stats, "lm-counts", keep=True), totals
 
 
 def level(count: np.ndarray) -> np.ndarray:
