@@ -10,7 +10,9 @@ from ..functions import sessions
 from ..functions import text as T
 
 _SAME = ("title_key", "category_id", "source_audience", "is_event")
-_FIELDS = (*_SAME, "event_date", "event_start_min", "urls", "own_words", "days", "contact_email", "submitted_by_email", "body_hash", "body_chars")
+_OWN = (*_SAME, "event_date", "event_start_min", "urls", "contact_email", "submitted_by_email", "body_hash", "body_chars")
+#: Equal bodies have equal words and days, so these make no class of their own.
+_FIELDS = (*_OWN, "own_words", "days")
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their class of equal compared fields; the classes with their two smallest ids; the classes' bodies."""
-    rows = prepared(rows).filter("title_key != '' AND body_key != ''").withColumn("class", F.md5(F.to_json(F.struct(*_FIELDS), {"ignoreNullFields": "false"})))
+    rows = prepared(rows).filter("title_key != '' AND body_key != ''").withColumn("class", F.md5(F.to_json(F.struct(*_OWN), {"ignoreNullFields": "false"})))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("submission_id"))).filter("n <= 2")
     classes = first.groupBy("class").agg(F.array_sort(F.collect_list("submission_id")).alias("ids"), *[F.min_by(c, "n").alias(c) for c in _FIELDS])
     return rows.select("submission_id", "class"), classes, first.filter("n = 1").select("class", "body_key")
