@@ -192,11 +192,11 @@ def source_refresh(spark, d):
 
 @query("""
 SELECT s_suppkey AS place_id, CASE WHEN c_custkey IS NULL OR c_custkey % 6 = 0 OR c_custkey % 4 = 0 THEN s_name ELSE c_name END AS name,
-  CASE WHEN c_custkey IS NULL THEN 'note' WHEN c_custkey % 6 = 0 THEN '' WHEN c_custkey % 4 = 0 THEN 'note' ELSE 'name,note' END AS pins FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_custkey % 2 = 0
+  CASE WHEN c_custkey IS NULL THEN 'note' WHEN c_custkey % 6 = 0 THEN '' WHEN c_custkey % 4 = 0 THEN 'note' ELSE 'name,note' END AS pins FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey
 """)
 def manual_overrides(spark, d):
     places = table(spark, d, "supplier").select(F.col("s_suppkey").alias("place_id"), F.col("s_name").alias("name"), F.array(F.lit("note")).alias("override_fields"))
-    by_hand = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("place_id"), (F.col("c_custkey") % 6 == 0).alias("clear"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name"))
+    by_hand = table(spark, d, "customer").select(F.col("c_custkey").alias("place_id"), (F.col("c_custkey") % 6 == 0).alias("clear"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name"))
     out = digest.pinned(places, by_hand, ["name"])
     return out.select("place_id", "name", F.array_join(F.array_sort("override_fields"), ",").alias("pins"))
 
@@ -415,7 +415,7 @@ WITH n AS (SELECT c_custkey AS id, c_custkey % 6 AS k, chr((65 + c_custkey % 20)
 m AS (SELECT id, hint, 'Lot ' || letter || '-' || digit AS matched_text, 'lot ' || lower(letter) || ' ' || digit AS k1 FROM n WHERE k = 0 UNION ALL SELECT id, hint, 'Maple Hall Parking Garage', 'maple hall garage' FROM n WHERE k = 0
   UNION ALL SELECT id, hint, 'Lot B', 'lot b' FROM n WHERE k = 1 UNION ALL SELECT id, hint, 'Lot C2', 'lot c 2' FROM n WHERE k = 1 UNION ALL SELECT id, hint, 'Lot D', 'lot d' FROM n WHERE k = 1 UNION ALL SELECT id, hint, 'Lot ' || number, 'lot ' || number FROM n WHERE k = 1
   UNION ALL SELECT id, hint, 'the Parking Garage', 'parking garage' FROM n WHERE k = 2 UNION ALL SELECT id, hint, 'Chestnut Hall Lot', 'chestnut hall lot' FROM n WHERE k = 4 UNION ALL SELECT id, hint, 'Lot C2', 'lot c 2' FROM n WHERE k = 4),
-p AS (SELECT s_suppkey AS place_id, CASE WHEN s_suppkey % 2 = 0 THEN 'north' ELSE 'south' END AS campus, CASE s_suppkey % 5 WHEN 0 THEN 'lot b' WHEN 1 THEN 'lot c 2' WHEN 2 THEN 'maple hall garage' WHEN 3 THEN 'lot 30' || (s_suppkey % 9) ELSE 'chestnut hall lot' END AS alias FROM supplier WHERE s_suppkey < 12),
+p AS (SELECT s_suppkey AS place_id, CASE WHEN s_suppkey % 2 = 0 THEN 'north' ELSE 'south' END AS campus, CASE s_suppkey % 5 WHEN 0 THEN 'lot b' WHEN 1 THEN 'lot c 2' WHEN 2 THEN 'maple hall garage' WHEN 3 THEN 'lot 30' || (s_suppkey % 9) ELSE 'chestnut hall lot' END || CASE WHEN s_suppkey < 12 THEN '' ELSE ' annex ' || s_suppkey END AS alias FROM supplier),
 h AS (SELECT id, matched_text, hint, campus, place_id, max((campus = hint)::INT) OVER (PARTITION BY id, matched_text) AS same FROM m JOIN p ON alias = k1), o AS (SELECT id, matched_text, count(DISTINCT place_id) AS c, min(place_id) AS place_id FROM h WHERE same = 0 OR campus = hint GROUP BY 1, 2)
 SELECT m.id, m.matched_text, CASE WHEN c = 1 THEN place_id END AS place_id, CASE WHEN c IS NULL THEN 'unknown' WHEN c > 1 THEN 'ambiguous' ELSE 'resolved' END AS reason FROM m LEFT JOIN o ON o.id = m.id AND o.matched_text = m.matched_text
 """)
@@ -424,8 +424,9 @@ def mention_links(spark, d):
     from ..operators import places
 
     notices = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(_NOTICE).alias("body"), F.when(F.col("c_nationkey") < 12, "north").otherwise("south").alias("campus_hint"))
-    s, k = table(spark, d, "supplier").filter("s_suppkey < 12"), F.col("s_suppkey")
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
     alias = F.when(k % 5 == 0, "lot b").when(k % 5 == 1, "lot c 2").when(k % 5 == 2, "maple hall garage").when(k % 5 == 3, F.concat(F.lit("lot 30"), k % 9)).otherwise("chestnut hall lot")
+    alias = F.concat(alias, F.when(k < 12, "").otherwise(F.concat(F.lit(" annex "), k)))
     aliases = s.select(alias.alias("alias"), F.when(k % 2 == 0, "north").otherwise("south").alias("campus"), k.alias("place_id"))
     found = mentions.mentions(notices, "id", "body", {"chestnut hall lot": "Chestnut Hall Lot"}).join(notices.select("id", "campus_hint"), "id")
     found = found.withColumn("mention_id", F.concat_ws("|", "id", "matched_text"))
@@ -495,7 +496,7 @@ def prior_appearances(spark, d):
     from ..operators import history
 
     daily = table(spark, d, "events").select(F.col("user_id").alias("submission_id"), F.to_date("ts").alias("target_date")).distinct()
-    none = daily.limit(0).select("target_date", F.lit("sent").alias("state"))
+    none = spark.createDataFrame([], "target_date date, state string")
     return history.appearances(daily, none).drop("previous_deliveries")
 
 
