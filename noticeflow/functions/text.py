@@ -251,3 +251,23 @@ def instant(text: Column) -> Column:
 def seconds_between(start: Column, end: Column) -> Column:
     """Whole seconds, never below zero; null if either is."""
     return F.when(start.isNotNull() & end.isNotNull(), F.greatest(F.lit(0), F.unix_timestamp(end) - F.unix_timestamp(start)))
+
+
+def description_fault(text: Column, names: Column, plain: tuple[str, ...] = S.PLAIN_CAPITALS) -> Column:
+    """Why a place's description is refused, or null: empty, its length, a coordinate, praise, an address, or a capitalised name that the evidence lacks.
+
+    names: the array of names in evidence; null is none.
+    """
+    value = squeezed(text)
+    n = F.size(F.split(value, " "))
+    parts = lambda xs: F.filter(F.flatten(F.transform(xs, lambda x: F.split(facility_name(x), " "))), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+    named = parts(F.regexp_extract_all(value, F.lit(r"\b[A-Z][a-zA-Z'’]+(?:\s+[A-Z][a-zA-Z'’]+)*"), 0))
+    known = F.array_union(parts(F.coalesce(names, F.array().cast("array<string>"))), F.array(*map(F.lit, plain)))
+    return (
+        F.when(value == "", "empty")
+        .when((n < S.DESCRIPTION_WORDS[0]) | (n > S.DESCRIPTION_WORDS[1]), "length")
+        .when(value.rlike(r"-?\d{2}\.\d{3,}"), "coordinate")
+        .when(value.rlike(S.PRAISE), "praise")
+        .when(value.rlike("https?://"), "address")
+        .when(F.size(F.array_except(named, known)) > 0, "unknown name")
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions import geo
 from ..functions import text as T
+from .digest import contained
 
 
 def unique_names(rows: DataFrame, name: str, owner: str, shortest: int) -> DataFrame:
@@ -92,3 +93,31 @@ def permit_class(permits: Column) -> Column:
     """One permit is itself, several are Mixed, none is Unknown."""
     own = F.array_distinct(F.filter(permits, lambda p: p.isNotNull()))
     return F.when(F.size(own) == 0, "Unknown").when(F.size(own) == 1, F.try_element_at(own, F.lit(1))).otherwise("Mixed")
+
+
+def campus_of(notices: DataFrame, categories: DataFrame, names: DataFrame, keywords: DataFrame, key: str, text: str, category: str, shortest: int = 6) -> DataFrame:
+    """key, campus, evidence: the category's campus, else that of all buildings named, else that of all keywords; several campuses are no guess.
+
+    categories: category, campus; names and keywords: name, campus, in any spelling.  Buildings on
+    two campuses leave the choice to the keywords; keywords of two are a conflict.  The words of a
+    notice meet names by an equi-join on their runs.  A notice without a key has its category only.
+    """
+    plain = lambda c: F.trim(T.phrase_text(F.col(c)))
+    words = notices.select(key, plain(text).alias("__text")).filter("__text != ''")
+
+    def found(known: DataFrame, least: int, as_name: str) -> DataFrame:
+        needles = known.select(plain("name").alias("name"), "campus").distinct()
+        hits = contained(needles, words, "name", "__text", shortest=least)
+        return hits.groupBy(key).agg(F.min("campus").alias(as_name), (F.min("campus") != F.max("campus")).alias(f"{as_name}_differ"))
+
+    by_category = categories.groupBy(F.col("category").alias(category)).agg(F.min("campus").alias("__category"))
+    out = notices.select(key, category).join(by_category, category, "left")
+    out = out.join(found(names, shortest, "__building"), key, "left").join(found(keywords, 1, "__keyword"), key, "left")
+    rule = lambda then: (
+        F.when(F.col("__category").isNotNull(), then("__category", "category"))
+        .when(~F.col("__building_differ"), then("__building", "building"))
+        .when(F.col("__keyword_differ"), then(None, "conflict"))
+        .when(F.col("__keyword").isNotNull(), then("__keyword", "keyword"))
+    )
+    campus = rule(lambda c, _: F.col(c) if c else F.lit(None).cast("string"))
+    return out.select(key, campus.alias("campus"), F.coalesce(rule(lambda _, why: F.lit(why)), F.lit("none")).alias("evidence"))

@@ -508,3 +508,32 @@ def applied_repeats(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("submission_id"), F.when(F.col("o_orderstatus") == "O", "New").otherwise("Standing").alias("status"), (F.col("o_totalprice") > 200000).alias("changed"))
     matches = table(spark, d, "supplier").select(F.col("s_suppkey").alias("submission_id"), (F.col("s_nationkey") > 12).alias("materially_changed"))
     return repeats.applied(rows, matches).select("submission_id", "display_status", "changed")
+
+
+_SAID = """CASE p_partkey % 8 WHEN 1 THEN 'Too short here' WHEN 2 THEN 'Behind the garage at 39.712 next to the hall there' WHEN 3 THEN 'A convenient surface lot next to the hall on the hill'
+  WHEN 4 THEN concat('See https://x.example/', p_partkey, ' for the lot next to the hall') WHEN 5 THEN 'Directly across from the Quartz Tower near the lot' WHEN 6 THEN concat('Just  north of Maple Hall, between the ', p_name, ' shop and Larch Street.') WHEN 7 THEN repeat('long ', 31) END"""
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'empty' WHEN 1 THEN 'length' WHEN 2 THEN 'coordinate' WHEN 3 THEN 'praise' WHEN 4 THEN 'address' WHEN 5 THEN 'unknown name' WHEN 7 THEN 'length' END AS fault FROM part")
+def grounded_descriptions(spark, d):
+    """Descriptions of places whose names stand in the evidence, and why others are refused."""
+    evidence = F.array(F.lit("Maple Hall"), F.lit("Larch Street"), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", T.description_fault(F.expr(_SAID), evidence).alias("fault"))
+
+
+_INVITES = """CASE c_custkey % 5 WHEN 0 THEN 'Talk in Maple-Hall today' WHEN 1 THEN 'Come to the main campus, north side' WHEN 2 THEN 'From the North Side to the harbor campus' WHEN 4 THEN 'Maple Hall and Alder Annex, harbor campus' END"""
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' OR c_custkey % 5 IN (0, 1) THEN 'north' WHEN c_custkey % 5 = 4 THEN 'south' END AS campus,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'category' ELSE ['building', 'keyword', 'conflict', 'none', 'keyword'][c_custkey % 5 + 1] END AS evidence FROM customer
+""")
+def inferred_campus(spark, d):
+    """The campus of notices made of each customer."""
+    from ..operators import places
+
+    small = lambda rows: spark.createDataFrame(rows, "name string, campus string")
+    notices = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("category"), F.expr(_INVITES).alias("body"))
+    names = small([("maple hall", "north"), ("Alder Annex", "south")])
+    keywords = small([("main campus", "north"), ("north side", "north"), ("harbor campus", "south")])
+    return places.campus_of(notices, small([("BUILDING", "north")]).withColumnRenamed("name", "category"), names, keywords, "c_custkey", "body", "category")
