@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from noticeflow.functions import text as T
 from noticeflow.operators import digest, history, places, quality, ranking, repeats, timeline
 
 BODY = "The library will close early on Friday because the heating system needs repair and staff will move the reading room to the second floor of the annex building"
@@ -119,3 +120,23 @@ def test_nearest_finds_all_within_the_radius(spark):
     metres = lambda a, b: 111320.0 * math.hypot((b[2] - a[2]) * math.cos(math.radians(a[1])), b[1] - a[1])
     want = {(a[0], b[0]) for a in at for b in at if a != b and metres(a, b) <= 400}
     assert got == want and ("n0", "n1") in got and len(want) > 500
+
+
+def test_campus_of_nulls_and_ties(spark):
+    dim = lambda rows: spark.createDataFrame(rows, "name string, campus string")
+    rows = [(1, None, None), (2, "A", "Near Maple Hall."), (3, None, "MAPLE-hall, and maple hall"), (4, None, "Maple Hallway"), (5, None, "Maple Hall and the quay"), (6, None, "Maple Hall, Alder Annex, quay"), (None, "A", "quay"), (7, None, "")]
+    data = spark.createDataFrame(rows, "id int, category string, body string")
+    categories = dim([("A", "south")]).withColumnRenamed("name", "category")
+    names, keywords = dim([("Maple Hall", "north"), ("maple hall", "north"), ("alder annex", "south"), ("quay", "north")]), dim([("Quay", "south"), (None, "north")])
+    got = {r[0]: (r[1], r[2]) for r in places.campus_of(data, categories, names, keywords, "id", "body", "category").collect()}
+    assert got == {
+        1: (None, "none"), 2: ("south", "category"), 3: ("north", "building"), 4: (None, "none"), 5: ("north", "building"), 6: ("south", "keyword"), None: ("south", "category"), 7: (None, "none"),
+    }
+    assert places.campus_of(data.limit(0), categories, names, keywords, "id", "body", "category").count() == 0
+
+
+def test_description_fault(spark):
+    good = "Just north of Maple Hall, beside the tennis courts."
+    rows = [(None, ["Maple Hall"]), (good, ["Maple Hall"]), (good, None), (good.replace("north", "beautifully north"), ["Maple Hall"]), ("  ", []), ("Next to Lot 7 and the amazing big hall", []), ("word " * 30, []), ("word " * 31, [])]
+    got = spark.createDataFrame(rows, "said string, names array<string>").select(T.description_fault(F.col("said"), F.col("names"))).collect()
+    assert [r[0] for r in got] == ["empty", None, "unknown name", None, "empty", "praise", None, "length"]
