@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .. import settings as S
+
 LINE_OCTETS = 75
 
 
@@ -54,3 +58,102 @@ def document(title: Column, day: Column, start: Column, end: Column, location: C
         one("DTSTART:", stamp(day, start)), one("DTEND:", stamp(day, until)), one("SUMMARY:", escaped(title)), some("LOCATION", location), some("DESCRIPTION", description), F.array(F.lit("END:VEVENT"), F.lit("END:VCALENDAR")),
     )
     return F.when(day.isNotNull() & start.isNotNull(), fold_lines(lines))
+
+
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in S.MONTHS) + "|sept"
+_WEEKDAY = "|".join([f"{d[:3]}(?:{d[3:]})?" for d in S.WEEKDAYS] + ["tues", "thurs?"])
+_DATED = rf"(?i)(?:\s*[-–—:|(\[]\s*|\s+)(?:(?:{_WEEKDAY})\s*,?\s*)?(?:(?:{_MONTH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:\s*,?\s*\d{{4}})?|\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?)\s*[)\]]?\s*$"
+_LABELLED = (r"(?i)^event\s*[:\-–—]\s+", r"^\s*\[[^\]]{1,30}\]\s*[:\-–—]?\s*", r"^\s*\(?[A-Z][A-Z &/'-]{2,24}\)?\s*[:\-–—]\s+")
+_QUALIFIED = r"^(.+?)\s*\(([^()]{3,40})\)$"
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1C-\x1F]+", " "))
+
+
+def _without_date(title: Column) -> Column:
+    """A title that is a date and nothing more keeps it; the punctuation before a date, brackets too, goes with it."""
+    bare = F.btrim(F.regexp_replace(title, _DATED, ""), F.lit(" -–—:|(),[]"))
+    return _let(bare, lambda b: F.when(title.rlike(_DATED) & (F.length(b) >= 3) & b.rlike("[A-Za-z]"), b).otherwise(title))
+
+
+def _without_brackets(title: Column) -> Column:
+    """The last words in brackets after a dash, if they say what the event is and not how to attend it."""
+    parts = F.struct(F.btrim(F.regexp_extract(title, _QUALIFIED, 1), F.lit(" -–—:|,;")).alias("head"), F.trim(F.regexp_extract(title, _QUALIFIED, 2)).alias("tail"))
+
+    def joined(p: Column) -> Column:
+        names = (F.length(p["head"]) >= 3) & p["head"].rlike("[A-Za-z]") & p["tail"].rlike("[A-Za-z]")
+        other = F.btrim(F.lower(p["tail"]), F.lit(" .")).isin(*S.PLAIN_QUALIFIERS) | p["tail"].rlike(r"\d{1,2}[/-]\d{1,2}")
+        return F.when(names & ~other, F.concat_ws(" - ", p["head"], p["tail"])).otherwise(title)
+
+    return _let(parts, joined)
+
+
+def clean_title(title: Column, fallback: Column | None = None) -> Column:
+    """A title without labels in front, a date behind and edge punctuation, until nothing more goes; never empty if one of both isn't.
+
+    Each turn that changes a title uses up a space, a separator or a bracket, so their number bounds the turns.
+    """
+    raw = F.coalesce(F.nullif(_spaced(title), F.lit("")), _spaced(fallback if fallback is not None else F.lit("")))
+
+    def turn(t: Column) -> Column:
+        for label in _LABELLED:
+            t = F.regexp_replace(t, label, "")
+        return _spaced(F.btrim(_let(_let(t, _without_date), _without_brackets), F.lit(" -–—:|,;")))
+
+    def settled(x: Column) -> Column:
+        most = F.regexp_count(x, F.lit(r"[\s:\[|/,;–—-]")) + 4 * F.regexp_count(x, F.lit(r"\(")) + 1
+        start = F.struct(x.alias("now"), F.lit(None).cast("string").alias("before"))
+        step = lambda acc, _: F.when(acc["now"].eqNullSafe(acc["before"]), acc).otherwise(F.struct(turn(acc["now"]).alias("now"), acc["now"].alias("before")))
+        return F.coalesce(F.nullif(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["now"]), F.lit("")), x)
+
+    return _let(raw, settled)
+
+
+def safe_text(text: Column, limit: int | None = None) -> Column:
+    """A text without control characters, blanks at line ends and runs of empty lines; cut at a limit with an ellipsis."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"(?m)[ \t]+$", "")
+    out = F.regexp_replace(out, r"^\s+|\s+\z", "")
+    return out if limit is None else _let(out, lambda o: F.when(F.length(o) > limit, F.concat(_right_trimmed(F.substring(o, 1, limit)), F.lit("…"))).otherwise(o))
+
+
+def _right_trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+\z", "")
+
+
+def _encoded(text: Column) -> Column:
+    """Percent-encoded, a space as %20."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    return F.replace(F.replace(out, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def deep_link(base: str, title: Column, day: Column, start: Column, end: Column, location: Column, description: Column) -> Column:
+    """An address that opens a calendar's form for one session; null without a day or a start.
+
+    A missing end is an hour after the start.  An address that is too long
+    loses three tenths of its description at a time down to a short one, and
+    then all of it; no other field is cut for that.
+    """
+    local = lambda minutes: F.concat(F.date_format(F.date_add(day, F.floor(minutes / 1440).cast("int")), "yyyy-MM-dd"), F.format_string("T%02d:%02d:00", F.floor(minutes / 60).cast("int") % 24, (minutes % 60).cast("int")))
+    field = lambda name, value: F.concat(F.lit(f"&{name}="), _encoded(value))
+    some = lambda name, value: F.when(value != "", field(name, value)).otherwise("")
+    fixed = F.concat(
+        F.lit(f"{base}?path="), _encoded(F.lit(S.COMPOSE_PATH)), F.lit("&rru=addevent"), field("startdt", local(start)), field("enddt", local(F.coalesce(end, start + 60))),
+        field("subject", safe_text(title, S.LINK_FIELD_CHARS)), some("location", safe_text(location, S.LINK_FIELD_CHARS)),
+    )
+
+    def fitted(x: Column) -> Column:
+        turns = F.greatest(F.ceil(F.ln(F.greatest(F.length(x["body"]), F.lit(1)) / (S.LINK_BODY_CHARS - 4)) / -math.log(S.LINK_SHRINK)) + 1, F.lit(1)).cast("int")
+        whole = lambda b: F.concat(x["fixed"], some("body", b))
+        shorter = lambda b: F.concat(_right_trimmed(F.substring(b, F.lit(1), F.floor(F.length(b) * S.LINK_SHRINK).cast("int"))), F.lit("…"))
+        step = lambda b, _: F.when((F.length(b) > S.LINK_BODY_CHARS) & (F.length(whole(b)) > S.LINK_CHARS), shorter(b)).otherwise(b)
+        return F.aggregate(F.sequence(F.lit(1), turns), x["body"], step, lambda b: _let(whole(b), lambda u: F.when(F.length(u) > S.LINK_CHARS, x["fixed"]).otherwise(u)))
+
+    return F.when(day.isNotNull() & start.isNotNull(), _let(F.struct(fixed.alias("fixed"), safe_text(description).alias("body")), fitted))

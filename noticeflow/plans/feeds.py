@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import settings as S
 from ..functions import calendar
 from ..operators import places
 from ..streaming import feeds
@@ -43,3 +44,32 @@ def calendar_documents(spark, d):
     title = F.concat(F.lit("Order, of; "), F.col("o_orderpriority"))
     entry = calendar.document(title, F.to_date("o_orderdate"), (F.col("o_orderkey") % 1440).cast("int"), F.lit(None).cast("int"), F.lit("Hall\\1"), F.lit("x") , F.col("o_orderkey"))
     return o.select("o_orderkey", entry.alias("entry"))
+
+
+_SUBJECT = """CASE c_custkey % 7 WHEN 0 THEN concat('EVENT: [FACULTY]  Coffee Hours no ', c_custkey, ' (Focus on Research)') WHEN 1 THEN concat('Town Hall ', c_custkey, ' (Hybrid)')
+  WHEN 2 THEN concat(c_mktsegment, ' - Talk on tour ', c_custkey, ' - Thursday, September 10th, 2026') WHEN 3 THEN 'September 10' WHEN 4 THEN concat('[NEW] [EVENT] tour ', c_custkey, ' 9/10/26 (10/4)') WHEN 5 THEN '   ' END"""
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Coffee Hours no ' || c_custkey || ' - Focus on Research' WHEN 1 THEN 'Town Hall ' || c_custkey || ' (Hybrid)' WHEN 2 THEN 'Talk on tour ' || c_custkey WHEN 3 THEN 'September 10'
+  WHEN 4 THEN 'tour ' || c_custkey ELSE c_name END AS title FROM customer
+""")
+def calendar_titles(spark, d):
+    """Titles of notices made of each customer, cleaned for a calendar."""
+    return table(spark, d, "customer").select("c_custkey", calendar.clean_title(F.expr(_SUBJECT), F.col("c_name")).alias("title"))
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents),
+f AS (SELECT doc_id, body, 'https://calendar.example/new?path=%2Fcalendar%2Faction%2Fcompose&rru=addevent&startdt=2026-09-10T' || lpad((doc_id % 24)::VARCHAR, 2, '0') || '%3A05%3A00&enddt=2026-09-' || CASE WHEN doc_id % 24 = 23 THEN '11T00' ELSE '10T' || lpad((doc_id % 24 + 1)::VARCHAR, 2, '0') END
+  || '%3A05%3A00&subject=Notice%20' || doc_id || '%3A%20a%2Fb' AS fixed FROM t),
+b AS (SELECT doc_id, fixed, body, 0 AS i FROM f UNION ALL
+  SELECT doc_id, fixed, regexp_replace(substr(body, 1, floor(length(body) * {S.LINK_SHRINK}::DOUBLE)::INT), '\s+$', '') || '…', i + 1 FROM b WHERE length(body) > {S.LINK_BODY_CHARS} AND length(fixed) + 6 + length(url_encode(body)) > {S.LINK_CHARS})
+SELECT doc_id, CASE WHEN body = '' OR length(fixed) + 6 + length(url_encode(body)) > {S.LINK_CHARS} THEN fixed ELSE fixed || '&body=' || url_encode(body) END AS link FROM (SELECT doc_id, fixed, max_by(body, i) AS body FROM b GROUP BY ALL)
+""")
+def calendar_links(spark, d):
+    """Documents as descriptions of sessions: the address of a calendar's form."""
+    link = calendar.deep_link(
+        "https://calendar.example/new", F.concat(F.lit("Notice "), "doc_id", F.lit(": a/b")), F.lit("2026-09-10").cast("date"), (F.col("doc_id") % 24 * 60 + 5).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("text"),
+    )
+    return table(spark, d, "documents").select("doc_id", link.alias("link"))

@@ -100,3 +100,31 @@ def test_geometry(spark):
     p = lambda lat, lon: F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
     r = one(spark, c=geo.ring_centroid(F.array(p(0.0, 0.0), p(0.0, 2.0), p(2.0, 2.0), p(2.0, 0.0))), d=geo.compass(F.lit(39.7), F.lit(-75.1), F.lit(39.8), F.lit(-75.1)), q=geo.maps_query(F.lit(39.5), F.lit(-75.0)), t=geo.travel(F.lit(None).cast("double")), w=geo.travel(F.lit(600.0)))
     assert (r.c.lat, r.c.lon) == (1.0, 1.0) and r.d == "north" and r.q == "39.5,-75" and r.t.mode == "unresolved" and (r.w.mode, r.w.before) == ("walk", 15)
+
+
+def test_titles_are_cleaned_until_nothing_more_goes(spark):
+    want = {
+        "EVENT: [FACULTY] REMINDER - Coffee  Hours (Focus on Research)": "Coffee Hours - Focus on Research", "Town Hall (Hybrid)": "Town Hall (Hybrid)", "Town Hall - Mon, Sept 10th, 2026": "Town Hall", "Hall (Hybrid) 9/10": "Hall (Hybrid",  # a date takes the brackets before it along
+        "September 10": "September 10", "Open House 9/10/26 (10/4)": "Open House", "RIPPAC Fall Open House": "RIPPAC Fall Open House", "---": "---", "[A] [B] [C] [D] talk, ;": "talk",
+        "Talk (see 10-12 below)": "Talk (see 10-12 below)", "event - x": "x", "Fest (a)": "Fest (a)", "  ": "other", None: "other",
+    }
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", calendar.clean_title(F.col("t"), F.lit(" other ")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == want
+    deep = "[x] " * 40 + "end" + " (more words)" * 3
+    assert spark.createDataFrame([(deep,)], "t string").select(calendar.clean_title(F.col("t"))).first()[0] == "end (more words) (more words) - more words"
+
+
+def test_deep_links_are_encoded_and_short(spark):
+    from urllib.parse import quote, urlencode
+
+    bodies = ["", None, "short & sweet*~\x07 \r\nnext", "long text, " * 400, "é" * 900, "漢" * 199, "漢" * 900, "x" * 1500]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    link = calendar.deep_link("https://c.example/new", F.lit("A/B t\t"), F.lit("2026-09-10").cast("date"), F.lit(1410), F.lit(None).cast("int"), F.when(F.col("i") % 2 == 0, "Hall 1"), F.col("b"))
+    for r in rows.select("i", link.alias("u")).collect():
+        given = {"path": "/calendar/action/compose", "rru": "addevent", "startdt": "2026-09-10T23:30:00", "enddt": "2026-09-11T00:30:00", "subject": "A/B t"} | ({"location": "Hall 1"} if r.i % 2 == 0 else {})
+        body = (bodies[r.i] or "").replace("\x07", "").replace(" \r\n", "\n").strip()
+        whole = lambda b: "https://c.example/new?" + urlencode(given | ({"body": b} if b else {}), quote_via=quote)
+        while len(whole(body)) > 1900 and len(body) > 200:
+            body = body[: int(len(body) * 0.7)].rstrip() + "…"
+        assert r.u == (whole(body) if len(whole(body)) <= 1900 else whole(""))
+    assert spark.range(1).select(calendar.deep_link("b", F.lit("t"), F.lit(None).cast("date"), F.lit(1), F.lit(2), F.lit(""), F.lit(""))).first()[0] is None
