@@ -95,11 +95,11 @@ def _without_brackets(title: Column) -> Column:
 
 
 def clean_title(title: Column, fallback: Column | None = None) -> Column:
-    """A title without labels in front, a date behind and edge punctuation, until nothing more goes; never empty if one of both isn't.
+    """A title without labels in front, a date behind and edge punctuation, until nothing more goes; an empty one gives the fallback as it is.
 
     Each turn that changes a title uses up a space, a separator or a bracket, so their number bounds the turns.
     """
-    raw = F.coalesce(F.nullif(_spaced(title), F.lit("")), _spaced(fallback if fallback is not None else F.lit("")))
+    given, other = F.nullif(_spaced(title), F.lit("")), _spaced(fallback if fallback is not None else F.lit(""))
 
     def turn(t: Column) -> Column:
         for label in _LABELLED:
@@ -112,7 +112,7 @@ def clean_title(title: Column, fallback: Column | None = None) -> Column:
         step = lambda acc, _: F.when(acc["now"].eqNullSafe(acc["before"]), acc).otherwise(F.struct(turn(acc["now"]).alias("now"), acc["now"].alias("before")))
         return F.coalesce(F.nullif(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["now"]), F.lit("")), x)
 
-    return _let(raw, settled)
+    return F.coalesce(_let(given, settled), other)
 
 
 def safe_text(text: Column, limit: int | None = None) -> Column:

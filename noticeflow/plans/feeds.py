@@ -47,7 +47,7 @@ def calendar_documents(spark, d):
 
 
 _SUBJECT = """CASE c_custkey % 7 WHEN 0 THEN concat('EVENT: [FACULTY]  Coffee Hours no ', c_custkey, ' (Focus on Research)') WHEN 1 THEN concat('Town Hall ', c_custkey, ' (Hybrid)')
-  WHEN 2 THEN concat(c_mktsegment, ' - Talk on tour ', c_custkey, ' - Thursday, September 10th, 2026') WHEN 3 THEN 'September 10' WHEN 4 THEN concat('[NEW] [EVENT] tour ', c_custkey, ' 9/10/26 (10/4)') WHEN 5 THEN '   ' END"""
+  WHEN 2 THEN concat(c_mktsegment, ' - Talk on tour ', c_custkey, ' - Thursday, September 10th, 2026') WHEN 3 THEN 'September 10' WHEN 4 THEN concat('[EVENT] tour ', c_custkey, ' 9/10/26 (10/4)') WHEN 5 THEN '   ' END"""
 
 
 @query("""
