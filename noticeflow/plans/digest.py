@@ -537,3 +537,27 @@ def inferred_campus(spark, d):
     names = small([("maple hall", "north"), ("Alder Annex", "south")])
     keywords = small([("main campus", "north"), ("north side", "north"), ("harbor campus", "south")])
     return places.campus_of(notices, small([("BUILDING", "north")]).withColumnRenamed("name", "category"), names, keywords, "c_custkey", "body", "category")
+
+
+_OFFERED = """CASE c_custkey % 8 WHEN 0 THEN concat('Thursday, September 10 from 11:00-12:30', chr(10), 'October ', cast(1 + c_custkey % 20 as string), ' from 2:30-4:00') WHEN 1 THEN 'September 10 and October 2' WHEN 2 THEN 'Soon'
+  WHEN 3 THEN concat('Date: September ', cast(10 + c_custkey % 15 as string), chr(10), 'Time: 9:00 - 10:00, 10:30 - 11:00') WHEN 4 THEN 'September 10. Every Monday 9:00-10:00' WHEN 5 THEN concat('September 10', chr(10), '9:00-11:00', chr(10), '10:00-12:00')
+  WHEN 6 THEN 'Register by September 10, 9:00-10:00' END"""
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_custkey % 8 AS k, c_nationkey AS n FROM customer), held(k, reason, evidence) AS (VALUES (1, 'multiple_distinct_dates', 'event_language'), (2, 'no_event_date', 'event_language'),
+  (4, 'recurring_schedule', 'body_date,body_time_range,event_language'), (5, 'overlapping_time_blocks', 'body_date,body_time_range,event_language'), (6, 'deadline_not_event', 'body_date,body_time_range,event_language'))
+SELECT c_custkey, DATE '2026-09-10' AS event_date, 660 AS start_min, 750 AS end_min, 1 AS session_index, 2 AS session_count, 'body_date,body_time_range,event_language,multi_session_schedule,session_time_ranges,weekday_confirmed' AS evidence, NULL AS reason FROM c WHERE k = 0
+UNION ALL SELECT c_custkey, make_date(2026, 10, (1 + c_custkey % 20)::INT), 870, 960, 2, 2, 'body_date,body_time_range,event_language,multi_session_schedule,session_time_ranges,weekday_confirmed', NULL FROM c WHERE k = 0
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, evidence, reason FROM c JOIN held USING (k)
+UNION ALL SELECT c_custkey, make_date(2026, 9, (10 + c_custkey % 15)::INT), 540, 660, 1, 1, 'body_date_labelled,event_language,labelled_body_schedule,labelled_time_range', NULL FROM c WHERE k = 3
+UNION ALL SELECT c_custkey, DATE '2026-09-11', 480 + n, CASE WHEN n % 2 = 0 THEN 600 END, 1, 1, 'event_language,source_event_date,source_event_flag,source_event_start_time,source_time_block', NULL FROM c WHERE k = 7
+""")
+def event_series(spark, d):
+    """Workshops made of each customer: their sessions, or what holds them back."""
+    stated = F.col("c_custkey") % 8 == 7
+    rows = table(spark, d, "customer").select(
+        "c_custkey", F.lit("Workshop").alias("title"), F.expr(_OFFERED).alias("body_text"), stated.alias("is_event"), F.when(stated, F.lit("2026-09-11").cast("date")).alias("event_date"),
+        F.when(stated, 480 + F.col("c_nationkey")).cast("int").alias("event_start_min"), F.when(stated & (F.col("c_nationkey") % 2 == 0), 600).alias("event_end_min"),
+    )
+    return sessions.series(rows, "c_custkey", F.lit("2026-09-01").cast("date"))

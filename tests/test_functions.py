@@ -128,3 +128,27 @@ def test_deep_links_are_encoded_and_short(spark):
             body = body[: int(len(body) * 0.7)].rstrip() + "…"
         assert r.u == (whole(body) if len(whole(body)) <= 1900 else whole(""))
     assert spark.range(1).select(calendar.deep_link("b", F.lit("t"), F.lit(None).cast("date"), F.lit(1), F.lit(2), F.lit(""), F.lit(""))).first()[0] is None
+
+
+def test_series_of_notices_and_why_some_are_held_back(spark):
+    day = dt.date(2026, 9, 10)
+    notices = {  # body: (title, is_event, date, start, end) and what comes out
+        "two": ("Coffee hour", "Thursday, September 10 from 11:00-12:30\nMonday, September 21 from 2:30-4:00"), "dates": ("Fair", "September 10 and October 2, all day"), "none": ("Workshop", "Soon"), "untimed": ("Workshop", "On September 10"),
+        "weekly": ("Meeting", "September 10. Every Monday 9:00-10:00"), "clash": ("Panel", "September 10\n9:00-11:00\n10:00-12:00"), "plain": ("Notice", "September 10, 9:00-10:00"), "due": ("Workshop", "Register by September 10, 9:00-10:00"),
+        "label": ("Notice", "Date: Thursday, September 10\nTime: 9:00 - 10:00, 10:30 - 11:00\n\nClosing"), "single": ("Lecture", "September 10 at 6:30 pm"), "far": ("Workshop", "September 10, 9:00-10:00, 3:00-4:00"),
+        "many": ("Tour", "\n".join(f"September {i} from 9:00-10:00" for i in range(10, 18))), "empty": (None, None),
+    }
+    rows = [(k, t, b, False, None, None, None) for k, (t, b) in notices.items()]
+    rows += [("given", "Notice", "September 11, 13:00-15:00", True, day, 780, 840), ("back", "Notice", "", True, day, 780, 700), ("nulls", None, None, None, day, 600, None)]
+    df = spark.createDataFrame(rows, "id string, title string, body_text string, is_event boolean, event_date date, event_start_min int, event_end_min int")
+    got = {}
+    for r in sessions.series(df, "id", F.lit("2026-09-01").cast("date")).collect():
+        got.setdefault(r.id, []).append((r.event_date and (r.event_date.month, r.event_date.day), r.start_min, r.end_min, r.session_index, r.session_count, r.reason))
+    held = lambda why: [(None, None, None, None, None, why)]
+    once = lambda d, a, b: [((9, d), a, b, 1, 1, None)]
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "two": [((9, 10), 660, 750, 1, 2, None), ((9, 21), 870, 960, 2, 2, None)], "dates": held("multiple_distinct_dates"), "none": held("no_event_date"), "untimed": held("no_event_time"), "weekly": held("recurring_schedule"),
+        "clash": held("overlapping_time_blocks"), "plain": held("no_event_evidence"), "due": held("deadline_not_event"), "label": once(10, 540, 660), "single": once(10, 1110, None), "far": once(10, 540, 600), "many": held("too_many_sessions"),
+        "empty": held("no_event_date"), "given": once(10, 780, 900), "back": held("end_before_start"), "nulls": once(10, 600, None),
+    }
+    assert sessions.series(df.limit(0), "id", F.lit("2026-09-01").cast("date")).count() == 0
