@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, mentions, sessions
+from ..functions import geo, headings, mentions, sessions
 from ..functions import text as T
 from ..operators import digest, quality, repeats
 from .registry import query, table
@@ -561,3 +561,17 @@ def event_series(spark, d):
         F.when(stated, 480 + F.col("c_nationkey")).cast("int").alias("event_start_min"), F.when(stated & (F.col("c_nationkey") % 2 == 0), 600).alias("event_end_min"),
     )
     return sessions.series(rows, "c_custkey", F.lit("2026-09-01").cast("date"))
+
+
+_PAGE = """CASE p_partkey % 6 WHEN 0 THEN concat('<h2>', upper(p_name), '!</h2><p>', p_type, '</p>') WHEN 1 THEN concat('<div><div><b>', p_name, '</b></div></div>', p_type) WHEN 2 THEN concat('<p><a href="x">', p_name, '</a></p>', p_type)
+  WHEN 3 THEN concat('<p>', p_name, ' again</p>', p_type) WHEN 4 THEN concat(p_type, '<h1>', p_name, '</h1>') END"""
+_PLAIN = "CASE p_partkey % 3 WHEN 0 THEN concat(upper(p_name), ':', chr(10), chr(10), p_type) WHEN 1 THEN concat(p_type, chr(10), p_name) END"
+
+
+@query(f"""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '<p>' || p_type || '</p>' WHEN 1 THEN p_type ELSE coalesce({_PAGE}, '') END AS page, CASE p_partkey % 3 WHEN 0 THEN p_type ELSE coalesce({_PLAIN}, '') END AS plain FROM part
+""")
+def repeated_headings(spark, d):
+    """Bodies made of each part without an opening that repeats the title."""
+    name = F.col("p_name")
+    return table(spark, d, "part").select("p_partkey", headings.without_heading(F.expr(_PAGE), name).alias("page"), headings.without_first_line(F.expr(_PLAIN), name).alias("plain"))

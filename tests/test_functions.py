@@ -152,3 +152,20 @@ def test_series_of_notices_and_why_some_are_held_back(spark):
         "empty": held("no_event_date"), "given": once(10, 780, 900), "back": held("end_before_start"), "nulls": once(10, 600, None),
     }
     assert sessions.series(df.limit(0), "id", F.lit("2026-09-01").cast("date")).count() == 0
+
+
+def test_headings_that_repeat_the_title_go(spark):
+    from noticeflow.functions import headings
+
+    pages = {
+        "<h2>Fall&nbsp;&ldquo;Fair&rdquo;!</h2><p>Body</p>": "<p>Body</p>", "\n <div><div><b>FALL</b> “fair”<br></div></div>Body <p>x</p>": "\n Body <p>x</p>", '<p>Fall "Fair" <a href="x">x</a></p>Body': None,
+        '<p><a href="x">Fall "Fair"</a></p>': None, '<p><img src="x">Fall "Fair"</p>': None, 'Text <h1>Fall "Fair"</h1>': None, '<h1>Fall "Fair" again</h1>': None, '<h1>Fall "Fair"': None, "<br><h1>Fall “Fair”</h1>": None,
+        '<p>Fall "Fair"</p>': "", "": None, '<address>Fall "Fair"</address>': None, '<p>Fall<br/>"Fair"<wbr></p>tail <b>': "tail <b>",
+    }
+    rows = spark.createDataFrame([(p,) for p in pages], "p string").select("p", headings.without_heading(F.col("p"), F.lit(" Fall  ‘ ").substr(1, 7)).alias("other"), headings.without_heading(F.col("p"), F.lit(' Fall "Fair". ')).alias("x"), headings.without_heading(F.col("p"), F.lit("!")).alias("y")).collect()
+    assert {r.p: r.x for r in rows} == {p: p if x is None else x for p, x in pages.items()}
+    assert all(r.y == r.p and r.other == r.p for r in rows)
+    texts = {"Fall “Fair”!\n\n  \nBody\n\nmore": "Body\n\nmore", "\n \nFALL \"fair\"": "", "Other\nFall \"Fair\"": None, "": None, "Fall \"Fair\"\n  Body": "  Body"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", headings.without_first_line(F.col("t"), F.lit('Fall "Fair"')).alias("x")).collect()
+    assert {r.t: r.x for r in got} == {t: t if x is None else x for t, x in texts.items()}
+    assert one(spark, a=headings.without_heading(F.lit(None).cast("string"), F.lit("x")), b=headings.without_first_line(F.lit(None).cast("string"), F.lit(None).cast("string"))) == ("", "")
