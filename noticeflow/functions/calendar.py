@@ -26,9 +26,15 @@ def uid(*parts: Column) -> Column:
     return F.concat(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 32), F.lit("@noticeflow"))
 
 
+def _moment(day: Column, minutes: Column, date_format: str, time_format: str) -> Column:
+    """A day and minutes after its midnight in local time; minutes may reach into the next day."""
+    clock = F.format_string(time_format, F.floor(minutes / 60).cast("int") % 24, (minutes % 60).cast("int"))
+    return F.concat(F.date_format(F.date_add(day, F.floor(minutes / 1440).cast("int")), date_format), clock)
+
+
 def stamp(day: Column, minutes: Column) -> Column:
     """yyyyMMddTHHmmss of a day and minutes after midnight, in local time."""
-    return F.concat(F.date_format(day, "yyyyMMdd"), F.format_string("T%02d%02d00", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")))
+    return _moment(day, minutes, "yyyyMMdd", "T%02d%02d00")
 
 
 def _folded(line: str) -> str:
@@ -50,7 +56,7 @@ def fold_lines(lines: pd.Series) -> pd.Series:
 
 def document(title: Column, day: Column, start: Column, end: Column, location: Column, description: Column, key: Column) -> Column:
     """One calendar document for each row; a missing end is an hour after the start."""
-    until = F.coalesce(end, F.least(start + 60, F.lit(1439)))
+    until = F.coalesce(end, start + 60)
     one = lambda name, value: F.array(F.concat(F.lit(name), value))
     some = lambda name, text: F.when(F.coalesce(text, F.lit("")) != "", one(f"{name}:", escaped(text))).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
@@ -141,7 +147,7 @@ def deep_link(base: str, title: Column, day: Column, start: Column, end: Column,
     loses three tenths of its description at a time down to a short one, and
     then all of it; no other field is cut for that.
     """
-    local = lambda minutes: F.concat(F.date_format(F.date_add(day, F.floor(minutes / 1440).cast("int")), "yyyy-MM-dd"), F.format_string("T%02d:%02d:00", F.floor(minutes / 60).cast("int") % 24, (minutes % 60).cast("int")))
+    local = lambda minutes: _moment(day, minutes, "yyyy-MM-dd", "T%02d:%02d:00")
     field = lambda name, value: F.concat(F.lit(f"&{name}="), _encoded(value))
     some = lambda name, value: F.when(value != "", field(name, value)).otherwise("")
     fixed = F.concat(

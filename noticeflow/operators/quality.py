@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -112,3 +112,22 @@ def clean_payload(text: Column, names: tuple[str, ...] = S.FORBIDDEN_KEYS) -> Co
     """No forbidden key, e-mail address or data URI in a JSON text."""
     keys = "|".join(names)
     return ~F.coalesce(text.rlike(rf'"(?:{keys})"\s*:') | text.rlike(S.EMAIL) | text.rlike("(?i)data:[a-z]+/"), F.lit(False))
+
+
+def session_faults(rows: DataFrame, notice: str, base: str) -> DataFrame:
+    """Sessions with their first fault, null for none: title, end, address, character, document, file, start (as another's of the notice), name (likewise).
+
+    rows: title, event_date, start_min, end_min, link, document, file_name; a
+    missing document or file name is no fault, and a file name's form counts only
+    with a document.  A missing title, end, start or link is one.
+    """
+    c, own = F.col, F.coalesce("document", F.lit("BEGIN:VCALENDAR\r\nEND:VCALENDAR"))
+    torn = ~own.startswith("BEGIN:VCALENDAR") | ~own.rlike(r"END:VCALENDAR\s*\z") | ~own.contains("\r\n") | own.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+    named = c("document").isNotNull() & (F.coalesce("file_name", F.lit("")) != "")
+    same = lambda *by: F.count("*").over(Window.partitionBy(notice, *by)) > 1
+    fault = (
+        F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "title").when(~F.coalesce(c("end_min") > c("start_min"), F.lit(False)), "end").when(~F.coalesce(c("link").startswith(f"{base}?"), F.lit(False)), "address")
+        .when(c("link").rlike('[\\n\\r "<>]'), "character").when(torn, "document").when(named & (c("file_name").rlike(r"[/\\]") | ~c("file_name").endswith(".ics")), "file")
+        .when(same("event_date", "start_min"), "start").when((F.coalesce("file_name", F.lit("")) != "") & same("file_name"), "name")
+    )
+    return rows.withColumn("fault", fault)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions import calendar
-from ..operators import places
+from ..operators import places, quality
 from ..streaming import feeds
 from .registry import query, table
 
@@ -37,7 +37,11 @@ def venue_resolution(spark, d):
     return places.first_known(c.select(F.col("c_custkey").alias("id"), "venue"), "venue", {"cache": known(1, "C"), "landmark": known(2, "H")}).select("id", "place", "via")
 
 
-@query()
+@query(r"""
+WITH o AS (SELECT o_orderkey, o_orderpriority, o_orderdate::DATE AS day, (o_orderkey % 1440)::INT AS m FROM orders), t AS (SELECT *, strftime(day, '%Y%m%d') AS d, day + INTERVAL 1 MINUTE * m AS s FROM o)
+SELECT o_orderkey, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//noticeflow//EN', 'BEGIN:VEVENT', 'UID:' || substr(sha256(o_orderkey || '|' || day || '|' || m), 1, 32) || '@noticeflow', 'DTSTAMP:' || d || 'T000000Z', 'DTSTART:' || strftime(s, '%Y%m%dT%H%M00'),
+  'DTEND:' || strftime(s + INTERVAL 1 HOUR, '%Y%m%dT%H%M00'), 'SUMMARY:Order\, of\; ' || o_orderpriority, 'LOCATION:Hall\\1', 'DESCRIPTION:x', 'END:VEVENT', 'END:VCALENDAR', ''], chr(13) || chr(10)) AS entry FROM t
+""")
 def calendar_documents(spark, d):
     """Orders as events: a calendar document for each."""
     o = table(spark, d, "orders")
@@ -73,3 +77,24 @@ def calendar_links(spark, d):
         "https://calendar.example/new", F.concat(F.lit("Notice "), "doc_id", F.lit(": a/b")), F.lit("2026-09-10").cast("date"), (F.col("doc_id") % 24 * 60 + 5).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("text"),
     )
     return table(spark, d, "documents").select("doc_id", link.alias("link"))
+
+
+_ADDRESS = "CASE l_linenumber % 4 WHEN 0 THEN 'http://other.example' WHEN 1 THEN 'https://calendar.example/new?subject=a b' ELSE 'https://calendar.example/new?subject=a' END"
+_ENTRY = "CASE l_orderkey % 3 WHEN 0 THEN concat('BEGIN:VCALENDAR', chr(13), chr(10), 'END:VCALENDAR', chr(13), chr(10)) WHEN 1 THEN concat('BEGIN:VCALENDAR', chr(13), chr(10), 'END') END"
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS notice, l_linenumber AS session, (l_suppkey % 4) * 60 AS start_min, CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE 300 END AS end_min, l_linenumber % 4 AS k, CASE WHEN l_orderkey % 11 = 0 THEN 'a/b.ics' WHEN l_orderkey % 13 = 0 THEN 'a.ics' ELSE 's' || l_linenumber || '.ics' END AS file FROM lineitem), t AS (SELECT *, count(*) OVER (PARTITION BY notice, start_min) AS n FROM r)
+SELECT notice, session, CASE WHEN notice % 7 = 0 THEN 'title' WHEN end_min <= start_min THEN 'end' WHEN k = 0 THEN 'address' WHEN k = 1 THEN 'character' WHEN notice % 3 = 1 THEN 'document' WHEN notice % 3 = 0 AND notice % 11 = 0 THEN 'file' WHEN n > 1 THEN 'start' WHEN c > 1 THEN 'name' END AS fault
+FROM (SELECT *, count(*) OVER (PARTITION BY notice, file) AS c FROM t)
+""")
+def session_faults(spark, d):
+    """Sessions made of line items, and what keeps them from a digest."""
+    i, key = table(spark, d, "lineitem"), F.col("l_orderkey")
+    start = ((F.col("l_suppkey") % 4) * 60).cast("int")
+    name = F.when(key % 11 == 0, "a/b.ics").when(key % 13 == 0, "a.ics").otherwise(F.concat(F.lit("s"), "l_linenumber", F.lit(".ics")))
+    rows = i.select(
+        key.alias("notice"), F.col("l_linenumber").alias("session"), F.when(key % 7 == 0, " ").otherwise("Talk").alias("title"), F.lit("2026-09-10").cast("date").alias("event_date"), start.alias("start_min"),
+        F.when(F.col("l_suppkey") % 5 == 0, 0).otherwise(300).alias("end_min"), F.expr(_ADDRESS).alias("link"), F.expr(_ENTRY).alias("document"), name.alias("file_name"),
+    )
+    return quality.session_faults(rows, "notice", "https://calendar.example/new").select("notice", "session", "fault")

@@ -140,3 +140,14 @@ def test_description_fault(spark):
     rows = [(None, ["Maple Hall"]), (good, ["Maple Hall"]), (good, None), (good.replace("north", "beautifully north"), ["Maple Hall"]), ("  ", []), ("Next to Lot 7 and the amazing big hall", []), ("word " * 30, []), ("word " * 31, [])]
     got = spark.createDataFrame(rows, "said string, names array<string>").select(T.description_fault(F.col("said"), F.col("names"))).collect()
     assert [r[0] for r in got] == ["empty", None, "unknown name", None, "empty", "praise", None, "length"]
+
+
+def test_faults_of_sessions_without_fields(spark):
+    df = spark.createDataFrame(
+        [(1, 1, None, None, None, None, None, None, None), (2, 1, "t", None, 10, 20, "b?x", None, None), (3, 1, "t", None, 10, 20, "b?x<", None, None), (4, 1, "t", None, 10, None, "b?x", None, None), (5, 1, "t", None, 10, 20, None, None, None),
+         (6, 1, "t", None, 10, 20, "b?x", "BEGIN:VCALENDAR\nEND:VCALENDAR", None), (7, 1, "t", None, 10, 20, "b?x", None, "x.txt"), (8, 1, "t", None, 10, 20, "b?x", None, None), (8, 2, "t", None, 10, 20, "b?x", None, None)],
+        "notice int, session int, title string, event_date date, start_min int, end_min int, link string, document string, file_name string",
+    )
+    got = sorted((r.notice, r.session, r.fault) for r in quality.session_faults(df, "notice", "b").collect())
+    assert got == [(1, 1, "title"), (2, 1, None), (3, 1, "character"), (4, 1, "end"), (5, 1, "address"), (6, 1, "document"), (7, 1, None), (8, 1, "start"), (8, 2, "start")]
+    assert quality.session_faults(df.limit(0), "notice", "b").count() == 0
