@@ -70,7 +70,13 @@ def extract_urls(spark, d):
     return rows.select("page_id", (F.col("position") + 1).alias("position"), "url")
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '</t[dh]\s*>', ' ', 'gi'), '<br\s*/?>|</(p|div|li|tr|h[1-6]|ul|ol|table|section|article|blockquote)\s*>', chr(10), 'gi') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '<script\b.*?(</script\s*>|$)|<style\b.*?(</style\s*>|$)|<!--.*?-->', '', 'gis'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g') AS x FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(replace(x, chr(160), ' '), '[ \t\r\f\v]+', ' ', 'g'), '(?m)^ +| +$', '', 'g') AS x FROM c)
+SELECT page_id, regexp_replace(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body_text FROM d
+""")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("body_text"))
 
