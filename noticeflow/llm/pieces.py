@@ -44,8 +44,8 @@ MODEL = "piece_bpe_32k.model"
 #: A model is sent to all executors; larger ones are refused.
 MODEL_BYTES = 64 << 20
 #: Keys and values that a task's table holds before it is emptied; a chunk longer than LONG isn't kept in it.
-TABLE_BYTES, LONG = 64 << 20, 1 << 16
-STEP_BYTES = 4 << 20
+TABLE_BYTES, LONG = 32 << 20, 1 << 16
+STEP_BYTES = 2 << 20
 
 
 def read_model(spark: SparkSession, path: str | None = None) -> bytes:
@@ -129,11 +129,25 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", begin: bool = True, end: bool = True) -> DataFrame:
-    """``df`` with the packed ids of its texts, exactly those of the library."""
-    apart, step_bytes = separable(model), STEP_BYTES
+Batches = Iterator[pa.RecordBatch]
+
+
+def _slices(batch: pa.RecordBatch, name: str, kind: pa.DataType, empty) -> Iterator[tuple[int, pa.Array]]:
+    """Rows of a column in steps of few bytes, so that copies are small: first row and values, null ones empty."""
+    column = batch.column(name)
+    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    row = 0
+    while row < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + STEP_BYTES, "right"))
+        end = min(max(end, row + 1), batch.num_rows)
+        yield row, column.slice(row, end - row).cast(kind).fill_null(empty)
+        row = end
+
+
+def _encoder(model: bytes, text: str, ids: str, begin: bool, end: bool) -> Callable[[Batches], Batches]:
+    apart = separable(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         sp = _processor(model)
         head = struct.pack("<I", sp.bos_id()) if begin else b""
         tail = struct.pack("<I", sp.eos_id()) if end else b""
@@ -148,29 +162,29 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", be
 
         chunks = ChunkTable(work)
         for batch in batches:
-            texts = batch.column(text).cast(pa.large_string()).fill_null("")
-            if apart:
-                texts = pc.replace_substring(texts, MARK, " ")
-                texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-            for row, data, offs in text_steps(texts, step_bytes):
-                starts = offs[:-1][offs[:-1] < offs[1:]]
+            for first, texts in _slices(batch, text, pa.large_string(), ""):
                 if apart:
-                    is_mark = data == 0x20
-                    opens = is_mark.copy()
-                    opens[1:] &= ~is_mark[:-1]
-                    opens[starts] = True
-                    starts = np.flatnonzero(opens)
-                packed = [head + x + tail for x in joined(chunks, data, starts, offs)]
-                yield _replaced(batch, row, len(packed), ids, pa.array(packed, pa.binary()))
-
-    return df.mapInArrow(run, _with(df, ids, T.BinaryType()))
-
-
-def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the texts of its packed ids, exactly those of the library's decode; null ids give the empty text."""
-    apart, step_bytes = separable(model), STEP_BYTES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    texts = pc.replace_substring(texts, MARK, " ")
+                    space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+                    texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(space, texts, none))
+                for row, data, offs in text_steps(texts, 2 * STEP_BYTES):
+                    starts = offs[:-1][offs[:-1] < offs[1:]]
+                    if apart:
+                        is_mark = data == 0x20
+                        opens = is_mark.copy()
+                        opens[1:] &= ~is_mark[:-1]
+                        opens[starts] = True
+                        starts = np.flatnonzero(opens)
+                    packed = [head + x + tail for x in joined(chunks, data, starts, offs)]
+                    yield _replaced(batch, first + row, len(packed), ids, pa.array(packed, pa.binary()))
+
+    return run
+
+
+def _decoder(model: bytes, ids: str, text: str) -> Callable[[Batches], Batches]:
+    apart = separable(model)
+
+    def run(batches: Batches) -> Batches:
         sp = _processor(model)
         n = sp.get_piece_size()
         marked = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(n)])
@@ -184,27 +198,48 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
 
         chunks = ChunkTable(work)
         for batch in batches:
-            packed = batch.column(ids).cast(pa.large_binary()).fill_null(b"")
-            for row, data, offs in _packed_steps(packed, step_bytes):
+            for first, packed in _slices(batch, ids, pa.large_binary(), b""):
+                _, offs, data = packed.buffers()
+                offs = np.frombuffer(offs, np.int64)[packed.offset : packed.offset + len(packed) + 1]
+                whole = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
+                offs, each = offs - offs[0], np.ascontiguousarray(whole).view("<u4")
                 starts = offs[:-1][offs[:-1] < offs[1:]]
                 if apart:
-                    whole = np.ascontiguousarray(data).view("<u4")
-                    opens = marked[whole]
+                    opens = marked[each]
                     opens[starts // 4] = True
                     starts = np.flatnonzero(opens) * 4
-                out = joined(chunks, data, starts, offs)
+                out = joined(chunks, whole, starts, offs)
                 if apart:
-                    shown = np.append(np.flatnonzero(~control[whole]), len(whole))
-                    first = shown[np.searchsorted(shown, offs[:-1] // 4)]
-                    strip = [f < e // 4 and marked[whole[f]] for f, e in zip(first.tolist(), offs[1:].tolist(), strict=True)]
+                    shown = np.append(np.flatnonzero(~control[each]), len(each))
+                    lead = shown[np.searchsorted(shown, offs[:-1] // 4)]
+                    strip = [f < e // 4 and marked[each[f]] for f, e in zip(lead.tolist(), offs[1:].tolist(), strict=True)]
                     out = [x[1:] if s else x for x, s in zip(out, strip, strict=True)]
-                yield _replaced(batch, row, len(out), text, pa.array([x.decode("utf-8", "replace") for x in out], pa.string()))
+                yield _replaced(batch, first, len(out), text, pa.array([x.decode("utf-8", "replace") for x in out], pa.string()))
+
+    return run
+
+
+def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", begin: bool = True, end: bool = True) -> DataFrame:
+    """``df`` with the packed ids of its texts, exactly those of the library."""
+    return df.mapInArrow(_encoder(model, text, ids, begin, end), _with(df, ids, T.BinaryType()))
+
+
+def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``df`` with the texts of its packed ids, exactly those of the library's decode; null ids give the empty text."""
+    return df.mapInArrow(_decoder(model, ids, text), _with(df, text, T.StringType()))
+
 
-    return df.mapInArrow(run, _with(df, text, T.StringType()))
+def round_trip(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded", begin: bool = True, end: bool = True) -> DataFrame:
+    """``encode`` and then ``decode`` in the same Python process, which holds one step of either; without ``text``."""
+    there, back = _encoder(model, text, ids, begin, end), _decoder(model, ids, decoded)
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (text, ids, decoded)]).add(ids, T.BinaryType()).add(decoded, T.StringType())
+    names = schema.names
 
+    def run(batches: Batches) -> Batches:
+        for batch in back(there(batches)):
+            yield batch.select(names)
 
-def _packed_steps(packed: pa.Array, step_bytes: int):
-    yield from text_steps(pa.Array.from_buffers(pa.large_string(), len(packed), packed.buffers(), packed.null_count, packed.offset), step_bytes)
+    return df.mapInArrow(run, schema)
 
 
 def unpacked(ids: Column) -> Column:
@@ -217,7 +252,7 @@ def unpacked(ids: Column) -> Column:
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = read_model(spark)
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
