@@ -15,6 +15,7 @@ _WHERE = {
     "op8_mixing": "mixing",
     "op9_toxicity": "toxicity",
     "op10_decontamination": "decontamination",
+    "op11_lexical_search": "lexical",
     "op12_sentencepiece": "pieces",
     "op13_merkle_manifest": "merkle",
 }
@@ -26,9 +27,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .decontamination import OP10_SQL
+    from .lexical import OP11_SQL
     from .merkle import OP13_SQL
     from .mixing import OP8_SQL
     from .sharding import op7_sql
     from .warc import OP5_SQL
 
-    return {"op5_warc": OP5_SQL, "op7_sharding": op7_sql(), "op8_mixing": OP8_SQL, "op10_decontamination": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op5_warc": OP5_SQL, "op7_sharding": op7_sql(), "op8_mixing": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
