@@ -47,13 +47,18 @@ def _escaped(text: Column, quotes: bool = False) -> Column:
     return F.replace(out, F.lit('"'), F.lit("&quot;")) if quotes else out
 
 
+def decoded(text: Column) -> Column:
+    """The references decoded that a page can't do without: quotes, angle brackets, the fixed space and the ampersand, which comes last."""
+    for pattern, char in ((r"&quot;|&#34;", '"'), (r"&apos;|&#39;", "'"), (r"&lt;", "<"), (r"&gt;", ">"), (r"&nbsp;|&#160;", " "), ("&amp;", "&")):
+        text = F.regexp_replace(text, pattern, char)
+    return text
+
+
 def _value(attribute: Column) -> Column:
-    """An attribute's value without quotes and with the usual references decoded; null if it has none."""
+    """An attribute's value without quotes, decoded; null if it has none."""
     raw = F.regexp_extract(attribute, r"(?s)^[^=]*+=\s*+(.*)$", 1)
     bare = F.when(raw.rlike("""(?s)^(?:".*"|'.*')$"""), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    for pattern, char in ((r"&quot;|&#34;", '"'), (r"&apos;|&#39;", "'"), (r"&lt;", "<"), (r"&gt;", ">"), (r"&nbsp;|&#160;", " "), ("&amp;", "&")):
-        bare = F.regexp_replace(bare, pattern, char)
-    return F.when(attribute.contains("="), bare)
+    return F.when(attribute.contains("="), decoded(bare))
 
 
 def _attributes(tag: Column) -> Column:
@@ -113,7 +118,7 @@ def _all_styles(tag: Column, look: Look) -> Column:
         none = F.when(~F.exists(tag["own"], lambda d: d["name"].startswith("margin")), name)
         parts.insert(0, _by_name(none, {k: _fixed(v) for k, v in S.DEFAULT_MARGINS.items()}, _fixed("")))
     if look.body is not None:
-        ink = F.when(name.isin(*S.HEADING_TAGS), look.heading).when(name == "a", look.link).when(name.isin(*S.INKED_TAGS), look.body)
+        ink = F.when(name.isin(*S.HEADING_TAGS), look.heading).when((name == "a") & tag["link"].isNotNull(), look.link).when(name.isin(*S.INKED_TAGS), look.body)
         parts.append(F.filter(F.array(F.struct(F.lit("color").alias("name"), ink.alias("value"))), lambda d: d["value"].isNotNull()))
     return F.concat(*parts)
 
@@ -201,3 +206,34 @@ def sanitised(df: DataFrame, page: str, out: str = "sanitised", look: Look = Loo
     )
     # a generator of one row: filters on the result stay above it and don't repeat these expressions
     return rows.select(*(c for c in df.columns if c not in (out, "n_links", "n_links_repaired", "n_links_lost", "n_images")), F.inline(F.array(found)))
+
+
+def faults(page: Column) -> Column:
+    """struct(tags, attributes, addresses, unbalanced): what a sanitised page must not hold, counted; all are 0."""
+    found = F.regexp_extract_all(page, F.lit(f"(?is){_TAG}"), 0)
+    name = lambda t: F.lower(F.regexp_extract(t, r"(?i)^</?([a-z][a-z0-9:_-]*)", 1))
+    count = lambda f: F.size(F.filter(found, f))
+    names = F.array_distinct(F.transform(found, name))
+    open_ended = F.filter(names, lambda n: ~n.isin(*S.VOID_TAGS))
+    gap = lambda n: F.abs(count(lambda t: (name(t) == n) & ~t.startswith("</")) - count(lambda t: (name(t) == n) & t.startswith("</")))
+    return F.struct(
+        count(lambda t: ~name(t).isin(*S.ALLOWED_TAGS)).alias("tags"),
+        count(lambda t: t.rlike(r"(?i)\s(?:on[a-z]+|src|srcset|class|id|name)\s*=")).alias("attributes"),
+        count(lambda t: t.rlike(r"""(?i)(?:href\s*=\s*["']?\s*(?!https?:|mailto:|tel:)[a-z])|javascript:|expression\s*\(|url\s*\(""")).alias("addresses"),
+        F.aggregate(open_ended, F.lit(0), lambda n, x: n + gap(x)).alias("unbalanced"),
+    )
+
+
+def faults(page: Column) -> Column:
+    """struct(tags, attributes, addresses, unbalanced): what a sanitised page must not hold, counted; all are 0."""
+    found = F.regexp_extract_all(page, F.lit(f"(?is){_TAG}"), 0)
+    name = lambda t: F.lower(F.regexp_extract(t, r"(?i)^</?([a-z][a-z0-9:_-]*)", 1))
+    count = lambda f: F.size(F.filter(found, f))
+    open_ended = F.filter(F.array_distinct(F.transform(found, name)), lambda n: ~n.isin(*S.VOID_TAGS))
+    gap = lambda n: F.abs(count(lambda t: (name(t) == n) & ~t.startswith("</")) - count(lambda t: (name(t) == n) & t.startswith("</")))
+    return F.struct(
+        count(lambda t: ~name(t).isin(*S.ALLOWED_TAGS)).alias("tags"),
+        count(lambda t: t.rlike(r"(?i)\s(?:on[a-z]+|src|srcset|class|id|name)\s*=")).alias("attributes"),
+        count(lambda t: t.rlike(r"""(?i)(?:href\s*=\s*["']?\s*(?!https?:|mailto:|tel:)[a-z])|javascript:|expression\s*\(|url\s*\(""")).alias("addresses"),
+        F.aggregate(open_ended, F.lit(0), lambda n, x: n + gap(x)).alias("unbalanced"),
+    )
