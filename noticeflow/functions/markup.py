@@ -141,6 +141,8 @@ def _faces(tags: Column, look: Look, host: str) -> Column:
     """
     step = lambda name, f: F.transform(out, lambda t: F.when(t.isNotNull(), t.withField(name, f(t))))  # noqa: B023, E731
     out = F.transform(tags, lambda t: F.when(t["attributes"].isNotNull(), t))
+    earlier = lambda t, a, i: F.exists(F.slice(t["attributes"], F.lit(1), i), lambda x: x["name"] == a["name"])
+    out = step("attributes", lambda t: F.filter(t["attributes"], lambda a, i: ~earlier(t, a, i)))
     out = step("style", lambda t: _one(t["attributes"], "style"))
     out = step("raw", lambda t: F.when(t["name"] == "a", _one(t["attributes"], "href")))
     out = step("styles", lambda t: _declarations(t["style"]))

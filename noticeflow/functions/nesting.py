@@ -23,6 +23,7 @@ _CELLS = ("td", "th", "caption", "table")
 _IN_TABLES = ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption")
 _ENDS_PARAGRAPH = frozenset(S.BLOCK_TAGS)
 _BLANKABLE = ("p", "div")
+_IMAGE = -2
 
 
 class _Walk:
@@ -40,7 +41,7 @@ class _Walk:
             name, entry, letters, content = self.open.pop()
             self.names[name] -= 1
             if name in _BLANKABLE and self.content == content:
-                del self.kept[entry:]
+                self.kept[entry:] = [x for x in self.kept[entry:] if x[3] == _IMAGE]  # they are counted, though not shown
                 continue
             self.kept[entry][2] = self.letters - letters
             self.kept.append([self.kept[entry][0], True, 0, -1])
@@ -107,8 +108,8 @@ def walk(codes, sizes, edges, marks) -> list[list]:
         elif name in S.VOID_TAGS and name in S.ALLOWED_TAGS:
             if name == "hr" and (k := w.nearest(("p",), _CELLS)) >= 0:
                 w.pop_to(k)
-            w.content += name != "br"
-            w.kept.append([at, False, 0, -1])
+            w.content += name not in ("br", "img")
+            w.kept.append([at, False, 0, _IMAGE if name == "img" else -1])
             w.ran = False
         elif name in S.ALLOWED_TAGS:
             w.start(at, name, bool(marks[at]))

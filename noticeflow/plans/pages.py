@@ -14,7 +14,7 @@ _PAGE = """replace(replace(html, '<article>', concat('<article onclick="x()"><p
   THEN '<p>Please RSVP with <a href="http://f.example/x"> Ünïque  form </a>, or else <b>this</b> <a href="http://g.example/y?z=1">page</a>.<br><a href="http://g.example/z">other</a></p>'
   WHEN page_id % 3 = 1 THEN '<ul><li>Tickets<li><a href="https://t.example/">Get tickets</a> <a href="https://t.example/">again</a></ul>' ELSE '<a href="/register">inside</a>' END)), '<a href="/', '<a href="https://h.example/')"""
 _GONE = "list_reduce(['comment', 'script', 'style', 'title', 'head', 'form', 'object', 'svg', 'iframe', 'noscript', 'select', 'button', 'textarea', 'template'], lambda x, t: CASE WHEN t = 'comment' THEN regexp_replace(x, '(?s)<!--.*?-->', '', 'g') ELSE regexp_replace(x, '(?is)<' || t || '[^>]*>.*?</' || t || '>', '', 'g') END, page)"
-_SEEN = "regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\\x{{a0}}]+', '', 'g')"
+_SEEN = "regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\\x{{a0}}]+', '', 'g')"
 
 
 def _pages(spark, d):

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import digest, facts, feeds, pages, places, texts  # noqa: F401  registers on import
+    from . import digest, facts, feeds, pages, places, texts, upkeep  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a table at the path yet."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` worked out once, by a checkpoint in the cluster's shared folder; in local mode a temporary one where none is set."""
+    context = rows.sparkSession.sparkContext
+    if not (rows.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="noticeflow-"))
+    return rows.checkpoint()
