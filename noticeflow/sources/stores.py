@@ -41,11 +41,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` worked out once, by a checkpoint in the cluster's shared folder; in local mode a temporary one where none is set."""
-    context = rows.sparkSession.sparkContext
-    if not (rows.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        if not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; in local mode a temporary one where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="noticeflow-"))
+        found = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` worked out once, by a checkpoint in the shared folder."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
