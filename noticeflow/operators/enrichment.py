@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 ERROR_CHARS = 160
@@ -30,20 +31,19 @@ class Step:
 
 def guarded(f: Callable, kind: DataType, *columns: str) -> Column:
     """``f`` of a row's columns as struct<value, error>: what it raises is the row's error, its type and message."""
+    arrow_type = pa.struct([("value", to_arrow_type(kind)), ("error", pa.string())])
 
-    @F.pandas_udf(StructType([StructField("value", kind), StructField("error", StringType())]))
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values, errors = [], []
-        for row in frame.itertuples(index=False, name=None):
+    @F.arrow_udf(StructType([StructField("value", kind), StructField("error", StringType())]))
+    def run(*arrays: pa.Array) -> pa.Array:
+        out = []
+        for row in zip(*(a.to_pylist() for a in arrays), strict=True):
             try:
-                values.append(f(*row))
-                errors.append(None)
+                out.append({"value": f(*row), "error": None})
             except Exception as x:  # the row's fault, whatever it is
-                values.append(None)
-                errors.append(f"{type(x).__name__}: {str(x)[:ERROR_CHARS]}")
-        return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
+                out.append({"value": None, "error": f"{type(x).__name__}: {str(x)[:ERROR_CHARS]}"})
+        return pa.array(out, arrow_type)
 
-    return run(F.struct(*columns))
+    return run(*columns)
 
 
 def enriched(rows: DataFrame, steps: list[Step]) -> DataFrame:

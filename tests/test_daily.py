@@ -20,7 +20,7 @@ def steps():
     def poison(k):
         if k == 3:
             raise RuntimeError("bad " * 100)
-        return None if k is None or k != k else int(k) * 10
+        return None if k is None else k * 10
 
     return [
         enrichment.Step("a", enrichment.guarded(poison, LongType(), "k"), withheld=F.when(F.col("k") == 5, "no event")),
@@ -31,6 +31,8 @@ def steps():
 
 def test_a_poisoned_row_costs_itself_only(spark):
     rows = spark.createDataFrame([(k, "x") for k in (0, 1, 2, 3, 4, 5, None)], "k long, state string")
+    big = enrichment.guarded(lambda k: k, LongType(), "k")
+    assert [r.x.value for r in spark.createDataFrame([(2**53 + 1,), (None,)], "k long").select(big.alias("x")).collect()] == [2**53 + 1, None]
     got = {r.k: r for r in enrichment.enriched(rows, steps()).collect()}
     assert {k: (r.state, r.step) for k, r in got.items()} == {0: ("failed", "b"), 1: ("done", None), 2: ("done", None), 3: ("failed", "a"), 4: ("done", None), 5: ("withheld", "a"), None: ("done", None)}
     assert got[3].reason == ("RuntimeError: " + ("bad " * 100)[:160]) and (got[3].b, got[3].c, got[0].c, got[5].a) == (None, None, None, None)
