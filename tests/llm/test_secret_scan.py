@@ -56,3 +56,17 @@ def test_query_matches_brute_force(spark, tmp_path):
     by = {g.doc_id: g for g in got}
     assert by[904].spans.startswith("github:0:40") and by[900].spans == "" and by[902].spans == f"assign:{400_000}:{400_013}"
     assert sec.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_that_look_like_tokens_take_time_in_proportion(spark):
+    text = "eyJ" * 400_000 + " " + "0a" * 400_000 + " " + "ab " * 100_000 + "eyJabcdefghij.klmnopqrst.uvwxyz0123"
+    found = sec.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().findings
+    assert [(f.kind, f.end - f.start) for f in found] == [("hex", 800_000), ("jwt", 35)]
+
+
+def test_other_columns_with_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "password = hunter22"), (2, None), (3, "")], "doc_id long, text string")
+    df.selectExpr("*", "1 AS n_hex", "'x' AS spans", "2 AS base_sha256", "3 AS kind", "4 AS findings").write.parquet(f"{tmp_path}/documents.parquet")
+    df.write.parquet(f"{tmp_path}/plain/documents.parquet")
+    rows = lambda p: sorted(map(tuple, sec.op1_secret_scan(spark, p).collect()))
+    assert rows(str(tmp_path)) == rows(f"{tmp_path}/plain")
