@@ -14,8 +14,10 @@ share is no site line: a shared paragraph, heading or the like inside an article
 or main element stays, and other lines in there go only if both partners share
 them.  And a menu, advert or reader comment that only one page has isn't shared:
 lines inside menus, page headers, footers, sidebars, notices, adverts, forms and
-comments, told by elements, roles, classes and ids, go as well.  Scripts, styles
-and the like are no text.
+comments, told by elements, roles, classes and ids, go as well; inside an article
+a word that prose uses, too ("discussion", "notice"), isn't enough as an id or on
+a paragraph.  Scripts, styles, drawings and the like are no text; formulas and
+what stands in for an object are.
 
 Defined cases: null and empty pages have empty text; a null or odd URL has the
 empty host; a page without another content of its host keeps its lines but for
@@ -31,21 +33,23 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, staged, table
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|$)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|$)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video title".split())
-CHROME = frozenset("nav footer aside form dialog menu button select fieldset head".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
+CHROME = frozenset("nav footer aside form dialog menu button select fieldset head svg".split())
 CONTAINERS = frozenset("article main".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -66,7 +70,8 @@ CHROME_NAMES = frozenset(
     "sidebar sidebars footer masthead topbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended comment comments commentlist disqus respond reply replies discussion widget widgets pagination pager toolbar skip alert banner copyright".split()
 )
-
+#: Those that are words of prose, too: as an id, or on an element of an article's text, one of them alone tells nothing.
+PROSE_NAMES = frozenset("notice notices discussion related recommended social respond reply replies response alert banner copyright subscription signup login share sharing promotion menu skip overlay".split())
 ARTICLE_NAMES = frozenset("article main content post entry".split())
 HEADER_NAMES = frozenset(["header"])
 BOX_WORDS = frozenset(
@@ -79,12 +84,17 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _named(attrs: dict[str, str], names: frozenset[str]) -> bool:
-    """A class or id consists of these names and of words for boxes and places only: 'ad-slot-2', not 'related-work'."""
-    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        parts = {p for p in _SPLIT.split(_CAMEL.sub(r"\1-\2", token).lower()) if p and not p.isdigit()}
-        if parts & names and parts <= names | BOX_WORDS:
-            return True
+def _named(attrs: dict[str, str], names: frozenset[str], prose: bool = False, in_article: bool = False) -> bool:
+    """A class or id consists of these names and of words for boxes and places only: 'ad-slot-2', not 'related-work'.
+
+    Inside an article a single word of ``PROSE_NAMES`` doesn't count as an id, nor on an element of ``prose``.
+    """
+    for kind in ("class", "id"):
+        for token in attrs.get(kind, "").split():
+            parts = {p for p in _SPLIT.split(_CAMEL.sub(r"\1-\2", token).lower()) if p and not p.isdigit()}
+            if parts & names and parts <= names | BOX_WORDS:
+                if not (in_article and len(parts) == 1 and parts <= PROSE_NAMES and (kind == "id" or prose)):
+                    return True
     return False
 
 
@@ -101,7 +111,7 @@ def _is_chrome(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if name in CONTAINERS and _named(attrs, ARTICLE_NAMES):
         return False
-    return _named(attrs, CHROME_NAMES) or not in_article and _named(attrs, HEADER_NAMES)
+    return _named(attrs, CHROME_NAMES, name in PROSE or name == "section", in_article) or not in_article and _named(attrs, HEADER_NAMES)
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
@@ -191,14 +201,26 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     found = {*range(head), *range(len(a) - tail, len(a))}
+    inner, other = a[head : len(a) - tail], b[head : len(b) - tail]
+    counts = Counter(other)
+    aligned = _aligned_pairs if sum(counts[x] for x in inner) <= PAIRS_A_LINE * (len(a) + len(b)) else _aligned_bits
+    return found | {head + i for i in aligned(inner, other)}
+
+
+#: Above so many equal pairs for each line, lines are aligned by bits, which doesn't list pairs.
+PAIRS_A_LINE = 20
+
+
+def _aligned_pairs(a: list[str], b: list[str]) -> list[int]:
+    """By the pairs of equal lines, quick where lines are rarely repeated."""
     where: dict[str, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)
     # the last position in b, and the chain that leads to it, of the best subsequence of each length
     ends: list[int] = []
     chains: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
+    for i, line in enumerate(a):
+        for j in where.get(line, ()):
             k = bisect_left(ends, j)
             chain = (i, chains[k - 1] if k else None)
             if k == len(ends):
@@ -206,11 +228,43 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
                 chains.append(chain)
             else:
                 ends[k], chains[k] = j, chain
-    chain = chains[-1] if chains else None
+    out, chain = [], chains[-1] if chains else None
     while chain:
-        found.add(chain[0])
+        out.append(chain[0])
         chain = chain[1]
-    return found
+    return out
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of the longest common subsequence of ``a`` with each beginning of ``b``, by one sum over a row's bits for each line."""
+    places: dict[str, int] = {}
+    for j, line in enumerate(b):
+        places[line] = places.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        hit = row & places.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _aligned_bits(a: list[str], b: list[str]) -> list[int]:
+    """By halves: ``b`` is cut where the halves of ``a`` have most in common with it; memory in proportion to the lines."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append(a0)
+            continue
+        mid = (a0 + a1) // 2
+        before, after = _lengths(a[a0:mid], b[b0:b1]), _lengths(a[mid:a1][::-1], b[b0:b1][::-1])
+        cut = b0 + int(np.argmax(before + after[::-1]))
+        todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+    return out
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -347,7 +401,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     with scratch(pages.sparkSession):
         gone = _deleted(one.select("host", "digest", "at.path", "at.page_id", "lines", "sizes", "chrome", "inside", "in_prose"))
     out = parsed.select("page_id", "url", "host", "digest", "texts").join(gone, ["host", "digest"], "left")
-    left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda _, i: ~F.array_contains("gone", i)))
+    every = F.when(F.size("texts") > 0, F.sequence(F.lit(0), F.size("texts") - 1)).otherwise(F.array().cast("array<int>"))
+    left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.transform(F.array_except(every, F.col("gone")), lambda i: F.get("texts", i)))
     return out.select("page_id", "url", F.array_join(left, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 from noticeflow.llm import html_extract as hx
@@ -122,3 +123,39 @@ def test_names_of_boxes_and_prose_that_only_looks_like_them(spark):
 def test_clashing_columns_and_ties(spark):
     df = spark.createDataFrame([(1, "http://h/a", "<p>x</p>", "a", "b", "c", "d")] * 2, "page_id long, url string, html string, host string, path string, digest string, lines string")
     assert [tuple(x) for x in hx.extract(df).collect()] == [(1, "http://h/a", "x", 1)] * 2
+
+
+def test_drawings_formulas_and_objects():
+    seen = lambda page: [t for t, _ in hx.blocks(page)]
+    assert seen('<article><p>first</p><svg class="i"/><p>second paragraph</p></article>') == ["first", "second paragraph"]
+    assert seen("<article><p>a</p><svg><path d='x'/><text>drawn</text></svg><p>b</p><svg><g>never closed</article><p>c</p>") == ["a", "b", "c"]
+    assert seen("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><math/><p>b</p><object data=x>stands in</object><p>c</p>") == ["so x=2 holds", "b", "stands in", "c"]
+
+
+def test_a_word_of_prose_as_a_name_deletes_no_prose():
+    seen = lambda page: [t for t, _ in hx.blocks(page)]
+    assert seen('<main><section id="discussion"><h2>Discussion</h2><p>We find...</p></section><p id="discussion">p</p><p class="notice">n</p></main>') == ["Discussion", "We find...", "p", "n"]
+    assert seen('<article><p>a</p><div class="notice">Closed today</div><div id="comments"><p>First!</p></div><div class="reply-list">r</div></article><div id="discussion">d</div>') == ["a"]
+
+
+def test_both_alignments_are_longest_and_repeated_lines_take_time_in_proportion():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(14))] for _ in range(2))
+        one, two = sorted(hx._aligned_pairs(a, b)), sorted(hx._aligned_bits(a, b))
+        assert len(one) == len(two)
+        for found in (one, two):
+            it = iter(b)
+            assert all(a[i] in it for i in found)
+    a, b = ["x", "y"] * 10_000, ["y", "x", "z"] * 7_000
+    at = time.monotonic()
+    assert len(hx.shared_lines(a, b)) == 14_000
+    assert len(hx._lines("<x a " * 100_000)) == 1
+    assert time.monotonic() - at < 20
+
+
+def test_what_each_part_deletes_on_the_given_pages(spark):
+    """On these pages markup finds all that goes; see the README."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    by_markup = {x.page_id: "\n\n".join(t for t, _ in hx.blocks(x.html)) for x in pages.collect()}
+    assert {x.page_id: x.text for x in hx.extract(pages).collect()} == by_markup
