@@ -66,11 +66,13 @@ def document(title: Column, day: Column, start: Column, end: Column, location: C
     return F.when(day.isNotNull() & start.isNotNull(), fold_lines(lines))
 
 
-_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in S.MONTHS) + "|sept"
-_WEEKDAY = "|".join([f"{d[:3]}(?:{d[3:]})?" for d in S.WEEKDAYS] + ["tues", "thurs?"])
-_DATED = rf"(?i)(?:\s*[-–—:|(\[]\s*|\s+)(?:(?:{_WEEKDAY})\s*,?\s*)?(?:(?:{_MONTH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:\s*,?\s*\d{{4}})?|\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?)\s*[)\]]?\s*$"
-_LABELLED = (r"(?i)^event\s*[:\-–—]\s+", r"^\s*\[[^\]]{1,30}\]\s*[:\-–—]?\s*", r"^\s*\(?[A-Z][A-Z &/'-]{2,24}\)?\s*[:\-–—]\s+")
-_QUALIFIED = r"^(.+?)\s*\(([^()]{3,40})\)$"
+#: The pieces of a title, each with the space before it: brackets, separators that stand apart, words.
+_PIECE = r" ?(?:\[[^\]]*\]|\([^()]*\)|[-–—:|,;]+(?= |$)|[^\s\[\]()]+|\S)"
+_EDGES, _DATE_EDGES = " -–—:|,;", " -–—:|,;()[]"
+#: Over the pieces' letters (see ``_letter``): what may go in front, where something follows, and what may go behind.
+_FRONT = "^(?:S+|BS?|e|ES|L+S|L*l|pS)(?=.)"
+_DATE = "K?(?:MNY?|X)"
+_BEHIND = f"S?(?:{_DATE}|D)$"
 
 
 def _let(value: Column, f) -> Column:
@@ -82,35 +84,87 @@ def _spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
-def _without_date(title: Column) -> Column:
-    """A title that is a date and nothing more keeps it; the punctuation before a date, brackets too, goes with it."""
-    bare = F.btrim(F.regexp_replace(title, _DATED, ""), F.lit(" -–—:|(),[]"))
-    return _let(bare, lambda b: F.when(title.rlike(_DATED) & (F.length(b) >= 3) & b.rlike("[A-Za-z]"), b).otherwise(title))
+def _date_letter(word: Column) -> Column:
+    """What a word is in a date: Month, weeKday, Number of a day, Year or a date in figures (X); W otherwise."""
+    bare = F.lower(F.btrim(word, F.lit(".,")))
+    months = [n for m in S.MONTHS for n in {m, m[:3]}] + ["sept"]
+    days = [n for d in S.WEEKDAYS for n in {d, d[:3]}] + ["tues", "thur", "thurs"]
+    return (
+        F.when(bare.isin(*months), "M").when(bare.isin(*days), "K").when(bare.rlike("^[0-9]{1,2}(?:st|nd|rd|th)?$"), "N").when(bare.rlike("^[0-9]{4}$"), "Y")
+        .when(bare.rlike("^[0-9]{1,2}/[0-9]{1,2}(?:/[0-9]{2,4})?$"), "X").otherwise("W")
+    )
+
+
+def _letter(piece: Column) -> Column:
+    """A piece's kind: Bracket, p (shouted) or P for round ones, D for either with a date, Separator, the word Event (e with its colon), Loud words (l with a colon), dates, W."""
+    w = F.trim(piece)
+    inner = F.trim(F.substring(w, F.lit(2), F.length(w) - 2))
+    dated = F.array_join(F.transform(F.split(inner, " "), _date_letter), "").rlike(f"^{_DATE}$")
+    loud = r"[A-Z][A-Z&/'-]*"
+    bracket = (
+        F.when(dated & (F.length(w) > 2), "D")
+        .when(w.startswith("["), F.when(F.length(w).between(3, 32), "B").otherwise("W"))
+        .when(inner.rlike(rf"^{loud}(?: [A-Z&/'-]+)*$"), "p")
+        .otherwise("P")
+    )
+    return (
+        F.when(w.rlike(r"^(?:\[[^\]]*\]|\([^()]*\))$"), bracket).when(w.rlike("^[-–—:|,;]+$"), "S").when(F.lower(w) == "event", "E").when(F.lower(w) == "event:", "e")
+        .when(_date_letter(w) != "W", _date_letter(w)).when(w.rlike(f"^{loud}$"), "L").when(w.rlike(f"^{loud}:$"), "l").otherwise("W")
+    )
+
+
+def _pieces(title: Column) -> Column:
+    """struct(words, kinds): a title's pieces and their letters."""
+    words = F.regexp_extract_all(title, F.lit(_PIECE), F.lit(0))
+    return F.struct(words.alias("words"), F.array_join(F.transform(words, _letter), "").alias("kinds"))
+
+
+def _named(text: Column) -> Column:
+    return (F.length(text) >= 3) & text.rlike("[A-Za-z]")
 
 
-def _without_brackets(title: Column) -> Column:
-    """The last words in brackets after a dash, if they say what the event is and not how to attend it."""
-    parts = F.struct(F.btrim(F.regexp_extract(title, _QUALIFIED, 1), F.lit(" -–—:|,;")).alias("head"), F.trim(F.regexp_extract(title, _QUALIFIED, 2)).alias("tail"))
+def _first_kept(p: Column) -> Column:
+    """How many pieces in front go: group by group, a loud label only with 3 to 25 characters."""
+    words, kinds = p["words"], p["kinds"]
 
-    def joined(p: Column) -> Column:
-        names = (F.length(p["head"]) >= 3) & p["head"].rlike("[A-Za-z]") & p["tail"].rlike("[A-Za-z]")
-        other = F.btrim(F.lower(p["tail"]), F.lit(" .")).isin(*S.PLAIN_QUALIFIERS) | p["tail"].rlike(r"\d{1,2}[/-]\d{1,2}")
-        return F.when(names & ~other, F.concat_ws(" - ", p["head"], p["tail"])).otherwise(title)
+    def step(at: Column, _: Column) -> Column:
+        group = F.regexp_extract(F.substring(kinds, at + 1, F.length(kinds)), _FRONT, 0)
+        said = F.regexp_replace(F.array_join(F.slice(words, at + 1, F.length(group)), ""), r"^[ (]+|[-–—: )]+$", "")
+        fits = ~group.rlike("[Llp]") | F.length(said).between(3, 25)
+        return at + F.when(fits, F.length(group)).otherwise(0)
 
-    return _let(parts, joined)
+    return F.aggregate(words, F.lit(0), step)
+
+
+def _front_gone(title: Column) -> Column:
+    return _let(_pieces(title), lambda p: F.array_join(F.slice(p["words"], _first_kept(p) + 1, F.greatest(F.size(p["words"]), F.lit(1))), ""))
+
+
+def _behind_gone(title: Column) -> Column:
+    """Without a date at the end, where a name is left; else with last words in brackets after a dash, if they say what the event is and not how to attend it."""
+
+    def changed(p: Column) -> Column:
+        words, kinds = p["words"], p["kinds"]
+        kept = F.size(words) - F.length(F.regexp_extract(kinds, _BEHIND, 0))
+        bare = F.btrim(F.array_join(F.slice(words, F.lit(1), kept), ""), F.lit(_DATE_EDGES))
+        head = F.btrim(F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), ""), F.lit(_EDGES))
+        last = F.trim(F.element_at(words, -1))
+        tail = F.trim(F.substring(last, F.lit(2), F.length(last) - 2))
+        other = F.btrim(F.lower(tail), F.lit(" .")).isin(*S.PLAIN_QUALIFIERS) | tail.rlike("[0-9]{1,2}[/-][0-9]{1,2}")
+        says = kinds.rlike("[Pp]$") & F.length(last).between(5, 42) & tail.rlike("[A-Za-z]") & ~other
+        return F.when((kept < F.size(words)) & _named(bare), bare).when(says & _named(head), F.concat_ws(" - ", head, tail)).otherwise(title)
+
+    return F.when(title != "", _let(_pieces(title), changed)).otherwise(title)
 
 
 def clean_title(title: Column, fallback: Column | None = None) -> Column:
     """A title without labels in front, a date behind and edge punctuation, until nothing more goes; an empty one gives the fallback as it is.
 
+    The title is cut into pieces, and what goes is told by their kinds and places.
     Each turn that changes a title uses up a space, a separator or a bracket, so their number bounds the turns.
     """
     given, other = F.nullif(_spaced(title), F.lit("")), _spaced(fallback if fallback is not None else F.lit(""))
-
-    def turn(t: Column) -> Column:
-        for label in _LABELLED:
-            t = F.regexp_replace(t, label, "")
-        return _spaced(F.btrim(_let(_let(t, _without_date), _without_brackets), F.lit(" -–—:|,;")))
+    turn = lambda t: _spaced(F.btrim(_let(F.btrim(_front_gone(t), F.lit(_EDGES)), _behind_gone), F.lit(_EDGES)))
 
     def settled(x: Column) -> Column:
         most = F.regexp_count(x, F.lit(r"[\s:\[|/,;–—-]")) + 4 * F.regexp_count(x, F.lit(r"\(")) + 1
