@@ -407,15 +407,15 @@ def attendance_modes(spark, d):
 
 
 _NOTICE = """CASE c_custkey % 6 WHEN 0 THEN 'Park in Lot ' || chr(cast(65 + c_custkey % 20 as int)) || '-' || cast(c_custkey % 9 as string) || ' or the Maple Hall Parking Garage.' WHEN 1 THEN 'Lots B, C2 and D are closed; use Lot ' || cast(300 + c_custkey % 9 as string) || '.'
-  WHEN 2 THEN 'Enter from the Parking Garage.' WHEN 3 THEN 'A lot of students came, a lot A.' WHEN 4 THEN 'Meet at chestnut hall lot, Lot C2' END"""
+  WHEN 2 THEN 'Enter from the Parking Garage.' WHEN 3 THEN 'A lot of students came, a lot A.' WHEN 4 THEN 'Meet at juniper court lot, Lot C2' END"""
 
 
 @query("""
 WITH n AS (SELECT c_custkey AS id, c_custkey % 6 AS k, chr((65 + c_custkey % 20)::INT) AS letter, (c_custkey % 9)::VARCHAR AS digit, (300 + c_custkey % 9)::VARCHAR AS number, CASE WHEN c_nationkey < 12 THEN 'north' ELSE 'south' END AS hint FROM customer),
 m AS (SELECT id, hint, 'Lot ' || letter || '-' || digit AS matched_text, 'lot ' || lower(letter) || ' ' || digit AS k1 FROM n WHERE k = 0 UNION ALL SELECT id, hint, 'Maple Hall Parking Garage', 'maple hall garage' FROM n WHERE k = 0
   UNION ALL SELECT id, hint, 'Lot B', 'lot b' FROM n WHERE k = 1 UNION ALL SELECT id, hint, 'Lot C2', 'lot c 2' FROM n WHERE k = 1 UNION ALL SELECT id, hint, 'Lot D', 'lot d' FROM n WHERE k = 1 UNION ALL SELECT id, hint, 'Lot ' || number, 'lot ' || number FROM n WHERE k = 1
-  UNION ALL SELECT id, hint, 'the Parking Garage', 'parking garage' FROM n WHERE k = 2 UNION ALL SELECT id, hint, 'Chestnut Hall Lot', 'chestnut hall lot' FROM n WHERE k = 4 UNION ALL SELECT id, hint, 'Lot C2', 'lot c 2' FROM n WHERE k = 4),
-p AS (SELECT s_suppkey AS place_id, CASE WHEN s_suppkey % 2 = 0 THEN 'north' ELSE 'south' END AS campus, CASE s_suppkey % 5 WHEN 0 THEN 'lot b' WHEN 1 THEN 'lot c 2' WHEN 2 THEN 'maple hall garage' WHEN 3 THEN 'lot 30' || (s_suppkey % 9) ELSE 'chestnut hall lot' END || CASE WHEN s_suppkey < 12 THEN '' ELSE ' annex ' || s_suppkey END AS alias FROM supplier),
+  UNION ALL SELECT id, hint, 'the Parking Garage', 'parking garage' FROM n WHERE k = 2 UNION ALL SELECT id, hint, 'Juniper Court Lot', 'juniper court lot' FROM n WHERE k = 4 UNION ALL SELECT id, hint, 'Lot C2', 'lot c 2' FROM n WHERE k = 4),
+p AS (SELECT s_suppkey AS place_id, CASE WHEN s_suppkey % 2 = 0 THEN 'north' ELSE 'south' END AS campus, CASE s_suppkey % 5 WHEN 0 THEN 'lot b' WHEN 1 THEN 'lot c 2' WHEN 2 THEN 'maple hall garage' WHEN 3 THEN 'lot 30' || (s_suppkey % 9) ELSE 'juniper court lot' END || CASE WHEN s_suppkey < 12 THEN '' ELSE ' annex ' || s_suppkey END AS alias FROM supplier),
 h AS (SELECT id, matched_text, hint, campus, place_id, max((campus = hint)::INT) OVER (PARTITION BY id, matched_text) AS same FROM m JOIN p ON alias = k1), o AS (SELECT id, matched_text, count(DISTINCT place_id) AS c, min(place_id) AS place_id FROM h WHERE same = 0 OR campus = hint GROUP BY 1, 2)
 SELECT m.id, m.matched_text, CASE WHEN c = 1 THEN place_id END AS place_id, CASE WHEN c IS NULL THEN 'unknown' WHEN c > 1 THEN 'ambiguous' ELSE 'resolved' END AS reason FROM m LEFT JOIN o ON o.id = m.id AND o.matched_text = m.matched_text
 """)
@@ -425,10 +425,10 @@ def mention_links(spark, d):
 
     notices = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(_NOTICE).alias("body"), F.when(F.col("c_nationkey") < 12, "north").otherwise("south").alias("campus_hint"))
     s, k = table(spark, d, "supplier"), F.col("s_suppkey")
-    alias = F.when(k % 5 == 0, "lot b").when(k % 5 == 1, "lot c 2").when(k % 5 == 2, "maple hall garage").when(k % 5 == 3, F.concat(F.lit("lot 30"), k % 9)).otherwise("chestnut hall lot")
+    alias = F.when(k % 5 == 0, "lot b").when(k % 5 == 1, "lot c 2").when(k % 5 == 2, "maple hall garage").when(k % 5 == 3, F.concat(F.lit("lot 30"), k % 9)).otherwise("juniper court lot")
     alias = F.concat(alias, F.when(k < 12, "").otherwise(F.concat(F.lit(" annex "), k)))
     aliases = s.select(alias.alias("alias"), F.when(k % 2 == 0, "north").otherwise("south").alias("campus"), k.alias("place_id"))
-    found = mentions.mentions(notices, "id", "body", {"chestnut hall lot": "Chestnut Hall Lot"}).join(notices.select("id", "campus_hint"), "id")
+    found = mentions.mentions(notices, "id", "body", {"juniper court lot": "Juniper Court Lot"}).join(notices.select("id", "campus_hint"), "id")
     found = found.withColumn("mention_id", F.concat_ws("|", "id", "matched_text"))
     return found.join(places.resolve(found, aliases), "mention_id").select("id", "matched_text", "place_id", "reason")
 
