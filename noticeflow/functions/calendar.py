@@ -197,7 +197,7 @@ def _encoded(text: Column) -> Column:
 def deep_link(base: str, title: Column, day: Column, start: Column, end: Column, location: Column, description: Column) -> Column:
     """An address that opens a calendar's form for one session; null without a day or a start.
 
-    A missing end is an hour after the start.  An address that is too long
+    A missing end is an hour after the start.  What is too long before it is encoded isn't encoded.  An address that is too long
     loses three tenths of its description at a time down to a short one, and
     then all of it; no other field is cut for that.
     """
@@ -213,7 +213,7 @@ def deep_link(base: str, title: Column, day: Column, start: Column, end: Column,
         turns = F.greatest(F.ceil(F.ln(F.greatest(F.length(x["body"]), F.lit(1)) / (S.LINK_BODY_CHARS - 4)) / -math.log(S.LINK_SHRINK)) + 1, F.lit(1)).cast("int")
         whole = lambda b: F.concat(x["fixed"], some("body", b))
         shorter = lambda b: F.concat(_right_trimmed(F.substring(b, F.lit(1), F.floor(F.length(b) * S.LINK_SHRINK).cast("int"))), F.lit("…"))
-        step = lambda b, _: F.when((F.length(b) > S.LINK_BODY_CHARS) & (F.length(whole(b)) > S.LINK_CHARS), shorter(b)).otherwise(b)
+        step = lambda b, _: F.when((F.length(b) > S.LINK_BODY_CHARS) & ((F.length(b) > S.LINK_CHARS) | (F.length(whole(b)) > S.LINK_CHARS)), shorter(b)).otherwise(b)
         return F.aggregate(F.sequence(F.lit(1), turns), x["body"], step, lambda b: _let(whole(b), lambda u: F.when(F.length(u) > S.LINK_CHARS, x["fixed"]).otherwise(u)))
 
     return F.when(day.isNotNull() & start.isNotNull(), _let(F.struct(fixed.alias("fixed"), safe_text(description).alias("body")), fitted))

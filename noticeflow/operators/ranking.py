@@ -55,22 +55,43 @@ def best_candidate(pairs: DataFrame, key: str, score: str, match: str) -> DataFr
     return pairs.groupBy(key).agg(best.alias("r")).select(key, "r.*").select(*pairs.columns)
 
 
-def _sum(text: Column, signals: dict[str, float], scale: float = 1.0) -> Column:
-    return sum((F.when(F.instr(text, f" {p} ") > 0, w * scale).otherwise(0.0) for p, w in signals.items()), F.lit(0.0))
+def _phrases(text: Column, signals: dict[str, float]) -> Column:
+    """The signals' phrases that stand in a folded text, each once, found in one walk over its words.
+
+    A look ahead from each space, so that phrases may overlap; the longer ones
+    come first, and what a found one begins with is found, too.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for p in sorted(signals, key=len, reverse=True):
+        by_letter.setdefault(p[0], []).append(p[1:])
+    anywhere = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items()))
+    found = F.regexp_extract_all(text, F.lit(f"(?= ({anywhere}) )"), F.lit(1))
+    begun = {p: [q for q in signals if p.startswith(f"{q} ")] for p in signals}
+    begun = {p: qs for p, qs in begun.items() if qs}
+    if begun:
+        more = F.create_map(*(x for p, qs in begun.items() for x in (F.lit(p), F.array(*map(F.lit, qs)))))
+        found = F.concat(found, F.flatten(F.transform(found, lambda p: F.coalesce(F.try_element_at(more, p), F.array().cast("array<string>")))))
+    return F.array_distinct(found)
+
+
+def _sum(found: Column, signals: dict[str, float], scale: float = 1.0) -> Column:
+    return sum((F.when(F.array_contains(found, p), w * scale).otherwise(0.0) for p, w in signals.items()), F.lit(0.0))
 
 
 def _graded(identity: Column, purpose: Column, signals: dict[str, float]) -> Column:
     """Each phrase once, at the weight of the strongest place in which it stands."""
-    return sum((F.when(F.instr(identity, f" {p} ") > 0, w).when(F.instr(purpose, f" {p} ") > 0, w * S.PURPOSE_WEIGHT).otherwise(0.0) for p, w in signals.items()), F.lit(0.0))
+    return sum((F.when(F.array_contains(identity, p), w).when(F.array_contains(purpose, p), w * S.PURPOSE_WEIGHT).otherwise(0.0) for p, w in signals.items()), F.lit(0.0))
 
 
 def with_relevance(rows: DataFrame, title: Column, body: Column, audience: Column, category: Column, name: str = "score") -> DataFrame:
     """``rows`` with a score from 0 to 1 of capped parts; phrases below the opening can move it a little only.
 
-    The three texts are folded once, in columns of their own.
+    The three texts are folded and searched once, for all phrases together.
     """
     body = F.coalesce(body, F.lit(""))
+    signals = {**S.IDENTITY_SIGNALS, **S.TOPIC_SIGNALS, **S.ROUTINE_SIGNALS, **S.BREADTH_SIGNALS}
     texts = {"__identity": T.phrase_text(title), "__purpose": T.phrase_text(F.substring(body, 1, S.PURPOSE_CHARS)), "__rest": T.phrase_text(F.substring(body, S.PURPOSE_CHARS + 1, 2**31 - 1))}
+    texts = {name: _phrases(text, signals) for name, text in texts.items()}
     identity, purpose, rest = map(F.col, texts)
     lookup = lambda table, key: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(0.0))
     topic = _sum(identity, S.IDENTITY_SIGNALS) + _graded(identity, purpose, S.TOPIC_SIGNALS)

@@ -159,14 +159,14 @@ def landmark_containment(spark, d):
 
 
 @query("""
-WITH h AS (SELECT c_custkey, c_nationkey AS hint, s_suppkey AS place, s_nationkey AS campus FROM customer JOIN supplier ON s_suppkey % 7 = c_custkey % 7 AND s_acctbal > 6000),
+WITH h AS (SELECT c_custkey, c_nationkey AS hint, s_suppkey AS place, s_nationkey AS campus FROM customer JOIN supplier ON s_suppkey // 3 = c_custkey // 3 AND s_acctbal > 2000),
 g AS (SELECT c_custkey, count(*) AS n, sum(CASE WHEN campus = hint THEN 1 ELSE 0 END) AS near, count(DISTINCT campus) AS campuses, min(place) AS a, min(CASE WHEN campus = hint THEN place END) AS b FROM h GROUP BY 1)
 SELECT c_custkey, CASE WHEN n = 1 THEN a WHEN near = 1 THEN b WHEN campuses = 1 THEN a END AS place FROM g
 """)
 def venue_by_campus(spark, d):
     """Known places under a venue's key, those with a position only, and the one that the campus decides on."""
-    places = table(spark, d, "supplier").filter("s_acctbal > 6000").select(F.col("s_suppkey").alias("place"), F.col("s_nationkey").alias("campus"), (F.col("s_suppkey") % 7).alias("k"))
-    hits = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("hint"), (F.col("c_custkey") % 7).alias("k")).join(places, "k")
+    places = table(spark, d, "supplier").filter("s_acctbal > 2000").select(F.col("s_suppkey").alias("place"), F.col("s_nationkey").alias("campus"), F.expr("s_suppkey div 3").alias("k"))
+    hits = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("hint"), F.expr("c_custkey div 3").alias("k")).join(places, "k")
     return digest.picked(hits, "c_custkey", "campus", "hint", "place")
 
 
@@ -266,10 +266,10 @@ def inline_images(spark, d):
 
 
 @query("""
-SELECT page_id, sum(n) OVER (PARTITION BY page_id % 5 ORDER BY n, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 20000 AS fits FROM (SELECT page_id, octet_length(encode(html)) AS n FROM pages)
+SELECT page_id, sum(n) OVER (PARTITION BY page_id // 20 ORDER BY n, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 20000 AS fits FROM (SELECT page_id, octet_length(encode(html)) AS n FROM pages)
 """)
 def image_budget(spark, d):
-    rows = table(spark, d, "pages").select("page_id", (F.col("page_id") % 5).alias("g"), F.octet_length("html").alias("n"))
+    rows = table(spark, d, "pages").select("page_id", F.expr("page_id div 20").alias("g"), F.octet_length("html").alias("n"))
     return digest.budget(rows, ["g"], ["n", "page_id"], "n", 20000).select("page_id", "fits")
 
 

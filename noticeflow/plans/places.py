@@ -9,8 +9,8 @@ from ..functions import text as T
 from ..operators import places
 from .registry import query, table
 
-_LANDMARKS = """(VALUES ('a', 'Hall', 39.7100, -75.1200), ('a', 'Library', 39.7105, -75.1190), ('a', 'Gym', 39.7130, -75.1210), ('a', 'Far', 39.7300, -75.1200),
-  ('b', 'Hall', 39.9400, -75.1000), ('a', 'Arts', 39.7095, -75.1215), ('a', 'Union', 39.7102, -75.1199), ('a', 'North Gate', 39.7499, -75.12), ('a', 'South Gate', 39.7501, -75.12)) AS t(campus, name, lat, lon)"""
+#: Points in clusters of fifty, each half a kilometre wide.
+_LANDMARKS = """SELECT CAST(s_suppkey % 3 AS {text}) AS campus, s_name AS name, 30e0 + floor(s_suppkey / 50) % 2000 * 0.02e0 + s_suppkey * 37 % 50 / 10000e0 AS lat, -75e0 + s_suppkey * 91 % 47 / 10000e0 AS lon FROM supplier"""
 
 
 @query("""
@@ -35,15 +35,18 @@ def alias_ambiguity(spark, d):
 
 
 @query(f"""
-WITH x AS (SELECT a.campus, a.name AS place, b.name AS landmark, a.lat, a.lon, sqrt(pow((b.lon - a.lon) * 111320.0 * cos(radians(a.lat)), 2) + pow((b.lat - a.lat) * 111320.0, 2)) AS m,
+WITH marks AS ({_LANDMARKS.format(text="VARCHAR")}), x AS (SELECT a.campus, a.name AS place, b.name AS landmark, a.lat, a.lon, sqrt(pow((b.lon - a.lon) * 111320.0 * cos(radians(a.lat)), 2) + pow((b.lat - a.lat) * 111320.0, 2)) AS m,
   (degrees(atan2((b.lon - a.lon) * cos(radians(a.lat)), b.lat - a.lat)) + 360) % 360 AS angle
-  FROM {_LANDMARKS.replace("AS t(", "AS a(")}, {_LANDMARKS.replace("AS t(", "AS b(")} WHERE a.campus = b.campus AND a.name <> b.name)
+  FROM marks a JOIN marks b ON a.campus = b.campus AND a.name <> b.name)
 SELECT campus, place, landmark, row_number() OVER (PARTITION BY campus, place ORDER BY m, landmark)::INT AS rank, round(m, 6) AS metres,
   (['north', 'north-northeast', 'northeast', 'east-northeast', 'east', 'east-southeast', 'southeast', 'south-southeast', 'south', 'south-southwest', 'southwest', 'west-southwest', 'west', 'west-northwest', 'northwest', 'north-northwest'])[(floor((angle + 11.25) / 22.5)::INT % 16) + 1] AS direction
-FROM x WHERE m <= 400
+FROM x WHERE m <= 400 QUALIFY rank <= 8
 """)
 def geo_nearest(spark, d):
-    marks = spark.sql(f"SELECT campus, name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM {_LANDMARKS[1:].replace(') AS t', ' AS t')}")
+    """Each supplier's nearest ones of its campus, with the direction."""
+    k = F.col("s_suppkey")
+    lat, lon = F.lit(30.0) + F.floor(k / 50) % 2000 * F.lit(0.02) + k * 37 % 50 / F.lit(10000.0), F.lit(-75.0) + k * 91 % 47 / F.lit(10000.0)
+    marks = table(spark, d, "supplier").select((k % 3).cast("string").alias("campus"), F.col("s_name").alias("name"), lat.alias("lat"), lon.alias("lon"))
     return places.nearest(marks, marks)
 
 
