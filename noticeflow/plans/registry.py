@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import daily, digest, facts, feeds, pages, places, texts, upkeep, venues  # noqa: F401  registers on import
+    from . import daily, digest, facts, feeds, pages, places, stored, texts, upkeep, venues  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
