@@ -138,8 +138,24 @@ def similarity(current: str, prior: str, least: float = 0.0) -> float:
     if ratio < S.LENGTH_RATIO:
         return ratio
     matcher = difflib.SequenceMatcher(None, current, prior)
-    bound = matcher.quick_ratio()  # never below the ratio
-    return bound if bound < least else matcher.ratio()
+    # bounds that are never below the ratio, the cheaper one first: shared characters, and a longest common subsequence
+    for bound in (matcher.quick_ratio, lambda: 2 * common_length(current, prior) / (len(current) + len(prior))):
+        if least > 0 and (most := bound()) < least:
+            return most
+    return matcher.ratio()
+
+
+def common_length(a: str, b: str) -> int:
+    """The length of a longest common subsequence, by one sum over a row of bits for each character of ``a``."""
+    places: dict[str, int] = {}
+    for j, char in enumerate(b):
+        places[char] = places.get(char, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for char in a:
+        if hit := row & places.get(char, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
 
 def spelling_only(removed, added) -> bool:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions import sessions
 from ..functions import text as T
+from ..sources import stores
 
 _SAME = ("title_key", "category_id", "source_audience", "is_event")
 _OWN = (*_SAME, "event_date", "event_start_min", "urls", "contact_email", "submitted_by_email", "body_hash", "body_chars")
@@ -26,8 +27,12 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their class of equal compared fields; the classes with their two smallest ids; the classes' bodies."""
+    """Rows with their class of equal compared fields; the classes with their two smallest ids; the classes' bodies.
+
+    What is folded and searched in the texts is kept as a table, as all three read it.
+    """
     rows = prepared(rows).filter("title_key != '' AND body_key != ''").withColumn("class", F.md5(F.to_json(F.struct(*_OWN), {"ignoreNullFields": "false"})))
+    rows = stores.cut(rows.select("submission_id", "class", "body_key", *_FIELDS))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("submission_id"))).filter("n <= 2")
     classes = first.groupBy("class").agg(F.array_sort(F.collect_list("submission_id")).alias("ids"), *[F.min_by(c, "n").alias(c) for c in _FIELDS])
     return rows.select("submission_id", "class"), classes, first.filter("n = 1").select("class", "body_key")
@@ -49,12 +54,13 @@ def find_repeats(current: DataFrame, prior: DataFrame, delivered: DataFrame | No
     time, and the days that both bodies name.  Bodies join for the pairs that
     are left, and a bound on their similarity comes before the similarity itself.
     """
+    same = prior is current and delivered is None and "source_status" not in current.columns
     if "source_status" in current.columns:
         current = current.filter("source_status = 'New'")
     if delivered is not None:
         prior = prior.join(delivered.select("submission_id").distinct(), "submission_id", "left_semi")
     rows, c, c_bodies = _classes(current)
-    _, p, p_bodies = _classes(prior)
+    _, p, p_bodies = (rows, c, c_bodies) if same else _classes(prior)
     p = p.select(*[F.col(x).alias(f"p_{x}") for x in p.columns])
     c = c.withColumn("band", _length_band(F.col("body_chars")))
     p = p.withColumn("p_band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: _length_band(F.col("p_body_chars")) + i)))

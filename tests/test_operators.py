@@ -151,3 +151,26 @@ def test_faults_of_sessions_without_fields(spark):
     got = sorted((r.notice, r.session, r.fault) for r in quality.session_faults(df, "notice", "b").collect())
     assert got == [(1, 1, "title"), (2, 1, None), (3, 1, "character"), (4, 1, "end"), (5, 1, "address"), (6, 1, "document"), (7, 1, None), (8, 1, "start"), (8, 2, "start")]
     assert quality.session_faults(df.limit(0), "notice", "b").count() == 0
+
+
+def test_bounds_of_similarity_lose_no_match():
+    import difflib
+    import random
+
+    from noticeflow.functions import text as T
+
+    r = random.Random(9)
+    for _ in range(150):
+        a = [r.choice("abcdefgh     etaoin") for _ in range(r.randrange(20, 400))]
+        b = list(a)
+        for _ in range(r.randrange(60)):
+            k = r.randrange(len(b))
+            b[k : k + r.randrange(3)] = [r.choice("abcdefgh ") for _ in range(r.randrange(3))]
+            b = b or ["x"]
+        a, b = "".join(a), "".join(b)
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        assert 2 * T.common_length(a, b) / (len(a) + len(b)) >= ratio - 1e-12
+        if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+            got = T.similarity(a, b, 0.85)
+            assert got == ratio if ratio >= 0.85 else got < 0.85 or got == ratio
+    assert (T.common_length("", "abc"), T.common_length("abcbdab", "bdcaba"), T.common_length("aaaa", "aa")) == (0, 4, 2)
