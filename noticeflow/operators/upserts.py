@@ -32,11 +32,11 @@ def upserted(existing: DataFrame, new: DataFrame, keys: list[str], rules: dict[s
     """``existing`` after ``new``: rows of one side stay or come as they are, and of both sides each column follows its rule, else the new value counts.
 
     order: a column of ``new`` alone; of several new rows of a key the last one
-    counts.  Without it new keys are unique.  Null-safe on keys; one join.
+    counts, and of those that come last together the one with the larger values.  Without it new keys are unique.  Null-safe on keys; one join.
     """
     columns = existing.columns
     if order is not None:
-        last = F.max_by(F.struct(*columns), order)
+        last = F.max_by(F.struct(*columns), F.struct(order, *(c for c in columns if c not in keys)))
         new = new.groupBy(*keys).agg(last.alias("__x")).select("__x.*")
     pack = lambda df, side: df.select(F.struct(*columns).alias(side))
     on = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]

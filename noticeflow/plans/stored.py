@@ -50,7 +50,7 @@ def upserted_repeats(spark, d):
 @query("""
 WITH e AS (SELECT s_nationkey AS campus, lower(s_name) AS normalized_name, s_name AS name, s_acctbal AS latitude FROM supplier), n AS (
   SELECT s_nationkey AS campus, CASE WHEN l_orderkey % 3 = 0 THEN lower(s_name) WHEN l_orderkey % 3 = 1 THEN lower(s_name) || ' annex' ELSE '' END AS normalized_name, l_returnflag AS name, l_extendedprice AS latitude, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
-last AS (SELECT * FROM n WHERE normalized_name != '' QUALIFY row_number() OVER (PARTITION BY campus, normalized_name ORDER BY seq DESC) = 1)
+last AS (SELECT * FROM n WHERE normalized_name != '' QUALIFY row_number() OVER (PARTITION BY campus, normalized_name ORDER BY seq DESC, name DESC, latitude DESC) = 1)
 SELECT campus, normalized_name, coalesce(l.name, e.name) AS name, coalesce(l.latitude, e.latitude) AS latitude FROM e FULL JOIN last l USING (campus, normalized_name)
 """)
 def upserted_landmarks(spark, d):
