@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..functions import mentions
 from ..operators import digest, upserts
 from ..sources import artifacts
 from .registry import query, table
@@ -119,3 +120,21 @@ def all_statistics(spark, d):
     """Every count of a status document, in one job."""
     names = ("documents", "events", "nation", "orders", "part", "supplier", "customer", "lineitem")
     return digest.statistics({name: _ask(spark, d, sql, *names) for name, sql in _SIZES.items()})
+
+
+_FACILITY = """CASE p_partkey % 5 WHEN 0 THEN concat('Lot ', CASE WHEN p_size % 2 = 0 THEN 'Q' ELSE 'RX' END, '-', p_size) WHEN 1 THEN concat('Parking  Lot ', 300 + p_size) WHEN 2 THEN concat('Tower ', p_size, ' Parking Garage') WHEN 3 THEN concat('Field ', p_size) ELSE concat('V', p_size, ' Lot') END"""
+
+
+@query(f"""
+WITH names AS (SELECT p_partkey, trim(regexp_replace({_FACILITY}, ' +', ' ', 'g')) AS name FROM part),
+codes AS (SELECT *, upper(regexp_extract(name, '^(?:Parking )?Lot (.*)$', 1)) AS lot FROM names),
+forms AS (SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1) THEN [name, 'Parking Lot ' || lot, 'Lot ' || lot, lot || ' Lot', lot]
+  WHEN p_partkey % 5 = 2 THEN [name, name || ' Lot', 'Parking ' || name, name || ' Parking', replace(name, ' Parking', ''), name] ELSE [name, name || ' Lot', 'Parking ' || name, name || ' Parking'] END AS fs FROM codes),
+each_one AS (SELECT p_partkey, unnest(fs) AS alias, generate_subscripts(fs, 1) AS i FROM forms),
+keyed AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g'), '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g')) AS key FROM each_one)
+SELECT p_partkey, alias, key FROM keyed QUALIFY row_number() OVER (PARTITION BY p_partkey, key ORDER BY i) = 1
+""")
+def facility_spellings(spark, d):
+    """Every spelling under which a facility is looked up, with its key."""
+    names = _ask(spark, d, f"SELECT p_partkey, {_FACILITY} AS name FROM part", "part")
+    return names.select("p_partkey", F.inline(mentions.spellings(F.col("name"))))

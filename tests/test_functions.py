@@ -169,3 +169,15 @@ def test_headings_that_repeat_the_title_go(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", headings.without_first_line(F.col("t"), F.lit('Fall "Fair"')).alias("x")).collect()
     assert {r.t: r.x for r in got} == {t: t if x is None else x for t, x in texts.items()}
     assert one(spark, a=headings.without_heading(F.lit(None).cast("string"), F.lit("x")), b=headings.without_first_line(F.lit(None).cast("string"), F.lit(None).cast("string"))) == ("", "")
+
+
+def test_spellings_of_places(spark):
+    names = ["Lot Q-1", "Parking Lot 301", "V7 Lot", "Tower Parking Garage", "Field House", "Lot", "", None, "Lot Old Mill"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "k int, n string")
+    got = {r.k: [x.alias for x in r.s] for r in rows.select("k", mentions.spellings(F.col("n")).alias("s")).collect()}
+    assert got == {
+        0: ["Lot Q-1", "Parking Lot Q-1", "Q-1 Lot", "Q-1"], 1: ["Parking Lot 301", "Lot 301", "301 Lot", "301"], 2: ["V7 Lot", "V7 Lot Lot", "Parking V7 Lot", "V7 Lot Parking"],
+        3: ["Tower Parking Garage", "Tower Parking Garage Lot", "Parking Tower Parking Garage", "Tower Parking Garage Parking", "Tower Garage"], 4: ["Field House", "Field House Lot", "Parking Field House", "Field House Parking"],
+        5: ["Lot", "Lot Lot", "Parking Lot", "Lot Parking"], 6: [], 7: [],
+        8: ["Lot Old Mill", "Parking Lot OLD-MILL", "OLD-MILL Lot", "OLD-MILL"],
+    }
