@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions import sessions
+from ..functions import moments
 from ..functions import text as T
 from ..sources import stores
 
@@ -22,7 +22,7 @@ def prepared(rows: DataFrame) -> DataFrame:
     urls = F.transform(T.links(F.col("full_body")), lambda u: F.regexp_replace(u, "/+$", ""))
     return out.withColumns({
         "urls": F.array_sort(F.array_distinct(F.filter(urls, lambda u: F.lower(u).rlike("^https?://")))), "own_words": T.distinctive_words(F.col("body_key")),
-        "days": sessions.date_tokens(F.col("body_text")), "body_hash": F.md5("body_key"), "body_chars": F.length("body_key"), "is_event": F.coalesce("is_event", F.lit(False)),
+        "days": moments.date_tokens(F.col("body_text")), "body_hash": F.md5("body_key"), "body_chars": F.length("body_key"), "is_event": F.coalesce("is_event", F.lit(False)),
     })
 
 

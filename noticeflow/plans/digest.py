@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, headings, mentions, sessions
+from ..functions import geo, headings, mentions, moments, sessions
 from ..functions import text as T
 from ..operators import digest, quality, repeats
 from .registry import query, table
@@ -455,7 +455,7 @@ SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '09-' || (10 + c_custkey % 15)
 def named_days(spark, d):
     """The days that a notice names, whether it recurs, and its first time of day."""
     body = F.expr(_SCHEDULE)
-    return table(spark, d, "customer").select("c_custkey", F.array_join(sessions.date_tokens(body), ",").alias("days"), F.coalesce(sessions.recurs(body), F.lit(False)).alias("recurring"), sessions.first_time(sessions.folded(F.regexp_replace(body, "\n", " "))).alias("first_time"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(moments.date_tokens(body), ",").alias("days"), F.coalesce(moments.recurs(body), F.lit(False)).alias("recurring"), moments.first_time(moments.folded(F.regexp_replace(body, "\n", " "))).alias("first_time"))
 
 
 @query("""

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from noticeflow.functions import calendar, geo, mentions, sessions
+from noticeflow.functions import calendar, geo, mentions, moments, sessions
 from noticeflow.functions import text as T
 
 
@@ -56,8 +56,27 @@ def test_session_lines(spark):
     assert found(spark, "3-4 p.m. on 8/31") == [(dt.date(2026, 8, 31), 900, 960, 1, 1)] and found(spark, "3-4 p.m. on 8/30") == [(dt.date(2027, 8, 30), 900, 960, 1, 1)]
 
 
+def test_repeating_schedules(spark):
+    yes = ("Every Monday", "each\nweek", "every other week", "Mondays", "Mon - Thu", "monday through friday", "bi-weekly", "M/W/F", "m / w / f", "TTh", "an ongoing series", "Weekly")
+    no = ("each Monday", "on Monday", "every one", "M/W", "ongoing", None, "", "5th week", "Monday, Friday")
+    rows = spark.createDataFrame([(t,) for t in yes + no], "t string")
+    assert {r.t for r in rows.filter(moments.recurs(F.col("t"))).collect()} == set(yes)
+
+
+def test_readings_of_dates_and_times(spark):
+    ref = F.lit(dt.date(2026, 9, 1))
+    days = lambda t: [d.isoformat() for d in one(spark, x=F.transform(moments.dates(moments.read(moments.folded(F.lit(t))), ref), lambda d: d["day"])).x]
+    assert days("Feb 29, 2028; Feb. 29, 2027, april 31 and 2/29/27") == ["2028-02-29"] and days("dismay 5, may 5") == ["2027-05-05"] and days("march 100, 110/14, 10/141, 1/2/123x") == ["2027-01-02"]
+    spans = lambda t: [(r.start, r.end) for r in one(spark, x=moments.time_ranges(moments.read(moments.folded(F.lit(t))))).x]
+    assert spans("9 to 10 a.m., 9:30 am - 1:15 p. m. and 2-4") == [(540, 600), (570, 795), (840, 960)] and spans("11:00 – 12:30; 11-1; 25:00-26:00; 5-4 p.m.") == [(660, 750), (660, 780)]
+    assert spans("9:000-10") == [(0, 600)] and spans("") == []
+    far = "words and " * 400
+    assert moments and one(spark, x=moments.date_tokens(F.lit(f"{far} Monday, September 7 {far} 9/8/26 {far}"))).x == ["09-07", "2026-09-08"]
+    assert one(spark, x=moments.first_time(F.lit(f"{far} at 6:30 pm"))).x == 1110
+
+
 def test_named_days_labels_and_places(spark):
-    days = lambda t: one(spark, x=sessions.date_tokens(F.lit(t))).x
+    days = lambda t: one(spark, x=moments.date_tokens(F.lit(t))).x
     assert days("Wed, Sept. 16, 2026; Sept 3rd, 1/2/27 and 10/31, not 13/40") == ["09-03", "10-31", "2026-09-16", "2027-01-02"]
     rows = spark.createDataFrame([(1, "Date: Sept 3\nWho: all\nmore\nLocation:\nRoom 5\n\nlast words")], "id int, t string")
     assert {(r.label, r.value) for r in sessions.labelled_fields(rows, "id", "t").collect()} == {("date", "Sept 3"), ("who", "all"), ("location", "Room 5")}
