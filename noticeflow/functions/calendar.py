@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,8 +27,8 @@ def uid(*parts: Column) -> Column:
 
 
 def _moment(day: Column, minutes: Column, date_format: str, time_format: str) -> Column:
-    """A day and minutes after its midnight in local time; minutes may reach into the next day."""
-    clock = F.format_string(time_format, F.floor(minutes / 60).cast("int") % 24, (minutes % 60).cast("int"))
+    """A day and minutes after its midnight in local time; minutes may reach into the day before or after."""
+    clock = F.format_string(time_format, F.pmod(F.floor(minutes / 60).cast("int"), F.lit(24)), F.pmod(minutes, F.lit(60)).cast("int"))
     return F.concat(F.date_format(F.date_add(day, F.floor(minutes / 1440).cast("int")), date_format), clock)
 
 
@@ -66,6 +66,57 @@ def document(title: Column, day: Column, start: Column, end: Column, location: C
     return F.when(day.isNotNull() & start.isNotNull(), fold_lines(lines))
 
 
+def zone_lines() -> list[str]:
+    """The definition of the calendar's zone: its two changes of the clock, each a yearly rule."""
+    changes = [[f"BEGIN:{part}", f"TZOFFSETFROM:{before}", f"TZOFFSETTO:{after}", f"TZNAME:{name}", f"DTSTART:{since}", f"RRULE:FREQ=YEARLY;BYMONTH={month};BYDAY={weekday}", f"END:{part}"] for part, before, after, name, since, month, weekday in S.ZONE_CHANGES]
+    return ["BEGIN:VTIMEZONE", f"TZID:{S.ZONE}", f"X-LIC-LOCATION:{S.ZONE}", *sum(changes, []), "END:VTIMEZONE"]
+
+
+def _clock12(minutes: Column) -> Column:
+    hour = F.pmod(F.floor(minutes / 60).cast("int"), F.lit(24))
+    return F.format_string("%d:%02d %s", F.pmod(hour + 11, F.lit(12)) + 1, F.pmod(minutes, F.lit(60)).cast("int"), F.when(hour < 12, "AM").otherwise("PM"))
+
+
+def with_travel(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``blocks``, array of struct(kind, suffix, start, end, summary, description), and ``document``: each session with a hold for the way there and one for the way back.
+
+    rows: notice, content_hash, title, event_date, start_min, end_min, session_count, location, description, address, minutes_before, minutes_after, mode.
+    The event keeps its stated times, and a hold lies next to it, perhaps on the day before or after; minutes that are null or
+    not above 0 make none.  A missing end is an hour after the start.  Identifiers are made of the notice, its content and the
+    block, with the date where a notice has several sessions, so the same entry has them in every run.  Without a day or a start
+    there is no document and no block.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    start, until, title = F.col("start_min"), F.coalesce("end_min", F.col("start_min") + 60), text(F.col("title"))
+    place, verb = F.coalesce(F.nullif(F.col("location"), F.lit("")), title), F.when(F.col("mode") == "drive", "Drive").otherwise("Travel")
+
+    def block(kind: str, suffix: str, begin: Column, end: Column, summary: Column, limit: int, description: Column) -> Column:
+        dated = F.when(F.col("session_count") > 1, F.concat(F.lit(f"{suffix}-"), F.date_format("event_date", "yyyy-MM-dd"))).otherwise(suffix)
+        return F.struct(F.lit(kind).alias("kind"), dated.alias("suffix"), begin.cast("int").alias("start"), end.cast("int").alias("end"), safe_text(summary, limit).alias("summary"), description.alias("description"))
+
+    said = lambda name, *values: F.format_string(S.TRAVEL_TEXTS[name], *values)
+    way_there = block("travel_outbound", "travel-out", start - F.col("minutes_before"), start, F.concat_ws(" to ", verb, place), S.HOLD_CHARS, said("outbound", title, _clock12(start)))
+    way_back = block("travel_return", "travel-back", until, until + F.col("minutes_after"), F.concat_ws(" from ", verb, place), S.HOLD_CHARS, said("return", title, _clock12(until)))
+    event = block("event", "event", start, until, title, S.LINK_FIELD_CHARS, text(F.col("description")))
+    blocks = F.array_compact(F.array(F.when(F.col("minutes_before") > 0, way_there), event, F.when(F.col("minutes_after") > 0, way_back)))
+
+    def lines(b: Column) -> Column:
+        seed = F.concat_ws(":", F.col("notice").cast("string"), text(F.col("content_hash")), b["suffix"])
+        moment = lambda name, at: F.concat(F.lit(f"{name};TZID={S.ZONE}:"), stamp(F.col("event_date"), at))
+        some = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}:"), escaped(value)))
+        return F.array_compact(F.array(
+            F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.substring(F.sha2(seed, 256), 1, 32), F.lit("-"), b["suffix"], F.lit("@noticeflow")), F.concat(F.lit("DTSTAMP:"), F.date_format("event_date", "yyyyMMdd"), F.lit("T000000Z")),
+            moment("DTSTART", b["start"]), moment("DTEND", b["end"]), F.concat(F.lit("SUMMARY:"), escaped(b["summary"])), some("DESCRIPTION", b["description"]), some("LOCATION", text(F.col("location"))),
+            F.when(b["kind"] == "event", some("URL", text(F.col("address")))), F.lit("TRANSP:OPAQUE"), F.concat(F.lit("X-NOTICEFLOW-BLOCK:"), b["kind"]), F.lit("END:VEVENT"),
+        ))
+
+    fixed = lambda values: F.array(*map(F.lit, values))
+    head = fixed(["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//noticeflow//EN", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", *zone_lines()])
+    known = F.col("event_date").isNotNull() & F.col("start_min").isNotNull()
+    out = rows.withColumn("blocks", F.when(known, blocks))
+    return out.withColumn("document", F.when(known, fold_lines(F.concat(head, F.flatten(F.transform("blocks", lines)), fixed(["END:VCALENDAR"])))))
+
+
 #: The pieces of a title, each with the space before it: brackets, separators that stand apart, words.
 _PIECE = r" ?(?:\[[^\]]*\]|\([^()]*\)|[-–—:|,;]+(?= |$)|[^\s\[\]()]+|\S)"
 _EDGES, _DATE_EDGES = " -–—:|,;", " -–—:|,;()[]"

@@ -50,6 +50,35 @@ def calendar_documents(spark, d):
     return o.select("o_orderkey", entry.alias("entry"))
 
 
+_ZONE_LINES = ", ".join(f"'{x}'" for x in calendar.zone_lines())
+
+
+@query(rf"""
+WITH o AS (SELECT o_orderkey AS notice, o_orderdate::DATE AS day, (o_orderkey % 1440)::INT AS s, CASE WHEN o_custkey % 5 = 0 THEN (o_orderkey % 1440 + 90)::INT ELSE (o_orderkey % 1440 + 60)::INT END AS e, o_custkey % 3 * 30 AS b, o_custkey % 2 * 45 AS a,
+  o_orderkey % 4 = 0 AS several, CASE WHEN o_custkey % 7 > 0 THEN 'Hall, 1' END AS place, CASE WHEN o_custkey % 4 = 1 THEN 'Drive' ELSE 'Travel' END AS verb, o_orderpriority AS title, o_orderstatus AS hash FROM orders),
+k AS (SELECT * FROM (SELECT *, 0 AS i, 'travel_outbound' AS kind, 'travel-out' AS suffix, s - b AS f, s AS t FROM o WHERE b > 0 UNION ALL SELECT *, 1, 'event', 'event', s, e FROM o UNION ALL SELECT *, 2, 'travel_return', 'travel-back', e, e + a FROM o WHERE a > 0)),
+n AS (SELECT *, suffix || CASE WHEN several THEN '-' || day ELSE '' END AS own FROM k),
+v AS (SELECT notice, i, kind, concat_ws(chr(10), 'BEGIN:VEVENT', 'UID:' || substr(sha256(notice || ':' || hash || ':' || own), 1, 32) || '-' || own || '@noticeflow', 'DTSTAMP:' || strftime(day, '%Y%m%d') || 'T000000Z',
+  'DTSTART;TZID=America/New_York:' || strftime(day + INTERVAL 1 MINUTE * f, '%Y%m%dT%H%M00'), 'DTEND;TZID=America/New_York:' || strftime(day + INTERVAL 1 MINUTE * t, '%Y%m%dT%H%M00'),
+  'SUMMARY:' || CASE i WHEN 0 THEN verb || ' to ' || replace(coalesce(place, title), ',', '\,') WHEN 1 THEN title ELSE verb || ' from ' || replace(coalesce(place, title), ',', '\,') END,
+  CASE i WHEN 1 THEN 'DESCRIPTION:x\; y' END, CASE WHEN place IS NOT NULL THEN 'LOCATION:Hall\, 1' END, CASE i WHEN 1 THEN 'URL:https://notices.example/' || notice END, 'TRANSP:OPAQUE', 'X-NOTICEFLOW-BLOCK:' || kind, 'END:VEVENT') AS event,
+  CASE i WHEN 0 THEN 'Travel time reserved before ' || title || '.' || chr(10) || 'The event itself starts at ' || strftime(day + INTERVAL 1 MINUTE * s, '%-I:%M %p') || '.' WHEN 1 THEN 'x; y' ELSE 'Return travel reserved after ' || title || '.' || chr(10) || 'The event itself ends at ' || strftime(day + INTERVAL 1 MINUTE * e, '%-I:%M %p') || '.' END AS said FROM n)
+SELECT notice, string_agg(kind, ',' ORDER BY i) AS kinds, string_agg(said, '|' ORDER BY i) AS said, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//noticeflow//EN', 'CALSCALE:GREGORIAN', 'METHOD:PUBLISH', {_ZONE_LINES}, string_agg(event, chr(10) ORDER BY i), 'END:VCALENDAR', ''], chr(10)) AS entry FROM v GROUP BY notice
+""")
+def travel_entries(spark, d):
+    """Orders as sessions with the way there and back; ``entry`` is the unfolded document without the holds' descriptions, which ``said`` has."""
+    o, at = table(spark, d, "orders"), (F.col("o_orderkey") % 1440).cast("int")
+    rows = o.select(
+        F.col("o_orderkey").alias("notice"), F.col("o_orderstatus").alias("content_hash"), F.col("o_orderpriority").alias("title"), F.to_date("o_orderdate").alias("event_date"), at.alias("start_min"), F.when(F.col("o_custkey") % 5 == 0, at + 90).alias("end_min"),
+        F.when(F.col("o_orderkey") % 4 == 0, 2).otherwise(1).alias("session_count"), F.when(F.col("o_custkey") % 7 > 0, "Hall, 1").alias("location"), F.lit("x; y").alias("description"), F.concat(F.lit("https://notices.example/"), "o_orderkey").alias("address"),
+        (F.col("o_custkey") % 3 * 30).cast("int").alias("minutes_before"), (F.col("o_custkey") % 2 * 45).cast("int").alias("minutes_after"), F.when(F.col("o_custkey") % 4 == 1, "drive").otherwise("walk").alias("mode"),
+    )
+    unfolded = F.replace(F.replace(F.col("document"), F.lit("\r\n "), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    entry = F.regexp_replace(unfolded, "DESCRIPTION:(?:Travel time|Return travel) [^\n]*\n", "")
+    joined = lambda name, by: F.array_join(F.transform("blocks", lambda b: b[name]), by)
+    return calendar.with_travel(rows).select("notice", joined("kind", ",").alias("kinds"), joined("description", "|").alias("said"), entry.alias("entry"))
+
+
 _SUBJECT = """CASE c_custkey % 7 WHEN 0 THEN concat('EVENT: [FACULTY]  Coffee Hours no ', c_custkey, ' (Focus on Research)') WHEN 1 THEN concat('Town Hall ', c_custkey, ' (Hybrid)')
   WHEN 2 THEN concat(c_mktsegment, ' - Talk on tour ', c_custkey, ' - Thursday, September 10th, 2026') WHEN 3 THEN 'September 10' WHEN 4 THEN concat('[EVENT] tour ', c_custkey, ' 9/10/26 (10/4)') WHEN 5 THEN '   ' END"""
 

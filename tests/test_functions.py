@@ -200,3 +200,20 @@ def test_spellings_of_places(spark):
         5: ["Lot", "Lot Lot", "Parking Lot", "Lot Parking"], 6: [], 7: [],
         8: ["Lot Old Mill", "Parking Lot OLD-MILL", "OLD-MILL Lot", "OLD-MILL"],
     }
+
+
+def test_sessions_with_travel(spark):
+    day = dt.date(2026, 9, 10)
+    cols = "notice string, content_hash string, title string, event_date date, start_min int, end_min int, session_count int, location string, description string, address string, minutes_before int, minutes_after int, mode string"
+    rows = [
+        ("a", "h", "Talk, one", day, 10, 60, 1, "Hall 1", "d", "https://x.example", 15, 20, "drive"), ("b", None, None, day, 1430, None, 3, None, None, None, None, 0, None), ("c", "h", "t", None, 10, 20, 1, "", "", "", 5, 5, "walk"),
+        ("d", "h", "long " * 100, day, 600, 500, 1, None, "é" * 100, None, -5, 5, "walk"), ("e", "h", "t", day, None, 20, 1, "", "", "", 5, 5, "walk"), ("a", "h", "Talk, one", day, 10, 60, 1, "Hall 1", "d", "https://x.example", 15, 20, "drive"),
+    ]
+    got = {r.notice: r for r in calendar.with_travel(spark.createDataFrame(rows, cols)).collect()}
+    assert [tuple(b)[:5] for b in got["a"].blocks] == [("travel_outbound", "travel-out", -5, 10, "Drive to Hall 1"), ("event", "event", 10, 60, "Talk, one"), ("travel_return", "travel-back", 60, 80, "Drive from Hall 1")]
+    assert "DTSTART;TZID=America/New_York:20260909T235500\r\n" in got["a"].document and got["a"].document.count("BEGIN:VEVENT") == 3 and "SUMMARY:Talk\\, one" in got["a"].document
+    assert [tuple(b)[:5] for b in got["b"].blocks] == [("event", "event-2026-09-10", 1430, 1490, "")] and "DTEND;TZID=America/New_York:20260911T005000" in got["b"].document
+    assert got["c"].document is None and got["c"].blocks is None and got["e"].document is None
+    assert [b.kind for b in got["d"].blocks] == ["event", "travel_return"] and len(got["d"].blocks[1].summary) <= 121 and all(len(line.encode()) <= 75 for line in got["d"].document.split("\r\n"))
+    assert got["a"].blocks[0].description == "Travel time reserved before Talk, one.\nThe event itself starts at 12:10 AM." and calendar.zone_lines().count("END:DAYLIGHT") == 1
+    assert calendar.with_travel(spark.createDataFrame([], cols)).count() == 0
