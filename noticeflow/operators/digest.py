@@ -39,7 +39,7 @@ def preheader(rows: DataFrame, day: list[str], order: list[str], titles: int = 3
 
 
 def digest_hash(rows: DataFrame, day: str, order: str, item: str, content: str) -> DataFrame:
-    """One hash of a day, the order of its items and their contents."""
+    """One hash of a day, the order of its items and their contents: what a reader gets on one day, so some hundred items in one row."""
     all_items = F.array_sort(F.collect_list(F.struct(order, F.col(item).cast("string").alias("i"), F.col(content).alias("c"))))
     line = F.array_join(F.transform("all", lambda x: F.concat_ws("=", x["i"], x["c"])), "|")
     return rows.groupBy(day).agg(all_items.alias("all")).select(day, F.sha2(F.concat_ws("|", F.col(day).cast("string"), line), 256).alias("digest"))
@@ -69,17 +69,21 @@ def sole(rows: DataFrame, group: str, item: str) -> DataFrame:
 def contained(needles: DataFrame, names: DataFrame, needle: str, name: str, shortest: int = 6, longest_words: int = 8) -> DataFrame:
     """Pairs in which a needle's words stand side by side within a name: an equi-join on the names' runs of words, no nested loop.
 
-    Needles under ``shortest`` characters meet nothing; names are short by nature, and runs go up to the longest needle's words.
+    Needles under ``shortest`` characters meet nothing.  A needle meets by its first ``longest_words`` words, and
+    what it has beyond them is compared where they met.  A name is cut only into runs of lengths that the needles have:
+    these, at most ``longest_words`` numbers, are fetched first.  Words are separated by spaces.
     """
-    parts = F.split(F.trim(F.col(name)), " +")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(i, F.least(F.size(parts), i + longest_words - 1)), lambda j: F.array_join(F.slice(parts, i, j - i + 1), " "))))
-    own = names.withColumn("__run", F.explode(F.array_distinct(runs)))
-    short = needles.filter(F.length(needle) >= shortest).withColumn("__run", F.trim(F.regexp_replace(needle, " +", " ")))
-    within = short.filter(F.size(F.split("__run", " ")) <= longest_words).join(own, "__run").drop("__run")
-    long = short.filter(F.size(F.split("__run", " ")) > longest_words)
-    exact = names.withColumn("__run", F.trim(F.regexp_replace(name, " +", " "))).filter(F.size(F.split("__run", " ")) > longest_words)
-    rest = long.join(exact, F.concat(F.lit(" "), exact["__run"], F.lit(" ")).contains(F.concat(F.lit(" "), long["__run"], F.lit(" "))) & (F.element_at(F.split(long["__run"], " "), 1) != "")).drop("__run")
-    return within.unionByName(rest.select(*within.columns))
+    words = lambda c: F.filter(F.split(F.col(c), " +"), lambda w: w != "")
+    short = needles.filter(F.length(needle) >= shortest).withColumn("__words", words(needle)).filter(F.size("__words") > 0)
+    short = short.withColumn("__n", F.least(F.size("__words"), F.lit(longest_words))).withColumn("__run", F.array_join(F.slice("__words", F.lit(1), F.col("__n")), " "))
+    lengths = sorted(r[0] for r in short.select("__n").distinct().collect())  # at most longest_words numbers
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("__parts") - n + 1), lambda i: F.array_join(F.slice("__parts", i, n), " "))
+    none = F.array().cast("array<string>")
+    runs = F.concat(none, *[F.when(F.size("__parts") >= n, run(n)).otherwise(none) for n in lengths])
+    own = names.withColumn("__parts", words(name)).withColumn("__run", F.explode(F.array_distinct(runs))).drop("__parts")
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    whole = (F.size("__words") <= longest_words) | spaced(words(name)).contains(spaced(F.col("__words")))
+    return short.join(own, "__run").filter(whole).drop("__run", "__words", "__n")
 
 
 def picked(hits: DataFrame, key: str, campus: str, hint: str, answer: str) -> DataFrame:

@@ -93,6 +93,25 @@ def reposted_notices(spark, d):
     return repeats.find_repeats(rows, rows)
 
 
+@query(f"""
+WITH r AS (SELECT c_custkey AS id, c_custkey // 8 AS g, c_custkey % 8 AS k FROM customer WHERE c_custkey % 8 IN (0, 1, 4)),
+p AS (SELECT a.id, a.g, min(b.id) AS other, arg_min(CASE WHEN (a.k = 4) = (b.k = 4) THEN 'identical' ELSE 'changed' END, b.id) AS method FROM r a JOIN r b ON a.g = b.g AND a.id <> b.id GROUP BY ALL)
+SELECT id AS submission_id, other AS matched_submission_id, 'notice ' || g || '|1|Both' AS family_key, method, CASE method WHEN 'identical' THEN {S.CONFIDENCE["identical"]}::DOUBLE ELSE {S.CONFIDENCE["changed"]}::DOUBLE END AS confidence, 1.0::DOUBLE AS similarity, method = 'changed' AS materially_changed FROM p
+""")
+def reposted_copies(spark, d):
+    """Eight notices made of each eight customers: the same, shouted, in another category, far longer, with another link, that from another sender, and two events of different days."""
+    k, g = F.col("c_custkey") % 8, F.floor(F.col("c_custkey") / 8)
+    body = F.concat(F.lit("The water of tank no "), g, F.lit(" is off from noon until further word"))
+    link = F.when(k == 4, "https://b.example/x").when(k == 5, "https://c.example").when(k == 1, F.concat(F.lit("https://a.example/"), g, F.lit("/"))).otherwise(F.concat(F.lit("https://a.example/"), g))
+    sender = F.when(k == 5, "b@example.org").otherwise("a@example.org")
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("submission_id"), F.concat(F.lit("Notice "), g).alias("title"), F.when(k == 1, F.concat(F.upper(body), F.lit("!"))).when(k == 3, F.concat_ws(". ", body, body)).otherwise(body).alias("body_text"),
+        F.concat(F.lit('<a href="'), link, F.lit('">more</a>')).alias("full_body"), F.when(k == 2, 2).otherwise(1).cast("bigint").alias("category_id"), F.lit("Both").alias("source_audience"), (k >= 6).alias("is_event"),
+        F.when(k >= 6, F.date_add(F.lit("2026-09-01").cast("date"), k.cast("int"))).alias("event_date"), F.when(k >= 6, 600).alias("event_start_min"), sender.alias("contact_email"), sender.alias("submitted_by_email"),
+    )
+    return repeats.find_repeats(rows, rows)
+
+
 def _relevance_sql() -> str:
     def total(text, signals, scale=1.0):
         return " + ".join(f"CASE WHEN contains({text}, ' {p} ') THEN {w * scale!r}::DOUBLE ELSE 0.0::DOUBLE END" for p, w in signals.items())

@@ -92,6 +92,11 @@ def test_needles_of_any_length_are_found_in_names(spark):
     names = spark.createDataFrame([(1, "north maple hall annex"), (2, "maple hallway"), (3, " ".join(f"w{i}" for i in range(12)))], "id int, name string")
     needles = spark.createDataFrame([("maple hall",), ("hall",), (" ".join(f"w{i}" for i in range(2, 12)),)], "needle string")
     assert sorted((r.id, r.needle[:6]) for r in digest.contained(needles, names, "needle", "name").collect()) == [(1, "maple "), (3, "w2 w3 ")]
+    # a needle beyond eight words is compared whole; spaces don't count; nothing meets nulls and empty tables
+    names = spark.createDataFrame([(1, " a1 b2 c3 d4 e5  f6 g7 h8 i9 "), (2, "a1 b2 c3 d4 e5 f6 g7 h8 x"), (3, None), (4, ""), (5, "g7 h8 i9"), (5, "g7 h8 i9")], "id int, name string")
+    needles = spark.createDataFrame([("a1 b2 c3 d4 e5 f6 g7 h8 i9",), ("g7  h8 i9",), (None,), ("       ",)], "needle string")
+    assert sorted((r.id, r.needle[:2]) for r in digest.contained(needles, names, "needle", "name").collect()) == [(1, "a1"), (1, "g7"), (5, "g7"), (5, "g7")]
+    assert digest.contained(needles.limit(0), names, "needle", "name").count() == 0 and digest.contained(needles, names.limit(0), "needle", "name").count() == 0
 
 
 def test_pinned_fields_stay(spark):
