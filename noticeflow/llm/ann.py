@@ -127,6 +127,12 @@ def entry_budget(probes: np.ndarray, cells: list, halves: list[np.ndarray], coun
     return float(np.quantile(need, recall)) if need else float(counts.sum())
 
 
+def listed(sorted_cells: np.ndarray, cells: list[int]) -> np.ndarray:
+    """The places of some distinct cells' entries in a list that is sorted by cell; nothing else is looked at."""
+    first, last = np.searchsorted(sorted_cells, cells, "left"), np.searchsorted(sorted_cells, cells, "right")
+    return np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)] or [np.arange(0)])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest vectors found, by Euclidean distance."""
     with scratch(vectors.sparkSession):
@@ -188,9 +194,10 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_
     def rank(e: pa.Table, q: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]
         if len(e) and len(q):
+            e = e.take(pa.array(np.argsort(e.column("c2").to_numpy(), kind="stable")))  # each cell's entries lie side by side
             x, y, ids, c2 = _matrix(e.column("v")), _matrix(q.column("v")), np.array(e.column("vec_id").to_pylist()), e.column("c2").to_numpy()
             for i, (query, own, cells) in enumerate(zip(q.column("query").to_pylist(), q.column("vec_id").to_pylist(), q.column("cells").to_pylist(), strict=True)):
-                inside = np.flatnonzero(np.isin(c2, cells))
+                inside = listed(c2, cells)
                 d = ((x[inside] - y[i]) ** 2).sum(1)
                 if len(inside) > k + 1:
                     near = d <= np.partition(d, k)[k]

@@ -90,3 +90,10 @@ def test_clustered_vectors_need_few_entries(spark):
     want = brute([(i, v, 0) for i, v, _ in rows_of(x.astype(np.float32))])
     hit = sum(any(g.query_id == q and g.vec_id == i for g in got) for q, found in want.items() for _, i in found)
     assert hit / sum(map(len, want.values())) >= 0.9 and asked[0] < 0.2 * len(x)
+
+
+def test_only_entries_of_visited_cells_are_compared():
+    cells = np.sort(np.random.default_rng(3).integers(0, 40, 500))
+    for asked in ([], [7], [41], [3, 39, 0], list(range(40))):
+        assert sorted(ann.listed(cells, asked)) == list(np.flatnonzero(np.isin(cells, asked)))
+    assert len(ann.listed(np.array([], np.int32), [1, 2])) == 0
