@@ -6,9 +6,12 @@ of markers and what follows it) that are segmented independently.  Each task
 keeps a table of the distinct chunks it has met: a batch's chunks are found
 with numpy, made distinct by Arrow's dictionary encoding, the new ones go to
 the library once, and their ids are joined back by position.  Decoding goes
-the same way over chunks of ids, cut before the pieces that begin with a
-marker.  Nothing is shuffled; the table is emptied when it outgrows
-``TABLE_BYTES``, so memory is bounded, and a lost executor costs its tasks.
+the same way over chunks of ids, which are smaller: a piece, or a run of byte
+pieces.  The library decodes each piece of the vocabulary once for a process
+and each distinct run once for a task.  Python works on distinct chunks only;
+what there is for each chunk of a text or each row is done by numpy and Arrow.
+Nothing is shuffled; the table is emptied when it outgrows ``TABLE_BYTES``, so
+memory is bounded, and a lost executor costs its tasks.
 
 Ids are packed as little-endian unsigned 32-bit integers, the form in which
 token files are kept; ``unpacked`` gives them as an array.
@@ -29,6 +32,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,29 +97,44 @@ class ChunkTable:
         self.size = self.worked = 0
 
     def __call__(self, chunks: list[bytes]) -> list[bytes]:
-        new = [c for c in chunks if c not in self.found]
-        values = dict(zip(new, self.work(new), strict=True))
+        """The values of chunks that differ from each other."""
+        out = list(map(self.found.get, chunks))
+        places = [k for k, v in enumerate(out) if v is None]
+        new = [chunks[k] for k in places]
+        values = self.work(new)
         self.worked += len(new)
-        out = [values[c] if c in values else self.found[c] for c in chunks]
+        for k, v in zip(places, values, strict=True):
+            out[k] = v
         if self.size > self.most_bytes:
             self.found, self.size = {}, 0
-        for c, v in values.items():
-            if len(c) <= LONG:
-                self.found[c] = v
-                self.size += len(c) + len(v) + 200
+        kept = dict(zip(new, values, strict=True))
+        if max(map(len, new), default=0) > LONG:
+            kept = {c: v for c, v in kept.items() if len(c) <= LONG}
+        self.found.update(kept)
+        self.size += sum(map(len, kept)) + sum(map(len, kept.values())) + 200 * len(kept)
         return out
 
 
-def joined(chunks: ChunkTable, data: np.ndarray, starts: np.ndarray, offs: np.ndarray) -> list[bytes]:
+def _spans(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes from each start to the next, the last to the end; no copy."""
+    ends = np.append(starts, len(data)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _rows(values: pa.Array, first: np.ndarray) -> pa.Array:
+    """Consecutive values joined to rows; a row's values go from its entry of ``first`` to the next."""
+    if not len(values):
+        return pa.array([b""] * (len(first) - 1), pa.large_binary())
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(ends[first]), data if data is not None else pa.py_buffer(b"")])
+
+
+def joined(chunks: ChunkTable, data: np.ndarray, starts: np.ndarray, offs: np.ndarray) -> pa.Array:
     """For each row, the joined values of its chunks; a chunk goes from one start to the next, the first start of a row is its begin."""
-    if not len(starts):
-        return [b""] * (len(offs) - 1)
-    spans = np.append(starts, len(data)).astype(np.int64)
-    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = column.dictionary_encode()
-    value = chunks(coded.dictionary.to_pylist()).__getitem__
-    at, first = coded.indices.to_pylist(), np.searchsorted(starts, offs).tolist()
-    return [b"".join(map(value, at[b:e])) for b, e in zip(first, first[1:])]
+    coded = _spans(data, starts).dictionary_encode()
+    values = pa.array(chunks(coded.dictionary.to_pylist()), pa.large_binary())
+    return _rows(values.take(coded.indices), np.searchsorted(starts, offs))
 
 
 def _replaced(batch: pa.RecordBatch, begin: int, n: int, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -149,16 +168,21 @@ def _encoder(model: bytes, text: str, ids: str, begin: bool, end: bool) -> Calla
 
     def run(batches: Batches) -> Batches:
         sp = _processor(model)
-        head = struct.pack("<I", sp.bos_id()) if begin else b""
-        tail = struct.pack("<I", sp.eos_id()) if end else b""
-        lone = struct.pack("<I", sp.piece_to_id(MARK))
+        head = pa.scalar(struct.pack("<I", sp.bos_id()) if begin else b"", pa.large_binary())
+        tail = pa.scalar(struct.pack("<I", sp.eos_id()) if end else b"", pa.large_binary())
+        between = pa.scalar(b"", pa.large_binary())
+        lone = [sp.piece_to_id(MARK)]
 
         def work(chunks: list[bytes]) -> list[bytes]:
             # the library puts the first marker of a chunk itself
             texts = [(c[1:] if apart else c).decode("utf-8", "replace") for c in chunks]
             found = sp.encode(texts, num_threads=1) if texts else []
             # but none where nothing follows it: a single marker at the end of a text
-            return [struct.pack(f"<{len(x)}I", *x) if t or not apart else lone for t, x in zip(texts, found, strict=True)]
+            if apart and "" in texts:
+                found = [x if t else lone for t, x in zip(texts, found, strict=True)]
+            ends = list(accumulate(map(len, found), initial=0))
+            packed = np.fromiter(chain.from_iterable(found), "<u4", ends[-1]).tobytes()
+            return [packed[4 * b : 4 * e] for b, e in zip(ends, ends[1:])]
 
         chunks = ChunkTable(work)
         for batch in batches:
@@ -175,46 +199,68 @@ def _encoder(model: bytes, text: str, ids: str, begin: bool, end: bool) -> Calla
                         opens[1:] &= ~is_mark[:-1]
                         opens[starts] = True
                         starts = np.flatnonzero(opens)
-                    packed = [head + x + tail for x in joined(chunks, data, starts, offs)]
-                    yield _replaced(batch, first + row, len(packed), ids, pa.array(packed, pa.binary()))
+                    packed = pc.binary_join_element_wise(head, joined(chunks, data, starts, offs), tail, between)
+                    yield _replaced(batch, first + row, len(packed), ids, packed.cast(pa.binary()))
 
     return run
 
 
+@cache
+def _vocabulary(model: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Which pieces begin with a marker, are control symbols, are bytes; what each is inside a text, then what each is at its begin."""
+    sp = _processor(model)
+    n = sp.get_piece_size()
+    marked = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(n)])
+    control = np.array([sp.is_control(i) for i in range(n)])
+    byte = np.array([sp.is_byte(i) for i in range(n)])
+    # the library takes one marker from the begin, which inside a text is a space
+    opening = [t.encode() for t in sp.decode([[i] for i in range(n)], num_threads=1)]
+    inside = [b" " + t if m else t for t, m in zip(opening, marked.tolist(), strict=True)]
+    return marked, control, byte, pa.array(inside + opening, pa.large_binary())
+
+
 def _decoder(model: bytes, ids: str, text: str) -> Callable[[Batches], Batches]:
     apart = separable(model)
 
     def run(batches: Batches) -> Batches:
         sp = _processor(model)
-        n = sp.get_piece_size()
-        marked = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(n)])
-        control = np.array([sp.is_control(i) for i in range(n)])
 
         def work(chunks: list[bytes]) -> list[bytes]:
             lists = [np.frombuffer(c, "<u4").tolist() for c in chunks]
-            texts = sp.decode(lists, num_threads=1) if lists else []
-            # the library takes one marker from the begin, which inside a text is a space
-            return [(" " + t if apart and marked[x[0]] else t).encode() for x, t in zip(lists, texts, strict=True)]
+            return [t.encode() for t in (sp.decode(lists, num_threads=1) if lists else [])]
 
         chunks = ChunkTable(work)
+
+        def pieced(whole: np.ndarray, offs: np.ndarray) -> pa.Array:
+            """The texts of rows of ids by their pieces; bytes that follow each other make characters together."""
+            marked, control, byte, known = _vocabulary(model)
+            each, firsts = whole.view("<u4"), offs // 4
+            begins, n = firsts[:-1][firsts[:-1] < firsts[1:]], len(each)
+            is_byte = byte[each]
+            opens = np.ones(n, bool)
+            opens[1:] = ~(is_byte[1:] & is_byte[:-1])
+            opens[begins] = True
+            starts = np.flatnonzero(opens)
+            at = each[starts].astype(np.int64)
+            shown = np.flatnonzero(~control[each])
+            lead = np.append(shown, n)[np.searchsorted(shown, firsts[:-1])]
+            lead = lead[lead < firsts[1:]]
+            at[np.searchsorted(starts, lead[marked[each[lead]]])] += len(marked)
+            runs = np.flatnonzero(np.diff(starts, append=n) > 1)
+            if len(runs):
+                coded = _spans(whole, starts * 4).take(pa.array(runs)).dictionary_encode()
+                at[runs] = len(known) + coded.indices.to_numpy()
+                known = pa.concat_arrays([known, pa.array(chunks(coded.dictionary.to_pylist()), pa.large_binary())])
+            return _rows(known.take(pa.array(at)), np.searchsorted(starts, firsts))
+
         for batch in batches:
             for first, packed in _slices(batch, ids, pa.large_binary(), b""):
                 _, offs, data = packed.buffers()
                 offs = np.frombuffer(offs, np.int64)[packed.offset : packed.offset + len(packed) + 1]
                 whole = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
-                offs, each = offs - offs[0], np.ascontiguousarray(whole).view("<u4")
-                starts = offs[:-1][offs[:-1] < offs[1:]]
-                if apart:
-                    opens = marked[each]
-                    opens[starts // 4] = True
-                    starts = np.flatnonzero(opens) * 4
-                out = joined(chunks, whole, starts, offs)
-                if apart:
-                    shown = np.append(np.flatnonzero(~control[each]), len(each))
-                    lead = shown[np.searchsorted(shown, offs[:-1] // 4)]
-                    strip = [f < e // 4 and marked[each[f]] for f, e in zip(lead.tolist(), offs[1:].tolist(), strict=True)]
-                    out = [x[1:] if s else x for x, s in zip(out, strip, strict=True)]
-                yield _replaced(batch, first, len(out), text, pa.array([x.decode("utf-8", "replace") for x in out], pa.string()))
+                whole, offs = np.ascontiguousarray(whole), offs - offs[0]
+                out = pieced(whole, offs) if apart else joined(chunks, whole, offs[:-1][offs[:-1] < offs[1:]], offs)
+                yield _replaced(batch, first, len(out), text, out.cast(pa.string()))
 
     return run
 

@@ -1,6 +1,9 @@
 import hashlib
 import struct
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
@@ -77,3 +80,51 @@ def test_each_chunk_is_worked_on_once_and_memory_is_bounded():
     for k in range(100):
         assert chunks([b"%d" % k]) == [b"%d" % k]
     assert len(chunks.found) < 10
+
+
+class Counting:
+    """The library's processor that notes which ids it has decoded."""
+
+    def __init__(self, sp):
+        self.sp, self.decoded = sp, []
+
+    def __getattr__(self, name):
+        return getattr(self.sp, name)
+
+    def decode(self, lists, **options):
+        self.decoded += lists
+        return self.sp.decode(lists, **options)
+
+
+def test_new_words_of_known_pieces_are_not_decoded_again(model, monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    counting = Counting(sp)
+    monkeypatch.setattr(pieces, "_processor", lambda _: counting)
+    ids = sp.encode([f"w{k}x \n\né{k} \U0010ffff" for k in range(60_000)])
+    packed = pa.array([struct.pack(f"<{len(x)}I", *x) for x in ids], pa.binary())
+    batches = [pa.RecordBatch.from_arrays([packed.slice(b, 5000)], names=["ids"]) for b in range(0, len(packed), 5000)]
+    got = [t for batch in pieces._decoder(model, "ids", "text")(iter(batches)) for t in batch.column("text").to_pylist()]
+    assert got == sp.decode(ids)
+    runs = [x for x in counting.decoded if len(x) > 1]
+    assert len(counting.decoded) <= sp.get_piece_size() + len(runs) and len(runs) == 2
+    assert all(sp.is_byte(i) for x in runs for i in x)
+
+
+def test_the_table_costs_less_than_the_library_on_whole_texts(model):
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    column = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).slice(0, 3000).combine_chunks()
+    texts = [t or "" for t in column["text"].to_pylist()]
+
+    def cpu(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    def table():
+        there, back = pieces._encoder(model, "text", "ids", True, True), pieces._decoder(model, "ids", "decoded")
+        assert sum(b.num_rows for b in back(there(iter(column.to_batches())))) == len(texts)
+
+    table()
+    own = min(cpu(table) for _ in range(3))
+    whole = min(cpu(lambda: sp.decode(sp.encode(texts, num_threads=1), num_threads=1)) for _ in range(3))
+    assert own < whole
