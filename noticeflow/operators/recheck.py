@@ -65,9 +65,12 @@ def corrected(found: DataFrame, recorded: DataFrame, keys: list[str], reason: Co
 
 
 def fingerprint(rows: DataFrame) -> str:
-    """One value of a set of rows in any order; columns count by name."""
+    """One value of a set of rows in any order; columns count by name.
+
+    The hashes of many rows sum up to more than a long holds, so they are added as decimals.
+    """
     one = F.xxhash64(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}))
-    n, x, total = rows.agg(F.count("*"), F.bit_xor(one), F.sum(F.shiftright(one, 8))).first()
+    n, x, total = rows.agg(F.count("*"), F.bit_xor(one), F.sum(F.shiftright(one, 8).cast("decimal(28,0)"))).first()
     return f"{n}:{x}:{total}"
 
 

@@ -1,7 +1,10 @@
 import datetime as dt
+import functools
+import operator
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from noticeflow.operators import groups, recheck
 from noticeflow.sources import stores
@@ -76,6 +79,15 @@ def test_changes_are_null_safe_and_see_rows_of_one_side(spark):
     assert recheck.changes(df([]), df([]), ["k"], ["a"]).count() == 0
 
 
+def test_fingerprints_of_hashes_beyond_a_long(spark):
+    one = F.xxhash64(F.to_json(F.struct("a")))
+    rows = spark.range(4000).select(F.col("id").alias("a")).withColumn("h", one).filter("h > 0")
+    hashes = [r.h for r in rows.collect()]
+    assert sum(h >> 8 for h in hashes) > 2**63
+    assert recheck.fingerprint(rows.select("a")) == f"{len(hashes)}:{functools.reduce(operator.xor, hashes)}:{sum(h >> 8 for h in hashes)}"
+    assert recheck.fingerprint(rows.select("a").limit(0)) == "0:None:None"
+
+
 def test_only_what_was_known_then(spark):
     rows = spark.createDataFrame([(1, 5, "r"), (1, 9, "s"), (2, 5, "t"), (None, 5, "u")], "k long, day int, x string")
     versions = spark.createDataFrame([(1, 5, "a"), (1, 8, "b"), (1, 10, "c"), (1, 8, "bb"), (2, 6, "d"), (None, 1, "n")], "k long, seen int, title string")
