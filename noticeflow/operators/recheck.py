@@ -19,12 +19,14 @@ def as_known(rows: DataFrame, versions: DataFrame, key: str, at: str, seen: str,
     """``rows`` with the fields of the latest version that was seen at or before the row's own time; null where none was.
 
     One union and one window over the key in place of a range join; of
-    versions seen at one time the one whose fields are larger as text counts.
+    versions seen at one time the one whose fields are larger counts, field by
+    field by their values; null is larger than any value.
     """
-    tie = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    v = versions.select(key, F.col(seen).alias("__at"), F.lit(0).alias("__side"), F.struct(*fields).alias("__v"), tie.alias("__tie"))
+    # maps have no order, so their text stands for them
+    ties = [F.to_json(F.struct(f), {"ignoreNullFields": "false"}) if "map<" in kind else F.col(f) for f, kind in versions.select(*fields).dtypes]
+    v = versions.select(key, F.col(seen).alias("__at"), F.lit(0).alias("__side"), F.struct(*fields).alias("__v"), *(t.alias(f"__tie{i}") for i, t in enumerate(ties)))
     r = rows.select(key, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*rows.columns).alias("__row"))
-    w = Window.partitionBy(key).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("__at", "__side", *(F.asc_nulls_last(f"__tie{i}") for i in range(len(ties)))).rowsBetween(Window.unboundedPreceding, 0)
     both = v.unionByName(r, allowMissingColumns=True).withColumn("__known", F.last("__v", True).over(w))
     return both.filter("__side = 1").select("__row.*", *(F.col(f"__known.{f}").alias(f"known_{f}") for f in fields))
 

@@ -223,3 +223,18 @@ def test_cache_states_and_the_ladder(spark):
         7: ("miss", "landmark", 13.0, None), 8: ("miss", "facility", 21.0, None), 9: ("miss", "facility", 20.0, None), 10: ("none", None, None, None), 11: ("stale", "cache", 1.5, None), 12: ("miss", None, None, None),
     }
     assert recheck.as_known(rows.limit(0).withColumn("key", F.lit("x")), cache, "key", "day", "verified", ["name"]).count() == 0
+
+
+def test_of_entries_verified_on_one_day_the_larger_counts_by_value(spark):
+    day = dt.date(2026, 1, 1)
+    entry = lambda key, latitude, minutes, mark="f": (key, key, "c", latitude, 0.0, minutes, mark, day)
+    cache = spark.createDataFrame(
+        [entry("a", 9.0, 1), entry("a", 10.0, 2), entry("a", -11.0, 3), entry("b", 5.0, 9), entry("b", 5.0, 10), entry("c", 99.0, 5), entry("c", None, 1), entry("d", 5.0, 60), entry("d", 5.0, None)],
+        "key string, name string, campus string, latitude double, longitude double, minutes int, fingerprint string, verified date",
+    )
+    rows = spark.createDataFrame([(k, k, None, day) for k in "abcd"], "id string, venue string, hint string, day date")
+    none = spark.createDataFrame([], "name string, campus string, latitude double, longitude double")
+    got = {r.id: (r.state, r.latitude, r.minutes) for r in venues.looked_up(rows, cache, none, none, F.lit("f")).collect()}
+    assert got == {"a": ("hit", 10.0, 2), "b": ("hit", 5.0, 10), "c": ("miss", None, None), "d": ("stale", 5.0, None)}
+    tagged = spark.createDataFrame([(1, 1, {"x": "1"}), (1, 1, {"x": "2"})], "k int, seen int, tags map<string,string>")
+    assert recheck.as_known(spark.createDataFrame([(1, 2)], "k int, at int"), tagged, "k", "at", "seen", ["tags"]).first()["known_tags"] == {"x": "2"}
