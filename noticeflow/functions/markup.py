@@ -54,6 +54,13 @@ def decoded(text: Column) -> Column:
     return text
 
 
+def markup_decoded(text: Column) -> Column:
+    """The references decoded without which a text would be markup; others stay as they stand."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def _value(attribute: Column) -> Column:
     """An attribute's value without quotes, decoded; null if it has none."""
     raw = F.regexp_extract(attribute, r"(?s)^[^=]*+=\s*+(.*)$", 1)

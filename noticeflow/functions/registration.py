@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +71,11 @@ def first_of_each(links: DataFrame, key: str) -> DataFrame:
     return links.groupBy(key, "href").agg(F.min_by(F.struct(*names), "position").alias("_x")).select(key, "href", *(F.col(f"_x.{c}").alias(c) for c in names))
 
 
-def first_heading(page: Column) -> Column:
-    """The visible text of a page's first heading as it stands there; null if it has no letter or is too long."""
-    inner = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", 1)
-    text = T.squeezed(decoded(F.regexp_replace(inner, "<[^>]+>", " ")))
+def first_heading(page: Column, decode: Callable[[Column], Column] = decoded) -> Column:
+    """The visible text of a page's first heading as it stands there; null if it has no letter or is too long.
+
+    decode: which character references are decoded.  White space is what it is in HTML.
+    """
+    inner = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<h[1-6](?![0-9a-z_])[^>]*>(.*?)</h[1-6]>", 1)
+    text = F.trim(F.regexp_replace(decode(F.regexp_replace(inner, "<[^>]+>", " ")), r"[ \t\n\f\r]+", " "))
     return F.when(text.rlike(r"\p{L}") & (F.length(text) <= S.HEADING_CHARS), text)

@@ -1,12 +1,14 @@
 import random
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from noticeflow import settings as S
 from noticeflow.functions import markup, registration
 from noticeflow.functions.nesting import walk
+from noticeflow.plans import registry
 
 
 def clean(spark, pages, look=markup.PLAIN):
@@ -150,3 +152,18 @@ def test_first_heading(spark):
     pages = ["<p>x</p><h3 class=c>A &amp; <b>B</b>\n c</h3><h1>later</h1>", "<h1>123</h1>", "<h2>" + "x" * 121 + "</h2>", None, "<h1>never closed"]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "k int, page string")
     assert [r.h for r in df.select("k", registration.first_heading(F.col("page")).alias("h")).orderBy("k").collect()] == ["A & B c", None, None, None, None]
+
+
+def test_first_headings_of_odd_pages_are_those_of_the_sql(spark, tmp_path):
+    pages = [
+        '<h1>token = &quot;7702&quot;</h1>', "<h2>it&#39;s &nbsp;a &amp;lt; b &lt;i&gt; &amp;amp;</h2>", "<H3\tclass='x'>a\x0bb \xa0 c\r\n</h3>", "<h1é>no</h1><h2>yes</h2>", "<h4><b></b>é</h5>x</h4>", "<h1> &gt; 12 </h1>",
+        "<h1>" + "&quot;" * 20 + "x</h1>", "<h1>" + "&amp;" * 119 + "x</h1>", None, "",
+    ]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r.page_id: r.heading for r in registry.queries()["first_headings"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.sql(registry.oracle_sql()["first_headings"]).fetchall())
+    assert got[0] == "token = &quot;7702&quot;" and got[6] is None and len(got[7]) == 120
+    # by itself the operator decodes quotes, too
+    assert spark.createDataFrame([(pages[0],)], "page string").select(registration.first_heading(F.col("page"))).first()[0] == 'token = "7702"'
