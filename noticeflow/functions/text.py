@@ -10,9 +10,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from .. import settings as S
+from .likeness import LONG, Places, matched_length
 
 # ---- built-in expressions ----
 
@@ -43,9 +44,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+WORD = re.compile("[a-z0-9]{4,}")
+
+
 def distinctive_words(text: Column) -> Column:
     """Distinct words of four letters or more that are neither numbers nor common, sorted."""
-    found = F.array_distinct(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{4,}"), 0))
+    found = F.array_distinct(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD.pattern), 0))
     return F.array_sort(F.filter(F.array_except(found, F.array(*map(F.lit, S.COMMON_WORDS))), lambda w: ~w.rlike("^[0-9]+$")))
 
 
@@ -130,19 +134,23 @@ def plain_text(page: str | None) -> str:
 
 def similarity(current: str, prior: str, least: float = 0.0) -> float:
     """Of two folded texts, from 0 to 1; lengths that differ much give their ratio, and bounds below ``least`` stand for the ratio."""
-    if not current or not prior:
+    return likeness_of(Places(current), Places(prior), least)
+
+
+def likeness_of(current: Places, prior: Places, least: float = 0.0) -> float:
+    """``similarity`` of texts whose places of characters are kept."""
+    a, b = current.text, prior.text
+    if not a or not b:
         return 0.0
-    if current == prior:
+    if a == b:
         return 1.0
-    ratio = min(len(current), len(prior)) / max(len(current), len(prior))
+    ratio = min(len(a), len(b)) / max(len(a), len(b))
     if ratio < S.LENGTH_RATIO:
         return ratio
-    matcher = difflib.SequenceMatcher(None, current, prior)
-    # bounds that are never below the ratio, the cheaper one first: shared characters, and a longest common subsequence
-    for bound in (matcher.quick_ratio, lambda: 2 * common_length(current, prior) / (len(current) + len(prior))):
-        if least > 0 and (most := bound()) < least:
-            return most
-    return matcher.ratio()
+    # a bound that is never below the ratio, and of short texts the cheaper one: a longest common subsequence
+    if least > 0 and len(b) < LONG and (most := 2 * common_length(a, b) / (len(a) + len(b))) < least:
+        return most
+    return 2.0 * matched_length(current, prior, least) / (len(a) + len(b))
 
 
 def common_length(a: str, b: str) -> int:
@@ -168,16 +176,6 @@ def html_to_text(page: pd.Series) -> pd.Series:
     return page.map(plain_text)
 
 
-@F.pandas_udf(DoubleType())
-def body_similarity(current: pd.Series, prior: pd.Series) -> pd.Series:
-    return pd.Series([similarity(a or "", b or "", S.CHANGED) for a, b in zip(current, prior, strict=True)], dtype=float)
-
-
-@F.pandas_udf(BooleanType())
-def is_spelling_only(removed: pd.Series, added: pd.Series) -> pd.Series:
-    return pd.Series([spelling_only(r, a) for r, a in zip(removed, added, strict=True)], dtype=bool)
-
-
 # ---- small text rules of a digest ----
 
 

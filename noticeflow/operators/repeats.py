@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions import moments
+from ..functions import likeness, moments
 from ..functions import text as T
 from ..sources import stores
 
 _SAME = ("title_key", "category_id", "source_audience", "is_event")
 _OWN = (*_SAME, "event_date", "event_start_min", "urls", "contact_email", "submitted_by_email", "body_hash", "body_chars")
-#: Equal bodies have equal words and days, so these make no class of their own.
-_FIELDS = (*_OWN, "own_words", "days")
+#: Equal bodies have equal days, so these make no class of their own.
+_FIELDS = (*_OWN, "days")
+#: A unit of comparison holds so many classes and characters of bodies at most, or of two parts so many of each; one longer body is alone.
+UNIT_CLASSES, UNIT_CHARS = 800, 4_000_000
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -26,21 +30,87 @@ def prepared(rows: DataFrame) -> DataFrame:
     })
 
 
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their class of equal compared fields; the classes with their two smallest ids; the classes' bodies.
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their class of equal compared fields and their folded body; the classes with their two smallest ids.
 
-    What is folded and searched in the texts is kept as a table, as all three read it.
+    What is folded and searched in the texts is kept as a table; the classes read its small columns only.
     """
     rows = prepared(rows).filter("title_key != '' AND body_key != ''").withColumn("class", F.md5(F.to_json(F.struct(*_OWN), {"ignoreNullFields": "false"})))
-    rows = stores.cut(rows.select("submission_id", "class", "body_key", *_FIELDS))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("submission_id"))).filter("n <= 2")
+    rows = stores.kept(rows.select("submission_id", "class", "body_key", *_FIELDS), "repeats")
+    first = rows.drop("body_key").withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("submission_id"))).filter("n <= 2")
     classes = first.groupBy("class").agg(F.array_sort(F.collect_list("submission_id")).alias("ids"), *[F.min_by(c, "n").alias(c) for c in _FIELDS])
-    return rows.select("submission_id", "class"), classes, first.filter("n = 1").select("class", "body_key")
+    return rows.select("submission_id", "class", "body_key"), classes
 
 
-def _length_band(chars: Column) -> Column:
-    """Texts of a ratio of lengths that a match can have lie in one band or in neighbours."""
-    return F.floor(F.log(chars.cast("double")) / -F.log(F.lit(S.LENGTH_RATIO)))
+def _units(classes: DataFrame) -> DataFrame:
+    """class, unit and side: where each class is compared, so that all that can be alike meet in exactly one unit.
+
+    Classes meet on title, category, audience, event status and an event's time.  A group of them that fits is
+    one unit (side -1).  Larger ones are split by bands of length, and bands into parts: a part meets itself
+    (side -1), the band's other parts and those of the next band (sides 0 and 1).  Texts of a ratio of lengths
+    that a match can have lie in one band or in neighbours.
+    """
+    time = [F.when(F.col("is_event"), F.col(c)).alias(c) for c in ("event_date", "event_start_min")]
+    band = F.floor(F.log(F.col("body_chars").cast("double")) / -F.log(F.lit(S.LENGTH_RATIO - 0.01)))
+    own = classes.select("class", F.md5(F.to_json(F.struct(*_SAME, *time), {"ignoreNullFields": "false"})).alias("same"), band.alias("band"), F.col("body_chars").cast("bigint").alias("chars"))
+    w = Window.partitionBy("same")
+    parts = F.ceil(F.greatest(F.col("n") / UNIT_CLASSES, F.col("chars") / UNIT_CHARS))
+    bands = own.groupBy("same", "band").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).select("*", parts.alias("parts"), F.sum("n").over(w).alias("all_n"), F.sum("chars").over(w).alias("all_chars"))
+    at = lambda step: F.coalesce(F.when(step("band", 1).over(w.orderBy("band")) == F.col("band") + (1 if step is F.lead else -1), step("parts", 1).over(w.orderBy("band"))), F.lit(0))
+    bands = bands.withColumns({"above": at(F.lead), "below": at(F.lag)}).filter("all_n > 1").drop("n", "chars")
+    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    unit = lambda kind, band, one, other, side: F.struct(F.concat_ws("/", "same", F.lit(kind), band.cast("string"), one.cast("string"), other.cast("string")).alias("unit"), side.cast("int").alias("side"))
+    each = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>")), f)
+    split = F.concat(
+        each(F.col("parts"), lambda t: unit("in", F.col("band"), F.least(part, t), F.greatest(part, t), F.when(part == t, -1).when(part < t, 0).otherwise(1))),
+        each(F.col("above"), lambda t: unit("up", F.col("band"), part, t, F.lit(0))),
+        each(F.col("below"), lambda t: unit("up", F.col("band") - 1, t, part, F.lit(1))),
+    )
+    whole = (F.col("all_n") <= UNIT_CLASSES) & (F.col("all_chars") <= UNIT_CHARS)
+    units = F.when(whole, F.array(F.struct(F.col("same").alias("unit"), F.lit(-1).alias("side")))).otherwise(split)
+    return own.join(bands, ["same", "band"]).select("class", F.inline(units))
+
+
+def _words(text: str) -> set[str]:
+    """``text.distinctive_words`` of a folded text."""
+    return {w for w in T.WORD.findall(text) if not w.isdigit()}.difference(S.COMMON_WORDS)
+
+
+_FOUND = "class string, p_class string, similarity double, same_urls boolean, same_submitter boolean, revised boolean, respelt boolean"
+
+
+def _alike(unit: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of a unit with different bodies that are alike, and by what they may count; vetoes and a bound on their similarity come first."""
+    unit = unit.drop_duplicates("class").sort_values(["side", "class"], ignore_index=True)
+    split = None if (unit["side"] == -1).all() else int((unit["side"] == 0).sum())
+    found = []
+    if len(unit) > 1 and split not in (0, len(unit)):
+        rows, columns = (slice(None), slice(None)) if split is None else (slice(split), slice(split, None))
+        first = 0 if split is None else split
+        equal = lambda c: (x := pd.factorize(unit[c], use_na_sentinel=False)[0])[rows, None] == x[None, columns]
+        unknown = unit["named_days"].isna().to_numpy()
+        urls, submitter = equal("link_set"), equal("submitted_by_email")
+        sender = submitter & equal("contact_email")
+        may = (urls | sender) & ~equal("body_hash") & (equal("named_days") | unknown[rows, None] | unknown[None, columns])
+        places = [likeness.Places(t) for t in unit["body_key"]]
+        words = [None] * len(unit)
+        now, then = unit["is_current"].to_numpy(), unit["is_prior"].to_numpy()
+        forth, back = likeness.can_match(places, S.CHANGED, S.LENGTH_RATIO, split)
+        both = [(forth & may & now[rows, None] & then[None, columns], False)]
+        if split is not None:  # else the other way round is a pair of its own
+            both.append((back & may & then[rows, None] & now[None, columns], True))
+        for pairs, turned in both:
+            for i, j in zip(*map(np.ndarray.tolist, np.nonzero(pairs)), strict=True):
+                one, other = (j + first, i) if turned else (i, j + first)
+                if (ratio := T.likeness_of(places[one], places[other], S.CHANGED)) < S.CHANGED:
+                    continue
+                for k in (one, other):
+                    words[k] = _words(places[k].text) if words[k] is None else words[k]
+                removed = words[other] - words[one]
+                revised = bool(sender[i, j]) and len(removed) <= S.MAX_REMOVED_WORDS
+                if urls[i, j] or revised:
+                    found.append((unit["class"][one], unit["class"][other], ratio, bool(urls[i, j]), bool(submitter[i, j]), revised, T.spelling_only(removed, words[one] - words[other])))
+    return pd.DataFrame(found, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def find_repeats(current: DataFrame, prior: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
@@ -49,51 +119,53 @@ def find_repeats(current: DataFrame, prior: DataFrame, delivered: DataFrame | No
     Only rows whose ``source_status`` (where there is such a column) is New are
     looked at, and only priors with a delivered day: ``delivered`` holds their
     submission_id.  Rows that agree in all compared fields are one class, so copies
-    are compared once.  Classes meet on title, category, audience, event status
-    and a band of lengths, without their bodies; vetoes come first: the event's
-    time, and the days that both bodies name.  Bodies join for the pairs that
-    are left, and a bound on their similarity comes before the similarity itself.
+    are compared once.  Classes of equal bodies meet by these; others meet in units
+    of bounded size, to which each body is sent once, or once for each part that a
+    large group is split into, never for each pair.  In a unit vetoes come first
+    (the days that both bodies name, links, senders), then a bound on the similarity
+    of all pairs at once, then the similarity itself.
     """
     same = prior is current and delivered is None and "source_status" not in current.columns
     if "source_status" in current.columns:
         current = current.filter("source_status = 'New'")
     if delivered is not None:
         prior = prior.join(delivered.select("submission_id").distinct(), "submission_id", "left_semi")
-    rows, c, c_bodies = _classes(current)
-    _, p, p_bodies = (rows, c, c_bodies) if same else _classes(prior)
+    rows, c = _classes(current)
+    p_rows, p = (rows, c) if same else _classes(prior)
+
+
+    names = [x for x in c.columns if x != "class"]
+    c_known, p_known = c.select("class", F.struct(*names).alias("c")), p.select("class", F.struct(*names).alias("p"))
+    known = c_known.withColumn("p", F.col("c")) if same else c_known.join(p_known, "class", "full")
+    one = F.coalesce("c", "p")
+    known = known.select("class", *[one[x].alias(x) for x in names], F.col("c").isNotNull().alias("is_current"), F.col("p").isNotNull().alias("is_prior"))
+    fields = known.select(
+        "class", F.get("ids", F.lit(0)).alias("submission_id"), "is_current", "is_prior", "body_hash", "submitted_by_email", "contact_email",
+        F.md5(F.to_json("urls")).alias("link_set"), F.when(F.size("days") > 0, F.md5(F.to_json("days"))).alias("named_days"),
+    )
+    bodies = rows if same else rows.unionByName(p_rows)
+    unlike = bodies.join(_units(known).join(fields, "class"), ["class", "submission_id"]).drop("submission_id").groupBy("unit").applyInPandas(_alike, _FOUND)
+
     p = p.select(*[F.col(x).alias(f"p_{x}") for x in p.columns])
-    c = c.withColumn("band", _length_band(F.col("body_chars")))
-    p = p.withColumn("p_band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: _length_band(F.col("p_body_chars")) + i)))
-    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in _SAME] + [F.col("band") == F.col("p_band")]
+    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in (*_SAME, "body_hash")]
     once = ~F.col("is_event") | (F.col("event_date").eqNullSafe(F.col("p_event_date")) & F.col("event_start_min").eqNullSafe(F.col("p_event_start_min")))
-    equal = F.col("body_hash") == F.col("p_body_hash")
-    days = equal | (F.size("days") == 0) | (F.size("p_days") == 0) | (F.col("days") == F.col("p_days"))
-    near = F.least("body_chars", "p_body_chars") >= F.greatest("body_chars", "p_body_chars") * S.LENGTH_RATIO
     urls, submitter, contact = F.col("urls") == F.col("p_urls"), F.col("submitted_by_email").eqNullSafe(F.col("p_submitted_by_email")), F.col("contact_email").eqNullSafe(F.col("p_contact_email"))
-    removed, gained = F.array_except("p_own_words", "own_words"), F.array_except("own_words", "p_own_words")
-    revised = submitter & contact & (F.size(removed) <= S.MAX_REMOVED_WORDS)
-    other = F.size(F.filter("p_ids", lambda i: ~F.array_contains("ids", i) | (F.size("ids") > 1))) > 0
-    pairs = c.join(p, on).filter(once & days & near & other & (urls | revised))
-    pairs = pairs.select("class", "p_class", "p_ids", equal.alias("equal"), urls.alias("same_urls"), submitter.alias("same_submitter"), revised.alias("revised"), removed.alias("removed"), gained.alias("gained"))
-    alike = pairs.filter("equal").withColumn("similarity", F.lit(1.0))
-    unlike = pairs.filter("NOT equal").join(c_bodies, "class").join(p_bodies.select(F.col("class").alias("p_class"), F.col("body_key").alias("p_body_key")), "p_class")
-    # comparing is the dear part: pairs are dealt over all tasks, however few classes they come from
-    unlike = unlike.repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class", "p_class")
-    unlike = unlike.withColumn("similarity", T.body_similarity("body_key", "p_body_key")).select(*alike.columns)
-    found = alike.unionByName(unlike).filter(F.col("similarity") >= S.CHANGED)
+    alike = c.join(p, on).filter(once & (urls | (submitter & contact)))
+    alike = alike.select("class", "p_class", F.lit(1.0).alias("similarity"), urls.alias("same_urls"), submitter.alias("same_submitter"), (submitter & contact).alias("revised"), F.lit(True).alias("respelt"))
+    found = alike.unionByName(unlike).join(c.select("class", "ids"), "class").join(p.select("p_class", "p_ids"), "p_class")
+    found = found.filter(F.size(F.filter("p_ids", lambda i: ~F.array_contains("ids", i) | (F.size("ids") > 1))) > 0)
     method = (
         F.when((F.col("similarity") >= S.IDENTICAL) & F.col("same_urls"), "identical")
         .when((F.col("similarity") >= S.NEAR_IDENTICAL) & F.col("same_urls") & F.col("same_submitter"), "near_identical")
         .when(F.col("revised"), "changed")
     )
     found = found.withColumn("method", method).filter(F.col("method").isNotNull())
-    spelling = F.when((F.size("removed") == 0), F.lit(True)).otherwise(T.is_spelling_only("removed", "gained"))
-    found = found.withColumn("materially_changed", (F.col("method") == "changed") | ((F.col("method") == "near_identical") & ~spelling))
+    found = found.withColumn("materially_changed", (F.col("method") == "changed") | ((F.col("method") == "near_identical") & ~F.col("respelt")))
     # a row's own id is no match: the two best of a class leave one for each of its rows
     found = found.select("class", "method", "similarity", "materially_changed", F.explode("p_ids").alias("match"))
     best = Window.partitionBy("class").orderBy(F.desc("similarity"), "match")
     found = found.withColumn("n", F.row_number().over(best)).filter("n <= 2")
-    out = rows.join(found, "class").filter("submission_id != match").groupBy("submission_id", "class").agg(F.min_by(F.struct("match", "method", "similarity", "materially_changed"), "n").alias("r"))
+    out = rows.select("submission_id", "class").join(found, "class").filter("submission_id != match").groupBy("submission_id", "class").agg(F.min_by(F.struct("match", "method", "similarity", "materially_changed"), "n").alias("r"))
     table = F.create_map(*[F.lit(x) for kv in S.CONFIDENCE.items() for x in kv])
     key = F.concat_ws("|", "title_key", F.coalesce(F.col("category_id").cast("string"), F.lit("")), F.coalesce("source_audience", F.lit("")))
     out = out.join(c.select("class", key.alias("family_key")), "class")

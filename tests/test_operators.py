@@ -179,3 +179,63 @@ def test_bounds_of_similarity_lose_no_match():
             got = T.similarity(a, b, 0.85)
             assert got == ratio if ratio >= 0.85 else got < 0.85 or got == ratio
     assert (T.common_length("", "abc"), T.common_length("abcbdab", "bdcaba"), T.common_length("aaaa", "aa")) == (0, 4, 2)
+
+
+def test_matched_length_is_that_of_the_library_and_no_pair_is_lost():
+    import difflib
+    import random
+
+    from noticeflow.functions import likeness
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("etaoinshr") if r.random() < 0.9 else r.choice("zqxjkvbpéß日") for _ in range(r.randrange(2, 9)))
+    for size in (5, 20, 34, 60, 150) * 3:
+        base = list(" ".join(word() for _ in range(size)) if size % 20 else (chr(0x4E00 + r.randrange(400)) for _ in range(300)))
+        texts = ["".join(base), "".join(base[:60]) + " ".join(word() for _ in range(40))]
+        for _ in range(5):
+            text = list(base)
+            for _ in range(r.randrange(25)):
+                k = r.randrange(len(text) + 1)
+                text[k : k + r.randrange(40 if r.random() < 0.2 else 3)] = [r.choice("etaoin zqx") for _ in range(r.randrange(4))]
+            texts.append("".join(text) or "x")
+        places = [likeness.Places(t) for t in texts]
+        forth, back = likeness.can_match(places, 0.85, 0.8)
+        some = likeness.can_match(places, 0.85, 0.8, 3)
+        assert (some[0] == forth[:3, 3:]).all() and (some[1] == back[:3, 3:]).all()
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts):
+                if a != b:
+                    ratio, total = difflib.SequenceMatcher(None, a, b).ratio(), len(a) + len(b)
+                    assert 2.0 * likeness.matched_length(places[i], places[j]) / total == ratio
+                    bound = 2.0 * likeness.matched_length(places[i], places[j], 0.85) / total
+                    assert bound == ratio if ratio >= 0.85 else 0.85 > bound >= ratio - 1e-12
+                    assert ratio < 0.85 or min(len(a), len(b)) < 0.8 * max(len(a), len(b)) or forth[i, j] and back[j, i]
+
+
+def test_bodies_go_to_units_of_bounded_size_not_to_pairs(spark, monkeypatch):
+    """300 bodies of one title: each is sent a few times, each pair of near lengths meets in one unit, and parts find what one unit finds."""
+    import random
+
+    r = random.Random(11)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(3, 9))) for _ in range(400)]
+    bodies = []
+    for k in range(300):
+        own = bodies[r.randrange(k)].split() if k and k % 6 == 0 else r.choices(words, k=r.randrange(30, 120))
+        if k % 6 == 0:
+            own[k % len(own)] = "changed"
+        bodies.append(" ".join(own))
+    df = notices(spark, [(k, {"body_text": b}) for k, b in enumerate(bodies)])
+    whole = sorted(map(tuple, repeats.find_repeats(df, df).collect()))
+    assert len(whole) >= 10
+    monkeypatch.setattr(repeats, "UNIT_CLASSES", 20)
+    units = {}
+    for u in repeats._units(repeats._classes(df)[1]).collect():
+        units.setdefault(u.unit, []).append((u.side, u["class"]))
+    assert len(units) > 10 and max(map(len, units.values())) <= 80 and sum(map(len, units.values())) < 15 * 300
+    length = {x["class"]: x.body_chars for x in repeats._classes(df)[1].collect()}
+    met = [frozenset((a, b)) for own in units.values() for s, a in own for t, b in own if a < b and (s == t == -1 or s != t)]
+    assert len(met) == len(set(met)) and {frozenset((a, b)) for a in length for b in length if a < b and min(length[a], length[b]) >= 0.8 * max(length[a], length[b])} <= set(met)
+    assert sorted(map(tuple, repeats.find_repeats(df, df).collect())) == whole
+    # two tables meet as one does
+    again = df.withColumn("submission_id", F.col("submission_id") + 1000)
+    assert {x.submission_id - 1000 for x in repeats.find_repeats(again, df.filter("submission_id % 2 = 0")).collect()} >= {k for k in range(0, 300, 2)}
